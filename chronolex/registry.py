@@ -1,4 +1,5 @@
 """All registered queries of the temporal text engine, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
