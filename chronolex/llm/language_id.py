@@ -34,7 +34,7 @@ from .common import hash_share, sample_fraction
 
 ORDER, BASE = 4, np.uint64(0x9E3779B97F4A7C15 | 1)
 DOCUMENTS_PER_LANGUAGE, LANGUAGES_AT_MOST = 400, 400
-PIECE = 1 << 20
+PIECE = 1 << 18
 SPACE = np.uint32(32)
 
 _letters: list[np.ndarray] = []

@@ -79,7 +79,7 @@ def best_two_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[in
         templates.append((sorted(chosen, reverse=True), times))
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, slice_bytes: int = 4 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, slice_bytes: int = 1 << 20) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

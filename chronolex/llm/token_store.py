@@ -6,7 +6,7 @@ level keeps a bitmap that says which of its entries go on in the next level, and
 rank directory (set bits before every 512th bit), so `get(i)` follows one entry from
 level to level without decoding any other.
 
-File: segments of a few MB of text each, then a footer with the segments' byte and
+File: segments of about a MB of text each, then a footer with the segments' byte and
 token positions and the documents' ids and lengths, then the footer's length. A file
 holds one range of document ids; its documents are in ascending order of id, nulls
 first.
@@ -176,7 +176,7 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, segment_bytes: int = 4 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, segment_bytes: int = 1 << 20) -> DataFrame:
     """Write the documents' ids below `folder`; returns the stored manifest (shard, file, tokens, documents).
 
     Each task writes one file under a name of its own attempt; only files named in the

@@ -27,7 +27,7 @@ SPLIT = re.compile(
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; its word cache is bounded."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000) -> None:
+    def __init__(self, path: str, cache_entries: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
