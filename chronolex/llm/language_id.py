@@ -7,7 +7,7 @@ interpolated log-probabilities of every language, so a position is looked up onc
 A text gets the language of the lowest cross-entropy per character. Rejection is
 calibrated on sampled documents left out of the counts: a text is rejected if its
 cross-entropy is far above what its language's documents of that length have, and
-three quarters of the way to what texts of other languages have under the same model
+nine tenths of the way to what texts of other languages have under the same model
 (so a text half of which is in the language stays).
 
 Learning uses a bounded sample: at most about `DOCUMENTS_PER_LANGUAGE` documents of
@@ -135,7 +135,7 @@ class Models:
         best = entropy.argmin(1)
         weights = np.exp2(-self.sharpness * (entropy - entropy.min(1, keepdims=True)))
         lowest = entropy.min(1)
-        far = lowest > self.mean[best] + 0.75 * (self.foreign[best] - self.mean[best])
+        far = lowest > self.mean[best] + 0.9 * (self.foreign[best] - self.mean[best])
         return best, 1 / weights.sum(1), lowest, far & (self.excess(best, lowest, symbols) > self.limit)
 
     def excess(self, best: np.ndarray, entropy: np.ndarray, symbols: np.ndarray) -> np.ndarray:

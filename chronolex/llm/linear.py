@@ -132,8 +132,8 @@ class Model:
         return np.concatenate(out), np.concatenate(words)
 
 
-def train(texts: pa.Array, labels: list, bits: int = 18, fold: bool = True, epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0) -> Model:
-    """Per-coordinate FTRL-Proximal over the examples in the given order, several times."""
+def train(texts: pa.Array, labels: list, bits: int = 18, fold: bool = True, updates: int = 24_000, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0) -> Model:
+    """Per-coordinate FTRL-Proximal over the examples in the given order, 3 to 20 times, so often that there are about `updates`."""
     classes = sorted(set(labels))
     k = len(classes)
     raw, bounds = utf8_buffers(texts)
@@ -155,7 +155,7 @@ def train(texts: pa.Array, labels: list, bits: int = 18, fold: bool = True, epoc
         return np.where(np.abs(zi) <= l, 0.0, (np.sign(zi) * l - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     bias = 1 << bits
-    for _ in range(epochs):
+    for _ in range(min(20, max(3, -(-updates // max(1, len(examples)))))):
         for i, own in enumerate(examples):
             at = np.append(own, bias)
             w = weights(at)
