@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, sli
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def place(items: DataFrame, capacity: int, rows_per_part: int = 100_000) -> DataFrame:
+def place(items: DataFrame, capacity: int, rows_per_part: int = 4_000) -> DataFrame:
     """Give every row of `items` (with an integer column `length` up to the capacity) sequence_id and offset.
 
     `items` is read several times: pass a stored table. Its other columns order equal lengths.
