@@ -69,9 +69,9 @@ class Encoder:
                     whole.append(i)
         if len(self.cache) > self.cache_entries:
             self.cache.clear()
-        new = set().union(*words.values()) - self.cache.keys() if words else set()
+        new = [w for w in set().union(*words.values()) if w not in self.cache]  # never walks the cache
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.cache.__getitem__
         for i, pieces in words.items():
             out[i] = b"".join(map(get, pieces))
