@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -23,6 +24,8 @@ SPLIT = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
+LINES = 20  # words read from one text; short texts are the library's fastest
+
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; its word cache is bounded."""
@@ -40,18 +43,19 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode unseen pre-tokens. Those without white space but for a leading space are read from one
-        text, a line each: a line feed before them leaves them a pre-token of their own."""
+        """Encode unseen pre-tokens. Those without white space but for a leading space are read from
+        short texts, a line each: a line feed around them leaves them a pre-token of their own."""
         lines = [w for w in new if not w.isspace()]
         if lines:
-            one = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0]
-            ids = np.array(one.ids, "<u4")
+            texts = ["\n".join(lines[k : k + LINES]) + "\n" for k in range(0, len(lines), LINES)]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
             feeds = np.flatnonzero(ids == self.line_feed)  # no piece has a line feed of its own
-            if len(feeds) != len(lines) - 1:
+            if len(feeds) != len(lines):
                 raise ValueError("pre-tokens were not kept apart")
-            packed, ends = ids.tobytes(), [*(feeds * 4).tolist(), len(ids) * 4]
+            packed, ends = ids.tobytes(), (feeds * 4).tolist()
             starts = [0, *(feeds * 4 + 4).tolist()]
-            self.cache.update(zip(lines, (packed[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+            self.cache.update(zip(lines, (packed[a:b] for a, b in zip(starts, ends, strict=False)), strict=True))
         spaces = [w for w in new if w.isspace()]
         if spaces:
             self.cache.update(zip(spaces, self._library(spaces), strict=True))
