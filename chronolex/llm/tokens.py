@@ -9,9 +9,11 @@ goes to the library whole, so no Unicode table of another engine is trusted.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 
@@ -20,23 +22,29 @@ LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\u00a0"
 PLAIN = re.compile(f"[\\t\\n\\r -~\u00a1-\u024f]*")
-SPLIT = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+SPLIT = re.compile(  # words first: no other branch begins as they do
+    f" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACE}{LETTER}{NUMBER}]+| ?[{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
 LINES = 20  # words read from one text; short texts are the library's fastest
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; its word cache is bounded."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str, cache_entries: int = 800_000) -> None:
+    The word cache has two generations of about `cache_entries` each: a full one becomes the
+    older, words met again move to the new one, and the rest go with the next change.
+    """
+
+    def __init__(self, path: str, cache_entries: int = 400_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
@@ -63,22 +71,34 @@ class Encoder:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Packed ids of each text; null is empty."""
         out: list[bytes] = [b""] * len(texts)
-        words: dict[int, list[str]] = {}
+        if len(self.cache) > self.cache_entries:
+            self.older, self.cache = self.cache, {}
+        get = self.cache.get
+        open_: list[tuple[int, list[bytes | None], list[int], list[str]]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if text:
-                if PLAIN.fullmatch(text):
-                    words[i] = SPLIT.findall(text)
-                else:
-                    whole.append(i)
-        if len(self.cache) > self.cache_entries:
-            self.cache.clear()
-        new = [w for w in set().union(*words.values()) if w not in self.cache]  # never walks the cache
+            if not text:
+                continue
+            if not PLAIN.fullmatch(text):
+                whole.append(i)
+                continue
+            pieces = SPLIT.findall(text)
+            ids = list(map(get, pieces))
+            if None in ids:
+                places = list(compress(range(len(ids)), map(not_, ids)))
+                open_.append((i, ids, places, [pieces[k] for k in places]))
+            else:
+                out[i] = b"".join(ids)
+        missed = set().union(*(words for *_, words in open_))
+        again = {w: known for w in missed if (known := self.older.get(w))}
+        self.cache.update(again)
+        new = [w for w in missed if w not in again]
         if new:
             self._learn(new)
-        get = self.cache.__getitem__
-        for i, pieces in words.items():
-            out[i] = b"".join(map(get, pieces))
+        for i, ids, places, words in open_:
+            for k, w in zip(places, words, strict=True):
+                ids[k] = self.cache[w]
+            out[i] = b"".join(ids)
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
         return out
