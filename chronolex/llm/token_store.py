@@ -169,6 +169,14 @@ class Reader:
         k = int(np.searchsorted(self.first, a, side="right")) - 1
         return self._codes(k).range(a - int(self.first[k]), b - int(self.first[k]))
 
+    def documents(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """All documents in order, a segment at a time: (number of the first, ids of each)."""
+        cuts = [*np.searchsorted(self.starts[:-1], self.first).tolist(), len(self.starts) - 1]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            codes, bounds = self._codes(k), (self.starts[a : b + 1] - self.first[k]).tolist()
+            ids = codes.range(0, len(codes)).astype("<u4", copy=False)
+            yield a, [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
 
 def _filesystem(path: str):
     from pyarrow import fs
@@ -221,15 +229,14 @@ def read(manifest: DataFrame) -> DataFrame:
                 system, path = _filesystem(file)
                 with system.open_input_file(path) as source:
                     r = Reader(source)
-                    n = len(r.meta["ids"])
-                    for a in range(0, n, 10_000):
-                        b = min(n, a + 10_000)
+                    for a, found in r.documents():
+                        b = a + len(found)
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(r.meta["ids"][a:b], pa.int64()),
                                 pa.array(r.starts[a:b] + base, pa.int64()),
                                 pa.array(r.starts[a + 1 : b + 1] - r.starts[a:b], pa.int64()),
-                                pa.array([zlib.crc32(r.document(d).astype("<u4").tobytes()) for d in range(a, b)], pa.int64()),
+                                pa.array([zlib.crc32(ids) for ids in found], pa.int64()),
                             ],
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
