@@ -271,8 +271,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = 4, bloc
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = 4) -> DataFrame:
-    """The rows of `docs` whose doc_id is its component's smallest; of repeated ids the first text stays. Rows without id stay."""
+    """The rows of `docs` whose doc_id is its component's smallest. Rows of one id are one document: the
+    least of them stays, by text (null first), then the other columns. Rows without id stay."""
     found = near_duplicates(docs, words, distance)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    ordered = sorted((c for c, t in docs.dtypes if "map<" not in t and "variant" not in t), key=lambda c: c != "text")
+    order = F.struct(*(f"`{c}`" for c in ordered))
+    if len(ordered) == len(docs.columns):
+        least = F.min(order)
+    else:
+        least = F.min_by(F.struct(*(f"`{c}`" for c in docs.columns)), order)
+    kept = named.groupBy("doc_id").agg(least.alias("_row")).select("_row.*")
+    return kept.select([f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))

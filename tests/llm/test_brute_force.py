@@ -6,6 +6,7 @@ import re
 import zlib
 from functools import cache
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -80,6 +81,18 @@ def ids_of(text, path):
     return library(path).encode(text or "", add_special_tokens=False).ids
 
 
+def test_small_word_caches_change_nothing(sf):
+    from chronolex.llm.tokens import Encoder
+
+    path = queries.tokenizer_path()
+    texts = [r[0] for r in duckdb.connect().execute(f"SELECT text FROM '{sf}/documents.parquet'").fetchall()]
+    small = Encoder(path, cache_entries=50)
+    got = [ids for k in range(0, len(texts), 7) for ids in small.encode(texts[k : k + 7])]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [ids_of(t, path) for t in texts]
+    odd = ["it's 'strange' he'll 'llama ''s a 's", "a  b\t\n c \u00a0 d", " \n", "x\u00b2y\u00bd 12\u00b9", "we'RE 've'd!!'s"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in small.encode(odd)] == [ids_of(t, path) for t in odd]
+
+
 @pytest.mark.parametrize("which", ["table", "awkward"])
 def test_token_store(spark, sf, which):
     docs = spark.read.parquet(f"{sf}/documents.parquet") if which == "table" else awkward(spark)
@@ -254,6 +267,14 @@ def test_simhash_of_awkward_rows(spark):
     assert simhash.near_duplicates(empty(docs)).count() == 0 and simhash.one_of_each(empty(docs)).count() == 0
 
 
+def test_least_row_of_a_repeated_id_stays(spark):
+    rows = [(1, "b text of its own", "y"), (1, "a text of another kind", "z"), (1, "a text of another kind", "x"), (2, None, "n"), (2, "words", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(5)
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == [(1, "a text of another kind", "x"), (2, None, "n")]
+    mapped = docs.selectExpr("*", "map('k', _row) as m")
+    assert sorted((r.doc_id, r.m["k"]) for r in simhash.one_of_each(mapped).collect()) == [(1, "x"), (2, "n")]
+
+
 @pytest.mark.parametrize("pairs", [False, True])
 def test_links_cover_all_near_pairs(spark, pairs):
     """Chains and clusters of fingerprints, groups above the block size, both coverings."""
