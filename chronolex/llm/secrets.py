@@ -147,7 +147,7 @@ def queries(rules: tuple[Rule, ...]) -> tuple[dict[int, set[Clause]], list[str]]
 
 
 def index(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """Postings (gram int, key long) of the trigrams, each document once for each trigram it holds. Needs `key` and `text`."""
+    """Postings (gram int, key long) of the trigrams, each row once for each trigram it holds, so rows with one key may repeat a posting. Needs `key` and `text`."""
     low = docs.select("key", F.lower("text").alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
     return low.select("key", F.explode(held).alias("gram"))
@@ -160,7 +160,7 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     number = {g: i for i, g in enumerate(grams)}
     rows = [(i, 1 << i, c, number[g], len(clause)) for i, q in found.items() for c, clause in enumerate(sorted(q, key=sorted)) for g in clause]
     needs = spark.createDataFrame(rows, "rule int, bit long, clause int, gram int, need int")  # as long as the rules
-    met = postings.join(F.broadcast(needs), "gram").groupBy("key", "rule", "bit", "clause").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
+    met = postings.join(F.broadcast(needs), "gram").groupBy("key", "rule", "bit", "clause", "need").agg(F.count_distinct("gram").alias("n")).where("n = need")
     return met.groupBy("key").agg(F.bit_or("bit").alias("rules"))
 
 

@@ -48,6 +48,17 @@ def test_secrets(spark, sf, which):
     assert secrets.scan(empty(docs)).count() == 0
 
 
+def test_secrets_of_rows_that_share_a_key(spark):
+    """A repeated row and rows without id hold the same trigrams under one key."""
+    key, github = "AKIA" + "Q" * 16, "ghp_" + "x" * 36
+    rows = [(1, f"a {key} b"), (1, f"a {key} b"), (None, f"{key} password=hunter22"), (None, f"c {key} {github}"), (None, "none"), (2, key)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r)[:4] for r in secrets.scan(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, 0, 1, 0), (1, 0, 1, 0), (None, 1, 1, 0), (None, 0, 1, 0), (None, 0, 0, 0), (2, 0, 1, 0)], key=str)
+    left = [r.text for r in secrets.redact(docs).collect()]
+    assert sorted(left) == sorted(["a [secret] b"] * 2 + ["[secret] [secret]", "c [secret] [secret]", "none", "[secret]"])
+
+
 def test_trigram_queries_miss_nothing():
     held = lambda text, q: any(all(g in text.lower() for g in clause) for clause in q)
     cases = {"assign": ["API_KEY=abcdef", "apikey: q", "Passwd='x"], "access": ["AKIAQQQQ"], "hex": ["00ff"], "github": ["ghp_" + "a" * 36], "private_key": ["-----BEGIN RSA PRIVATE KEY-----"], "jwt": ["eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10]}
