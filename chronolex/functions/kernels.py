@@ -92,6 +92,33 @@ def dtw(query: np.ndarray, curves: np.ndarray, band: int = 10) -> np.ndarray:
     return before[:, m]
 
 
+def carry_warp(state: np.ndarray, rows: np.ndarray, window: np.ndarray, start: int, band: int = 10) -> np.ndarray:
+    """Banded warping costs after row `start`, carried over further rows of two curves of one length.
+
+    Place k of a state is column i + k - band in row i. `rows` are the row curves' values
+    from place `start` on; `window` the column curve's from start - band on, and to band
+    places beyond the last row, zero outside the axis.
+    """
+    width = 2 * band + 1
+    for r in range(rows.shape[1]):
+        above = state.copy()
+        np.minimum(state[:, :-1], state[:, 1:], out=above[:, :-1])
+        cost = np.abs(rows[:, r : r + 1] - window[r : r + width])
+        outside = band - start - r
+        if outside > 0:
+            above[:, :outside] = np.inf
+        upto = np.cumsum(cost, axis=1)
+        state = upto + np.minimum.accumulate(above - (upto - cost), axis=1)
+    return state
+
+
+def first_warp(curves: int, band: int = 10) -> np.ndarray:
+    """The states before the first row."""
+    state = np.full((curves, 2 * band + 1), np.inf)
+    state[:, band] = 0
+    return state
+
+
 def with_dtw(frame: DataFrame, query: list[int], column: str = "curve", band: int = 10, name: str = "score") -> DataFrame:
     """`frame` with minus the warping distance of its dense curves to the query's."""
     reference = np.array(query, np.float64)

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.text import FIRST_YEAR, YEARS
+from ..plans.storage import stored
+from . import index
 from .temporal import curve_of, dense
 
+#: Places of the document axis that one task warps at a time.
+PART = 4096
+
 METHODS = ("cosine", "cos-diff", "squared", "js-reference", "js-standard", "earth-mover", "dtw")
 
 
@@ -113,3 +118,92 @@ def with_pair_dtw(pairs: DataFrame, band: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.float64())], [*batch.schema.names[:-2], "dtw"])
 
     return pairs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in keep), "dtw double"]))
+
+
+def on_document_axis(docs: DataFrame, terms: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(term, at, tf), `at` being the place of a document's id among all distinct ids, and the number of these. Null counts as an id, the first."""
+    ids = docs.select("doc_id").distinct().repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part"))
+    ids = stored(ids, "document-axis")
+    sizes = sorted((r["part"], r["count"]) for r in ids.groupBy("part").count().collect())
+    starts, length = [], 0
+    for part, n in sizes:
+        starts.append((part, length))
+        length += n
+    first = docs.sparkSession.createDataFrame(starts, "part int, start long")
+    place = (F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1 + F.col("start")).alias("at")
+    axis = ids.join(F.broadcast(first), "part").select(F.col("doc_id").alias("id"), place)
+    placed = docs.join(axis, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("at").alias("doc_id"), "text")
+    counts = index.counts(placed).select("term", F.col("doc_id").alias("at"), "tf")
+    return (counts if terms is None else counts.where(F.col("term").isin(terms))), length
+
+
+def word_pairs_by_document(points: DataFrame, length: int, pairs: DataFrame, band: int = 10, part: int = PART) -> DataFrame:
+    """`word_pairs` over the document axis, from sparse (term, at, tf); pairs missing a curve give no row."""
+    one = pairs.select("w1", "w2").distinct()
+    sides = one.select("w1", "w2", F.posexplode(F.array("w1", "w2")).alias("side", "term"))
+    side = [F.sum(F.when(F.col("side") == i, F.col("tf")).otherwise(0)).alias(n) for i, n in enumerate("ab")]
+    cells = stored(points.join(F.broadcast(sides), "term").groupBy("w1", "w2", "at").agg(*side), "pair-cells")
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    sums = {"ta": a, "tb": b, "aa": a * a, "bb": b * b, "ab": a * b, "d": (a - b) * (a - b)}
+    totals = stored(cells.groupBy("w1", "w2").agg(*(F.sum(c).alias(n) for n, c in sums.items())).where("ta > 0 and tb > 0"), "pair-totals")
+    x, y = a / F.col("ta"), b / F.col("tb")
+    middle = x + y / 2
+    js = F.when(x > 0, x * F.ln(x / middle)).otherwise(0.0) + F.when(y > 0, y * F.ln(y / middle)).otherwise(0.0)
+    divergence = cells.join(totals, ["w1", "w2"]).groupBy("w1", "w2").agg(F.sum(js).alias("js"))
+    whole = totals.join(divergence, ["w1", "w2"]).join(_pair_warp(cells, length, band, part), ["w1", "w2"])
+    scores = whole.select(
+        "w1",
+        "w2",
+        F.when(F.col("d") == 0, F.lit(float("inf"))).otherwise(0.0 - F.ln("d")).alias("squared"),
+        (F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))).alias("cosine"),
+        (1 - 0.5 * F.col("js")).alias("js"),
+        "dtw",
+    )
+    return pairs.join(scores, ["w1", "w2"])
+
+
+def _pair_warp(cells: DataFrame, length: int, band: int, part: int) -> DataFrame:
+    """(w1, w2, dtw): each part of the axis gives the least costs from every place of the band to every other, which then are joined in order."""
+    import numpy as np
+    import pyarrow as pa
+
+    width = 2 * band + 1
+    low, high = (F.floor(F.greatest(F.lit(0), F.least(F.lit(length - 1), F.col("at") + d)) / part).cast("int") for d in (-band, band))
+    parts = cells.select("w1", "w2", F.explode(F.sequence(low, high)).alias("part"), F.struct("at", "a", "b").alias("cell")).groupBy("w1", "w2", "part").agg(F.collect_list("cell").alias("cells"))
+
+    def crossed(batches):
+        for batch in batches:
+            out = []
+            for number, found in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                start, values = number * part, found.values
+                n = min(part, length - start)
+                at, a, b = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                rows, window = np.zeros((1, n)), np.zeros(n + 2 * band)
+                inside = (at >= start) & (at < start + n)
+                rows[0, at[inside] - start] = a[inside]
+                inside = (at >= start - band) & (at < start + n + band)
+                window[at[inside] - start + band] = b[inside]
+                identity = np.where(np.eye(width) > 0, 0.0, np.inf)
+                out.append(carry_warp(identity, rows, window, start, band).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.float64()))], ["w1", "w2", "part", "costs"])
+
+    def joined(batches):
+        for batch in batches:
+            out = []
+            for found in batch.column(2).to_pylist():
+                costs = {f["part"]: np.array(f["costs"]).reshape(width, width) for f in found}
+                state = first_warp(1, band)
+                for number in range(-(-length // part)):
+                    n = min(part, length - number * part)
+                    if number in costs:
+                        state = (state.T + costs[number]).min(axis=0, keepdims=True)
+                    elif n > 2 * width:  # no costs: every place is reached from every other
+                        state = np.full_like(state, state.min())
+                    else:
+                        state = carry_warp(state, np.zeros((1, n)), np.zeros(n + 2 * band), number * part, band)
+                out.append(0.0 - float(state[0, band]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], ["w1", "w2", "dtw"])
+
+    carry_warp, first_warp = kernels.carry_warp, kernels.first_warp
+    passed = parts.mapInArrow(crossed, "w1 string, w2 string, part int, costs array<double>")
+    return passed.groupBy("w1", "w2").agg(F.collect_list(F.struct("part", "costs")).alias("costs")).mapInArrow(joined, "w1 string, w2 string, dtw double")

@@ -144,10 +144,11 @@ def word_pair_scores(s, d):
 
 
 def word_pair_scores_by_document(s, d):
-    """The same over the document axis, of documents 0 to 99 in a row of counts each."""
-    by_doc = index.counts(docs(s, d)).where("doc_id between 0 and 99").select("term", (F.col("doc_id") + 1820).cast("int").alias("year"), "tf")
-    pairs = s.createDataFrame([("the", "of"), ("of", "and")], "w1 string, w2 string")
-    return similarity.word_pairs(by_doc, pairs).select("w1", "w2", *(F.round(c, 6).alias(c) for c in ("squared", "cosine", "js", "dtw")))
+    """The same over the axis of all documents."""
+    pairs = [("the", "of"), ("of", "and")]
+    points, length = similarity.on_document_axis(docs(s, d), sorted({w for p in pairs for w in p}))
+    scores = similarity.word_pairs_by_document(points, length, s.createDataFrame(pairs, "w1 string, w2 string"))
+    return scores.select("w1", "w2", *(F.round(c, 6).alias(c) for c in ("squared", "cosine", "js", "dtw")))
 
 
 def search_panel(s, d):

@@ -1,14 +1,18 @@
 """Operators against plain restatements, and every registered query against its SQL."""
 
+import math
 import os
+import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronolex import registry
-from chronolex.functions.kernels import lcs
-from chronolex.operators import cluster, dedup, index, temporal
+from chronolex.functions.kernels import dtw, lcs
+from chronolex.operators import cluster, dedup, index, similarity, temporal
 from chronolex.sources import lists
 from chronolex.streaming import counts as streaming
 
@@ -103,3 +107,32 @@ def test_parts_and_stream(spark, tmp_path):
     table = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [0.0, 3.0])], "term string, counts array<double>")
     lists.write_count_table(table, str(tmp_path / "counts"), "gzip")
     assert {(r.term, tuple(r.counts)) for r in lists.count_table(lists.lines(spark, str(tmp_path / "counts"))).collect()} == {("b", (1.0, 2.0)), ("a", (0.0, 3.0))}
+
+
+def by_document(spark, sf):
+    """Each term's counts over all documents, plainly."""
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    out = {}
+    for i, r in enumerate(rows):
+        for word, n in Counter(re.findall("[a-z0-9]+", r.text.lower())).items():
+            out.setdefault(word, np.zeros(len(rows)))[i] = n
+    return out
+
+
+def test_word_pairs_over_all_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    plain = by_document(spark, sf)
+    got = {(r.w1, r.w2): r for r in registry.QUERIES["word_pair_scores_by_document"](spark, sf).collect()}
+    assert set(got) == {("the", "of"), ("of", "and")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    points, length = similarity.on_document_axis(docs, ["the", "of", "and"])
+    pairs = spark.createDataFrame([("the", "of"), ("of", "of"), ("of", "nosuchword"), ("nosuchword", "of")], "w1 string, w2 string")
+    small = {(r.w1, r.w2): r for r in similarity.word_pairs_by_document(points, length, pairs, part=16).collect()}
+    assert set(small) == {("the", "of"), ("of", "of")} and small["of", "of"].dtw == 0 and small["of", "of"].squared == math.inf
+    assert small["the", "of"].dtw == got["the", "of"].dtw
+    for (w1, w2), r in got.items():
+        a, b = plain[w1], plain[w2]
+        x, y = a / a.sum(), b / b.sum()
+        js = sum(p * math.log(p / (p + q / 2)) for p, q in zip(x, y, strict=True) if p) + sum(q * math.log(q / (p + q / 2)) for p, q in zip(x, y, strict=True) if q)
+        want = (-math.log(((a - b) ** 2).sum()), a @ b / math.sqrt((a @ a) * (b @ b)), 1 - 0.5 * js, -dtw(b, a[None])[0])
+        assert (r.squared, r.cosine, r.js, r.dtw) == pytest.approx(want, abs=2e-6)
