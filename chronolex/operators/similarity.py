@@ -207,3 +207,65 @@ def _pair_warp(cells: DataFrame, length: int, band: int, part: int) -> DataFrame
     carry_warp, first_warp = kernels.carry_warp, kernels.first_warp
     passed = parts.mapInArrow(crossed, "w1 string, w2 string, part int, costs array<double>")
     return passed.groupBy("w1", "w2").agg(F.collect_list(F.struct("part", "costs")).alias("costs")).mapInArrow(joined, "w1 string, w2 string, dtw double")
+
+
+def similar_by_document(points: DataFrame, length: int, query: str, k: int = 20, band: int = 10, terms_at_once: int = 16) -> DataFrame:
+    """(rank, term, score): the k terms, the query's own among them, whose document curves warp to the query's at least cost.
+
+    Only terms whose least possible cost is beyond the k-th cost of some others are left
+    out before warping: every place of the query must meet a count within the band, and
+    every count a place of the query.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    points = stored(points, "document-points")
+    own = points.where(F.col("term") == query).select("at", "tf").toArrow()
+    padded = np.zeros(length + 2 * band)
+    padded[own.column("at").to_numpy() + band] = own.column("tf").to_numpy()
+    shared = points.sparkSession.sparkContext.broadcast(padded)
+    carry_warp, first_warp = kernels.carry_warp, kernels.first_warp
+
+    def limits(batches):
+        for batch in batches:
+            near = np.lib.stride_tricks.sliding_window_view(shared.value, 2 * band + 1)
+            met, over = [np.zeros(0)], [np.zeros(0)]
+            for a in range(0, batch.num_rows, 4096):
+                at, tf = (batch.column(c).slice(a, 4096).to_numpy() for c in (1, 2))
+                q = near[at]
+                met.append(np.minimum(q, tf[:, None]).sum(axis=1))
+                over.append(np.maximum(0.0, tf - q.max(axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(met)), pa.array(np.concatenate(over))], ["term", "met", "over"])
+
+    least = points.mapInArrow(limits, "term string, met double, over double").groupBy("term").agg(F.greatest(F.lit(float(padded.sum())) - F.sum("met"), F.sum("over")).alias("least"))
+    least = stored(least, "least-costs")
+
+    def warped(batches):
+        for batch in batches:
+            curves = [found.values for found in batch.column(1)]
+            curves = [tuple(v.field(i).to_numpy(zero_copy_only=False) for i in range(2)) for v in curves]
+            for first in range(0, len(curves), terms_at_once):
+                block = curves[first : first + terms_at_once]
+                state = first_warp(len(block), band)
+                for start in range(0, length, PART):
+                    n = min(PART, length - start)
+                    rows = np.zeros((len(block), n))
+                    for i, (at, tf) in enumerate(block):
+                        a, b = np.searchsorted(at, [start, start + n])
+                        rows[i, at[a:b] - start] = tf[a:b]
+                    state = carry_warp(state, rows, shared.value[start : start + n + 2 * band], start, band)
+                names = batch.column(0).slice(first, len(block))
+                yield pa.RecordBatch.from_arrays([names, pa.array(0.0 - state[:, band])], ["term", "score"])
+
+    def costs(chosen: DataFrame, label: str) -> DataFrame:
+        n = max(1, -(-chosen.count() // terms_at_once))
+        lists = points.join(chosen, "term").groupBy("term").agg(F.sort_array(F.collect_list(F.struct("at", "tf"))).alias("cells"))
+        return stored(lists.repartition(n).mapInArrow(warped, "term string, score double"), label)
+
+    some = stored(least.orderBy("least", "term").limit(2 * k), "first-terms")
+    known = costs(some.select("term"), "first-scores")
+    kth = known.orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
+    rest = least.join(some.select("term"), "term", "left_anti")
+    if kth["n"] == k:
+        rest = rest.where(F.col("least") <= -kth["score"])
+    return best(known.unionByName(costs(stored(rest.select("term"), "further-terms"), "further-scores")), k)

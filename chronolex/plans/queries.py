@@ -152,10 +152,12 @@ def word_pair_scores_by_document(s, d):
 
 
 def search_panel(s, d):
-    """The query's 20 closest terms by warping, each with its curve."""
-    f = frequent(s, d)
-    top = similarity.similar(f, QUERY, "dtw", 20)
-    return temporal.dense(f).join(F.broadcast(top), "term").select("rank", "term", "score", F.array_join("curve", ",").alias("curve"))
+    """The query's curve (rank 0), then those of its 20 closest terms by warping over the document axis."""
+    points, length = similarity.on_document_axis(docs(s, d))
+    top = similarity.similar_by_document(points, length, QUERY, 20)
+    found = temporal.dense(curves(s, d).join(F.broadcast(top.select("term")), "term")).join(F.broadcast(top), "term")
+    own = s.createDataFrame([(0, QUERY, None, ",".join(map(str, temporal.curve_of(curves(s, d), QUERY))))], "rank int, term string, score double, curve string")
+    return own.unionByName(found.select("rank", "term", "score", F.array_join("curve", ",").alias("curve")))
 
 
 # --- text index ----------------------------------------------------------------------

@@ -136,3 +136,19 @@ def test_word_pairs_over_all_documents(spark):
         js = sum(p * math.log(p / (p + q / 2)) for p, q in zip(x, y, strict=True) if p) + sum(q * math.log(q / (p + q / 2)) for p, q in zip(x, y, strict=True) if q)
         want = (-math.log(((a - b) ** 2).sum()), a @ b / math.sqrt((a @ a) * (b @ b)), 1 - 0.5 * js, -dtw(b, a[None])[0])
         assert (r.squared, r.cosine, r.js, r.dtw) == pytest.approx(want, abs=2e-6)
+
+
+def test_search_panel_warps_over_the_document_axis(spark):
+    sf = "/root/testdata/sf0.001"
+    plain = by_document(spark, sf)
+    names = sorted(plain)
+    cost = dict(zip(names, dtw(plain["the"], np.array([plain[t] for t in names])), strict=True))
+    want = sorted(names, key=lambda t: (cost[t], t))[:20]
+    got = sorted(registry.QUERIES["search_panel"](spark, sf).collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r.term, r.score) for r in got] == [(0, "the", None)] + [(i + 1, t, -cost[t]) for i, t in enumerate(want)]
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    for r in got:
+        curve = [0] * 100
+        for i, n in zip(ids, plain[r.term], strict=True):
+            curve[i % 100] += int(n)
+        assert r.curve == ",".join(map(str, curve))
