@@ -14,8 +14,8 @@ Targets are shares; their total is the largest at which no domain is wanted more
 there is, so no domain needs repetition, unless a total is given.
 
 A rate becomes a whole number of copies: its floor, and one more if a hash of the id
-falls below the fraction. Rates within `snap` of a whole number are that number, so
-that documents well inside a kept domain are kept for certain.
+falls below the fraction. Rates are used as fitted: rounding those near a whole number
+would move the totals off their targets.
 
 Cases: null and empty texts have no words and no effect on totals; their rate follows
 their posterior. Without labels every rate is 1. A domain with target but no labelled
@@ -93,7 +93,7 @@ def solve(docs: DataFrame, model: Model, targets: dict[str, float], total: float
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, snap: float = 0.05, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, seed: int = 5) -> DataFrame:
     """All columns of `docs`, then n_tokens (words), a posterior p_<domain> for each domain, rate and copies."""
     model = learn(docs, labelled)
     steps = solve(docs, model, targets, total) if model else []
@@ -113,7 +113,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
             else:
                 p, words = model.of_arrow(batch.column(at))
                 r = _rates(p, steps)
-                r = np.where(np.abs(r - np.round(r)) <= snap, np.round(r), r)
                 extra = [pa.array(words, pa.int64()), *(pa.array(p[:, c]) for c in range(len(classes))), pa.array(r)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*kept, *names])
 

@@ -97,6 +97,26 @@ def test_mixing_meets_its_targets(spark, sf):
     assert rows.where("rate < 0").count() == 0 and rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_mixing_meets_a_small_target_of_a_large_domain(spark, monkeypatch):
+    """Rates near 0 and near 1 are not rounded: their domains' totals are the targets."""
+    monkeypatch.setattr(mixing, "learn", lambda docs, labelled: Sure())
+    docs = spark.createDataFrame([(i, "clean word" if i % 2 else "junk word") for i in range(400)], "doc_id long, text string")
+    rows = mixing.mix(docs, docs.limit(1), {"clean": 0.97, "junk": 0.03}, total=400.0)
+    got = {r.kind: r for r in rows.groupBy(F.split("text", " ")[0].alias("kind")).agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("n"), F.sum("copies").alias("copies")).collect()}
+    assert abs(got["clean"].n - 388) < 0.1 and abs(got["junk"].n - 12) < 0.1
+    assert got["junk"].copies > 0
+
+
+class Sure:
+    """A model that knows each text's domain by its first word."""
+
+    classes = ("clean", "junk")
+
+    def of_arrow(self, column):
+        texts = column.to_pylist()
+        return np.array([[1.0, 0.0] if t.startswith("clean") else [0.0, 1.0] for t in texts]), np.array([len(t.split()) for t in texts], np.int64)
+
+
 def test_mixing_solver_equals_least_squares(spark):
     """The unsnapped rates minimise the distance to the targets among nonnegative rates."""
     rng = np.random.default_rng(4)
