@@ -10,8 +10,9 @@ onto r >= 0. A step needs one distributed sum, of as many numbers as there are p
 domains; each document's rate follows from the few step vectors, so rates are never
 shuffled or collected.
 
-Targets are shares; their total is the largest at which no domain is wanted more than
-there is, so no domain needs repetition, unless a total is given.
+Targets are shares; their total is that at which the domain with the greatest target
+keeps its tokens, unless a total is given: scarcer domains are repeated (rates above 1),
+more plentiful ones thinned.
 
 A rate becomes a whole number of copies: its floor, and one more if a hash of the id
 falls below the fraction. Rates are used as fitted: rounding those near a whole number
@@ -85,7 +86,7 @@ def solve(docs: DataFrame, model: Model, targets: dict[str, float], total: float
             weights = weights / weights.sum()
             if have.sum() == 0:
                 return []
-            goal = weights * (total if total is not None else min(h / w for h, w in zip(have, weights, strict=True) if w > 0))
+            goal = weights * (total if total is not None else have[weights.argmax()] / weights.max())
         gap = have - goal
         if np.abs(gap).max() <= tolerance * goal.sum():
             break

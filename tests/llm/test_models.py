@@ -107,6 +107,15 @@ def test_mixing_meets_a_small_target_of_a_large_domain(spark, monkeypatch):
     assert got["junk"].copies > 0
 
 
+def test_mixing_repeats_scarce_domains(spark, monkeypatch):
+    """Clean documents are all kept where there is little junk, and the junk is repeated."""
+    monkeypatch.setattr(mixing, "learn", lambda docs, labelled: Sure())
+    docs = spark.createDataFrame([(i, "junk word" if i < 4 else "clean word") for i in range(400)], "doc_id long, text string")
+    rows = mixing.mix(docs, docs.limit(1), {"clean": 0.9, "junk": 0.1}).collect()
+    assert all(abs(r.rate - (11 if r.doc_id < 4 else 1)) < 1e-3 for r in rows)
+    assert sum(r.copies for r in rows if r.doc_id >= 4) >= 395
+
+
 class Sure:
     """A model that knows each text's domain by its first word."""
 
