@@ -4,7 +4,10 @@ A byte-level BPE works on each pre-token alone, so a text's ids are the joined i
 of its pre-tokens. Words repeat, so each worker encodes a distinct pre-token once
 (through the library) and joins packed ids. The split is done here only for texts
 of plain Latin characters, whose classes are listed below in full; any other text
-goes to the library whole, so no Unicode table of another engine is trusted.
+goes to the library whole, so no Unicode table of another engine is trusted. So does
+a text that holds a string of the file's added tokens (such as <|endoftext|>), which
+the library reads as that token. The ids are those the library gives for the whole text
+with add_special_tokens=False.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -79,7 +83,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not PLAIN.fullmatch(text):
+            if not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
                 whole.append(i)
                 continue
             pieces = SPLIT.findall(text)

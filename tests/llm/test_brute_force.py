@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 from functools import cache
@@ -83,9 +84,7 @@ def test_redaction(spark):
 def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def ids_of(text, path):
@@ -104,6 +103,18 @@ def test_small_word_caches_change_nothing(sf):
     assert [np.frombuffer(ids, "<u4").tolist() for ids in small.encode(odd)] == [ids_of(t, path) for t in odd]
 
 
+def test_ids_are_those_of_the_unchanged_library():
+    """Random strings with added tokens, quotes, spaces and other scripts; null, empty and long texts."""
+    from chronolex.llm.tokens import Encoder
+
+    path, rng = queries.tokenizer_path(), random.Random(11)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "\t", "'s", "it's", "'ll", "Wort", " word", "12", "²", "é", "日本", "😀", "—", "a", "\u00a0", "\x00", "!!"]
+    texts = [None, "", "a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>" * 3, "word <|endoftext|> " * 5000]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(4000)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in Encoder(path, cache_entries=300).encode(texts)]
+    assert got == [ids_of(t, path) for t in texts] and 50256 in got[2]
+
+
 @pytest.mark.parametrize("which", ["table", "awkward"])
 def test_token_store(spark, sf, which):
     docs = spark.read.parquet(f"{sf}/documents.parquet") if which == "table" else awkward(spark)
