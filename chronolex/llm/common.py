@@ -12,6 +12,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[str]:
+    """All columns of a frame, quoted for select."""
+    return [quoted(c) for c in df.columns]
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as make it new among `taken` (whatever the case of letters)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the data directory (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,11 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 
-    The folder comes from spark.checkpoint.dir. Only where that is unset (tests on
-    one machine) is a temporary folder made and recorded in the session.
+    The folder comes from spark.checkpoint.dir. Only where that is unset and the master is
+    local (tests on one machine) is a temporary folder made and recorded in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="chronolex-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -47,9 +70,17 @@ def sample_fraction(total: int, bound: int) -> float:
     return 1.0 if total <= bound else bound / total
 
 
-def hash_share(column: Column, seed: int) -> Column:
-    """A repeatable number in [0, 1) from a column's value."""
-    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+def hash_share(seed: int, *columns: str | Column) -> Column:
+    """A repeatable number in [0, 1) from columns' values."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def least_by_hash(rows: DataFrame, bound: int, seed: int, *columns: str) -> DataFrame:
+    """`bound` rows at most, those of the least hash of `columns`, in that order: a repeatable sample
+    that no frequent value of one column can enlarge."""
+    share = min(1.0, 2 * sample_fraction(rows.count(), bound) + 1e-6)
+    some = rows.where(hash_share(seed, *columns) < share) if share < 1 else rows
+    return some.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(bound)
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

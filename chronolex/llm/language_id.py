@@ -4,20 +4,25 @@ One model for each language, of order `ORDER`, over lower-case letters with runs
 anything else as one space. Counts are kept as sorted arrays of 64-bit n-gram hashes;
 the models of all languages share one array for each order, whose rows hold the
 interpolated log-probabilities of every language, so a position is looked up once.
-A text gets the language of the lowest cross-entropy per character. Rejection is
-calibrated on sampled documents left out of the counts: a text is rejected if its
-cross-entropy is far above what its language's documents of that length have, and
-nine tenths of the way to what texts of other languages have under the same model
-(so a text half of which is in the language stays).
+A text gets the language of the lowest cross-entropy per character.
 
-Learning uses a bounded sample: at most about `DOCUMENTS_PER_LANGUAGE` documents of
-each language (chosen by a hash of the id), with their whole texts.
+Rejection is calibrated on documents left out of the counts. A text's excess is the
+number of standard deviations (for its length) by which its cross-entropy lies above the
+mean of its language's left-out documents; it is rejected above the excess that the share
+`FALSE_REJECTS` of the left-out documents of all languages exceed. With fewer documents
+than that share can be read from, the limit is a quarter beyond the largest excess.
+
+Learning uses a bounded sample, chosen by a hash of id and text: of each language at most
+`DOCUMENTS_PER_LANGUAGE` documents (four fifths of them, if they are few) for the counts,
+and the others, up to `SAMPLED_PER_LANGUAGE` in all, for the calibration. The models grow
+with the number of languages; more than `LANGUAGES_AT_MOST` of them raise an error.
 
 Cases: null text, or text without any letter: `und`, score 0, rejected. No labelled
-row: every text is `und` and rejected. Ties between languages go to the first in
-alphabetical order. Very long texts are scored in pieces that overlap by the model's
-context, so the memory is bounded and the result that of the whole text. Repeated
-rows and further columns do not matter; an empty table gives no rows.
+row: every text is `und` and rejected. A language with a single document rejects nothing.
+Ties between languages go to the first in alphabetical order. Very long texts are scored
+in pieces, each with the symbols before it as context: the result is that of the whole
+text. Repeated rows are each scored; an empty table gives no rows. Further columns stay
+as they are; a result whose name is taken gets an underscore behind its name.
 """
 
 from __future__ import annotations
@@ -27,36 +32,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_share, sample_fraction
+from .common import columns_of, free_names, hash_share, stored
 
 ORDER, BASE = 4, np.uint64(0x9E3779B97F4A7C15 | 1)
-DOCUMENTS_PER_LANGUAGE, LANGUAGES_AT_MOST = 400, 400
-PIECE = 1 << 18
+DOCUMENTS_PER_LANGUAGE, SAMPLED_PER_LANGUAGE, LANGUAGES_AT_MOST = 400, 2000, 1000
+FALSE_REJECTS = 0.001
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+PIECE, CELLS = 1 << 18, 1 << 21
 SPACE = np.uint32(32)
 
-_letters: list[np.ndarray] = []
+_alphabet: list[np.ndarray] = []
+
 
+def alphabet() -> np.ndarray:
+    """For each code point, its symbol: the lower-case letter, or a space for anything else. One by one, so that a text's pieces read as the text does."""
+    if not _alphabet:
+        _alphabet.append(np.fromiter((ord(c.lower()[0]) if (c := chr(i)).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000))
+    return _alphabet[0]
 
-def letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
 
+def symbols(text: str, begun: bool = False, after_letter: bool = False) -> tuple[np.ndarray, int]:
+    """(a space and then the text's symbols, with one space for each run of others; number of letters).
 
-def symbols(text: str) -> tuple[np.ndarray, int]:
-    """(the model's alphabet: lower-case letters, and one space for each run of others; number of letters)."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[codes]
+    For a piece within a text, `begun` says whether a letter came before, `after_letter` whether one came just before.
+    """
+    codes = alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    is_letter = codes != SPACE
     n = int(is_letter.sum())
-    codes = np.where(is_letter, codes, SPACE)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
+    if len(keep):
+        keep[0] |= after_letter
     codes = codes[keep]
-    return (np.concatenate([[SPACE], codes]) if len(codes) and codes[0] != SPACE else codes), n
+    return (codes if begun or not n else np.concatenate([[SPACE], codes])).astype(np.uint32), n
 
 
 def rolling(codes: np.ndarray, order: int) -> np.ndarray:
@@ -102,7 +114,6 @@ class Models:
     mean: np.ndarray
     spread: np.ndarray
     noise: np.ndarray
-    foreign: np.ndarray
     limit: float = 8.0
     sharpness: float = 8.0
 
@@ -135,47 +146,52 @@ class Models:
         best = entropy.argmin(1)
         weights = np.exp2(-self.sharpness * (entropy - entropy.min(1, keepdims=True)))
         lowest = entropy.min(1)
-        far = lowest > self.mean[best] + 0.9 * (self.foreign[best] - self.mean[best])
-        return best, 1 / weights.sum(1), lowest, far & (self.excess(best, lowest, symbols) > self.limit)
+        return best, 1 / weights.sum(1), lowest, self.excess(best, lowest, symbols) > self.limit
 
     def excess(self, best: np.ndarray, entropy: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """By how many standard deviations for its length a text lies above its language's mean."""
         return (entropy - self.mean[best]) / np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / np.maximum(symbols, 1))
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: summed log2 probabilities by language, symbols scored, letters."""
+        """For each text: summed log2 probabilities by language, symbols scored, letters.
+
+        A piece of a text takes the symbols before it as its context, so pieces add up to the whole text.
+        """
         order, n = len(self.hashes), len(texts)
+        at_once = max(1024, min(PIECE, CELLS // len(self.languages)))
         bits, counts, letter_counts = np.zeros((n, len(self.languages))), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        pad = np.full(order - 1, SPACE)
         held: list[np.ndarray] = []
-        owners: list[tuple[int, int]] = []
+        owners: list[int] = []
 
         def flush() -> None:
             if not held:
                 return
-            codes = np.concatenate(held)
-            values = self.positions(codes)
+            values = self.positions(np.concatenate(held))
             ends = np.cumsum([len(x) for x in held])
             starts = ends - [len(x) for x in held]
             # Positions whose context crosses into the piece before are not the piece's own.
             totals = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, 0, dtype=np.float64)])
-            for (i, _), a, b in zip(owners, starts.tolist(), (ends - order + 1).tolist(), strict=True):
+            for i, a, b in zip(owners, starts.tolist(), (ends - order + 1).tolist(), strict=True):
                 bits[i] += totals[b] - totals[a]
-                counts[i] += b - a
             held.clear()
             owners.clear()
 
         size = 0
         for i, text in enumerate(texts):
-            for a in range(0, len(text), PIECE):
-                codes, found = symbols(text[a : a + PIECE])
+            context, after_letter = np.full(order - 1, SPACE), False
+            for a in range(0, len(text), at_once):
+                piece = text[a : a + at_once]
+                codes, found = symbols(piece, counts[i] > 0, after_letter)
+                after_letter = piece[-1].isalpha()
                 letter_counts[i] += found
-                if not found:
+                if not len(codes):
                     continue
-                held.append(np.concatenate([pad, codes]).astype(np.uint32))
-                owners.append((i, a))
+                counts[i] += len(codes)
+                held.append(np.concatenate([context, codes]))
+                owners.append(i)
+                context = held[-1][len(held[-1]) - order + 1 :]
                 size += len(codes)
-                if size > PIECE:
+                if size > at_once:
                     flush()
                     size = 0
         flush()
@@ -192,17 +208,15 @@ class Models:
         return names, np.where(none, 0.0, score), np.where(none, 0.0, entropy), rejected | none
 
 
-def fit(samples: dict[str, list[str]], order: int = ORDER, leave_out: int = 5) -> Models:
-    """Models from texts by language. Every `leave_out`-th text serves for calibration only."""
+def fit(samples: dict[str, list[str]], order: int = ORDER) -> Models:
+    """Models from texts by language, not yet calibrated: nothing with a letter is rejected."""
     languages = sorted(samples)
-    streams, calibration = {}, []
+    streams = {}
     for language in languages:
         pad = np.full(order - 1, SPACE)
-        own = [t for i, t in enumerate(samples[language]) if i % leave_out or len(samples[language]) < leave_out]
-        streams[language] = np.concatenate([pad, *(np.concatenate([symbols(t)[0], pad]) for t in own)]).astype(np.uint32)
-        calibration += [(language, t) for i, t in enumerate(samples[language]) if not i % leave_out]
+        streams[language] = np.concatenate([pad, *(np.concatenate([symbols(t)[0], pad]) for t in samples[language])]).astype(np.uint32)
     if not languages:
-        return Models([], *([] for _ in range(4)), *(np.zeros(0) for _ in range(5)))
+        return Models([], *([] for _ in range(4)), *(np.zeros(0) for _ in range(4)))
     alphabet = len(np.unique(np.concatenate(list(streams.values())))) + 1
     top = [grams(streams[x], order) for x in languages]
     tables: list[list[tuple]] = [[] for _ in range(order)]
@@ -248,77 +262,89 @@ def fit(samples: dict[str, list[str]], order: int = ORDER, leave_out: int = 5) -
     # An unseen symbol: the unigram's left-over mass, spread evenly.
     unseen = unseen + backoff_all[0][0]
     n = len(languages)
-    models = Models(languages, hashes_all, logp_all, contexts_all, backoff_all, unseen, np.zeros(n), np.ones(n), np.ones(n), np.full(n, np.log2(alphabet)))
-    return calibrated(models, calibration)
+    return Models(languages, hashes_all, logp_all, contexts_all, backoff_all, unseen, np.full(n, np.inf), np.ones(n), np.ones(n))
+
 
+EVIDENCE = ("truth", "own", "best", "lowest", "symbols", *(f"loss{s:g}" for s in SHARPNESS))
 
-def calibrated(models: Models, examples: list[tuple[str, str]]) -> Models:
-    """Set the sharpness of scores and the limits of rejection from left-out (language, text)."""
-    names, texts = [x for x, _ in examples], [t for _, t in examples]
+
+def evidence(models: Models, truth: list[str], texts: list[str]) -> np.ndarray:
+    """A row of `EVIDENCE` for each text of a known language that has a letter: what calibration needs of it."""
     bits, counts, found = models.sums(texts)
-    truth = np.array([models.languages.index(x) for x in names])
-    ok = found > 0
+    at = np.array([models.languages.index(x) for x in truth], np.int64)
     entropy = -bits / np.maximum(counts, 1)[:, None]
+    own, lowest = entropy[np.arange(len(texts)), at], entropy.min(1)
+    losses = [np.log(np.exp2(-s * (entropy - lowest[:, None])).sum(1)) + s * np.log(2) * (own - lowest) for s in SHARPNESS]
+    return np.stack([at, own, entropy.argmin(1), lowest, counts, *losses], 1)[found > 0]
+
+
+def calibrated(models: Models, seen: np.ndarray, false_rejects: float = FALSE_REJECTS) -> Models:
+    """Set the sharpness of scores and the limit of rejection from the evidence of left-out texts."""
+    truth, best = seen[:, 0].astype(int), seen[:, 2].astype(int)
     for x in range(len(models.languages)):
-        own = ok & (truth == x)
-        if not own.any():
-            models.mean[x], models.spread[x], models.noise[x] = np.inf, 1, 1
+        e, n = seen[truth == x, 1], seen[truth == x, 4]
+        if not len(e):
             continue
-        if (other := ok & (truth != x)).any():
-            models.foreign[x] = np.median(entropy[other, x])
-        e, n = entropy[own, x], counts[own]
         models.mean[x] = np.median(e)
         off = e - models.mean[x]
         # Spread that stays for long texts, and noise that falls with the square root of the length.
-        long = n >= np.median(n)
-        models.spread[x] = max(0.05, np.sqrt((off[long] ** 2).mean()))
+        models.spread[x] = max(0.05, np.sqrt((off[n >= np.median(n)] ** 2).mean()))
         models.noise[x] = max(1.0, np.sqrt((off**2 * n).mean()))
-    best = entropy.argmin(1)
-    right = ok & (best == truth) & np.isfinite(models.mean[best])
-    if right.any():
-        over = models.excess(best[right], entropy[right, best[right]], counts[right])
-        models.limit = float(max(8.0, 2 * over.max()))
-        grid = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
-        losses = []
-        for s in grid:
-            w = np.exp2(-s * (entropy[ok] - entropy[ok].min(1, keepdims=True)))
-            p = (w / w.sum(1, keepdims=True))[np.arange(ok.sum()), truth[ok]]
-            losses.append(-np.log(np.maximum(p, 1e-9)).mean())
-        models.sharpness = grid[int(np.argmin(losses))]
+    judged = np.isfinite(models.mean[best]) if len(seen) else np.zeros(0, bool)
+    if judged.any():
+        over = np.sort(models.excess(best[judged], seen[judged, 3], seen[judged, 4]))
+        rank = int(np.ceil((len(over) + 1) * (1 - false_rejects)))
+        models.limit = float(over[rank - 1]) if rank <= len(over) else float(max(4.0, 1.25 * over[-1]))
+        models.sharpness = SHARPNESS[int(seen[:, 5:].mean(0).argmin())]
     return models
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = DOCUMENTS_PER_LANGUAGE) -> Models:
-    """Fit on a bounded sample of the labelled rows (non-null text and language)."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count("*")).orderBy(F.desc("count(1)"), lang).limit(LANGUAGES_AT_MOST).collect()}
+def learn(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = DOCUMENTS_PER_LANGUAGE, sampled: int = SAMPLED_PER_LANGUAGE, false_rejects: float = FALSE_REJECTS
+) -> Models:
+    """Fit on a bounded sample of the labelled rows (non-null text and language), calibrate on the rest of the sample."""
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES_AT_MOST + 1).collect()}
+    if len(counts) > LANGUAGES_AT_MOST:
+        raise ValueError(f"more than {LANGUAGES_AT_MOST} languages")
     if not counts:
         return fit({})
-    keep = F.lit(False)
-    for language, n in counts.items():
-        share = hash_share(F.col(key), 11) < sample_fraction(n, per_language)
-        keep = keep | ((F.col(lang) == language) & share)
-    samples: dict[str, list[tuple]] = {}
-    for r in rows.where(keep).select(lang, key, text).toLocalIterator():
-        if len(samples.setdefault(r[0], [])) < 2 * per_language:
-            samples[r[0]].append((r[1] is None, r[1], r[2]))
-    return fit({k: [t for *_, t in sorted(v, key=lambda x: (x[0], x[1] or 0, x[2]))] for k, v in samples.items()})
+    wanted = [(x, min(1.0, 2.0 * sampled / n), min(per_language, -(-4 * min(n, sampled) // 5))) for x, n in counts.items()]
+    shares = spark.createDataFrame(wanted, "lang string, share double, fitted int")  # a row for each language
+    some = rows.join(F.broadcast(shares), "lang").where(hash_share(11, "key", "text") < F.col("share"))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key", "text", F.lit(11)), "key", "text"))
+    sample = stored(some.withColumn("number", number).where(F.col("number") <= sampled), "language-sample")
+    samples: dict[str, list[tuple[int, str]]] = {}
+    for r in sample.where("number <= fitted").select("lang", "number", "text").collect():
+        samples.setdefault(r["lang"], []).append((r["number"], r["text"]))
+    models = fit({x: [t for _, t in sorted(found)] for x, found in samples.items()})
+    shared = spark.sparkContext.broadcast(models)  # bounded by the sample
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                found = evidence(shared.value, *(batch.column(c).slice(a, 200).to_pylist() for c in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], list(EVIDENCE))
+
+    left_out = sample.where("number > fitted").select("lang", "text").where(F.col("lang").isin(models.languages))
+    seen = left_out.mapInArrow(weighed, ", ".join(f"`{c}` double" for c in EVIDENCE)).toArrow()  # `sampled` rows a language
+    return calibrated(models, np.stack([c.to_numpy() for c in seen.columns], 1), false_rejects)
 
 
 def identify(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """All columns of `docs`, then lang_pred, score, cross_entropy and rejected. Only `text` is read for the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
-    names = ["lang_pred", "score", "cross_entropy", "rejected"]
-    kept = [c for c in docs.columns if c not in names]
+    names = free_names(docs.columns, "lang_pred", "score", "cross_entropy", "rejected")
+    where = docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = kept.index(text)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 texts = ["" if t is None else t for t in part.column(where).to_pylist()]
                 language, value, entropy, rejected = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(language, pa.string()), pa.array(value, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected)], [*kept, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(language, pa.string()), pa.array(value, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected)], [*part.schema.names, *names])
 
-    schema = ", ".join(f"`{n}` {docs.select(f'`{n}`').dtypes[0][1]}" for n in kept)
-    return docs.select([f"`{c}`" for c in kept]).mapInArrow(score, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    results = zip(names, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)
+    return docs.select(columns_of(docs)).mapInArrow(score, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in results)]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, sample_fraction, utf8_buffers
+from .common import least_by_hash, stored, utf8_buffers
 
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 REPEAT = np.uint64(0x5BD1E9955BD1E995)
@@ -170,11 +170,14 @@ def train(texts: pa.Array, labels: list, bits: int = 18, fold: bool = True, upda
 
 
 def learn(docs: DataFrame, labelled: DataFrame, at_most: int = SAMPLE_AT_MOST, **options) -> Model | None:
-    """A model of `labelled` (doc_id, label) from the texts of `docs`, on about `at_most` rows chosen by a hash of the id."""
+    """A model of `labelled` (doc_id, label) from the texts of `docs`, on `at_most` labelled ids at most, chosen by a hash of the id.
+
+    Of an id that several rows share the least text is learned.
+    """
     rows = labelled.where("doc_id is not null and label is not null").select("doc_id", "label").distinct()
-    share = sample_fraction(rows.count(), at_most)
-    chosen = rows.where(hash_share(F.col("doc_id"), 23) < share)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()  # about at_most rows
+    chosen = stored(least_by_hash(rows, at_most, 23, "doc_id", "label"), "labelled-sample")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").toArrow()  # at_most rows
     if not sample.num_rows:
         return None
     sample = sample.sort_by([("label", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])

@@ -4,36 +4,41 @@ A classifier learned from a labelled table predicts each document's posterior ov
 domains. A document of n words with posterior p adds n * p to the domains' expected
 totals. Nonnegative document rates r minimise the squared distance between the
 expected totals, sum of r * n * p, and the targets, by projected gradient steps: the
-gradient of a rate is n * p . (total - target), preconditioned by the documents' size
-and by the domains' second moments over documents with positive rate, then projected
-onto r >= 0. A step needs one distributed sum, of as many numbers as there are pairs of
-domains; each document's rate follows from the few step vectors, so rates are never
-shuffled or collected.
+gradient of a rate, over the document's size, is p . (total - target). A step divides it
+by the domains' second moments over the documents with positive rate (so a step without
+projection ends at the targets), then projects onto r >= 0; plain gradient steps of three
+lengths are tried in the same pass, and the best is taken. The shortest of them, over the
+largest moment, comes nearer unless the rates are optimal. A step needs one distributed sum, of as many numbers as there are pairs of domains; each document's rate follows from the few step
+vectors, so rates are never shuffled or collected. Each text is classified once.
 
 Targets are shares; their total is that at which the domain with the greatest target
 keeps its tokens, unless a total is given: scarcer domains are repeated (rates above 1),
-more plentiful ones thinned.
+more plentiful ones thinned. Where no rates meet the targets, or the rounds do not
+suffice, the nearest rates found are used, and a warning names the gap.
 
-A rate becomes a whole number of copies: its floor, and one more if a hash of the id
+A rate becomes a whole number of copies: its floor, and one more if a hash of id and text
 falls below the fraction. Rates are used as fitted: rounding those near a whole number
 would move the totals off their targets.
 
 Cases: null and empty texts have no words and no effect on totals; their rate follows
 their posterior. Without labels every rate is 1. A domain with target but no labelled
-document raises. Repeated rows count each; an empty table gives no rows. Columns named
-like the results are replaced.
+document raises. Repeated rows count each; an empty table gives no rows. Columns of the
+table stay as they are; a result whose name is taken gets an underscore behind its name.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_share, stored
+from .common import columns_of, free_names, hash_share, quoted, stored
 from .linear import Model, learn
 
 #: Fixed targets of the queries: labels give three domains.
@@ -46,85 +51,116 @@ def domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", kind.alias("label"))
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    r = np.ones(len(p))
+@dataclass
+class Fit:
+    """Step vectors of the projected gradient, and the domains' totals and targets they lead to."""
+
+    steps: list[np.ndarray]
+    totals: np.ndarray
+    goal: np.ndarray
+
+    @property
+    def gap(self) -> float:
+        """The largest miss of a domain, as a share of the whole target."""
+        return float(np.abs(self.totals - self.goal).max() / max(self.goal.sum(), 1e-300))
+
+
+def rate_of(posterior: list[Column], steps: list[np.ndarray]) -> Column:
+    """A document's rate from its posterior: 1, then every step."""
+    rate = F.lit(1.0)
     for step in steps:
-        r = np.maximum(0.0, r - p @ step)
-    return r
+        rate = F.greatest(F.lit(0.0), rate - sum(p * float(x) for p, x in zip(posterior, step, strict=True)))
+    return rate
 
 
-def solve(docs: DataFrame, model: Model, targets: dict[str, float], total: float | None = None, tolerance: float = 1e-6, rounds: int = 40) -> list[np.ndarray]:
-    """The step vectors of the projected gradient."""
-    missing = [d for d, w in targets.items() if w > 0 and d not in model.classes]
+def solve(soft: DataFrame, classes: list[str], targets: dict[str, float], total: float | None = None, tolerance: float = 1e-6, rounds: int = 40) -> Fit:
+    """Rates that bring the totals of `soft` (n, p0, p1, ...; a stored table) as near to the targets as nonnegative ones can."""
+    missing = [d for d, w in targets.items() if w > 0 and d not in classes]
     if missing:
         raise ValueError(f"no labelled document of {missing}")
-    k = len(model.classes)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, words = shared.value.of_arrow(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(words), *(pa.array(p[:, c]) for c in range(k))], ["n", *(f"p{c}" for c in range(k))])
-
-    schema = ", ".join(["n long", *(f"p{c} double" for c in range(k))])
-    soft = stored(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(memberships, schema), "memberships")
+    k = len(classes)
+    p = [F.col(f"p{c}") for c in range(k)]
+
+    def sums(steps: list[np.ndarray], choices: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each choice of a further step: (totals, second moments over documents of positive rate). One pass."""
+        frame = soft.withColumn("before", rate_of(p, steps))
+        rates = [F.greatest(F.lit(0.0), F.col("before") - sum(x * float(v) for x, v in zip(p, step, strict=True))) for step in choices]
+        frame = frame.select("n", *p, *(r.alias(f"r{i}") for i, r in enumerate(rates)))
+        each = []
+        for i in range(len(choices)):
+            rate, active = F.col(f"r{i}"), F.when(F.col(f"r{i}") > 0, F.col("n")).otherwise(0)
+            each += [F.sum(rate * F.col("n") * x) for x in p] + [F.sum(active * p[a] * p[b]) for a in range(k) for b in range(k)]
+        row = [float(x or 0) for x in frame.agg(*(s.alias(f"s{i}") for i, s in enumerate(each))).first()]
+        width = k + k * k
+        return [(np.array(row[a : a + k]), np.array(row[a + k : a + width]).reshape(k, k)) for a in range(0, len(row), width)]
+
+    ((have, moments),) = sums([], [np.zeros(k)])
+    weights = np.array([targets.get(d, 0.0) for d in classes])
+    weights = weights / weights.sum()
+    if have.sum() == 0:
+        return Fit([], have, have)
+    goal = weights * (total if total is not None else have[weights.argmax()] / weights.max())
+    largest = np.linalg.eigvalsh(moments).max()
     steps: list[np.ndarray] = []
-    goal = None
     for _ in range(rounds):
-        rate = F.lit(1.0)
-        frame = soft
-        for i, step in enumerate(steps):
-            frame = frame.withColumn(f"r{i}", F.greatest(F.lit(0.0), rate - sum(F.col(f"p{c}") * float(step[c]) for c in range(k))))
-            rate = F.col(f"r{i}")
-        active = F.when(rate > 0, F.col("n")).otherwise(0)
-        sums = [F.sum(rate * F.col("n") * F.col(f"p{c}")) for c in range(k)] + [F.sum(active * F.col(f"p{a}") * F.col(f"p{b}")) for a in range(k) for b in range(k)]
-        row = [float(x or 0) for x in frame.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
-        have, moments = np.array(row[:k]), np.array(row[k:]).reshape(k, k)
-        if goal is None:
-            weights = np.array([targets.get(d, 0.0) for d in model.classes])
-            weights = weights / weights.sum()
-            if have.sum() == 0:
-                return []
-            goal = weights * (total if total is not None else have[weights.argmax()] / weights.max())
         gap = have - goal
         if np.abs(gap).max() <= tolerance * goal.sum():
             break
-        steps.append(np.linalg.lstsq(moments + 1e-9 * np.trace(moments) * np.eye(k), gap, rcond=None)[0])
-    return steps
+        plain = gap / np.linalg.eigvalsh(moments).max() if moments.any() else gap / largest
+        choices = [np.linalg.lstsq(moments + 1e-9 * np.trace(moments) * np.eye(k), gap, rcond=None)[0], 16 * plain, 4 * plain, gap / largest]
+        new, new_moments, step = min(((*found, choice) for found, choice in zip(sums(steps, choices), choices, strict=True)), key=lambda x: np.sum((x[0] - goal) ** 2))
+        if np.sum((new - goal) ** 2) > (1 - 1e-4) * gap @ gap:
+            break
+        have, moments = new, new_moments
+        steps.append(step)
+    return Fit(steps, have, goal)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, seed: int = 5) -> DataFrame:
-    """All columns of `docs`, then n_tokens (words), a posterior p_<domain> for each domain, rate and copies."""
-    model = learn(docs, labelled)
-    steps = solve(docs, model, targets, total) if model else []
-    classes = list(model.classes) if model else []
-    names = ["n_tokens", *(f"p_{d}" for d in classes), "rate"]
-    kept = [c for c in docs.columns if c not in (*names, "copies")]
-    shared = docs.sparkSession.sparkContext.broadcast((model, steps))
+def memberships(docs: DataFrame, model: Model | None, names: list[str], keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` of `docs`, then under `names` the number of words and the posterior of each class."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**18 rows at most
 
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, steps = shared.value
-        at = kept.index("text")
+    def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None:
-                n = batch.num_rows
-                words = np.array([len((t or "").split()) for t in batch.column(at).to_pylist()], np.int64)
-                extra = [pa.array(words, pa.int64()), pa.array(np.ones(n))]
+            texts = batch.column(0)
+            if shared.value is None:
+                extra = [pa.array([len((t or "").split()) for t in texts.to_pylist()], pa.int64())]
             else:
-                p, words = model.of_arrow(batch.column(at))
-                r = _rates(p, steps)
-                extra = [pa.array(words, pa.int64()), *(pa.array(p[:, c]) for c in range(len(classes))), pa.array(r)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*kept, *names])
+                p, words = shared.value.of_arrow(texts)
+                extra = [pa.array(words, pa.int64()), *(pa.array(p[:, c]) for c in range(p.shape[1]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *extra], [*batch.schema.names[1:], *names])
+
+    kept = docs.select(*map(quoted, keep))
+    kinds = [T.LongType(), *(T.DoubleType() for _ in names[1:])]
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds, strict=True))])
+    (read,) = free_names(keep, "read")
+    return docs.select(F.col(quoted(text)).cast("string").alias(read), *map(quoted, keep)).mapInArrow(classified, schema)
+
 
-    schema = ", ".join([*(f"`{n}` {docs.select(f'`{n}`').dtypes[0][1]}" for n in kept), "n_tokens long", *(f"`p_{d}` double" for d in classes), "rate double"])
-    out = docs.select([f"`{c}`" for c in kept]).mapInArrow(rated, schema)
-    chance = hash_share(F.col("doc_id"), seed)
-    return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, seed: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all, if None), then n_tokens (words), a posterior p_<domain> for each domain, rate and copies."""
+    keep = docs.columns if keep is None else keep
+    model = learn(docs, labelled)
+    classes = list(model.classes) if model else []
+    *names, rate, copies, chance = free_names(docs.columns, "n_tokens", *(f"p_{d}" for d in classes), "rate", "copies", "chance")
+    soft = stored(memberships(docs.withColumn(chance, hash_share(seed, "doc_id", "text")), model, names, [*keep, chance]), "memberships")
+    p = [F.col(quoted(n)) for n in names[1:]]
+    steps: list[np.ndarray] = []
+    if model:
+        fit = solve(soft.select(F.col(quoted(names[0])).alias("n"), *(c.alias(f"p{i}") for i, c in enumerate(p))), classes, targets, total)
+        steps = fit.steps
+        if fit.gap > 0.001:
+            warnings.warn(f"mixing misses its targets by {fit.gap:.2%} of the whole: {dict(zip(classes, fit.totals - fit.goal, strict=True))}", stacklevel=2)
+    out = soft.withColumn(rate, rate_of(p, steps))
+    whole = F.floor(rate)
+    number = (whole + (F.col(chance) < F.col(rate) - whole).cast("int")).cast("int")
+    return out.select(*map(quoted, keep), *map(quoted, names), rate, number.alias(copies))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """The rows of `docs`, each as often as its copies say."""
     rows = mix(docs, labelled, targets, **options)
-    repeated = rows.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return repeated.select([f"`{c}`" for c in docs.columns])
+    copies = F.col(quoted(rows.columns[-1]))
+    (each,) = free_names(rows.columns, "each")
+    repeated = rows.where(copies > 0).withColumn(each, F.explode(F.array_repeat(F.lit(1), copies)))
+    return repeated.select(columns_of(docs))

@@ -48,7 +48,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mix(docs, mixing.domains(table(spark, sf_dir, "labels")), mixing.TARGETS).drop("text")
+    return mixing.mix(docs, mixing.domains(table(spark, sf_dir, "labels")), mixing.TARGETS, keep=["doc_id"])
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,11 @@ Cases: null text is an empty text. Repeated rows and repeated or null ids are ea
 scanned in full: the index key is a hash of the id, rows that share a key share
 candidates, and verification decides. A document with very many matches costs time in
 proportion to the square of their number, without any limit on them. An empty table
-gives no rows. Further columns are ignored by `scan` and kept by `redact`.
+gives no rows. Further columns are ignored by `scan`, and kept by `spans` and `redact`
+whatever their names.
+
+The index may be written once (`write_index`) and read by later scans, of the same
+documents with other rules; a scan without one makes the postings of its own trigrams.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from dataclasses import dataclass
 from functools import partial
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import columns_of, free_names, quoted, stored
 
 try:
     import re._parser as sre
@@ -153,6 +157,21 @@ def index(docs: DataFrame, grams: list[str]) -> DataFrame:
     return low.select("key", F.explode(held).alias("gram"))
 
 
+def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> None:
+    """Write the postings of every trigram (low, trigram string, key long), clustered by trigram, for scans with any rules."""
+    low = docs.select(F.xxhash64(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    at = F.sequence(F.lit(1), F.length("low") - 2, F.lit(1))
+    grams = F.when(F.length("low") > 2, F.array_distinct(F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(3)))))
+    postings = low.select("key", F.explode(grams).alias("trigram")).distinct()
+    postings.repartitionByRange("trigram", "key").sortWithinPartitions("trigram", "key").write.parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, grams: list[str]) -> DataFrame:
+    """Postings (gram int, key long) of these trigrams from a written index; only their files' ranges are read."""
+    at = F.array_position(F.array(*map(F.lit, grams)), F.col("trigram")) - 1
+    return spark.read.parquet(path).where(F.col("trigram").isin(grams)).select("key", at.cast("int").alias("gram"))
+
+
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, rules): documents in which all trigrams of a clause occur; rules has a bit for each rule."""
     spark = postings.sparkSession
@@ -193,28 +212,34 @@ def _long_runs(rule: Rule) -> Rule:
     return rule
 
 
-def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """All columns of `docs`, and `_spans`: array of (start, end, rank of the rule), by start, then rule."""
-    keyed = docs.withColumn("_key", F.xxhash64(key))
+def spans(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, index_path: str | None = None
+) -> DataFrame:
+    """All columns of `docs`, and last the spans: array of (start, end, rank of the rule), by start, then rule.
+
+    With `index_path`, candidates come from the index written there for these documents.
+    """
+    key_name, rules_name, spans_name = free_names(docs.columns, "_key", "_rules", "_spans")
+    keyed = docs.withColumn(key_name, F.xxhash64(quoted(key)))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
     found, grams = queries(rules)
     if found:
-        hits = candidates(index(keyed.select(F.col("_key").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), grams), rules)
-        hits = hits.select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
+        made = index(keyed.select(F.col(key_name).alias("key"), body.alias("text")), grams) if index_path is None else read_index(docs.sparkSession, index_path, grams)
+        hits = candidates(made, rules).select(F.col("key").alias(key_name), F.col("rules").alias(rules_name))
         stored_hits = stored(hits, "secret-candidates")
         side = F.broadcast(stored_hits) if stored_hits.count() <= broadcast_rows else stored_hits
-        keyed = keyed.join(side, "_key", "left")
+        keyed = keyed.join(side, key_name, "left")
     else:
-        keyed = keyed.withColumn("_rules", F.lit(0).cast("long"))
-    body = F.coalesce(F.col(text), F.lit(""))
+        keyed = keyed.withColumn(rules_name, F.lit(0).cast("long"))
     none = F.array().cast("array<struct<start:int,end:int,rank:int>>")
     each = []
     for i, rule in enumerate(rules):
         run = _long_runs(rule)
         wanted = body.rlike(run.pattern)
         if i in found:
-            wanted = F.coalesce(F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False)) & wanted
+            wanted = F.coalesce(F.col(rules_name).bitwiseAND(F.lit(1 << i)) != 0, F.lit(False)) & wanted
         each.append(F.when(wanted, _matches(body, run, i)).otherwise(none))
-    return keyed.withColumn("_spans", F.array_sort(F.flatten(F.array(*each)), _by_start)).drop("_key", "_rules")
+    return keyed.select(*columns_of(docs), F.array_sort(F.flatten(F.array(*each)), _by_start).alias(spans_name))
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -243,12 +268,13 @@ def scan(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """`docs` with every found secret replaced by `mark`; overlapping secrets become one mark. Texts without secrets stay as they are."""
     found = spans(docs, rules, text)
+    at, body = F.col(found.columns[-1]), F.col(quoted(text))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, m: Column) -> Column:
-        new = F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, m["start"] - s["at"]), F.lit(mark))
+        new = F.concat(s["out"], F.substring(body, s["at"] + 1, m["start"] - s["at"]), F.lit(mark))
         return F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.when(m["start"] >= s["at"], new).otherwise(s["out"]).alias("out"))
 
-    done = F.aggregate("_spans", state, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.lit(2**31 - 1))))
-    out = found.withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(F.col(text)))
-    return out.select([f"`{c}`" for c in docs.columns])
+    done = F.aggregate(at, state, step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.lit(2**31 - 1))))
+    out = F.when(F.size(at) > 0, done).otherwise(body).alias(text)
+    return found.select(*(out if c == text else quoted(c) for c in docs.columns))

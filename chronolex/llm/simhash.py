@@ -19,9 +19,9 @@ and small-star steps, whose results are written to the shared folder.
 
 Cases: null and empty texts have no words and the fingerprint zero, which is linked
 like any other. A text of fewer words than a shingle is one shingle. Repeated rows get
-equal results; ties need no rule. An empty table gives no rows. A null doc_id gets a
-fingerprint and the component of its fingerprint, null only if all its members lack
-an id. Further columns are ignored.
+equal results; ties need no rule. An empty table gives no rows. Rows with a null doc_id
+are linked by their fingerprints like any other; a component's id is null only if all
+its members lack an id. Further columns are ignored, and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import free_names, quoted, slices, stored
 
 WORDS, SEED, BITS = 4, 42, 64
 GOLAY_POLYNOMIAL = 0b101011100011  # generator of the binary Golay code of length 23
@@ -259,28 +260,55 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return members.union(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _roots(prints: DataFrame, distance: int, block_rows: int, pairs: bool | None) -> DataFrame:
+    """(fp, root, component_id): a component's nodes are its fingerprints; its root is the least of them."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select(F.col("fp").alias("node"), "fp"), distance, block_rows, pairs)).withColumnRenamed("node", "fp")
+    labelled = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return labelled.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = 4, block_rows: int = 4096, pairs: bool | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id linked directly or not) for every row."""
     prints = stored(fingerprints(docs, words), "fingerprints")
-    # A node is numbered by the smallest id of its fingerprint; those without any id come last.
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    known = distinct.where("least is not null").select(F.col("least").alias("node"), "fp")
-    roots = components(links(known, distance, block_rows, pairs)).withColumnRenamed("node", "least")
-    labelled = known.withColumnRenamed("node", "least").join(roots, "least", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
+    labelled = _roots(prints, distance, block_rows, pairs).select("fp", "component_id")
     return prints.join(labelled, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = 4) -> DataFrame:
-    """The rows of `docs` whose doc_id is its component's smallest. Rows of one id are one document: the
-    least of them stays, by text (null first), then the other columns. Rows without id stay."""
-    found = near_duplicates(docs, words, distance)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    ordered = sorted((c for c, t in docs.dtypes if "map<" not in t and "variant" not in t), key=lambda c: c != "text")
-    order = F.struct(*(f"`{c}`" for c in ordered))
-    if len(ordered) == len(docs.columns):
+def _least_rows(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Of the rows of each key the least, by text (null first), then the other columns."""
+    ordered = sorted((c for c, t in rows.select(*map(quoted, columns)).dtypes if "map<" not in t and "variant" not in t), key=lambda c: c != "text")
+    order = F.struct(*(quoted(c) for c in ordered))
+    if len(ordered) == len(columns):
         least = F.min(order)
     else:
-        least = F.min_by(F.struct(*(f"`{c}`" for c in docs.columns)), order)
-    kept = named.groupBy("doc_id").agg(least.alias("_row")).select("_row.*")
-    return kept.select([f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+        least = F.min_by(F.struct(*map(quoted, columns)), order)
+    (name,) = free_names(rows.columns, "_row")
+    kept = rows.groupBy(key).agg(least.alias(name)).select(F.col(f"{name}.*"))
+    return kept.select(*map(quoted, columns))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = 4, block_rows: int = 4096) -> DataFrame:
+    """One row of `docs` for each component: that of its smallest doc_id. Rows of one id are one document: the
+    least of them stays, by text (null first), then the other columns. So does the least row of a component without ids."""
+    prints = stored(fingerprints(docs, words), "fingerprints")
+    labelled = stored(_roots(prints, distance, block_rows, None), "components")
+    found = prints.where("doc_id is not null").join(labelled, "fp").where("doc_id = component_id")
+    keep = found.select("doc_id").distinct()
+    kept = _least_rows(docs.where("doc_id is not null").join(keep, "doc_id", "left_semi"), "doc_id", docs.columns)
+    nameless = labelled.where("component_id is null")
+    if nameless.isEmpty():
+        return kept
+    rows = docs.where("doc_id is null")
+    fp, root = free_names(docs.columns, "_fp", "_root")
+    schema = T.StructType([*rows.schema.fields, T.StructField(fp, T.LongType())])
+    at = docs.columns.index("text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 8 << 20):
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in part.column(at)), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.view(np.int64))], schema.names)
+
+    named = rows.mapInArrow(hashed, schema).join(nameless.select(F.col("fp").alias(fp), F.col("root").alias(root)), fp)
+    return kept.unionByName(_least_rows(named, root, docs.columns))

@@ -12,8 +12,10 @@ holds one range of document ids; its documents are in ascending order of id, nul
 first.
 
 Cases: null text is an empty text and still gets its end id. A repeated doc_id gives
-a document of its own for each row, ordered by text. An empty table gives no file and
-no row. Further columns are ignored. A text longer than a segment is a segment.
+a document of its own for each row, ordered by a hash of the text, then the text; the
+ranges are cut by id and that hash, so an id (or null) of very many rows is spread over
+files unless the rows' texts are equal too. An empty table gives no file and no row.
+Further columns are ignored. A text longer than a segment is a segment.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, slices, stored
@@ -178,19 +180,27 @@ class Reader:
             yield a, [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _filesystem(path: str):
+def qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` with the scheme that Spark reads it by, so that tasks write where the session's file system is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, segment_bytes: int = 1 << 20) -> DataFrame:
-    """Write the documents' ids below `folder`; returns the stored manifest (shard, file, tokens, documents).
+    """Write the documents' ids below `folder` (shared by all executors); returns the stored manifest (shard, file, tokens, documents).
 
     Each task writes one file under a name of its own attempt; only files named in the
     committed manifest count, so lost executors and repeated tasks leave no wrong data.
     """
 
+    folder = qualified(docs.sparkSession, folder)
+
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, out, sink = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), None, None
         number = TaskContext.get().partitionId()
@@ -207,7 +217,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, segmen
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "file": [f"{folder}/{name}"], "tokens": pa.array([out.tokens], pa.int64()), "documents": pa.array([len(out.ids)], pa.int64())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return stored(ordered.mapInArrow(shard, "shard int, file string, tokens long, documents long"), "token-manifest")
 
 

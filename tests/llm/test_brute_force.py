@@ -76,8 +76,21 @@ def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact(docs).where("doc_id in (-3, 7)").collect()}
     assert out[-3] == '[secret]" token: abc [secret] [secret] é😀 [secret]' and out[7] == "one"
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == docs.count()
-    again = secrets.spans(secrets.redact(docs)).select(F.sum(F.size("_spans"))).first()[0]
+    assert secrets.spans(docs).columns == [*docs.columns, "_spans_"]
+    again = secrets.spans(secrets.redact(docs)).select(F.sum(F.size("_spans_"))).first()[0]
     assert again == 0
+    odd = docs.selectExpr("*", "7 as _rules", "8 as _key")
+    rest = [c for c in odd.columns if c != "text"]
+    assert sorted(map(str, secrets.redact(odd).select(rest).collect())) == sorted(map(str, odd.select(rest).collect()))
+
+
+def test_written_index_serves_other_rules(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    secrets.write_index(docs, str(tmp_path / "grams"))
+    rules = (*secrets.BASE, secrets.Rule("word", "[Tt]hank(ed|s)|merci"))
+    key = lambda r: str(r)
+    want = sorted(secrets.spans(docs, rules).drop("text").collect(), key=key)
+    assert sorted(secrets.spans(docs, rules, index_path=str(tmp_path / "grams")).drop("text").collect(), key=key) == want
 
 
 @cache
@@ -285,6 +298,7 @@ def test_simhash_of_awkward_rows(spark):
     assert by[5].component_id == 4 and by[7].fingerprint == f"{plain_simhash('one'):016x}"
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+    assert {str(r) for r in docs.collect()} >= {str(r) for r in kept.collect()}
     assert kept.where("doc_id in (0, 1, 4, 5, 6)").count() == 2
     assert simhash.near_duplicates(empty(docs)).count() == 0 and simhash.one_of_each(empty(docs)).count() == 0
 
@@ -297,6 +311,17 @@ def test_least_row_of_a_repeated_id_stays(spark):
     assert sorted((r.doc_id, r.m["k"]) for r in simhash.one_of_each(mapped).collect()) == [(1, "x"), (2, "n")]
 
 
+def test_rows_without_id_are_linked(spark):
+    """A row without id joins two documents; copies without any id leave one row."""
+    near = [0b0, 0b1111, 0b11111111]
+    prints = stored(spark.createDataFrame([(1, near[0]), (None, near[1]), (2, near[2]), (None, 1 << 40 | 1 << 50 | 1 << 60 | 31 << 20)], "doc_id long, fp long"), "prints")
+    roots = {r.fp: r.component_id for r in simhash._roots(prints, 4, 4096, None).collect()}
+    assert [roots[f] for f in near] == [1, 1, 1] and list(roots.values()).count(None) == 1
+    rows = [(None, "copy of one text here", 1), (None, "copy of one text here", 0), (5, "another text altogether is here", 2), (None, "another text altogether is here", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp long")
+    assert sorted(map(str, simhash.one_of_each(docs).collect())) == sorted(map(str, docs.where("_fp in (0, 2)").collect()))
+
+
 @pytest.mark.parametrize("pairs", [False, True])
 def test_links_cover_all_near_pairs(spark, pairs):
     """Chains and clusters of fingerprints, groups above the block size, both coverings."""

@@ -1,5 +1,9 @@
 """Learned operators: held-out accuracy, awkward rows, and what they must not read."""
 
+import random
+import re
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -27,9 +31,13 @@ def test_language_accuracy_and_rules(spark, sf, docs):
 
 def test_language_of_awkward_rows(spark, docs):
     models = language_id.learn(docs)
-    rows = {r.doc_id: r for r in language_id.identify(awkward(spark).withColumn("rejected", F.lit("old")), models).collect()}
-    assert rows[0].lang_pred == rows[1].lang_pred == rows[6].lang_pred == "und" and rows[0].score == 0.0 and rows[0].rejected
-    assert rows[2].lang_pred in models.languages and rows[2].lang_pred == rows[3].lang_pred
+    frame = awkward(spark).withColumn("Rejected", F.lit("old"))
+    found = language_id.identify(frame, models)
+    assert found.columns == [*frame.columns, "lang_pred_", "score_", "cross_entropy", "rejected_"]
+    assert sorted(map(str, found.select(frame.columns).collect())) == sorted(map(str, frame.collect()))
+    rows = {r.doc_id: r for r in found.collect()}
+    assert rows[0].lang_pred_ == rows[1].lang_pred_ == rows[6].lang_pred_ == "und" and rows[0].score_ == 0.0 and rows[0].rejected_
+    assert rows[2].lang_pred_ in models.languages and rows[2].lang_pred_ == rows[3].lang_pred_
     assert language_id.identify(empty(docs), models).count() == 0
     none = language_id.learn(docs.where("lang is null"))
     assert {r.lang_pred for r in language_id.identify(docs.limit(3), none).collect()} == {"und"}
@@ -38,11 +46,56 @@ def test_language_of_awkward_rows(spark, docs):
 def test_language_pieces_do_not_change_the_result(docs, monkeypatch):
     models = language_id.learn(docs)
     text = " ".join(r.text for r in docs.orderBy("doc_id").limit(20).collect())
-    whole = models.sums([text, "", "short text"])
-    monkeypatch.setattr(language_id, "PIECE", 997)
-    parts = models.sums([text, "", "short text"])
-    assert abs(whole[1][0] - parts[1][0]) <= 2 * len(text) // 997 + 2
-    assert np.allclose(whole[0][0] / whole[1][0], parts[0][0] / parts[1][0], atol=0.02)
+    texts = [text, "", "short text", "... 12  " * 500 + "ends" + " !" * 700 + "AΣ İß" * 300, "x" * 2000, "?" * 3000]
+    whole = models.sums(texts)
+    for piece in (1024, 1500):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        parts = models.sums(texts)
+        assert (whole[1] == parts[1]).all() and (whole[2] == parts[2]).all()
+        assert np.allclose(whole[0], parts[0], rtol=1e-9, atol=1e-6)
+
+
+def plain_kneser_ney(texts, order):
+    """{n-gram: interpolated probability} for every n-gram seen, by dictionaries."""
+    pad = " " * (order - 1)
+    stream = pad + "".join(" " + " ".join(re.findall("[^\\W\\d_]+", t.lower())) + (" " if not t[-1:].isalpha() else "") + pad for t in texts)
+    top = Counter(stream[i : i + order] for i in range(len(stream) - order + 1))
+    tables = {order: top}
+    for k in range(1, order):
+        longer = {stream[i : i + k + 1] for i in range(len(stream) - k)}
+        tables[k] = Counter(g[1:] for g in longer)
+        for i in range(len(stream) - k + 1):
+            tables[k].setdefault(stream[i : i + k], 0)
+    probability = {"": None}
+    for k in range(1, order + 1):
+        once, twice = (sum(c == x for c in tables[k].values()) for x in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        totals, kinds = Counter(), Counter()
+        for g, c in tables[k].items():
+            totals[g[:-1]] += c
+            kinds[g[:-1]] += c > 0
+        for g, c in tables[k].items():
+            t = totals[g[:-1]]
+            lower = probability[g[1:]] if k > 1 else None
+            probability[g] = (max(c - discount, 0) / t, discount * kinds[g[:-1]] / t, lower) if t else (0.0, 1.0, lower)
+    return probability
+
+
+def test_models_equal_plain_kneser_ney():
+    texts = {"a": ["abab abba, baba abab", "bab ab. Abba!", "aab"], "b": ["cdcd dccd cdc ddcc", "dcd cab cc"]}
+    m = language_id.fit(texts, order=3)
+    alphabet = len(set("".join(texts["a"] + texts["b"]).lower()) & set("abcd ")) + 1
+
+    def value(entry):
+        first, gamma, lower = entry
+        return first + gamma * (1 / alphabet if lower is None else value(lower))
+
+    for x, language in enumerate(m.languages):
+        plain = plain_kneser_ney(texts[language], 3)
+        for k in (1, 2, 3):
+            for gram in (g for g in plain if len(g) == k):
+                at = np.searchsorted(m.hashes[k - 1], language_id.rolling(np.array([*map(ord, gram)], np.uint32), k)[0])
+                assert 2.0 ** m.logp[k - 1][at, x] == pytest.approx(value(plain[gram]), rel=1e-5)
 
 
 def test_kneser_ney_sums_to_one():
@@ -55,10 +108,27 @@ def test_kneser_ney_sums_to_one():
         assert (p < 1.001).all() and (p > 0.7).all()  # the rest is left for unseen symbols
 
 
-def test_language_rejects_what_no_model_accounts_for(docs):
-    models = language_id.learn(docs)
-    _, _, _, rejected = models.predict(["qxzj vkwq jjxz qqzx wvkj zzxq " * 20, "日本語の文章です。" * 20])
-    assert rejected.all()
+def test_language_rejects_what_no_model_accounts_for(spark, docs):
+    """Shuffled letters, random letters, other scripts and languages go; the stated share of real documents, and no more, does too."""
+    models, rng = language_id.learn(docs), random.Random(5)
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(300).collect()]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in texts if len(t) > 200]
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=rng.randrange(150, 900))) for _ in range(50)]
+    foreign = ["日本語の文章です。" * 20, "Questo è un testo italiano con molte parole diverse. " * 8, "qxzj vkwq jjxz qqzx wvkj zzxq " * 20]
+    assert np.mean(models.predict(shuffled)[3]) > 0.97 and models.predict(noise)[3].all() and models.predict(foreign)[3].all()
+    rejected = language_id.identify(docs, models).where("rejected and text is not null").count()
+    assert rejected <= 5 * language_id.FALSE_REJECTS * docs.count()
+
+
+def test_rejection_limit_is_the_stated_quantile():
+    m = language_id.Models(["a"], [], [], [], [], np.zeros(1), np.full(1, np.inf), np.ones(1), np.ones(1))
+    rng = np.random.default_rng(1)
+    e = 2 + 0.1 * rng.standard_normal(5000)
+    seen = np.stack([0 * e, e, 0 * e, e, 0 * e + 10_000, *(0 * e for _ in language_id.SHARPNESS)], 1)
+    m = language_id.calibrated(m, seen, false_rejects=0.01)
+    assert 0.005 < (m.excess(np.zeros(5000, int), e, seen[:, 4]) > m.limit).mean() <= 0.01
+    few = language_id.calibrated(m, seen[:20], false_rejects=0.01)
+    assert few.limit >= 1.25 * few.excess(np.zeros(20, int), e[:20], seen[:20, 4]).max() - 1e-9
 
 
 def test_quality_on_held_out(spark, sf):
@@ -126,18 +196,37 @@ class Sure:
         return np.array([[1.0, 0.0] if t.startswith("clean") else [0.0, 1.0] for t in texts]), np.array([len(t.split()) for t in texts], np.int64)
 
 
-def test_mixing_solver_equals_least_squares(spark):
-    """The unsnapped rates minimise the distance to the targets among nonnegative rates."""
+@pytest.mark.parametrize("case", ["free", "bound", "unreachable"])
+def test_mixing_solver_equals_least_squares(spark, case):
+    """`solve` reaches the least squared distance of any nonnegative rates, as slow plain gradient steps find it."""
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.4, 0.4, 0.4], 300)
+    if case == "unreachable":  # every document is half of the first domain at least
+        p[:, 0] += 1
+        p /= p.sum(1, keepdims=True)
     n = rng.integers(1, 500, 300)
-    steps, goal = [], np.array([0.8, 0.15, 0.05]) * (n @ p).min()
-    for _ in range(40):
-        r = mixing._rates(p, steps)
-        gap = (r * n) @ p - goal
-        active = (n * (r > 0))[:, None] * p
-        steps.append(np.linalg.lstsq(active.T @ p + 1e-9 * np.eye(3), gap, rcond=None)[0])
-    assert np.abs((mixing._rates(p, steps) * n) @ p - goal).max() < 1e-6 * goal.sum()
+    total = float((n @ p).min()) if case != "bound" else 40.0 * n.sum()
+    weights = {"a": 0.8, "b": 0.15, "c": 0.05} if case != "unreachable" else {"a": 0.1, "b": 0.6, "c": 0.3}
+    soft = stored(spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p, strict=True)], "n long, p0 double, p1 double, p2 double"), "soft")
+    fit = mixing.solve(soft, list(weights), weights, total)
+    assert np.allclose(fit.goal, np.array(list(weights.values())) * total)
+    rates = np.array([r[0] for r in soft.select(mixing.rate_of([F.col(f"p{c}") for c in range(3)], fit.steps)).collect()])
+    rows = np.array([tuple(r) for r in soft.collect()])
+    assert (rates >= 0).all() and np.allclose((rates * rows[:, 0]) @ rows[:, 1:], fit.totals)
+    r, scale = np.ones(300), 1 / np.linalg.eigvalsh((n[:, None] * p).T @ p).max()
+    for _ in range(20_000):
+        r = np.maximum(0, r - scale * (p @ ((r * n) @ p - fit.goal)))
+    best = np.sum(((r * n) @ p - fit.goal) ** 2)
+    assert np.sum((fit.totals - fit.goal) ** 2) <= best * 1.02 + (1e-5 * total) ** 2
+    assert (fit.gap > 0.05) == (case == "unreachable")
+
+
+def test_mixing_says_when_it_misses(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "learn", lambda docs, labelled: Sure())
+    docs = spark.createDataFrame([(i, "clean word") for i in range(50)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        rows = mixing.mix(docs, docs.limit(1), {"clean": 0.5, "junk": 0.5}).collect()
+    assert all(abs(r.rate - 1) < 1e-6 for r in rows)
 
 
 def test_mixing_of_awkward_rows(spark, sf, docs):
@@ -146,6 +235,10 @@ def test_mixing_of_awkward_rows(spark, sf, docs):
     targets = {"clean": 0.5, "junk": 0.5}
     kept = mixing.mixed(awkward(spark), labelled, targets)
     assert kept.columns == awkward(spark).columns
+    own = {tuple(r) for r in awkward(spark).collect()}
+    assert own >= {tuple(r) for r in kept.collect()}  # other columns of the results' names stay as they are
+    rates = mixing.mix(awkward(spark), labelled, targets)
+    assert rates.columns[-2:] == ["rate", "copies_"] and rates.where("copies <> 0").count() == 0 and rates.count() == awkward(spark).count()
     assert mixing.mixed(awkward(spark), domains.limit(0), targets).count() == awkward(spark).count()
     assert mixing.mixed(empty(docs), domains, mixing.TARGETS).count() == 0
     with pytest.raises(ValueError, match="no labelled"):
