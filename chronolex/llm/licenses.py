@@ -1,16 +1,23 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line. Sparse logistic regression (softmax over licence families and an
-unknown class) on word unigrams and bigrams is trained on altered copies of public
-licence notices, and on other paragraphs: fixed ones that only sound alike, and those of
-a bounded sample of the corpus. The probability needed to name a family is calibrated on
-left-out examples; below it a paragraph stays `unknown`. A named family is confirmed by
-the share of words that the paragraph and the family's closest template have in common.
-
-The scan itself is DataFrame expressions. Only paragraphs with a word that speaks for a
-family (a positive weight, and rare elsewhere) can be named; the others need no scores.
-Candidates are classified once for each distinct paragraph, so a line that a third of
-the corpus repeats costs one classification.
+Paragraphs are the text's lines, wrapped ones put together: a line of 40 to 120 characters
+that does not end a sentence goes on in the next one, unless that has no letter or digit.
+
+Sparse logistic regression (softmax over licence families and an unknown class) on word
+unigrams and bigrams is trained on altered copies of public licence notices and, as
+unknown, on notices of other licences, sentences that only sound alike, and paragraphs of
+a bounded sample of the corpus. The probability needed to name a family is calibrated by
+cross-validation over whole notices: at most the share `FALSE_NAMES` of the other
+licences' and like-sounding notices, none of them seen in training, reaches it; below it
+a paragraph stays `unknown`. A named family is confirmed if one of its templates is found
+in the paragraph (or the paragraph in it) to `LEAST_OVERLAP`, words weighed by how few
+licences use them, and no other licence's template is found better.
+
+The scan itself is DataFrame expressions. Features are strong words (those that spoke for
+a family in a first training) and bigrams that hold one; a paragraph without any has no
+feature and is unknown by its bias alone, so only texts with a strong word are looked at,
+without loss. Candidates are classified once for each distinct paragraph, so a line that a
+third of the corpus repeats costs one classification.
 
 Cases: null and empty texts have no paragraph and give no row. Repeated rows give their
 rows again. An empty table gives no rows. Paragraphs of any length are taken whole.
@@ -21,7 +28,7 @@ from __future__ import annotations
 
 import random
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,6 +39,10 @@ from .common import hash_share, sample_fraction, stored
 UNKNOWN = "unknown"
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 300, 3000
 BROADCAST_ROWS = 500_000
+FALSE_NAMES, LEAST_OVERLAP, FOLDS = 0.05, 0.7, 4
+
+#: A line break within a wrapped paragraph, for Java and Python alike (Java reads it with UNIX line ends).
+WRAPPED = r"^(?=[^\n]*[A-Za-z0-9])([^\n]{39,119}[^\n.:;!?\s])[ \t]*\n(?=[^\n]*[A-Za-z0-9])"
 
 # Wording of public licences and of the usual notices that name them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -107,6 +118,25 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "No part of this publication may be reproduced, stored or transmitted in any form without the prior written permission of the publisher.",
     ),
 }
+# Notices of other licences, which are of no family here.
+OTHERS = (
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This software is provided as-is, without any express or implied warranty, under the zlib license.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Released under the Artistic License 2.0.",
+    "Licensed under the Microsoft Public License.",
+    "Licensed under the Open Software License version 3.0.",
+    "Licensed under the Common Public License, version 1.0.",
+    "Released under the PostgreSQL License.",
+    "Made available under the Open Database License.",
+    "Licensed under the Business Source License 1.1.",
+    "Licensed under the Server Side Public License, version 1.",
+    "This work is made available under the Free Art License 1.3.",
+)
 # Paragraphs that only sound like licences.
 ALIKE = (
     "A driver needs a valid license to operate a vehicle on public roads.",
@@ -126,6 +156,10 @@ def words_of(paragraph: str) -> list[str]:
     return re.findall("[a-z0-9]+", paragraph.lower())
 
 
+def paragraphs_of(text: str) -> list[str]:
+    return re.sub(WRAPPED, r"\1 ", text, flags=re.M).split("\n")
+
+
 def ngrams_of(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
@@ -138,6 +172,15 @@ class Classifier:
     bias: np.ndarray
     strong: list[str]
     threshold: float
+    #: shares of left-out notices of other licences named, and of new altered copies of families' notices named rightly
+    held_out: dict[str, float] = field(default_factory=dict)
+
+    def probabilities(self, words: list[str]) -> np.ndarray:
+        """Of the classes, for one paragraph."""
+        number = {g: i for i, g in enumerate(self.vocabulary)}
+        z = self.weights[[number[g] for g in ngrams_of(words) if g in number]].sum(0) + self.bias
+        p = np.exp(z - z.max())
+        return p / p.sum()
 
 
 def _altered(words: list[str], rng: random.Random) -> list[str]:
@@ -149,74 +192,115 @@ def _altered(words: list[str], rng: random.Random) -> list[str]:
     return out
 
 
-def train(others: list[str], copies: int = 12, epochs: int = 15, rate: float = 0.3, decay: float = 1e-5) -> Classifier:
-    """Softmax regression over word n-grams; a fifth of the examples calibrates the unknown class."""
-    rng = random.Random(3)
-    classes = [*sorted(TEMPLATES), UNKNOWN]
-    examples = [(c, words_of(t) if i == 0 else _altered(words_of(t), rng)) for c, ts in sorted(TEMPLATES.items()) for t in ts for i in range(copies)]
-    examples += [(UNKNOWN, words_of(t) if i == 0 else _altered(words_of(t), rng)) for t in ALIKE for i in range(copies)]
-    known = [frozenset(words_of(t)) for ts in TEMPLATES.values() for t in ts]
-    for p in others:
-        w = words_of(p)
-        own = set(w)
-        if own and all(len(own & k) < 0.5 * len(k) for k in known):
-            examples.append((UNKNOWN, w))
-    rng.shuffle(examples)
-    featured = [(classes.index(c), ngrams_of(w)) for c, w in examples]
-    cut = len(featured) * 4 // 5
-    families, rest = {}, {}
-    for c, f in featured:
-        side = rest if classes[c] == UNKNOWN else families
-        for g in f:
-            side[g] = side.get(g, 0) + 1
-    n_rest = max(1, sum(classes[c] == UNKNOWN for c, _ in featured))
-    # n-grams that recur in notices, and are not everyday words of other paragraphs
-    vocabulary = sorted(g for g, n in families.items() if n >= 4 and rest.get(g, 0) <= 0.02 * n_rest)
-    number = {g: i for i, g in enumerate(vocabulary)}
-    rows = [(c, np.array([number[g] for g in f if g in number], np.int64)) for c, f in featured]
-    k = len(classes)
-    weights, bias = np.zeros((len(vocabulary), k)), np.zeros(k)
+def _descend(rows: list[tuple[int, np.ndarray]], features: int, classes: int, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    weights, bias = np.zeros((features, classes)), np.zeros(classes)
     for epoch in range(epochs):
         step = rate / (1 + epoch)
-        for c, at in rows[:cut]:
+        for c, at in rows:
             z = weights[at].sum(0) + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[c] -= 1
             weights[at] -= step * p
             bias -= step * 0.1 * p
-        weights *= 1 - decay * cut
-    strong = [g for i, g in enumerate(vocabulary) if " " not in g and weights[i, :-1].max() > 0.3]
-    strange = set(strong)
-    wrong = []
-    for (c, at), (_, f) in zip(rows[cut:], featured[cut:], strict=True):
-        if classes[c] == UNKNOWN and f & strange:
-            z = weights[at].sum(0) + bias
-            p = np.exp(z - z.max())
-            wrong.append(float(p[:-1].max() / p.sum()))
-    return Classifier(classes, vocabulary, weights, bias, strong, min(0.95, max([0.5, *(w + 0.02 for w in wrong)])))
+        weights *= 1 - decay * len(rows)
+    return weights, bias
+
+
+def _fit(examples: list[tuple[str, list[str]]], everyday: dict[str, float], epochs: int = 12, rate: float = 0.3, decay: float = 1e-5) -> Classifier:
+    """Softmax regression: once over all n-grams that recur in notices and are not everyday words, to find the strong
+    words, then over the n-grams that hold one."""
+    classes = [*sorted(TEMPLATES), UNKNOWN]
+    featured = [(classes.index(c), ngrams_of(w)) for c, w in examples]
+    often: dict[str, int] = {}
+    for c, f in featured:
+        if classes[c] != UNKNOWN:
+            for g in f:
+                often[g] = often.get(g, 0) + 1
+    vocabulary = sorted(g for g, n in often.items() if n >= 4 and everyday.get(g, 0) <= 0.02)
+
+    def trained(names: list[str], times: int) -> tuple[np.ndarray, np.ndarray]:
+        number = {g: i for i, g in enumerate(names)}
+        rows = [(c, np.array(sorted(number[g] for g in f if g in number), np.int64)) for c, f in featured]
+        return _descend(rows, len(names), len(classes), times, rate, decay)
+
+    weights, _ = trained(vocabulary, epochs // 3)
+    strong = {g for i, g in enumerate(vocabulary) if " " not in g and weights[i, :-1].max() > 0.3}
+    names = [g for g in vocabulary if strong & set(g.split())]
+    weights, bias = trained(names, epochs)
+    return Classifier(classes, names, weights, bias, sorted(strong), 1.0)
+
+
+def train(others: list[str], copies: int = 12, false_names: float = FALSE_NAMES) -> Classifier:
+    """The classifier, its threshold calibrated on notices left out as a whole, in `FOLDS` folds."""
+    rng = random.Random(3)
+    notices = [(c, t) for c, ts in sorted(TEMPLATES.items()) for t in ts] + [(UNKNOWN, t) for t in (*OTHERS, *ALIKE)]
+    made = [(c, [words_of(t) if i == 0 else _altered(words_of(t), rng) for i in range(copies)]) for c, t in notices]
+    known = [frozenset(words_of(t)) for ts in TEMPLATES.values() for t in ts]
+    plain = [w for p in others if (w := words_of(p)) and all(len(set(w) & k) < 0.5 * len(k) for k in known)]
+    counts: dict[str, int] = {}
+    for w in plain:
+        for g in ngrams_of(w):
+            counts[g] = counts.get(g, 0) + 1
+    everyday = {g: n / len(plain) for g, n in counts.items()}
+
+    def examples(left_out: int | None) -> list[tuple[str, list[str]]]:
+        out = [(c, w) for i, (c, copied) in enumerate(made) if left_out is None or i % FOLDS != left_out for w in copied]
+        out += [(UNKNOWN, w) for i, w in enumerate(plain) if left_out is None or i % FOLDS != left_out]
+        random.Random(7).shuffle(out)
+        return out
+
+    near = []
+    for fold in range(FOLDS):
+        model = _fit(examples(fold), everyday)
+        near += [float(model.probabilities(w)[:-1].max()) for i, (c, copied) in enumerate(made) if i % FOLDS == fold and c == UNKNOWN for w in copied]
+    model = _fit(examples(None), everyday)
+    alone = np.exp(model.bias - model.bias.max())
+    floor = max(0.5, float(alone[:-1].max() / alone.sum()) + 1e-6)  # bias alone names nothing
+    model.threshold = float(np.clip(np.quantile(near, 1 - false_names, method="higher") + 1e-6, floor, 0.99))
+    fresh = [(model.classes.index(c), model.probabilities(_altered(words_of(t), rng))) for c, t in notices if c != UNKNOWN for _ in range(4)]
+    named = [p[:-1].argmax() == c and p[c] >= model.threshold for c, p in fresh]
+    model.held_out = {"false_names": float(np.mean(np.array(near) >= model.threshold)), "recall": float(np.mean(named))}
+    return model
 
 
 def learn(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, paragraphs: int = SAMPLE_PARAGRAPHS) -> Classifier:
-    """Train with the paragraphs of about `documents` documents (chosen by a hash of the id) as other text."""
+    """Train with the paragraphs of about `documents` documents (chosen by a hash of id and text) as other text."""
     share = sample_fraction(docs.count(), documents)
-    sample = docs.where(hash_share(F.col("doc_id"), 31) < share).select(F.explode(F.split("text", "\n")).alias("p")).where("length(p) > 0").distinct()
+    sample = docs.where(hash_share(31, "doc_id", "text") < share).select(F.explode(F.split("text", "\n")).alias("p")).where("length(p) > 0").distinct()
     rows = sample.orderBy(F.xxhash64("p"), "p").limit(paragraphs).collect()
     return train([r["p"] for r in rows])
 
 
+def template_weights() -> dict[str, float]:
+    """Of each word of a notice, one over the number of licences (families, or other notices) that use it."""
+    users: dict[str, set[str]] = {}
+    for name, texts in (*TEMPLATES.items(), *((t, (t,)) for t in OTHERS)):
+        for t in texts:
+            for w in words_of(t):
+                users.setdefault(w, set()).add(name)
+    return {w: 1 / len(u) for w, u in users.items()}
+
+
+def overlap(words: set[str], template: set[str], weights: dict[str, float]) -> float:
+    """Weight of the common words over that of the template, or of the paragraph where that weighs less (but 0.8 at least)."""
+    weigh = lambda ws: sum(weights.get(w, 1.0) for w in ws)
+    return weigh(words & template) / min(weigh(template), max(weigh(words), 0.8))
+
+
 def _words(p: Column) -> Column:
     return F.regexp_extract_all(F.lower(p), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def scan(docs: DataFrame, model: Classifier, least_overlap: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, overlap, confirmed: for every line with a word that speaks for a licence."""
+def scan(docs: DataFrame, model: Classifier, least_overlap: float = LEAST_OVERLAP, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, paragraph (number from 0), family, probability, overlap, confirmed: for every paragraph with a word that speaks for a licence."""
     spark = docs.sparkSession
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "p"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     strong = F.exists(_words(F.col("p")), lambda w: w.isin(model.strong))
-    # A cheap look at the letters first: the lines of ordinary prose hold none of the strong words' spellings.
     spellings = "|".join(sorted(model.strong, key=lambda w: (len(w), w)))
-    candidates = stored(lines.where(F.lower("p").rlike(f"(?<![a-z0-9])(?:{spellings})(?![a-z0-9])")).where(strong), "licence-lines")
+    some = f"(?<![a-z0-9])(?:{spellings})(?![a-z0-9])"
+    lines = texts.where(F.lower("text").rlike(some)).select("doc_id", F.posexplode(F.split(F.regexp_replace("text", f"(?md){WRAPPED}", "$1 "), "\n")).alias("paragraph", "p"))
+    candidates = stored(lines.where(F.lower("p").rlike(some)).where(strong), "licence-paragraphs")
     distinct = candidates.select(F.md5("p").alias("key"), "p").groupBy("key").agg(F.first("p").alias("p")).withColumn("words", _words(F.col("p")))
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1, F.lit(1)), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
     grams = F.array_distinct(F.when(F.size("words") > 1, F.concat("words", pairs)).otherwise(F.col("words")))
@@ -231,15 +315,35 @@ def scan(docs: DataFrame, model: Classifier, least_overlap: float = 0.6, broadca
     best = F.array_max(F.slice("e", 1, k - 1))
     named = shares.select("key", F.get(F.array(*map(F.lit, model.classes)), (F.array_position("e", best) - 1).cast("int")).alias("named"), (best / F.col("total")).alias("probability"))
     family = F.when(F.col("probability") >= model.threshold, F.col("named")).otherwise(UNKNOWN)
-    templates = spark.createDataFrame([(c, [sorted(set(words_of(t))) for t in ts]) for c, ts in TEMPLATES.items()], "family string, templates array<array<string>>")
-    own = F.array_distinct("words")
-
-    def overlap(t: Column) -> Column:
-        return F.size(F.array_intersect(own, t)) / F.least(F.size(t), F.greatest(F.size(own), F.lit(4)))
-
-    judged = distinct.select("key", "words").join(named, "key").withColumn("family", family).join(F.broadcast(templates), "family", "left")
-    judged = judged.select("key", "family", "probability", F.coalesce(F.array_max(F.transform("templates", overlap)), F.lit(0.0)).alias("overlap"))
+    judged = distinct.select("key", "words").join(named, "key").withColumn("family", family)
+    compared = judged.withColumn("found", F.when(F.col("family") != UNKNOWN, _overlaps(F.array_distinct("words"))))
+    own = F.coalesce(F.array_max(F.transform(F.filter("found", lambda t: t["family"] == F.col("family")), lambda t: t["overlap"])), F.lit(0.0))
+    other = F.coalesce(F.array_max(F.transform(F.filter("found", lambda t: t["family"] != F.col("family")), lambda t: t["overlap"])), F.lit(0.0))
+    judged = compared.select("key", "family", "probability", own.alias("overlap"), ((F.col("family") != UNKNOWN) & (own >= least_overlap) & (own >= other)).alias("confirmed"))
     verdicts = stored(judged, "licence-verdicts")
     side = F.broadcast(verdicts) if verdicts.count() <= broadcast_rows else verdicts
     found = candidates.withColumn("key", F.md5("p")).join(side, "key")
-    return found.select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "family", "probability", "overlap", ((F.col("family") != UNKNOWN) & (F.col("overlap") >= least_overlap)).alias("confirmed"))
+    return found.select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "family", "probability", "overlap", "confirmed")
+
+
+def _overlaps(words: Column) -> Column:
+    """array<struct<family, overlap>> of a paragraph's distinct words with every template; other licences' have a family of their own."""
+    import json
+
+    weights = template_weights()
+    rows = []
+    for name, texts in (*TEMPLATES.items(), *((f"other {i}", (t,)) for i, t in enumerate(OTHERS))):
+        for t in texts:
+            own = sorted(set(words_of(t)))
+            rows.append({"family": name, "words": own, "weights": [weights[w] for w in own], "total": sum(weights[w] for w in own)})
+    templates = F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,words:array<string>,weights:array<double>,total:double>>")
+    names = sorted(weights)
+    known, values = F.array(*map(F.lit, names)), F.array(*(F.lit(weights[w]) for w in names))
+    add = lambda a, b: a + b
+    weigh = F.aggregate(F.transform(words, lambda w: F.coalesce(F.get(values, (F.array_position(known, w) - 1).cast("int")), F.lit(1.0))), F.lit(0.0), add)
+
+    def share(t: Column) -> Column:
+        common = F.aggregate(F.zip_with(t["words"], t["weights"], lambda w, x: F.when(F.array_contains(words, w), x).otherwise(0.0)), F.lit(0.0), add)
+        return F.struct(t["family"].alias("family"), (common / F.least(t["total"], F.greatest(weigh, F.lit(0.8)))).alias("overlap"))
+
+    return F.transform(templates, share)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -267,6 +268,48 @@ def test_licences(spark, sf, docs):
     assert sorted(r.doc_id for r in found) == sorted(r[0] for r in plain)
 
 
+def test_licences_in_wrapped_lines_and_near_misses(spark, docs):
+    model = licenses.learn(docs)
+    assert model.held_out["false_names"] <= licenses.FALSE_NAMES and model.held_out["recall"] > 0.85
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(i, "Some Program, by its authors\n\n" + "\n".join(textwrap.wrap(t, 72)) + "\n\nint main() {}") for i, (_, t) in enumerate(notices)]
+    rows += [(100 + i, "\n".join(f" * {x}" for x in textwrap.wrap(t, 66))) for i, (_, t) in enumerate(notices)]
+    other = ["Licensed under the Eclipse Public License, version 2.0.", "Licensed under the Foo Public License, version 2.0.", "Released under the OpenLDAP Public License.", "Licensed under the Q Public License, version 1.0.", *licenses.OTHERS]
+    rows += [(200 + i, t) for i, t in enumerate(other)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(frame, model).where("confirmed").collect():
+        found.setdefault(r.doc_id, set()).add(r.family)
+    assert found == {base + i: {f} for i, (f, _) in enumerate(notices) for base in (0, 100)}
+
+
+def test_licence_scan_equals_the_plain_model(spark, docs):
+    """Paragraphs, probabilities and overlaps of the plan against one paragraph after the other."""
+    model, weights = licenses.learn(docs), licenses.template_weights()
+    rng = random.Random(9)
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts] + list(licenses.OTHERS + licenses.ALIKE)
+    texts = [" ".join(licenses._altered(t.split(), rng)) for t in notices] + ["\n".join(textwrap.wrap(t, w)) for t in notices for w in (50, 90)]
+    texts += [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["\n\n.\n", "no end" * 20 + "\n*\nlicense", None, "a" * 200 + "\nGPL", "copyright " * 40_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as paragraph", "0.5 as probability", "'k' as key")
+    frame = frame.union(frame.where("doc_id < 3"))
+    want = []
+    for i, text in [*enumerate(texts), *enumerate(texts[:3])]:
+        for number, p in enumerate(licenses.paragraphs_of(text or "")):
+            words = licenses.words_of(p)
+            if not set(words) & set(model.strong):
+                assert model.probabilities(words)[:-1].max() < model.threshold
+                continue
+            probability = model.probabilities(words)
+            named = model.classes[int(probability[:-1].argmax())]
+            family = named if probability[:-1].max() >= model.threshold else licenses.UNKNOWN
+            best = {n: max(licenses.overlap(set(words), set(licenses.words_of(t)), weights) for t in ts) for n, ts in (*licenses.TEMPLATES.items(), *((t, (t,)) for t in licenses.OTHERS))}
+            own = best.get(family, 0.0)
+            sure = family != licenses.UNKNOWN and own >= licenses.LEAST_OVERLAP and own >= max(best.values()) - 1e-12
+            want.append((i, number, family, round(float(probability[:-1].max()), 6), round(own, 6), sure))
+    got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 6), round(r.overlap, 6), r.confirmed) for r in licenses.scan(frame, model).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_licences_of_awkward_rows(spark, docs):
     model = licenses.learn(awkward(spark))
     assert licenses.scan(awkward(spark), model).where("confirmed").count() == 0
