@@ -74,12 +74,13 @@ ORACLE_SQL: dict[str, str] = {
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), q AS (
+            SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id
-            WHERE q.vec_id % 50 = 0
+            SELECT q.vec_id AS query_id, q.e AS e, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
         ), r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }

@@ -1,28 +1,33 @@
 """Document fingerprints as threshold-scaled sketches, in DataFrame expressions only.
 
 A sketch keeps every hash of a text's five-word shingles that lies below a fixed
-fraction of the hash space, so its size follows the document's, the union of two
-sketches is the sketch of both documents, and containment is estimated by the share
-of a sketch that another one holds, however unequal the documents are. A text none of
-whose hashes lies below keeps its least hash (merging keeps the least of both).
+fraction of the hash space, so its size follows the document's, and containment is
+estimated by the share of a sketch that another one holds, however unequal the
+documents are. So that short documents are compared well too, a sketch keeps its `FLOOR`
+least hashes in any case: up to that many shingles it is whole. Every sketch knows all its
+document's hashes up to its horizon (the fraction's limit, or its greatest hash if above,
+or all of them if it has fewer than `FLOOR`), two sketches are compared up to the lesser
+horizon, and the sketch of two documents' shingles together follows from their sketches.
 
 Cases: null text is an empty text; its sketch is empty. A text of fewer than five
 words is one shingle. Two empty sketches are alike (1.0), an empty and another one not
 (0.0). Equal texts have equal sketches. Repeated rows each take their place in the
-order of (doc_id, text); null ids come first. An empty table gives no rows. Further
-columns are ignored. Very long texts are treated whole, in time linear in the length.
+order of (doc_id, hash of the text, text); null ids come first. An empty table gives no
+rows. Further columns are ignored. Very long texts are treated whole, in time linear in
+the length.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS, FRACTION = 5, 1 / 8
-LOWEST = -(1 << 63)
-BUCKET_BYTES, BUCKETS_AT_MOST = 8 << 20, 1 << 16
+WORDS, FRACTION, FLOOR = 5, 1 / 8, 64
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+BUCKET_BYTES, BUCKETS_AT_MOST = 16 << 20, 1 << 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,32 +35,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Column:
-    """Sorted distinct hashes (array<bigint>) of a text's shingles that lie below the fraction."""
+def _limit(fraction: float) -> Column:
+    return F.lit(LOWEST + int(fraction * (1 << 64)))
+
+
+def _kept(hashes: Column, fraction: float, floor: int) -> Column:
+    """Sorted distinct hashes below the fraction, or the `floor` least if these are more."""
+
+    def chosen(below: Column) -> Column:
+        least = lambda: F.slice(F.array_sort(F.array_distinct(hashes)), 1, floor)
+        return F.when(F.size(below) >= floor, F.array_sort(below)).otherwise(least())
+
+    return let(F.array_distinct(F.filter(hashes, lambda x: x < _limit(fraction))), chosen)
+
+
+def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
+    """Sorted distinct hashes (array<bigint>) of a text's shingles: those below the fraction, and the `floor` least."""
     none = F.array().cast("array<bigint>")
-    limit = F.lit(LOWEST + int(fraction * (1 << 64)))
     hashed = F.transform(F.filter(F.split(F.lower(text), "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
     def shingles(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(h) - words)
         return F.when(F.size(h) < words, F.array(F.xxhash64(h))).otherwise(F.transform(at, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(words)))))
 
-    def below(s: Column) -> Column:
-        return let(F.filter(s, lambda x: x < limit), lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).otherwise(F.array(F.array_min(s))))
+    return let(hashed, lambda h: F.when(F.size(h) == 0, none).otherwise(let(shingles(h), lambda s: _kept(s, fraction, floor))))
+
 
-    return let(hashed, lambda h: F.when(F.size(h) == 0, none).otherwise(let(shingles(h), below)))
+def horizon(a: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
+    """Up to which hash a sketch knows all of its document's."""
+    return F.when(F.size(a) < floor, F.lit(HIGHEST)).otherwise(F.greatest(_limit(fraction) - 1, F.array_max(a)))
 
 
-def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+def merged(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
     """The sketch of two documents' shingles together."""
-    limit = F.lit(LOWEST + int(fraction * (1 << 64)))
-    both = F.array_sort(F.array_union(a, b))
-    return let(both, lambda s: let(F.filter(s, lambda x: x < limit), lambda k: F.when((F.size(k) > 0) | (F.size(s) == 0), k).otherwise(F.slice(s, 1, 1))))
+    return _kept(F.concat(a, b), fraction, floor)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
+    """Estimated share of a's shingles that b has, from a's hashes up to both horizons; 0.0 where a has none of these."""
+    upto = F.least(horizon(a, fraction, floor), horizon(b, fraction, floor))
+    share = let(F.filter(a, lambda x: x <= upto), lambda known: F.when(F.size(known) == 0, 0.0).otherwise(F.size(F.array_intersect(known, b)) / F.size(known)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
 
 
 def written(a: Column) -> Column:
@@ -63,40 +83,47 @@ def written(a: Column) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """`docs` (doc_id long, text, ...) with `next_<column>` of the next row in order of (doc_id, text); the first follows the last.
+    """`docs` (doc_id long, text, ...) with `next_<column>` of the next row in order of (doc_id, hash of the text, text); the first follows the last.
 
-    The ids are cut into ranges of about equal numbers; each range is one window
-    partition, which also gets the first rows of the next range. So the texts are
-    shuffled once and no task holds the whole order. Ids are taken to be nearly unique:
-    a doc_id that many rows share makes one range as large.
+    The order is cut into ranges of about equal numbers of rows, by id and, within an id (or
+    null) that fills several ranges, by the hash; each range is one window partition, which
+    also gets the first row of the next range. So the texts are shuffled once, to as many
+    tasks as there are ranges, and no task holds the whole order. Only rows equal in id and
+    text cannot be parted.
     """
     spark = docs.sparkSession
-    total = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    total = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     n = max(1, min(BUCKETS_AT_MOST, total["rows"], total["bytes"] // bucket_bytes))
-    splits: list[int] = []
-    if n > 1:
-        splits = sorted(set(docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 4 * n))).first()[0] or []))
-    steps = [1 << k for k in range(len(splits).bit_length() - 1, -1, -1)] if splits else []
-    # Binary search: how many splits are not above the id.
-    array = F.array(*map(F.lit, splits)) if len(splits) <= 64 else F.from_json(F.lit(str(splits)), "array<bigint>")
-    if splits:
+    # Null ids are all alike: their ranges are cut by the hash alone.
+    nameless = round(n * total["nulls"] / max(1, total["rows"]))
+    points: list[tuple[bool, int]] = [(False, 0)] * nameless
+    if n - nameless > 1:
+        found = docs.select(F.percentile_approx("doc_id", [k / (n - nameless) for k in range(1, n - nameless)], max(10_000, 4 * n))).first()[0] or []
+        points += [(True, i) for i in found]
+    splits: list[tuple[bool, int, int]] = []
+    for at, point in enumerate(points):
+        same = points.count(point) if at == 0 or points[at - 1] != point else 0
+        splits += [(*point, LOWEST + j * ((1 << 64) // same)) for j in range(same)]
+    steps = [1 << k for k in range(len(splits).bit_length() - 1, -1, -1)]
+    array = F.from_json(F.lit(json.dumps([{"k": k, "i": i, "h": h} for k, i, h in splits])), "array<struct<k:boolean,i:bigint,h:bigint>>")
+    h, to, copy = "_hash", "_to", "_copy"
+    own = F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.col(h).alias("h"))
+    place = F.lit(0)
+    if splits:  # binary search: how many splits are not above the row
         place = F.aggregate(
-            F.array(*map(F.lit, steps)),
-            F.lit(0),
-            lambda at, step: F.when(F.coalesce(F.get(array, at + step - 1) <= F.col("doc_id"), F.lit(False)), at + step).otherwise(at),
+            F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(splits)) & (F.get(array, at + step - 1) <= own), at + step).otherwise(at)
         )
-    else:
-        place = F.lit(0)
-    keyed = docs.withColumn("_bucket", place)
-    firsts = sorted((r["_bucket"], r["nulls"], r["least"]) for r in keyed.groupBy("_bucket").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
-    before = [(b, None if nulls else least, firsts[i - 1][0]) for i, (b, nulls, least) in enumerate(firsts)]
-    edge = spark.createDataFrame(before, "_bucket int, _first long, _before int")  # a row for each range
-    copies = F.array(F.struct(F.col("_bucket").alias("bucket"), F.lit(False).alias("copy")))
-    copied = F.array(F.struct(F.col("_before").alias("bucket"), F.lit(True).alias("copy")))
-    dealt = keyed.join(F.broadcast(edge), "_bucket").withColumn("_to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("_first")), F.concat(copies, copied)).otherwise(copies)))
-    w = Window.partitionBy("_to.bucket").orderBy("_to.copy", F.asc_nulls_first("doc_id"), "text")
+    keyed = docs.withColumn(h, F.xxhash64("text")).withColumn("_bucket", place)
+    firsts = sorted((r["_bucket"], r["least"]) for r in keyed.groupBy("_bucket").agg(F.min(own).alias("least")).collect())
+    before = [(b, *least, firsts[i - 1][0]) for i, (b, least) in enumerate(firsts)]
+    edge = spark.createDataFrame(before, "_bucket int, _k boolean, _i long, _h long, _before int")  # a row for each range
+    stays = F.struct(F.col("_bucket").alias(to), F.lit(False).alias(copy))
+    copied = F.struct(F.col("_before").alias(to), F.lit(True).alias(copy))
+    is_first = own == F.struct(F.col("_k").alias("k"), F.col("_i").alias("i"), F.col("_h").alias("h"))
+    dealt = keyed.join(F.broadcast(edge), "_bucket").select(*docs.columns, h, F.inline(F.when(is_first, F.array(stays, copied)).otherwise(F.array(stays))))
+    w = Window.partitionBy(to).orderBy(copy, F.asc_nulls_first("doc_id"), h, "text")
     nexts = [F.lead(c).over(w).alias(f"next_{c}") for c in columns]
-    return dealt.select(*docs.columns, "_to", *nexts).where(~F.col("_to.copy")).drop("_to")
+    return dealt.repartition(max(1, len(firsts)), to).select(*docs.columns, copy, *nexts).where(~F.col(copy)).drop(copy)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:

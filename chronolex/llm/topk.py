@@ -11,11 +11,13 @@ depends on k, the queries and the number of tasks, not on the number of vectors.
 Queries are taken in blocks of bounded size, each broadcast to a full parallel pass;
 neither scores nor vectors are shuffled.
 
-Cases: vectors that are null, hold null or non-finite components, or whose length is
-not the most frequent one (the longer if tied), take no part, neither do rows without
-id. Fewer candidates than k: all of them. Ties go to the smaller vec_id; a repeated id
-is a candidate for each row, and rows of the query's own id are no candidates. An
-empty table gives no rows. Further columns are ignored.
+Cases: vectors that are null or hold null or non-finite components take no part, neither
+do rows without id. A vector is compared with those of its own length only. Fewer
+candidates than k: all of them. Ties go to the smaller vec_id; a repeated id is a
+candidate for each row, and rows of the query's own id are no candidates. Rows of one id
+and vector are one query; different vectors of one id are a query each, under the same
+query_id. Where an inner product could leave 64 bits (by the vectors' norms), an error is
+raised. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,35 +54,36 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, bins: int = BINS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query (rows whose vec_id is divisible by `every`)."""
     spark = rows.sparkSession
-    vectors = integer_vectors(rows, scale)
-    schema = "query_id long, rank int, vec_id long, score long"
-    sizes = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    if sizes is None or not sizes["n"]:
-        return spark.createDataFrame([], schema)
-    width = sizes["n"]
-    vectors = vectors.where(F.size("v") == width)
-    reach = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).first()[0]
-    chosen = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"))
-    edges = chosen.select(F.count("*").alias("n")).first()["n"]
-    blocks = max(1, -(-edges // query_block))
-    block_of = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    vectors = integer_vectors(rows, scale).where(F.size("v") > 0)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    is_query = F.col("vec_id") % every == 0
+    lengths = vectors.groupBy(F.size("v").alias("width")).agg(F.max(norm).alias("reach"), F.count_if(is_query).alias("queries")).where("queries > 0").orderBy("width").collect()
     parts = []
-    for b in range(blocks):
-        block = vectors.where((F.col("vec_id") % every == 0) & (block_of == b)).orderBy("vec_id").collect()  # about query_block rows
-        if block:
-            ids = np.array([r["vec_id"] for r in block], np.int64)
-            parts.append(_block(vectors, ids, np.array([r["v"] for r in block], np.int64), width, int(np.ceil(np.sqrt(reach))) + 1, k, bins))
-    out = parts[0] if parts else None
+    for width, reach, edges in lengths:  # one, unless vectors differ in length
+        alike = vectors.where(F.size("v") == width)
+        blocks = max(1, -(-edges // query_block))
+        block_of = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+        for b in range(blocks):
+            block = alike.where(is_query & (block_of == b)).distinct().orderBy("vec_id", "v").collect()  # about query_block rows
+            if block:
+                ids = np.array([r["vec_id"] for r in block], np.int64)
+                parts.append(_block(alike, ids, np.array([r["v"] for r in block], np.int64), width, float(np.sqrt(reach)), k, bins))
+    out = parts[0] if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for p in parts[1:]:
         out = out.union(p)
-    return spark.createDataFrame([], schema) if out is None else out
+    return out
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, width: int, longest: int, k: int, bins: int) -> DataFrame:
+def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, width: int, longest: float, k: int, bins: int) -> DataFrame:
     spark = vectors.sparkSession
     n = len(ids)
-    reach = np.ceil(np.sqrt((queries.astype(np.float64) ** 2).sum(1))).astype(np.int64) * longest + 1
-    low, high, step, want = -reach, reach + 1, (2 * reach) // bins + 1, np.full(n, k, np.int64)  # values from low, below high
+    norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * longest
+    if norms.max() >= 2**63 * (1 - 1e-9):
+        raise ValueError(f"inner products may reach {norms.max():.3g}, beyond 64 bits; use a smaller scale")
+    reach = [min(int(x * (1 + 1e-12)) + 1, 2**63 - 2) for x in norms]
+    # Values from low to low + span - 1; differences of 64-bit integers are taken without sign.
+    low, span = np.array([-x for x in reach], np.int64), np.array([2 * x + 1 for x in reach], np.uint64)
+    step, want = np.array([(2 * x + 1) // bins + 1 for x in reach], np.uint64), np.full(n, k, np.int64)
     floor = np.full(n, np.iinfo(np.int64).min)
     held = spark.sparkContext.broadcast((ids, queries))
 
@@ -97,16 +100,17 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, width: int,
 
     open_ = np.ones(n, bool)
     while open_.any():
-        state = spark.sparkContext.broadcast((low, high, step, want))
+        state = spark.sparkContext.broadcast((low, span, step, want))
 
         def count(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            low, high, step, want = state.value
+            low, span, step, want = state.value
             seen = np.zeros((n, bins), np.int64)
             for _, s in passes(batches):
-                bin_ = (s - low[:, None]) // step[:, None]
-                inside = (s >= low[:, None]) & (s < high[:, None])
+                above_low = s.view(np.uint64) - low.view(np.uint64)[:, None]
+                inside = (s >= low[:, None]) & (above_low < span[:, None])
                 query, _ = np.nonzero(inside)
-                seen += np.bincount(query * bins + bin_[inside], minlength=n * bins).reshape(n, bins)
+                bin_ = (above_low // step[:, None])[inside].astype(np.int64)
+                seen += np.bincount(query * bins + bin_, minlength=n * bins).reshape(n, bins)
             above = np.cumsum(seen[:, ::-1], 1)[:, ::-1] - seen  # in higher bins of this part
             query, bin_ = np.nonzero((seen > 0) & (above < want[:, None]))
             yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(bin_, pa.int32()), pa.array(seen[query, bin_])], ["query", "bin", "n"])
@@ -116,7 +120,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, width: int,
         wanted = spark.createDataFrame([(i, int(w)) for i, w in enumerate(want)], "query int, want long")
         reached = histogram.withColumn("upto", F.sum("n").over(over)).join(F.broadcast(wanted), "query").where("upto >= want and upto - n < want")
         found = {r["query"]: r for r in reached.collect()}  # a row for each query of the block
-        low, high, step, want = low.copy(), high.copy(), step.copy(), want.copy()
+        low, span, step, want = low.copy(), span.copy(), step.copy(), want.copy()
         for i in range(n):
             if not open_[i]:
                 continue
@@ -126,13 +130,13 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, width: int,
                 continue
             r = found[i]
             want[i] -= r["upto"] - r["n"]
-            low[i] += r["bin"] * step[i]
-            high[i] = low[i] + step[i]
+            low[i] = int(low[i]) + r["bin"] * int(step[i])
+            span[i] = step[i]
             if step[i] == 1:
                 open_[i], floor[i] = False, low[i]
                 want[i] = 0
             else:
-                step[i] = -(-step[i] // bins)
+                step[i] = -(-int(step[i]) // bins)
 
     final = spark.sparkContext.broadcast(floor)
 
@@ -151,8 +155,11 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, width: int,
                 best[q] = sorted(best[q])[:k]
         rows = [(q, v, -s) for q, found in enumerate(best) for s, v in sorted(found)[:k]]
         own = held.value[0]
-        yield pa.RecordBatch.from_arrays([pa.array([int(own[q]) for q, *_ in rows], pa.int64()), pa.array([v for _, v, _ in rows], pa.int64()), pa.array([s for *_, s in rows], pa.int64())], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([q for q, *_ in rows], pa.int32()), pa.array([int(own[q]) for q, *_ in rows], pa.int64()), pa.array([v for _, v, _ in rows], pa.int64()), pa.array([s for *_, s in rows], pa.int64())],
+            ["query", "query_id", "vec_id", "score"],
+        )
 
-    kept = vectors.mapInArrow(keep, "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kept = vectors.mapInArrow(keep, "query int, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
