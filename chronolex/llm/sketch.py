@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WORDS, FRACTION, FLOOR = 5, 1 / 8, 64
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
-BUCKET_BYTES, BUCKETS_AT_MOST = 16 << 20, 1 << 16
+BUCKET_BYTES, BUCKETS_A_TASK, BUCKETS_AT_MOST = 2 << 20, 8, 1 << 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,8 +43,8 @@ def _kept(hashes: Column, fraction: float, floor: int) -> Column:
     """Sorted distinct hashes below the fraction, or the `floor` least if these are more."""
 
     def chosen(below: Column) -> Column:
-        least = lambda: F.slice(F.array_sort(F.array_distinct(hashes)), 1, floor)
-        return F.when(F.size(below) >= floor, F.array_sort(below)).otherwise(least())
+        least = lambda: F.slice(F.sort_array(F.array_distinct(hashes)), 1, floor)
+        return F.when(F.size(below) >= floor, F.sort_array(below)).otherwise(least())
 
     return let(F.array_distinct(F.filter(hashes, lambda x: x < _limit(fraction))), chosen)
 
@@ -87,8 +87,8 @@ def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = BUCKET_BY
 
     The order is cut into ranges of about equal numbers of rows, by id and, within an id (or
     null) that fills several ranges, by the hash; each range is one window partition, which
-    also gets the first row of the next range. So the texts are shuffled once, to as many
-    tasks as there are ranges, and no task holds the whole order. Only rows equal in id and
+    also gets the first row of the next range. So the texts are shuffled once, some ranges to
+    each task, and no task holds the whole order. Only rows equal in id and
     text cannot be parted.
     """
     spark = docs.sparkSession
@@ -123,7 +123,7 @@ def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = BUCKET_BY
     dealt = keyed.join(F.broadcast(edge), "_bucket").select(*docs.columns, h, F.inline(F.when(is_first, F.array(stays, copied)).otherwise(F.array(stays))))
     w = Window.partitionBy(to).orderBy(copy, F.asc_nulls_first("doc_id"), h, "text")
     nexts = [F.lead(c).over(w).alias(f"next_{c}") for c in columns]
-    return dealt.repartition(max(1, len(firsts)), to).select(*docs.columns, copy, *nexts).where(~F.col(copy)).drop(copy)
+    return dealt.repartition(max(1, -(-len(firsts) // BUCKETS_A_TASK)), to).select(*docs.columns, copy, *nexts).where(~F.col(copy)).drop(copy)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:

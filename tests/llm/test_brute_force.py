@@ -428,7 +428,7 @@ def test_next_over_many_ranges(spark, sf, which):
     assert sorted(((r.doc_id, r.text, r.next_text) for r in got.collect()), key=key) == sorted(((*a, b[1]) for a, b in zip(rows, rows[1:] + rows[:1], strict=True)), key=key)
     if which == "hot":
         sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-        assert max(sizes) < 200
+        assert max(sizes) < 400
 
 
 def shingles_of(text):
@@ -466,7 +466,12 @@ def test_sketches_estimate_containment_and_merge(spark):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in rng.integers(0, 10**6, 20_000)]
     rows = [(" ".join(words), " ".join(words[5000:7000])), ("a b c", "a b c"), ("", ""), ("", "x y z"), (" ".join(words[:50]), " ".join(words[30:90])), (" ".join(words[:300]), " ".join(words[200:280]))]
-    whole = F.array_union(*(F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i, w=w: F.xxhash64(*(F.xxhash64(F.get(w, i + k)) for k in range(5)))) for w in (F.split("big", " "), F.split("small", " "))))
+
+    def hashes(name):
+        words = F.split(name, " ")
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*(F.xxhash64(F.get(words, i + k)) for k in range(5))))
+
+    whole = F.array_union(hashes("big"), hashes("small"))
     frame = spark.createDataFrame(rows, "big string, small string")
     two = frame.select(sketch.sketch(F.col("big")).alias("b"), sketch.sketch(F.col("small")).alias("s"), F.when(F.size(F.split("big", " ")) > 4, sketch._kept(whole, sketch.FRACTION, sketch.FLOOR)).alias("both"))
     r = two.select(sketch.containment(F.col("s"), F.col("b")).alias("in"), sketch.containment(F.col("b"), F.col("s")).alias("out"), (sketch.merged(F.col("b"), F.col("s")) == F.col("b")).alias("m"), (sketch.merged(F.col("b"), F.col("s")) == F.col("both")).alias("same")).collect()
