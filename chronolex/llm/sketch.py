@@ -73,8 +73,9 @@ def merged(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR)
 
 def containment(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
     """Estimated share of a's shingles that b has, from a's hashes up to both horizons; 0.0 where a has none of these."""
-    upto = F.least(horizon(a, fraction, floor), horizon(b, fraction, floor))
-    share = let(F.filter(a, lambda x: x <= upto), lambda known: F.when(F.size(known) == 0, 0.0).otherwise(F.size(F.array_intersect(known, b)) / F.size(known)))
+    least = F.least(horizon(a, fraction, floor), horizon(b, fraction, floor))
+    known = let(least, lambda upto: F.filter(a, lambda x: x <= upto))
+    share = let(known, lambda k: F.when(F.size(k) == 0, 0.0).otherwise(F.size(F.array_intersect(k, b)) / F.size(k)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
 
 
