@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WORDS, FRACTION, FLOOR = 5, 1 / 8, 64
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
-BUCKET_BYTES, BUCKETS_A_TASK, BUCKETS_AT_MOST = 2 << 20, 8, 1 << 16
+BUCKET_BYTES, BUCKETS_A_TASK, BUCKETS_AT_MOST = 2 << 20, 4, 1 << 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
