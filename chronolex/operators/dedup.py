@@ -1,14 +1,23 @@
 """Near-duplicate documents by vocabulary overlap and longest common subsequence.
 
-All pairs whose vocabularies overlap by half are found exactly with prefix filtering:
-words are ordered rarest first; two documents that share half of the larger one's words
-share at least `shared` of them within their prefixes. Equal documents are collapsed to
-one representative first, so a group of copies costs one document.
+All pairs whose vocabularies overlap by half are found exactly. Words are ordered rarest
+first; of two documents that share half of the larger one's words, the prefixes hold some
+common words. Documents meet by (prefix word, size class): sizes within a
+factor of two are of one class or of neighbours. A word that very many documents have in
+their prefixes is cut into blocks that meet two by two. A meeting pair is dropped at once,
+within the join, unless it could still overlap by half: by the words' places in the
+prefixes, and by the differing bits of two signatures of 1,024 bits (each such bit is a
+word that only one of them has). Only what is left is verified on the whole vocabularies.
+The meetings of a word grow with the square of its documents, at some tens of
+nanoseconds each; no exact method is free of this where words do not become rarer.
+
+Equal documents are collapsed to one representative first, so a group of copies costs one
+document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import with_lcs
@@ -35,37 +44,87 @@ def size_gate(a: Column, b: Column) -> Column:
     return F.floor(F.abs(a - b) / F.least(a, b)) <= 0.5
 
 
-def overlaps(left: DataFrame, right: DataFrame | None = None, shared: int = 6) -> DataFrame:
-    """(a, b, overlap): pairs whose common words are at least half of the larger vocabulary. Within one set a < b.
+#: Documents of one word and size class that meet in one block.
+BLOCK = 1000
+#: Common prefix words that a pair needs (or all that half demands); prefixes are as much longer.
+SHARED = 8
+SIGNATURE = 16
 
-    Candidates share `shared` words (or all that half demands) within prefixes as much longer.
-    """
+
+def signature(words: Column) -> list[Column]:
+    """64-bit parts of a set's signature: each bit is the parity of the hashes that fall on it."""
+
+    def part(k: int) -> Column:
+        own = F.filter(words, lambda h: F.pmod(h, F.lit(SIGNATURE)) == k)
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 4).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
+
+    return [part(k).alias(f"s{k}") for k in range(SIGNATURE)]
+
+
+def ranked_sets(left: DataFrame, right: DataFrame | None = None) -> list[DataFrame]:
+    """For each side (idx, n, set, s0, s1, ...): its documents' distinct word hashes, rarest first over both sides, their number and signature."""
 
     def vocabulary(d: DataFrame) -> DataFrame:
-        return d.select("idx", F.explode(F.array_distinct("words")).alias("w"))
+        return d.select("idx", F.explode(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("w"))
 
+    sides = [left] if right is None else [left, right]
     both = vocabulary(left) if right is None else vocabulary(left).unionByName(vocabulary(right))
     frequency = both.groupBy("w").agg(F.count("*").alias("df"))
 
     def ranked(d: DataFrame) -> DataFrame:
-        rare = F.sort_array(F.collect_list(F.struct("df", F.xxhash64("w").alias("w"))))
-        sets = vocabulary(d).join(frequency, "w").groupBy("idx").agg(rare.alias("r"))
-        return stored(sets.select("idx", F.size("r").alias("n"), F.transform("r", lambda x: x["w"]).alias("set")), "vocabulary")
+        sets = vocabulary(d).join(frequency, "w").groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"))
+        sets = sets.select("idx", F.size("r").alias("n"), F.transform("r", lambda x: x["w"]).alias("set"))
+        return stored(sets.select("*", *signature(F.col("set"))), "vocabulary")
+
+    return [ranked(d) for d in sides]
+
+
+def meetings(sets: list[DataFrame], block: int = BLOCK) -> DataFrame:
+    """(a, b, an, bn, ap, bp, and signatures of both): pairs that share a prefix word, at the words' places, without
+    any filter but the size classes. Within one set each pair is met in one direction, the smaller document first."""
+    one = len(sets) == 1
 
     def prefixes(d: DataFrame) -> DataFrame:
-        length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + shared)
-        return d.select("idx", "n", F.explode(F.slice("set", F.lit(1), length)).alias("w"))
-
-    a = ranked(left)
-    b = a if right is None else ranked(right)
-    x = prefixes(a).toDF("a", "an", "w")
-    y = prefixes(b).toDF("b", "bn", "w")
-    fits = (F.least("an", "bn") * 2 >= F.greatest("an", "bn")) & ((F.col("a") < F.col("b")) if right is None else F.lit(True))
+        length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + SHARED)
+        size = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int").alias("size")
+        return d.select("idx", "n", size, *(f"s{k}" for k in range(SIGNATURE)), F.posexplode(F.slice("set", F.lit(1), length)).alias("p", "w"))
+
+    x, y = prefixes(sets[0]), prefixes(sets[-1])
+    # The first side goes to its own size class, the second to all classes its partners may have.
+    x = x.withColumn("class", F.col("size"))
+    y = y.withColumn("class", F.explode(F.array(F.col("size"), F.col("size") - 1) if one else F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    hot = stored(y.groupBy("w", "class").agg(F.count("*").alias("m")).where(F.col("m") > block).select("w", "class", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "hot-words")
+    if hot.isEmpty():
+        x, y = (d.withColumn("cell", F.lit(0)) for d in (x, y))
+    else:
+        # The second side is cut into blocks; every row of the first meets each of them.
+        x, y = (d.join(hot, ["w", "class"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for d in (x, y))
+        x = x.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        y = y.withColumn("cell", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
+    named = [d.select("w", "class", "cell", F.col("idx").alias(i), F.col("n").alias(f"{i}n"), F.col("p").alias(f"{i}p"), *(F.col(f"s{k}").alias(f"{i}s{k}") for k in range(SIGNATURE))) for d, i in ((x, "a"), (y, "b"))]
+    met = named[0].join(named[1], ["w", "class", "cell"])
+    return met.where((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))) if one else met
+
+
+def possible() -> Column:
+    """Whether a meeting pair may still share half of the larger one's words."""
     need = F.ceil(F.greatest("an", "bn") / 2)
-    met = x.join(y, "w").where(fits).groupBy("a", "b", "an", "bn").agg(F.count("*").alias("m")).where(F.col("m") >= F.least(need, F.lit(shared)))
-    pairs = met.join(a.select(F.col("idx").alias("a"), F.col("set").alias("s")), "a").join(b.select(F.col("idx").alias("b"), F.col("set").alias("t")), "b")
-    share = F.size(F.array_intersect("s", "t")) / F.greatest("an", "bn")
-    return pairs.select("a", "b", share.alias("overlap")).where("overlap >= 0.5")
+    placed = F.least("ap", "bp") + 1 + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
+    differing = sum(F.bit_count(F.col(f"as{k}").bitwiseXOR(F.col(f"bs{k}"))) for k in range(SIGNATURE))
+    return (F.least("an", "bn") * 2 >= F.greatest("an", "bn")) & (placed >= need) & (F.col("an") + F.col("bn") - differing >= 2 * need)
+
+
+def overlaps(left: DataFrame, right: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, overlap): pairs whose common words are at least half of the larger vocabulary. Within one set a < b."""
+    sets = ranked_sets(left, right)
+    met = meetings(sets, block).where(possible()).groupBy("a", "b", F.greatest("an", "bn").alias("larger")).agg(F.count("*").alias("m"))
+    pairs = met.where(F.col("m") >= F.least(F.ceil(F.col("larger") / 2), F.lit(SHARED))).select("a", "b")
+    whole = [d.select(F.col("idx").alias(i), F.col("n").alias(f"{i}n"), F.col("set").alias(f"{i}set")) for d, i in ((sets[0], "a"), (sets[-1], "b"))]
+    checked = pairs.join(whole[0], "a").join(whole[1], "b")
+    share = F.size(F.array_intersect("aset", "bset")) / F.greatest("an", "bn")
+    found = checked.select("a", "b", share.alias("overlap")).where("overlap >= 0.5")
+    return found if right is not None else found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
@@ -82,8 +141,9 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
 
 def title_edges(docs: DataFrame) -> DataFrame:
     """(a, b): each document with the first of its title's; a chain, not all pairs."""
-    titled = docs.where("title <> ''")
-    return titled.withColumn("a", F.min("idx").over(Window.partitionBy("title"))).where("a < idx").select("a", F.col("idx").alias("b"))
+    titled = docs.where("title <> ''").select("idx", "title")
+    first = titled.groupBy("title").agg(F.min("idx").alias("a"))
+    return titled.join(first, "title").where("a < idx").select("a", F.col("idx").alias("b"))
 
 
 def barrel_compare(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -98,7 +158,7 @@ def sample_unique(docs: DataFrame, n: int, seed: int = 0xDEADBEEF) -> DataFrame:
     be kept, unless that one falls to another; so the choice works on those groups'
     links through their word sequences and titles, not on all pairs within a group.
     """
-    order = F.xxhash64("idx", F.lit(seed))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("idx").cast("string")))
     keyed = stored(docs.select("idx", "title", F.sha2(F.array_join("words", " "), 256).alias("key"), order.alias("priority")), "sample-keys")
     first = keyed.groupBy("key").agg(F.min(F.struct("priority", "idx")).alias("f")).select("f.idx")
     reps = docs.join(first, "idx", "left_semi")
@@ -107,10 +167,10 @@ def sample_unique(docs: DataFrame, n: int, seed: int = 0xDEADBEEF) -> DataFrame:
     left, kept = keyed, []
     while True:
         # Ready: first of its word sequence and title, and before all its undecided neighbours.
-        heads = left.withColumn("k", F.min(F.struct("priority", "idx")).over(Window.partitionBy("key")))
+        group = left.groupBy("key").agg(F.min(F.struct("priority", "idx")).alias("g"))
+        heads = left.join(group.withColumnRenamed("g", "k"), "key")
         titles = left.where("title <> ''").groupBy("title").agg(F.min(F.struct("priority", "idx")).alias("t"))
         ready = heads.join(titles, "title", "left").where((F.col("k.idx") == F.col("idx")) & (F.col("t").isNull() | (F.col("t.idx") == F.col("idx"))))
-        group = left.groupBy("key").agg(F.min(F.struct("priority", "idx")).alias("g"))
         node = keyed.join(first, "idx").select("idx", "key")
         near_keys = links.join(node.select(F.col("idx").alias("a"), F.col("key").alias("ka")), "a").join(node.select(F.col("idx").alias("b"), F.col("key").alias("kb")), "b").select("ka", "kb")
         neighbours = near_keys.join(group.select(F.col("key").alias("kb"), "g"), "kb").groupBy("ka").agg(F.min("g").alias("before"))

@@ -58,7 +58,8 @@ def test_pairs_barrels_and_sample(spark):
     assert {(r.a, r.b) for r in dedup.similar_pairs(reps).collect()} == want
     got = {r.idx for r in dedup.barrel_compare(docs.where("idx % 2 = 0"), docs.where("idx % 2 = 1")).collect()}
     assert got == {b for b in words if b % 2 and any(similar(words[a], words[b]) for a in words if a % 2 == 0)}
-    order = [r.idx for r in docs.orderBy(F.xxhash64("idx", F.lit(0xDEADBEEF)), "idx").collect()]
+    order = [r.idx for r in docs.orderBy(F.md5(F.concat(F.lit(f"{0xDEADBEEF}:"), F.col("idx").cast("string"))), "idx").collect()]
+    assert {tuple(r) for r in dedup.overlaps(reps, block=3).collect()} == {tuple(r) for r in dedup.overlaps(reps).collect()}
     kept = []
     for i in order:
         if not any(similar(words[i], words[j]) or (titles[i] and titles[i] == titles[j]) for j in kept):
