@@ -33,10 +33,11 @@ def documents(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one document of each group of equal word sequences, (idx, rep) of all)."""
-    keyed = docs.withColumn("key", F.sha2(F.array_join("words", " "), 256))
+    keyed = stored(docs.withColumn("key", F.sha2(F.array_join("words", " "), 256)), "words")
     first = keyed.groupBy("key").agg(F.min("idx").alias("rep"))
     members = keyed.select("idx", "key").join(first, "key").select("idx", "rep")
-    return docs.join(first.select(F.col("rep").alias("idx")), "idx", "left_semi"), members
+    reps = keyed.select(*docs.columns).join(first.select(F.col("rep").alias("idx")), "idx", "left_semi")
+    return stored(reps, "representatives"), members
 
 
 def size_gate(a: Column, b: Column) -> Column:
@@ -129,6 +130,8 @@ def overlaps(left: DataFrame, right: DataFrame | None = None, block: int = BLOCK
 
 def similar_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """(a, b) of near-duplicates: size gate, then overlap above .85, or the common subsequence above .5 of the shorter."""
+    left = stored(left.select("idx", "words"), "words")
+    right = None if right is None else stored(right.select("idx", "words"), "words")
     found = overlaps(left, right)
     other = left if right is None else right
     sizes = lambda d, n, m: d.select(F.col("idx").alias(n), F.size("words").alias(m))
