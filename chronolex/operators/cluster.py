@@ -8,11 +8,14 @@ the first pass is a free assignment and one order statistic, both distributed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import dot
 from ..plans.storage import stored
+from .index import ranked
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -21,10 +24,11 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(1.0 - F.try_divide(dot(a, b), norm))
 
 
-def nearest(vec: Column, centres: list[list[float]]) -> Column:
-    """Index of the nearest centre, the lower one if tied."""
-    choices = [F.struct(distance(vec, F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]
-    return (F.least(*choices) if len(choices) > 1 else choices[0])["cluster"]
+def nearest(vec: Column, centres: list[list[float]], among: list[int] | None = None) -> Column:
+    """Index of the nearest centre, the lower one if tied, of all or of some."""
+    chosen = range(len(centres)) if among is None else among
+    table = F.from_json(F.lit(json.dumps([{"i": i, "c": centres[i]} for i in chosen])), "array<struct<i:int,c:array<double>>>")
+    return F.array_min(F.transform(table, lambda x: F.struct(distance(vec, x["c"]).alias("d"), x["i"].alias("cluster"))))["cluster"]
 
 
 def centroids(assigned: DataFrame, k: int) -> list[list[float]]:
@@ -46,19 +50,42 @@ def seeds(rows: DataFrame, n: int, k: int, block: int = 1) -> list[list[float]]:
 
 
 def k_means(rows: DataFrame, k: int, balanced: bool = False, block: int = 1, chunk: int = 1 << 16) -> DataFrame:
-    """(row_idx, cluster) for rows (row_idx 0..n-1, vec). balanced=True: only clusters below n/k may grow in the first pass, row by row on one task."""
-    rows = stored(rows.select("row_idx", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "vectors")
-    n = rows.count()
+    """(row_idx, cluster) for (row_idx, vec), the rows taken in the order of row_idx. balanced=True: only clusters below n/k may grow in the first pass.
+
+    A row_idx that is null or repeated, a vector that is null, holds nulls or differs in
+    length, and k of n or more raise an error. An empty table gives no rows.
+    """
+    plain = rows.select(F.col("row_idx").cast("long").alias("row_idx"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    plain = stored(plain, "vectors")
+    bad = F.col("row_idx").isNull() | F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull())
+    seen = plain.agg(F.count("*").alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"), F.count_distinct("row_idx").alias("ids"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    n = seen["n"]
+    if not n:
+        return plain.select("row_idx", F.lit(0).alias("cluster"))
+    if seen["bad"] or seen["ids"] < n or seen["least"] != seen["most"]:
+        raise ValueError("rows need distinct row_idx and vectors of one length without nulls")
     if not k < n:
         raise ValueError("k must be below the number of rows")
-    start = seeds(rows, n, k, block)
-    if balanced:
-        first = _balanced(rows, start, n // k)
-    else:
-        free = stored(rows.select("row_idx", "vec", nearest(F.col("vec"), start).alias("cluster")), "free")
-        over = _first_over(free, n // k, chunk)
-        first = free if over is None else free.withColumn("cluster", F.when(F.col("row_idx") > over[0], over[1]).otherwise(F.col("cluster")))
-    return rows.select("row_idx", nearest(F.col("vec"), centroids(first, k)).alias("cluster"))
+    places, _ = ranked(plain, "row_idx")
+    numbered = stored(plain.withColumnRenamed("row_idx", "id").join(places.withColumnRenamed("row_idx", "id"), "id").select("id", F.col("at").alias("row_idx"), "vec"), "numbered")
+    start = seeds(numbered, n, k, block)
+    first = _first_pass(numbered, start, n // k, balanced, chunk)
+    return numbered.select(F.col("id").alias("row_idx"), nearest(F.col("vec"), centroids(first, k)).alias("cluster"))
+
+
+def _first_pass(rows: DataFrame, start: list[list[float]], size: int, balanced: bool, chunk: int) -> DataFrame:
+    """Rows with the cluster they join, one after the other: as a free choice up to the row with which a cluster's size
+    closes others (or itself, if balanced), and so on from there; each round is distributed."""
+    open_ = list(range(len(start)))
+    assigned = stored(rows.select("row_idx", "vec", nearest(F.col("vec"), start).alias("cluster")), "free")
+    if not balanced:
+        over = _first_over(assigned, size, chunk)
+        return assigned if over is None else assigned.withColumn("cluster", F.when(F.col("row_idx") > over[0], over[1]).otherwise(F.col("cluster")))
+    while open_ and (full := _first_over(assigned.where(F.col("cluster").isin(open_)), size - 1, chunk)):
+        open_.remove(full[1])
+        again = nearest(F.col("vec"), start, open_ or None)
+        assigned = stored(assigned.withColumn("cluster", F.when(F.col("row_idx") > full[0], again).otherwise(F.col("cluster"))), "free")
+    return assigned
 
 
 def _first_over(free: DataFrame, size: int, chunk: int) -> tuple[int, int] | None:
@@ -71,27 +98,3 @@ def _first_over(free: DataFrame, size: int, chunk: int) -> tuple[int, int] | Non
     number = F.row_number().over(Window.partitionBy("cluster").orderBy("row_idx")) + F.col("upto") - F.col("n")
     hit = inside.withColumn("number", number).where(F.col("number") == size + 1).orderBy("row_idx").select("row_idx", "cluster").first()
     return (hit["row_idx"], hit["cluster"]) if hit else None
-
-
-def _balanced(rows: DataFrame, centres: list[list[float]], size: int) -> DataFrame:
-    """The intended gate needs every earlier decision: one task reads the rows in order, holding k counters only."""
-    import numpy as np
-    import pandas as pd
-
-    c = np.array(centres)
-
-    def run(batches):
-        sizes = np.zeros(len(c), int)
-        for pdf in batches:
-            out = []
-            for v in pdf["vec"]:
-                v = np.asarray(v)
-                norm = np.linalg.norm(c, axis=1) * np.linalg.norm(v)
-                d = np.where(norm == 0, 0.0, 1 - c @ v / np.where(norm == 0, 1, norm))
-                if (sizes < size).any():
-                    d = np.where(sizes < size, d, np.inf)
-                out.append(int(d.argmin()))
-                sizes[out[-1]] += 1
-            yield pd.DataFrame({"row_idx": pdf["row_idx"], "vec": pdf["vec"], "cluster": out})
-
-    return rows.coalesce(1).sortWithinPartitions("row_idx").mapInPandas(run, "row_idx long, vec array<double>, cluster int")

@@ -33,7 +33,7 @@ def date_lists(lists: DataFrame, out: str, first: int = 1820, last: int = 1920)
 
 def sample_list(lines: DataFrame, n: int, seed: int = 13, column: str = "path") -> DataFrame:
     """n lines in a seeded hash order."""
-    return lines.orderBy(F.xxhash64(column, F.lit(seed)), column).limit(n)
+    return lines.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column))), column).limit(n)
 
 
 def shard(lines: DataFrame, node: int, nodes: int) -> DataFrame:

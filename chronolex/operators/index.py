@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.storage import stored
 
+# Names of an index folder's parts, and the order in which they are preferred.
 PARTS = ("corpus", "names", "lengths", "postings", "postings.porter", "counts", "date-counts")
 PREFERRED = ("counts+15", "postings", "postings.porter")
 
 
+def ranked(rows: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """((column, at), length): the place of each distinct value in ascending order, null first, and their number. A stored, distributed count."""
+    values = rows.select(column).distinct().repartitionByRange(column).select(column, F.spark_partition_id().alias("part"))
+    values = stored(values, "axis")
+    starts, length = [], 0
+    for part, n in sorted((r["part"], r["count"]) for r in values.groupBy("part").count().collect()):
+        starts.append((part, length))
+        length += n
+    first = rows.sparkSession.createDataFrame(starts, "part int, start long")  # a row for each partition
+    place = (F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1 + F.col("start")).alias("at")
+    return values.join(F.broadcast(first), "part").select(column, place), length
+
+
 def terms(docs: DataFrame, words: Column | None = None) -> DataFrame:
     """(term, doc_id, position) of every word."""
     return docs.select("doc_id", F.posexplode(tokens(F.col("text")) if words is None else words).alias("position", "term"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -19,7 +19,8 @@ METHODS = ("cosine", "cos-diff", "squared", "js-reference", "js-standard", "eart
 
 def frequent(curves: DataFrame, least: int) -> DataFrame:
     """Curves of terms whose total is at least `least`."""
-    return curves.join(curves.groupBy("term").agg(F.sum("tf").alias("t")).where(F.col("t") >= least).select("term"), "term")
+    whole = curves.groupBy("term").agg(F.sum("tf").alias("t"), F.collect_list(F.struct("year", "tf")).alias("years")).where(F.col("t") >= least)
+    return whole.select("term", F.inline("years"))
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -43,20 +44,25 @@ def scored(curves: DataFrame, query: str | list[int], method: str, band: int = 1
         constant = F.array(*(F.lit(x).cast("long") for x in q))
         return dense(others).select("term", kernels.earth_mover(constant, F.col("curve")).alias("score"))
     spark = curves.sparkSession
-    total = sum(q)
+    total = float(sum(q))
     mine = F.broadcast(spark.createDataFrame([(FIRST_YEAR + i, x) for i, x in enumerate(q) if x], "year int, q long"))
+    met, tf, share = F.col("q").isNotNull(), F.col("tf"), F.col("q") / total
+    joined = others.join(mine, "year", "left")
     if method.startswith("js"):
-        totals = others.groupBy("term").agg(F.sum("tf").alias("total"))
-        p, x = F.col("q") / float(total), F.col("tf") / F.col("total")
-        m = p + x / 2 if method == "js-reference" else (p + x) / 2
-        rows = others.join(mine, "year").join(totals, "term").select("term", p.alias("p"), x.alias("x"), (p * F.ln(p / m) + x * F.ln(x / m)).alias("d"))
-        sums = rows.groupBy("term").agg(F.sum("d").alias("d"), F.sum("p").alias("p"), F.sum("x").alias("x"))
-        full = totals.join(sums, "term", "left").select("term", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("d", "p", "x")))
+        # With x = tf / t and m = p + x/2 or (p + x)/2, all terms follow from sums over the term's years, once t is known;
+        # the years are kept as a list of at most as many entries as the query has.
+        sums = joined.groupBy("term").agg(F.sum("tf").alias("t"), F.collect_list(F.when(met, F.struct(share.alias("p"), tf.alias("tf")))).alias("both"))
+
+        def part(s: Column, e: Column) -> Column:
+            p, x = e["p"], e["tf"] / F.col("t")
+            m = p + x / 2 if method == "js-reference" else (p + x) / 2
+            return F.struct((s["d"] + p * F.ln(p / m) + x * F.ln(x / m)).alias("d"), (s["p"] + p).alias("p"), (s["x"] + x).alias("x"))
+
+        zero = F.struct(*(F.lit(0.0).alias(c) for c in "dpx"))
+        full = sums.select("term", F.aggregate("both", zero, part).alias("s")).select("term", "s.*")
         lone = (1 - F.col("x")) if method == "js-reference" else (1 - F.col("x")) + (1 - F.col("p"))
         return full.select("term", (1 - 0.5 * (F.col("d") + lone * F.ln(F.lit(2.0)))).alias("score"))
-    norms = others.groupBy("term").agg(F.sum(F.col("tf") * F.col("tf")).alias("n"))
-    dots = others.join(mine, "year").groupBy("term").agg(F.sum(F.col("tf") * F.col("q")).alias("dot"))
-    full = norms.join(dots, "term", "left").select("term", "n", F.coalesce("dot", F.lit(0)).alias("dot"))
+    full = joined.groupBy("term").agg(F.sum(tf * tf).alias("n"), F.sum(tf * F.coalesce("q", F.lit(0))).alias("dot"))
     own = sum(x * x for x in q)
     if method == "squared":
         d = F.col("n") + own - 2 * F.col("dot")
@@ -122,16 +128,8 @@ def with_pair_dtw(pairs: DataFrame, band: int = 10) -> DataFrame:
 
 def on_document_axis(docs: DataFrame, terms: list[str] | None = None) -> tuple[DataFrame, int]:
     """(term, at, tf), `at` being the place of a document's id among all distinct ids, and the number of these. Null counts as an id, the first."""
-    ids = docs.select("doc_id").distinct().repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part"))
-    ids = stored(ids, "document-axis")
-    sizes = sorted((r["part"], r["count"]) for r in ids.groupBy("part").count().collect())
-    starts, length = [], 0
-    for part, n in sizes:
-        starts.append((part, length))
-        length += n
-    first = docs.sparkSession.createDataFrame(starts, "part int, start long")
-    place = (F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1 + F.col("start")).alias("at")
-    axis = ids.join(F.broadcast(first), "part").select(F.col("doc_id").alias("id"), place)
+    places, length = index.ranked(docs, "doc_id")
+    axis = places.withColumnRenamed("doc_id", "id")
     placed = docs.join(axis, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("at").alias("doc_id"), "text")
     counts = index.counts(placed).select("term", F.col("doc_id").alias("at"), "tf")
     return (counts if terms is None else counts.where(F.col("term").isin(terms))), length

@@ -45,10 +45,11 @@ def part_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus C: (term, curve) of event types over the 30 days."""
-    days = table(spark, sf_dir, "events").select(F.col("event_type").alias("term"), F.dayofmonth("ts").alias("day")).groupBy("term", "day").agg(F.count("*").alias("n"))
+    """Corpus C: (term, curve) of event types over all days from the first to the last."""
+    days = table(spark, sf_dir, "events").where("ts is not null").select(F.col("event_type").alias("term"), F.to_date("ts").alias("day")).groupBy("term", "day").agg(F.count("*").alias("n"))
+    first, last = days.agg(F.min("day"), F.max("day")).first()
     maps = days.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("m"))
-    return maps.select("term", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0).cast("long"))).alias("curve"))
+    return maps.select("term", F.transform(F.sequence(F.lit(first), F.lit(last)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0).cast("long"))).alias("curve"))
 
 
 # --- index ---------------------------------------------------------------------------
@@ -108,7 +109,7 @@ def curve_dense(s, d):
 
 
 def curves_csv(s, d):
-    return temporal.curves_csv(curves(s, d), ["the", "of", "die"]).select("Document", F.col("1820"), F.col("1919"))
+    return temporal.curves_csv(curves(s, d), ["the", "of", "die"])
 
 
 def year_prob(s, d):
@@ -309,7 +310,8 @@ CUR = f"{TOK}, cur AS (SELECT term, year, count(*) AS tf FROM tok GROUP BY ALL)"
 FREQ = f"{CUR}, freq AS (SELECT cur.* FROM cur JOIN (SELECT term FROM cur GROUP BY term HAVING sum(tf) >= {LEAST}) USING (term)), q AS (SELECT year, tf AS q FROM freq WHERE term = '{QUERY}'), oth AS (SELECT * FROM freq WHERE term <> '{QUERY}')"
 RANK = "ranked AS (SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, term) AS INTEGER) AS rank, term, round(score, 6) AS score FROM scored) SELECT * FROM ranked WHERE rank <= "
 SPARSE = f"WITH {FREQ}, nd AS (SELECT term, CAST(sum(tf * tf) AS BIGINT) AS n, CAST(sum(tf * coalesce(q, 0)) AS BIGINT) AS dot FROM oth LEFT JOIN q USING (year) GROUP BY term), own AS (SELECT CAST(sum(q * q) AS BIGINT) AS o FROM q)"
-DAYS = "days AS (SELECT t.term, d.day, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type AS term FROM events) t CROSS JOIN (SELECT unnest(range(1, 31)) AS day) d LEFT JOIN (SELECT event_type AS term, dayofmonth(ts) AS day, count(*) AS n FROM events GROUP BY ALL) USING (term, day))"
+DAYS = "e AS (SELECT event_type AS term, CAST(ts AS DATE) AS day FROM events WHERE ts IS NOT NULL), days AS (SELECT t.term, d.day, coalesce(n, 0) AS n FROM (SELECT DISTINCT term FROM e) t CROSS JOIN (SELECT CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM e) d LEFT JOIN (SELECT term, day, count(*) AS n FROM e GROUP BY ALL) USING (term, day))"
+CSV_YEARS = ", ".join(f'CAST(coalesce(sum(tf) FILTER (year = {y}), 0) AS BIGINT) AS "{y}"' for y in range(1820, 1920))
 META = """meta AS (SELECT doc_id, lang,
     CASE doc_id % 6 WHEN 0 THEN CAST(1790 + doc_id % 160 AS VARCHAR) WHEN 1 THEN '[c' || CAST(1790 + doc_id % 160 AS VARCHAR) || ']' WHEN 2 THEN CAST(1790 + doc_id % 160 AS VARCHAR) || '-51' WHEN 3 THEN 'n.d.' END AS year,
     CASE WHEN doc_id % 4 < 3 THEN CAST(1800 + doc_id % 140 AS VARCHAR) END AS date FROM documents), dig AS (SELECT *, regexp_replace(year, '[^0-9]', '', 'g') AS yd, regexp_replace(date, '[^0-9]', '', 'g') AS dd FROM meta),
@@ -336,7 +338,7 @@ ORACLE_SQL = {
     "hits_by_year": f"WITH {POST} SELECT CAST(1820 + doc_id % 100 AS INTEGER) AS year, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE term = '{QUERY}' GROUP BY 1",
     "docs_of_year": "SELECT doc_id, CAST(1850 AS INTEGER) AS year FROM documents WHERE doc_id % 100 = 30",
     "curve_dense": f"WITH {FREQ} SELECT term, string_agg(CAST(coalesce(tf, 0) AS VARCHAR), ',' ORDER BY y) AS curve FROM (SELECT DISTINCT term FROM freq) t CROSS JOIN (SELECT CAST(unnest(range(1820, 1920)) AS INTEGER) AS y) LEFT JOIN freq ON freq.term = t.term AND freq.year = y GROUP BY t.term".replace("SELECT term, string_agg", "SELECT t.term AS term, string_agg"),
-    "curves_csv": f'WITH {CUR} SELECT term AS "Document", CAST(coalesce(sum(tf) FILTER (year = 1820), 0) AS BIGINT) AS "1820", CAST(coalesce(sum(tf) FILTER (year = 1919), 0) AS BIGINT) AS "1919" FROM cur WHERE term IN (\'the\', \'of\', \'die\') GROUP BY term',
+    "curves_csv": f"WITH {CUR} SELECT term AS \"Document\", {CSV_YEARS} FROM cur WHERE term IN ('the', 'of', 'die') GROUP BY term",
     "year_prob": f"WITH {CUR} SELECT term, year, round(tf / sum(tf) OVER (PARTITION BY year), 9) AS p FROM cur",
     "step_function_scatter": "WITH y AS (SELECT doc_id, CAST(1820 + doc_id % 100 AS INTEGER) AS year FROM documents), n AS (SELECT year, CASE WHEN year >= 1870 THEN 150 ELSE 0 END // count(*) AS tf FROM y GROUP BY year) SELECT doc_id, year, CAST(tf AS BIGINT) AS tf FROM y JOIN n USING (year) WHERE tf > 0",
     "similar_cosine": f"{SPARSE}, scored AS (SELECT term, dot / (sqrt(o::DOUBLE) * sqrt(n::DOUBLE)) AS score FROM nd, own), {RANK}{K}",
@@ -357,12 +359,13 @@ ORACLE_SQL = {
     "txt_exact": f"WITH {CUR} SELECT * FROM cur WHERE term IN ('the', 'une', 'nosuchword')",
     "txt_matching": f"WITH {CUR} SELECT cur.*, CAST(o AS INTEGER) AS ord FROM cur JOIN (VALUES (0, 'ingthe'), (1, 'the')) v(o, s) ON contains(term, s)",
     "moving_average": f"WITH {DAYS}, m AS (SELECT term, day, sum(n) OVER w AS s, count(*) OVER w AS c FROM days WINDOW w AS (PARTITION BY term ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT term, string_agg(CAST(CAST(s AS BIGINT) // 5 AS VARCHAR), ',' ORDER BY day) AS averages FROM m WHERE c = 5 GROUP BY term",
-    "curve_summary_stats": f"WITH {DAYS}, l AS (SELECT term, list(n ORDER BY day) AS c, list(n ORDER BY n) AS o FROM days GROUP BY term) SELECT term, CAST(list_sum(c) AS BIGINT) AS total, round(list_sum(c) / 30, 6) AS mean, round(list_var_pop(c), 6) AS variance, CAST((o[15] + o[16]) // 2 AS BIGINT) AS median, list_max(c) AS most, list_min(c) AS least, CAST(list_position(c, list_max(c)) AS INTEGER) AS most_at, CAST(list_position(c, list_min(c)) AS INTEGER) AS least_at FROM l",
+    "curve_summary_stats": f"WITH {DAYS}, l AS (SELECT term, list(n ORDER BY day) AS c, list(n ORDER BY n) AS o FROM days GROUP BY term) SELECT term, CAST(list_sum(c) AS BIGINT) AS total, round(list_sum(c) / len(c), 6) AS mean, round(list_var_pop(c), 6) AS variance, CAST((o[(len(o) + 1) // 2] + o[len(o) // 2 + 1]) // 2 AS BIGINT) AS median, list_max(c) AS most, list_min(c) AS least, CAST(list_position(c, list_max(c)) AS INTEGER) AS most_at, CAST(list_position(c, list_min(c)) AS INTEGER) AS least_at FROM l",
     "token_filter": "WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS w FROM documents) SELECT lower(w) AS term, count(*) AS n FROM w WHERE regexp_full_match(w, '[A-Za-z]{2,}|[0-9]{2}|[0-9]{4}') AND lower(w) NOT IN ('the', 'of', 'and') GROUP BY 1",
     "token_normaliser": r"WITH w AS (SELECT regexp_replace(lower(unnest(regexp_split_to_array(html, '[ \n]'))), '[^\p{L}\p{Nd}]', '', 'g') AS term FROM pages) SELECT term, count(*) AS n FROM w WHERE regexp_full_match(term, '[a-z0-9]+') GROUP BY 1",
     "year_resolver_retrieval": f"WITH {META}, r AS (SELECT doc_id, TRY_CAST(coalesce(yd, dd) AS INTEGER) AS resolved FROM dig) SELECT * FROM r WHERE resolved BETWEEN 1820 AND 1919",
     "year_resolver_census": f"WITH {META} SELECT doc_id, resolved FROM four WHERE resolved IS NOT NULL",
     "census_counters": f"WITH {META}, b AS (SELECT *, doc_id % 8 <> 3 AS ex, CASE WHEN doc_id % 9 = 2 THEN ' ' WHEN lang = 'en' THEN ' English' ELSE lang END AS language FROM four) SELECT count(*) AS books, count(*) FILTER (NOT ex) AS nonexistent, count(*) FILTER (ex AND doc_id % 10 = 1) AS bad_metadata, count(*) FILTER (ex AND (language IS NULL OR trim(language) = '')) AS no_language, count(*) FILTER (ex AND trim(language) <> '' AND NOT starts_with(trim(lower(language)), 'eng')) AS non_english, count(*) FILTER (ex AND resolved IS NULL) AS no_date FROM b",
+    "sample_list": "SELECT url FROM pages ORDER BY md5(concat_ws(':', '13', url)), url LIMIT 20",
     "shard_lines": "SELECT page_id AS ord, url FROM pages WHERE page_id % 3 = 1",
     "dup_members": f"WITH {WORDS} SELECT idx, rep FROM k",
     "dup_titles": f"WITH {WORDS}, t AS (SELECT idx, min(idx) OVER (PARTITION BY title) AS a FROM d WHERE title <> '') SELECT a, idx AS b FROM t WHERE a < idx",

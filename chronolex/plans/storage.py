@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once below spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
+    """Write `df` once below spark.checkpoint.dir and read it back. A temporary folder serves only where that is unset and the master is local."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="chronolex-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, value): text lines (gz and bz2 by suffix) with their order within the files by name."""
     raw = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
-    counts = raw.groupBy("file").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1
-    return raw.withColumn("at", within).join(F.broadcast(before.select("file", "before")), "file").select((F.col("before") + F.col("at")).alias("ord"), "value")
+    # Ids rise within a task's part of a file: a line's number is its place in the part, after the parts and files before.
+    part = F.shiftright("id", 33).alias("part")
+    counts = raw.groupBy("file", part).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    keyed = raw.withColumn("part", part).join(F.broadcast(before.select("file", "part", "first", "before")), ["file", "part"])
+    return keyed.select((F.col("before") + F.col("id") - F.col("first")).alias("ord"), "value")
 
 
 def line_range(numbered: DataFrame, start: int, count: int) -> DataFrame:
@@ -51,7 +53,7 @@ def word_counts(values: DataFrame) -> DataFrame:
 def count_table(numbered: DataFrame) -> DataFrame:
     """(term, counts) of lines `word c0 c1 ...`; of a repeated word the last line holds."""
     f = numbered.select("ord", F.split("value", " ").alias("f"))
-    rows = f.select("ord", F.col("f")[0].alias("term"), F.transform(F.slice("f", 2, 1 << 20), lambda x: x.cast("double")).alias("counts"))
+    rows = f.select("ord", F.col("f")[0].alias("term"), F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: x.cast("double")).alias("counts"))
     return rows.groupBy("term").agg(F.max_by("counts", "ord").alias("counts"))
 
 

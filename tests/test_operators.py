@@ -68,14 +68,14 @@ def test_pairs_barrels_and_sample(spark):
     assert {r.idx for r in dedup.sample_unique(docs, 7).collect()} == set(kept[:7])
 
 
-def plain_kmeans(rows, k):
+def plain_kmeans(rows, k, balanced=False):
     def distance(a, b):
         norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
         return 1 - sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm else 0.0
 
     centres, sizes, first = [rows[i * (len(rows) // k)] for i in range(k)], [0] * k, []
     for r in rows:
-        over = [c for c in range(k) if sizes[c] > len(rows) // k] or range(k)
+        over = [c for c in range(k) if (sizes[c] < len(rows) // k if balanced else sizes[c] > len(rows) // k)] or range(k)
         first.append(min(over, key=lambda c: (distance(r, centres[c]), c)))
         sizes[first[-1]] += 1
     sums = [[sum(x) for x in zip(*[r for r, c in zip(rows, first, strict=True) if c == j], strict=True)] or [0] * len(rows[0]) for j in range(k)]
@@ -88,7 +88,13 @@ def test_two_pass_k_means(spark):
     rows = [[(i * 7 + j * j) % 11 + 1 for j in range(4)] for i in range(90)]
     frame = spark.createDataFrame(list(enumerate(rows)), "row_idx long, vec array<int>")
     assert [r.cluster for r in cluster.k_means(frame, 4, chunk=16).orderBy("row_idx").collect()] == plain_kmeans(rows, 4)
-    assert cluster.k_means(frame, 4, balanced=True).count() == 90
+    assert [r.cluster for r in cluster.k_means(frame, 4, balanced=True, chunk=16).orderBy("row_idx").collect()] == plain_kmeans(rows, 4, True)
+    gaps = frame.selectExpr("row_idx * 3 - 50 as row_idx", "vec")
+    assert [r.cluster for r in cluster.k_means(gaps, 4).orderBy("row_idx").collect()] == plain_kmeans(rows, 4)
+    assert cluster.k_means(frame.limit(0), 4).count() == 0
+    for bad in (frame.union(frame.limit(1)), frame.selectExpr("row_idx", "if(row_idx = 3, null, vec) as vec"), frame.selectExpr("row_idx", "if(row_idx = 3, array(1), vec) as vec")):
+        with pytest.raises(ValueError, match="one length"):
+            cluster.k_means(bad, 4)
     with pytest.raises(ValueError):
         cluster.k_means(frame, 90)
 
