@@ -42,7 +42,7 @@ ORDER, BASE = 4, np.uint64(0x9E3779B97F4A7C15 | 1)
 DOCUMENTS_PER_LANGUAGE, SAMPLED_PER_LANGUAGE, LANGUAGES_AT_MOST = 400, 2000, 1000
 FALSE_REJECTS = 0.001
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-PIECE, CELLS = 1 << 18, 1 << 21
+PIECE, CELLS = 1 << 16, 1 << 20
 SPACE = np.uint32(32)
 
 _alphabet: list[np.ndarray] = []
