@@ -22,7 +22,7 @@ would move the totals off their targets.
 
 Cases: null and empty texts have no words and no effect on totals; their rate follows
 their posterior. Without labels every rate is 1. A domain with target but no labelled
-document raises. Repeated rows count each; an empty table gives no rows. Columns of the
+document is left out with a warning; if none is left, an error is raised. Repeated rows count each; an empty table gives no rows. Columns of the
 table stay as they are; a result whose name is taken gets an underscore behind its name.
 """
 
@@ -147,6 +147,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
     p = [F.col(quoted(n)) for n in names[1:]]
     steps: list[np.ndarray] = []
     if model:
+        known = {d: w for d, w in targets.items() if d in classes and w > 0}
+        if len(known) < sum(w > 0 for w in targets.values()) and known:
+            warnings.warn(f"no labelled document of {sorted(set(targets) - set(known))}: these targets are left out", stacklevel=2)
+            targets = known
         fit = solve(soft.select(F.col(quoted(names[0])).alias("n"), *(c.alias(f"p{i}") for i, c in enumerate(p))), classes, targets, total)
         steps = fit.steps
         if fit.gap > 0.001:

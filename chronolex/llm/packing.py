@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .tokens import encoder
+from .tokens import CACHE_ENTRIES, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -79,11 +79,11 @@ def best_two_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[in
         templates.append((sorted(chosen, reverse=True), times))
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, slice_bytes: int = 1 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, slice_bytes: int = 1 << 20, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, cache_entries), np.array([end_id], "<u4").tobytes()
         for part in slices(batches, "text", slice_bytes):
             rows = []
             for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
@@ -160,6 +160,6 @@ def place(items: DataFrame, capacity: int, rows_per_part: int = 4_000) -> DataFr
     return numbered.mapInArrow(slots, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Tokenise, cut and pack documents; a row for each piece."""
-    return place(stored(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Tokenise, cut and pack documents; a row for each piece. `cache_entries` words are kept in each of a worker's two caches."""
+    return place(stored(pieces(docs, tokenizer_path, capacity, end_id, cache_entries=cache_entries), "pieces"), capacity)

@@ -108,11 +108,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+CACHE_ENTRIES = 400_000
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
+    """One encoder for each worker process, vocabulary file and cache size."""
+    if (path, cache_entries) not in _encoders:
+        _encoders[path, cache_entries] = Encoder(path, cache_entries)
+    return _encoders[path, cache_entries]
