@@ -1,5 +1,8 @@
 """All registered queries of the temporal text engine, by name."""
 
-from .plans.queries import ORACLE_SQL, QUERIES
+from .plans import queries, recursive_sql
+
+QUERIES = queries.QUERIES
+ORACLE_SQL = {**queries.ORACLE_SQL, **recursive_sql.ORACLE_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
