@@ -7,7 +7,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import index, similarity, temporal
+from .functions import text
+from .operators import corpus, dedup, index, similarity, temporal, textindex
+from .sources import lists
 
 
 def _curves(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,16 +61,116 @@ def similar_quantized(spark: SparkSession, folder: str, term: str, years: str, k
     return similarity.quantized(_curves(spark, folder), term.lower(), int(years), int(k)).orderBy("start", "rank")
 
 
-TASKS = {f.__name__.replace("_", "-"): f for f in (inspect, build_index_part, concat_postings, postings_to_counts, make_date_counts, output_doc_csv, comparison, similar_quantized)}
+def barrel_cmp(spark: SparkSession, a: str, b: str) -> DataFrame:
+    """A B: documents of barrel B that are similar to any of barrel A"""
+    return dedup.barrel_compare(*(lists.read_barrels(spark, p).withColumn("title", F.lit("")) for p in (a, b)))
+
+
+def sample_book_list(spark: SparkSession, docs: str, n: str, out: str) -> DataFrame:
+    """DOCS N OUT: N documents with words and title, none a near-duplicate of another; OUT/dedup lists them, OUT/barrel holds their words"""
+    table = spark.read.parquet(docs)
+    admitted = dedup.documents(table, "title" if "title" in table.columns else None, titled=True)
+    dedup.sample_unique(admitted, int(n)).write.mode("overwrite").parquet(f"{out}/dedup")
+    chosen = spark.read.parquet(f"{out}/dedup")
+    lists.write_barrel(admitted.join(F.broadcast(chosen) if int(n) <= 1_000_000 else chosen, "idx", "left_semi"), f"{out}/barrel")
+    return chosen
+
+
+def count_books(spark: SparkSession, books: str, mode: str = "", node: str = "1", nodes: str = "1") -> DataFrame:
+    """BOOKS [swarm NODE NODES]: counters over a Parquet table (id, identifier, language, year, date, exists), or over a worker's part (from 1)"""
+    table = spark.read.parquet(books)
+    if mode == "swarm":
+        if not 1 <= int(node) <= int(nodes):
+            raise ValueError("NODE is 1 to NODES")
+        table = table.where(F.pmod(F.xxhash64("id"), F.lit(int(nodes))) == int(node) - 1)
+    elif mode:
+        raise ValueError(f"unknown mode {mode}")
+    return corpus.census(table)
+
+
+def count_books_by_date(spark: SparkSession, out: str, listed: str) -> DataFrame:
+    """OUT LIST: a list below OUT for each year of the lines (id path year); gives the books of each year"""
+    dated = lists.id_path_years(spark.read.text(listed))
+    corpus.date_lists(dated, out)
+    return dated.groupBy("year").agg(F.count("*").alias("books")).orderBy("year")
+
+
+def eval_word_pairs(spark: SparkSession, folder: str, pairs: str) -> DataFrame:
+    """FOLDER PAIRS: eight scores of each line (word word human), over years and over documents"""
+    return similarity.word_pairs_on_both_axes(spark.read.parquet(f"{folder}/corpus"), _curves(spark, folder), lists.word_pairs(spark.read.text(pairs)))
+
+
+def take_from_list(spark: SparkSession, listed: str, n: str) -> DataFrame:
+    """LIST N: N lines in a seeded random order"""
+    return corpus.sample_list(spark.read.text(listed), int(n), column="value")
+
+
+def filter_words(spark: SparkSession, texts: str, worker: str, workers: str) -> DataFrame:
+    """TEXTS WORKER WORKERS: words of a worker's lines (from 0) that pass the filter, with their counts"""
+    mine = corpus.shard(lists.lines(spark, texts), int(worker), int(workers))
+    words = mine.select(F.explode(F.split("value", " ")).alias("word"))
+    return text.filter_words(words, "word").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def create_txt_postings(spark: SparkSession, out: str, threshold: str, *counts: str) -> DataFrame:
+    """OUT THRESHOLD COUNTS COUNTS...: an index of the words whose count is above THRESHOLD in any of the files of lines (count word), one for each slot"""
+    if len(counts) < 2:
+        raise ValueError("two count files at least")
+    slots = [lists.word_counts(spark.read.text(c)).select(F.col("word").alias("term"), F.lit(text.FIRST_YEAR + i).alias("year"), F.col("cnt").alias("tf")) for i, c in enumerate(counts)]
+    textindex.create(index.concat(slots), int(threshold)).repartitionByRange("term").sortWithinPartitions("term", "year").write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
+def txt_find_similar(spark: SparkSession, folder: str, method: str, k: str, term: str) -> DataFrame:
+    """INDEX cos|cos-diff K TERM: the K words ranked by likeness to TERM, or by the lack of it"""
+    return textindex.find_similar(spark.read.parquet(folder), term, method, int(k)).orderBy("rank")
+
+
+def txt_plot_exact(spark: SparkSession, folder: str, *terms: str) -> DataFrame:
+    """INDEX TERM...: a row of counts for each of the words"""
+    return temporal.curves_csv(spark.read.parquet(folder), [t.lower() for t in terms])
+
+
+def txt_plot_matching(spark: SparkSession, folder: str, *parts: str) -> DataFrame:
+    """INDEX PART...: the counts of all words that contain one of the parts"""
+    return textindex.matching(spark.read.parquet(folder), list(parts)).orderBy("ord", "term", "year")
+
+
+def similar_terms_cli(spark: SparkSession, folder: str, *terms: str) -> DataFrame:
+    """FOLDER TERM...: the dated documents of each term, by year"""
+    counts, docs = (spark.read.parquet(f"{folder}/{p}") for p in ("counts", "corpus"))
+    hits = [temporal.date_search(counts, docs, t).withColumn("term", F.lit(t.lower())) for t in terms]
+    return index.concat(hits).orderBy("term", "year", "doc_id")
+
+
+def term_plot_gui(spark: SparkSession, folder: str, term: str, k: str = "20") -> DataFrame:
+    """FOLDER TERM [K]: the curve of TERM and of the K terms closest to it over the documents, without a window"""
+    return similarity.panel(spark.read.parquet(f"{folder}/corpus"), _curves(spark, folder), term.lower(), int(k)).orderBy("rank")
+
+
+TASKS = {
+    f.__name__.replace("_", "-"): f
+    for f in (
+        inspect, build_index_part, concat_postings, postings_to_counts, make_date_counts, output_doc_csv, comparison, similar_quantized, barrel_cmp, sample_book_list, count_books,
+        count_books_by_date, eval_word_pairs, take_from_list, filter_words, create_txt_postings, txt_find_similar, txt_plot_exact, txt_plot_matching, similar_terms_cli, term_plot_gui,
+    )
+}
 
 
 def main(arguments: list[str], rows: int = 100) -> int:
-    """Runs a task and prints up to `rows` rows of its result; 2 without a known task."""
+    """Runs a task: writes its whole result as CSV to the folder after --to, or else prints the first `rows` rows; 2 without a known task."""
+    folder = None
+    if len(arguments) > 1 and arguments[0] == "--to":
+        folder, arguments = arguments[1], arguments[2:]
     if not arguments or arguments[0] not in TASKS:
-        print(*([f"unknown task {arguments[0]}"] if arguments else []), "tasks:", *(f"  {name} {f.__doc__}" for name, f in TASKS.items()), sep="\n", file=sys.stderr)
+        print(*([f"unknown task {arguments[0]}"] if arguments else []), "[--to FOLDER] TASK ARGUMENT..., tasks:", *(f"  {name} {f.__doc__}" for name, f in TASKS.items()), sep="\n", file=sys.stderr)
         return 2
-    spark = SparkSession.builder.getOrCreate()
-    TASKS[arguments[0]](spark, *arguments[1:]).show(rows, truncate=False)
+    found = TASKS[arguments[0]](SparkSession.builder.getOrCreate(), *arguments[1:])
+    if folder is None:
+        found.show(rows, truncate=False)
+    else:
+        arrays = [c for c, t in found.dtypes if t.startswith("array")]
+        lists.write_csv(found.select(*(F.array_join(c, ",").alias(c) if c in arrays else F.col(c) for c in found.columns)), folder)
     return 0
 
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST_YEAR, YEARS = 1820, 100
 
+# The short English stop list that Apache Lucene publishes.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these",
+    "they", "this", "to", "was", "will", "with",
+)
+
 
 def tokens(text: Column) -> Column:
     """ASCII words of a text, lower-case, in order: array<string>."""
@@ -24,6 +32,12 @@ def filtered(word: Column) -> Column:
     return F.when(word.rlike("^([A-Za-z]{2,}|[0-9]{2}|[0-9]{4})$"), F.lower(word))
 
 
+def filter_words(words: DataFrame, column: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(term) of every word that passes `filtered` and is no stop word."""
+    listed = words.sparkSession.createDataFrame([(w.lower(),) for w in stop], "term string")
+    return words.select(filtered(F.col(column)).alias("term")).where("term is not null").join(F.broadcast(listed), "term", "left_anti")
+
+
 def clean_query(query: Column) -> Column:
     """Without characters that are neither letters, digits nor white space; case stays."""
     return F.regexp_replace(query, r"[^\p{L}\p{Nd}\s]", "")

@@ -25,10 +25,12 @@ from ..functions.text import tokens
 from ..plans.storage import stored
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """(idx, title, words): ordered words; documents without words are left out."""
-    title = F.trim(F.lower(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))))
-    return docs.select(F.col("doc_id").alias("idx"), title.alias("title"), tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+def documents(docs: DataFrame, title_column: str | None = None, titled: bool = False) -> DataFrame:
+    """(idx, title, words): ordered words; the title is the first line or a column. Documents without words, and with titled=True those without a title, are left out."""
+    given = F.col(title_column) if title_column else F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    title = F.trim(F.lower(given))
+    admitted = docs.select(F.col("doc_id").alias("idx"), title.alias("title"), tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+    return admitted.where("title <> ''") if titled else admitted
 
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -160,6 +160,16 @@ def word_pairs_by_document(points: DataFrame, length: int, pairs: DataFrame, ban
     return pairs.join(scores, ["w1", "w2"])
 
 
+def word_pairs_on_both_axes(docs: DataFrame, curves: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Eight scores of each (w1, w2): of `word_pairs` over the years and, as document_squared etc., over all documents (doc_id, text); null where a word is missing."""
+    keys, names = ["w1", "w2"], ["squared", "cosine", "js", "dtw"]
+    words = [w for w in {r[k] for r in pairs.select(*keys).collect() for k in keys} if w is not None]  # the words of the given pairs
+    points, length = on_document_axis(docs, words)
+    documents = word_pairs_by_document(points, length, pairs.select(*keys)).select(*keys, *(F.col(n).alias(f"document_{n}") for n in names))
+    years = word_pairs(curves, pairs.select(*keys)).select(*keys, *names)
+    return pairs.join(years.distinct(), keys, "left").join(documents.distinct(), keys, "left")
+
+
 def _pair_warp(cells: DataFrame, length: int, band: int, part: int) -> DataFrame:
     """(w1, w2, dtw): each part of the axis gives the least costs from every place of the band to every other, which then are joined in order."""
     import numpy as np
@@ -267,3 +277,12 @@ def similar_by_document(points: DataFrame, length: int, query: str, k: int = 20,
     if kth["n"] == k:
         rest = rest.where(F.col("least") <= -kth["score"])
     return best(known.unionByName(costs(stored(rest.select("term"), "further-terms"), "further-scores")), k)
+
+
+def panel(docs: DataFrame, curves: DataFrame, query: str, k: int = 20) -> DataFrame:
+    """(rank, term, score, curve): the query's yearly curve (rank 0), then those of its k closest terms by warping over the document axis."""
+    points, length = on_document_axis(docs)
+    top = similar_by_document(points, length, query, k)
+    found = dense(curves.join(F.broadcast(top.select("term")), "term")).join(F.broadcast(top), "term")
+    own = docs.sparkSession.createDataFrame([(0, query, None, ",".join(map(str, curve_of(curves, query))))], "rank int, term string, score double, curve string")
+    return own.unionByName(found.select("rank", "term", "score", F.array_join("curve", ",").alias("curve")))

@@ -154,11 +154,7 @@ def word_pair_scores_by_document(s, d):
 
 def search_panel(s, d):
     """The query's curve (rank 0), then those of its 20 closest terms by warping over the document axis."""
-    points, length = similarity.on_document_axis(docs(s, d))
-    top = similarity.similar_by_document(points, length, QUERY, 20)
-    found = temporal.dense(curves(s, d).join(F.broadcast(top.select("term")), "term")).join(F.broadcast(top), "term")
-    own = s.createDataFrame([(0, QUERY, None, ",".join(map(str, temporal.curve_of(curves(s, d), QUERY))))], "rank int, term string, score double, curve string")
-    return own.unionByName(found.select("rank", "term", "score", F.array_join("curve", ",").alias("curve")))
+    return similarity.panel(docs(s, d), curves(s, d), QUERY, 20)
 
 
 # --- text index ----------------------------------------------------------------------
@@ -193,9 +189,7 @@ def curve_summary_stats(s, d):
 
 def token_filter(s, d):
     words = table(s, d, "documents").select(F.explode(F.split("text", "[ \n]")).alias("w"))
-    kept = words.select(text.filtered(F.col("w")).alias("term")).where("term is not null")
-    stop = s.createDataFrame([(w,) for w in ("the", "of", "and")], "term string")
-    return kept.join(F.broadcast(stop), "term", "left_anti").groupBy("term").agg(F.count("*").alias("n"))
+    return text.filter_words(words, "w").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def token_normaliser(s, d):
@@ -360,7 +354,7 @@ ORACLE_SQL = {
     "txt_matching": f"WITH {CUR} SELECT cur.*, CAST(o AS INTEGER) AS ord FROM cur JOIN (VALUES (0, 'ingthe'), (1, 'the')) v(o, s) ON contains(term, s)",
     "moving_average": f"WITH {DAYS}, m AS (SELECT term, day, sum(n) OVER w AS s, count(*) OVER w AS c FROM days WINDOW w AS (PARTITION BY term ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT term, string_agg(CAST(CAST(s AS BIGINT) // 5 AS VARCHAR), ',' ORDER BY day) AS averages FROM m WHERE c = 5 GROUP BY term",
     "curve_summary_stats": f"WITH {DAYS}, l AS (SELECT term, list(n ORDER BY day) AS c, list(n ORDER BY n) AS o FROM days GROUP BY term) SELECT term, CAST(list_sum(c) AS BIGINT) AS total, round(list_sum(c) / len(c), 6) AS mean, round(list_var_pop(c), 6) AS variance, CAST((o[(len(o) + 1) // 2] + o[len(o) // 2 + 1]) // 2 AS BIGINT) AS median, list_max(c) AS most, list_min(c) AS least, CAST(list_position(c, list_max(c)) AS INTEGER) AS most_at, CAST(list_position(c, list_min(c)) AS INTEGER) AS least_at FROM l",
-    "token_filter": "WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS w FROM documents) SELECT lower(w) AS term, count(*) AS n FROM w WHERE regexp_full_match(w, '[A-Za-z]{2,}|[0-9]{2}|[0-9]{4}') AND lower(w) NOT IN ('the', 'of', 'and') GROUP BY 1",
+    "token_filter": f"WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS w FROM documents) SELECT lower(w) AS term, count(*) AS n FROM w WHERE regexp_full_match(w, '[A-Za-z]{{2,}}|[0-9]{{2}}|[0-9]{{4}}') AND lower(w) NOT IN {text.STOP_WORDS} GROUP BY 1",
     "token_normaliser": r"WITH w AS (SELECT regexp_replace(lower(unnest(regexp_split_to_array(html, '[ \n]'))), '[^\p{L}\p{Nd}]', '', 'g') AS term FROM pages) SELECT term, count(*) AS n FROM w WHERE regexp_full_match(term, '[a-z0-9]+') GROUP BY 1",
     "year_resolver_retrieval": f"WITH {META}, r AS (SELECT doc_id, TRY_CAST(coalesce(yd, dd) AS INTEGER) AS resolved FROM dig) SELECT * FROM r WHERE resolved BETWEEN 1820 AND 1919",
     "year_resolver_census": f"WITH {META} SELECT doc_id, resolved FROM four WHERE resolved IS NOT NULL",

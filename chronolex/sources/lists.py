@@ -7,6 +7,8 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import string_hash
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, value): text lines (gz and bz2 by suffix) with their order within the files by name."""
@@ -91,13 +93,22 @@ def parse_barrel(raw: bytes) -> list[tuple[int, list[int]]]:
     return out
 
 
+def write_barrel(docs: DataFrame, path: str) -> None:
+    """(idx, words) as a Parquet barrel: words become their hashes as text, as `read_barrels` gives them. `string_hash` is that of ASCII words."""
+    docs.select("idx", F.transform("words", lambda w: string_hash(w).cast("string")).alias("words")).write.mode("overwrite").parquet(path)
+
+
 def read_barrels(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, words) of legacy barrel files; words are their hashes as text."""
+    """(idx, words) of legacy barrel files (plain or gzipped; names with .barrel) or of a Parquet barrel; words are their hashes as text."""
+    if ".barrel" not in path.rsplit("/", 1)[-1]:
+        return spark.read.parquet(path).select("idx", "words")
+    import gzip
+
     import pandas as pd
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, [str(x) for x in h]) for raw in pdf["content"] for i, h in parse_barrel(bytes(raw))]
+            rows = [(i, [str(x) for x in h]) for raw in pdf["content"] for i, h in parse_barrel(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else bytes(raw))]
             yield pd.DataFrame(rows, columns=["idx", "words"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "idx long, words array<string>")
