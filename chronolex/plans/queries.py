@@ -152,6 +152,13 @@ def word_pair_scores_by_document(s, d):
     return scores.select("w1", "w2", *(F.round(c, 6).alias(c) for c in ("squared", "cosine", "js", "dtw")))
 
 
+def word_pair_scores_on_both_axes(s, d):
+    """The eight scores of each pair."""
+    pairs = s.createDataFrame([("the", "of"), ("of", "and")], "w1 string, w2 string")
+    scores = similarity.word_pairs_on_both_axes(docs(s, d), curves(s, d), pairs)
+    return scores.select("w1", "w2", *(F.round(c, 6).alias(c) for c in scores.columns[2:]))
+
+
 def search_panel(s, d):
     """The query's curve (rank 0), then those of its 20 closest terms by warping over the document axis."""
     return similarity.panel(docs(s, d), curves(s, d), QUERY, 20)
@@ -289,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         postings_counts, term_totals_having, doc_lengths, vocab_stats, positions_postings, concat_postings, stemmed_postings, term_year_curve, dated_search_topk, hits_by_year,
-        docs_of_year, curve_dense, curves_csv, year_prob, step_function_scatter, similar_dtw_parts, quantized_topk, word_pair_scores, word_pair_scores_by_document, search_panel,
+        docs_of_year, curve_dense, curves_csv, year_prob, step_function_scatter, similar_dtw_parts, quantized_topk, word_pair_scores, word_pair_scores_by_document, word_pair_scores_on_both_axes, search_panel,
         txt_create_threshold, txt_exact, txt_matching, txt_find_different, moving_average, curve_summary_stats, token_filter, token_normaliser, year_resolver_retrieval,
         year_resolver_census, census_counters, sample_list, shard_lines, dup_overlap_pairs, dup_members, dup_pairs_full, dup_titles, barrel_compare, unique_sample, kmeans_two_pass, parse_tags,
     )

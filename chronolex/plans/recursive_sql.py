@@ -86,3 +86,5 @@ ORACLE_SQL = {
         last AS (SELECT vec_id, i, sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(c, c)) AS norm, list_dot_product(x, c) AS dot FROM v, centre)
         SELECT vec_id AS row_idx, arg_min(i, (CASE WHEN norm = 0 THEN 0 ELSE 1 - dot / norm END, i)) AS cluster FROM last GROUP BY vec_id""",
 }
+ORACLE_SQL["word_pair_scores_on_both_axes"] = f"""SELECT * FROM ({ORACLE_SQL["word_pair_scores"]}) y
+    JOIN (SELECT w1, w2, squared AS document_squared, cosine AS document_cosine, js AS document_js, dtw AS document_dtw FROM ({ORACLE_SQL["word_pair_scores_by_document"]})) d USING (w1, w2)"""
