@@ -13,6 +13,10 @@ from .temporal import curve_of, dense
 
 #: Places of the document axis that one task warps at a time.
 PART = 4096
+#: Neighbouring parts whose costs one group joins.
+FOLD = 256
+#: Terms up to which a list of them is broadcast (a term and a long each).
+BROADCAST_TERMS = 500_000
 
 METHODS = ("cosine", "cos-diff", "squared", "js-reference", "js-standard", "earth-mover", "dtw")
 
@@ -89,15 +93,17 @@ def quantized(curves: DataFrame, query: str, size: int = 10, k: int = 5, drop_la
     mine = spark.createDataFrame(rows, "block int, year int, q long")
     blocks = mine.groupBy("block").agg(F.sum("q").alias("query_weight"), F.sum(F.col("q") * F.col("q")).alias("own"))
     place = F.floor((F.col("year") - first) / size).cast("int")
-    inside = curves.where((F.col("year") >= first) & (place < years // size) & ((F.col("year") - first) % size < width))
-    others = inside.where(F.col("term") != query).withColumn("block", place).join(F.broadcast(mine.select("year", "q")), "year", "left")
-    sums = others.groupBy("term", "block").agg(F.sum(F.col("tf") * F.coalesce("q", F.lit(0))).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("n"))
-    scored_ = sums.join(F.broadcast(blocks), "block").where("n > 0").withColumn("score", F.col("dot") / (F.sqrt(F.col("own").cast("double")) * F.sqrt(F.col("n").cast("double"))))
+    inside = (F.col("year") >= first) & (place < years // size) & ((F.col("year") - first) % size < width)
+    others = curves.where(F.col("term") != query).withColumn("block", F.when(inside, place)).join(F.broadcast(mine.select("year", "q")), "year", "left")
+    sums = others.groupBy("term", "block").agg(F.sum(F.col("tf") * F.coalesce("q", F.lit(0))).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("n"), F.sum("tf").alias("t"))
+    # A term's blocks are few: its total, years outside of all blocks included, comes with their list.
+    whole = sums.groupBy("term").agg(F.sum("t").alias("candidate_total"), F.collect_list(F.struct("block", "dot", "n")).alias("blocks"))
+    scored_ = whole.select("term", "candidate_total", F.inline("blocks")).where("n > 0").join(F.broadcast(blocks), "block")
+    scored_ = scored_.withColumn("score", F.col("dot") / (F.sqrt(F.col("own").cast("double")) * F.sqrt(F.col("n").cast("double"))))
     w = Window.partitionBy("block").orderBy(F.desc(F.round("score", 9)), "term")
     top = scored_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    totals = curves.groupBy("term").agg(F.sum("tf").alias("candidate_total"))
     start = (F.lit(first) + F.col("block") * size).cast("int")
-    return totals.join(F.broadcast(top), "term").select(
+    return top.select(
         start.alias("start"), (start + size - 1).cast("int").alias("end"), "rank", "term", F.round("score", 6).alias("score"), "query_weight", "candidate_total"
     )
 
@@ -135,7 +141,7 @@ def on_document_axis(docs: DataFrame, terms: list[str] | None = None) -> tuple[D
     return (counts if terms is None else counts.where(F.col("term").isin(terms))), length
 
 
-def word_pairs_by_document(points: DataFrame, length: int, pairs: DataFrame, band: int = 10, part: int = PART) -> DataFrame:
+def word_pairs_by_document(points: DataFrame, length: int, pairs: DataFrame, band: int = 10, part: int = PART, fold: int = FOLD) -> DataFrame:
     """`word_pairs` over the document axis, from sparse (term, at, tf); pairs missing a curve give no row."""
     one = pairs.select("w1", "w2").distinct()
     sides = one.select("w1", "w2", F.posexplode(F.array("w1", "w2")).alias("side", "term"))
@@ -148,7 +154,7 @@ def word_pairs_by_document(points: DataFrame, length: int, pairs: DataFrame, ban
     middle = x + y / 2
     js = F.when(x > 0, x * F.ln(x / middle)).otherwise(0.0) + F.when(y > 0, y * F.ln(y / middle)).otherwise(0.0)
     divergence = cells.join(totals, ["w1", "w2"]).groupBy("w1", "w2").agg(F.sum(js).alias("js"))
-    whole = totals.join(divergence, ["w1", "w2"]).join(_pair_warp(cells, length, band, part), ["w1", "w2"])
+    whole = totals.join(divergence, ["w1", "w2"]).join(_pair_warp(cells, length, band, part, fold), ["w1", "w2"])
     scores = whole.select(
         "w1",
         "w2",
@@ -170,7 +176,7 @@ def word_pairs_on_both_axes(docs: DataFrame, curves: DataFrame, pairs: DataFrame
     return pairs.join(years.distinct(), keys, "left").join(documents.distinct(), keys, "left")
 
 
-def _pair_warp(cells: DataFrame, length: int, band: int, part: int) -> DataFrame:
+def _pair_warp(cells: DataFrame, length: int, band: int, part: int, fold: int) -> DataFrame:
     """(w1, w2, dtw): each part of the axis gives the least costs from every place of the band to every other, which then are joined in order."""
     import numpy as np
     import pyarrow as pa
@@ -195,80 +201,111 @@ def _pair_warp(cells: DataFrame, length: int, band: int, part: int) -> DataFrame
                 out.append(carry_warp(identity, rows, window, start, band).ravel().tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.float64()))], ["w1", "w2", "part", "costs"])
 
-    def joined(batches):
-        for batch in batches:
-            out = []
-            for found in batch.column(2).to_pylist():
-                costs = {f["part"]: np.array(f["costs"]).reshape(width, width) for f in found}
-                state = first_warp(1, band)
-                for number in range(-(-length // part)):
-                    n = min(part, length - number * part)
-                    if number in costs:
-                        state = (state.T + costs[number]).min(axis=0, keepdims=True)
-                    elif n > 2 * width:  # no costs: every place is reached from every other
-                        state = np.full_like(state, state.min())
-                    else:
-                        state = carry_warp(state, np.zeros((1, n)), np.zeros(n + 2 * band), number * part, band)
-                out.append(0.0 - float(state[0, band]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], ["w1", "w2", "dtw"])
+    carry_warp = kernels.carry_warp
+    return _join_costs(parts.mapInArrow(crossed, "w1 string, w2 string, part int, costs array<double>"), ["w1", "w2"], length, band, part, fold)
 
-    carry_warp, first_warp = kernels.carry_warp, kernels.first_warp
-    passed = parts.mapInArrow(crossed, "w1 string, w2 string, part int, costs array<double>")
-    return passed.groupBy("w1", "w2").agg(F.collect_list(F.struct("part", "costs")).alias("costs")).mapInArrow(joined, "w1 string, w2 string, dtw double")
 
+def _join_costs(costs: DataFrame, keys: list[str], length: int, band: int, part: int, fold: int = FOLD) -> DataFrame:
+    """(keys, dtw): the least costs of each key's parts (keys, part, costs) joined in order, `fold` at a time until one is left, so no group grows with the axis. A part without costs has no counts."""
+    import numpy as np
+    import pyarrow as pa
 
-def similar_by_document(points: DataFrame, length: int, query: str, k: int = 20, band: int = 10, terms_at_once: int = 16) -> DataFrame:
+    width, carry_warp = 2 * band + 1, kernels.carry_warp
+
+    def level(size: int, numbers: int):
+        def joined(batches):
+            for batch in batches:
+                out = []
+                for group, found in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True):
+                    known = {f["part"]: np.array(f["costs"]).reshape(width, width) for f in found}
+                    whole = np.where(np.eye(width) > 0, 0.0, np.inf)
+                    for number in range(group * fold, min(group * fold + fold, numbers)):
+                        n = min(size, length - number * size)
+                        if number in known:
+                            whole = (whole[:, :, None] + known[number]).min(axis=1)
+                        elif n > 2 * width:  # every place is reached from every other
+                            whole = np.repeat(whole.min(axis=1, keepdims=True), width, axis=1)
+                        else:
+                            whole = carry_warp(whole, np.zeros((1, n)), np.zeros(n + 2 * band), number * size, band)
+                    out.append(whole.ravel().tolist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "costs"])
+
+        return joined
+
+    kinds, size = costs.dtypes, part
+    while (numbers := -(-length // size)) > 1:
+        groups = costs.groupBy(*keys, F.floor(F.col("part") / fold).cast("int").alias("group")).agg(F.collect_list(F.struct("part", "costs")).alias("found"))
+        costs = groups.mapInArrow(level(size, numbers), ", ".join(f"{n} {t}" for n, t in kinds))
+        size *= fold
+    return costs.select(*keys, (0.0 - F.element_at("costs", band * width + band + 1)).alias("dtw"))
+
+
+def similar_by_document(points: DataFrame, length: int, query: str, k: int = 20, band: int = 10, part: int = PART, terms_at_once: int = 16, fold: int = FOLD) -> DataFrame:
     """(rank, term, score): the k terms, the query's own among them, whose document curves warp to the query's at least cost.
 
     Only terms whose least possible cost is beyond the k-th cost of some others are left
     out before warping: every place of the query must meet a count within the band, and
-    every count a place of the query.
+    every count a place of the query. A task warps some terms over one part of the axis.
     """
     import numpy as np
     import pyarrow as pa
 
     points = stored(points, "document-points")
-    own = points.where(F.col("term") == query).select("at", "tf").toArrow()
-    padded = np.zeros(length + 2 * band)
-    padded[own.column("at").to_numpy() + band] = own.column("tf").to_numpy()
-    shared = points.sparkSession.sparkContext.broadcast(padded)
+    spark, width = points.sparkSession, 2 * band + 1
+    own = points.where(F.col("term") == query).select("at", F.col("tf").alias("q"))
+    weight = own.agg(F.sum("q")).first()[0] or 0
+    near = own.select(F.explode(F.sequence(F.col("at") - band, F.col("at") + band)).alias("at"), "q").groupBy("at").agg(F.collect_list("q").alias("near"))
+    tf, none = F.col("tf"), F.lit(0).cast("long")
+    met = F.coalesce(F.aggregate("near", none, lambda s, q: s + F.least(q, tf)), none)
+    over = F.greatest(none, tf - F.coalesce(F.array_max("near"), none))
+    least = points.join(near, "at", "left").groupBy("term").agg(F.greatest(F.lit(weight) - F.sum(met), F.sum(over)).cast("double").alias("least"))
+    least = stored(least, "least-costs")
+    numbers = -(-length // part)
+    low, high = (F.floor(F.greatest(F.lit(0), F.least(F.lit(length - 1), F.col("at") + d)) / part).cast("int") for d in (-band, band))
+    windows = own.select(F.explode(F.sequence(low, high)).alias("part"), F.struct("at", "q").alias("c")).groupBy("part").agg(F.collect_list("c").alias("window"))
     carry_warp, first_warp = kernels.carry_warp, kernels.first_warp
 
-    def limits(batches):
-        for batch in batches:
-            near = np.lib.stride_tricks.sliding_window_view(shared.value, 2 * band + 1)
-            met, over = [np.zeros(0)], [np.zeros(0)]
-            for a in range(0, batch.num_rows, 4096):
-                at, tf = (batch.column(c).slice(a, 4096).to_numpy() for c in (1, 2))
-                q = near[at]
-                met.append(np.minimum(q, tf[:, None]).sum(axis=1))
-                over.append(np.maximum(0.0, tf - q.max(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(met)), pa.array(np.concatenate(over))], ["term", "met", "over"])
-
-    least = points.mapInArrow(limits, "term string, met double, over double").groupBy("term").agg(F.greatest(F.lit(float(padded.sum())) - F.sum("met"), F.sum("over")).alias("least"))
-    least = stored(least, "least-costs")
+    def warped(terms: int):
+        def run(batches):
+            for batch in batches:
+                out = []
+                for number, bucket, cells, window in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                    start, many = number * part, min(terms_at_once, terms - bucket * terms_at_once)
+                    n = min(part, length - start)
+                    rows, places = np.zeros((many, n)), np.zeros(n + 2 * band)
+                    if cells.is_valid:
+                        row, at, tf = (cells.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                        rows[row, at - start] = tf
+                    if window.is_valid:
+                        at, q = (window.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                        places[at - start + band] = q
+                    costs = np.full((many, width, width), np.inf)
+                    if number == 0:  # the axis begins at one place
+                        costs[:, band] = carry_warp(first_warp(many, band), rows, places, 0, band)
+                    else:
+                        costs[:, np.arange(width), np.arange(width)] = 0.0
+                        costs = carry_warp(costs.reshape(-1, width), np.repeat(rows, width, axis=0), places, start, band)
+                    costs = costs.reshape(many, -1).tolist()
+                    out += [(bucket * terms_at_once + i, number, c) for i, c in enumerate(costs)]
+                columns = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.float64())), strict=True)], ["number", "part", "costs"])
 
-    def warped(batches):
-        for batch in batches:
-            curves = [found.values for found in batch.column(1)]
-            curves = [tuple(v.field(i).to_numpy(zero_copy_only=False) for i in range(2)) for v in curves]
-            for first in range(0, len(curves), terms_at_once):
-                block = curves[first : first + terms_at_once]
-                state = first_warp(len(block), band)
-                for start in range(0, length, PART):
-                    n = min(PART, length - start)
-                    rows = np.zeros((len(block), n))
-                    for i, (at, tf) in enumerate(block):
-                        a, b = np.searchsorted(at, [start, start + n])
-                        rows[i, at[a:b] - start] = tf[a:b]
-                    state = carry_warp(state, rows, shared.value[start : start + n + 2 * band], start, band)
-                names = batch.column(0).slice(first, len(block))
-                yield pa.RecordBatch.from_arrays([names, pa.array(0.0 - state[:, band])], ["term", "score"])
+        return run
 
     def costs(chosen: DataFrame, label: str) -> DataFrame:
-        n = max(1, -(-chosen.count() // terms_at_once))
-        lists = points.join(chosen, "term").groupBy("term").agg(F.sort_array(F.collect_list(F.struct("at", "tf"))).alias("cells"))
-        return stored(lists.repartition(n).mapInArrow(warped, "term string, score double"), label)
+        places, terms = index.ranked(chosen, "term")
+        numbered = places.select("term", F.col("at").alias("number"))
+        side = F.broadcast(numbered) if terms <= BROADCAST_TERMS else numbered
+        buckets = -(-terms // terms_at_once)
+        tasks = max(1, -(-numbers * buckets // 64))  # a task's groups fit in memory, whatever the length of the axis
+        cells = points.join(side, "term").select(
+            F.floor(F.col("at") / part).cast("int").alias("part"), F.floor(F.col("number") / terms_at_once).cast("int").alias("bucket"), F.struct(F.pmod("number", F.lit(terms_at_once)).alias("row"), "at", "tf").alias("c")
+        )
+        cells = cells.repartition(tasks, "part", "bucket").groupBy("part", "bucket").agg(F.collect_list("c").alias("cells"))
+        each = spark.range(numbers * buckets).select(F.floor(F.col("id") / max(1, buckets)).cast("int").alias("part"), F.pmod("id", F.lit(max(1, buckets))).cast("int").alias("bucket"))
+        groups = each.join(windows, "part", "left").repartition(tasks, "part", "bucket").join(cells, ["part", "bucket"], "left").select("part", "bucket", "cells", "window")
+        found = _join_costs(groups.mapInArrow(warped(terms), "number long, part int, costs array<double>"), ["number"], length, band, part, fold)
+        return stored(found.join(side, "number").select("term", F.col("dtw").alias("score")), label)
 
     some = stored(least.orderBy("least", "term").limit(2 * k), "first-terms")
     known = costs(some.select("term"), "first-scores")

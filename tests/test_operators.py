@@ -145,6 +145,18 @@ def test_word_pairs_over_all_documents(spark):
         assert (r.squared, r.cosine, r.js, r.dtw) == pytest.approx(want, abs=2e-6)
 
 
+def test_word_pairs_with_long_gaps(spark):
+    """Parts, and groups of parts, without any count: at the start, within, and as a short rest at the end."""
+    cells = {"a": {70: 3, 71: 1, 260: 2, 409: 5}, "b": {75: 2, 258: 4, 300: 1, 399: 5}, "c": {5: 1}, "d": {400: 2}}
+    points = spark.createDataFrame([(w, i, n) for w, c in cells.items() for i, n in c.items()], "term string, at long, tf long")
+    pairs = [("a", "b"), ("b", "a"), ("c", "a"), ("a", "d"), ("d", "c")]
+    for length in (410, 420, 433):
+        dense = {w: np.array([float(c.get(i, 0)) for i in range(length)]) for w, c in cells.items()}
+        for part, fold in ((8, 2), (64, 3), (4096, 256)):
+            got = similarity.word_pairs_by_document(points, length, spark.createDataFrame(pairs, "w1 string, w2 string"), part=part, fold=fold)
+            assert {(r.w1, r.w2): r.dtw for r in got.select("w1", "w2", "dtw").collect()} == {(x, y): -dtw(dense[y], dense[x][None])[0] for x, y in pairs}
+
+
 def test_search_panel_warps_over_the_document_axis(spark):
     sf = "/root/testdata/sf0.001"
     plain = by_document(spark, sf)
@@ -154,6 +166,9 @@ def test_search_panel_warps_over_the_document_axis(spark):
     got = sorted(registry.QUERIES["search_panel"](spark, sf).collect(), key=lambda r: r["rank"])
     assert [(r["rank"], r.term, r.score) for r in got] == [(0, "the", None)] + [(i + 1, t, -cost[t]) for i, t in enumerate(want)]
     ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    points, length = similarity.on_document_axis(spark.read.parquet(f"{sf}/documents.parquet"))
+    small = similarity.similar_by_document(points, length, "the", part=16, terms_at_once=5, fold=3)  # more levels of parts
+    assert [(r["rank"], r.term, r.score) for r in small.orderBy("rank").collect()] == [(i + 1, t, -cost[t]) for i, t in enumerate(want)]
     for r in got:
         curve = [0] * 100
         for i, n in zip(ids, plain[r.term], strict=True):
