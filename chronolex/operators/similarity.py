@@ -91,14 +91,19 @@ def quantized(curves: DataFrame, query: str, size: int = 10, k: int = 5, drop_la
     if not rows:
         return spark.createDataFrame([], "start int, end int, rank int, term string, score double, query_weight long, candidate_total long")
     mine = spark.createDataFrame(rows, "block int, year int, q long")
-    blocks = mine.groupBy("block").agg(F.sum("q").alias("query_weight"), F.sum(F.col("q") * F.col("q")).alias("own"))
     place = F.floor((F.col("year") - first) / size).cast("int")
-    inside = (F.col("year") >= first) & (place < years // size) & ((F.col("year") - first) % size < width)
+    inside = (F.col("year") >= first) & ((F.col("year") - first) % size < width)
     others = curves.where(F.col("term") != query).withColumn("block", F.when(inside, place)).join(F.broadcast(mine.select("year", "q")), "year", "left")
-    sums = others.groupBy("term", "block").agg(F.sum(F.col("tf") * F.coalesce("q", F.lit(0))).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("n"), F.sum("tf").alias("t"))
-    # A term's blocks are few: its total, years outside of all blocks included, comes with their list.
-    whole = sums.groupBy("term").agg(F.sum("t").alias("candidate_total"), F.collect_list(F.struct("block", "dot", "n")).alias("blocks"))
-    scored_ = whole.select("term", "candidate_total", F.inline("blocks")).where("n > 0").join(F.broadcast(blocks), "block")
+    # All blocks' sums and the total, of which years outside of them are part, in one aggregation by term.
+    weights = {b: [x for c, _, x in rows if c == b] for b, _, _ in rows}
+    tf, q = F.col("tf"), F.coalesce("q", F.lit(0))
+    sums = [F.sum(F.when(F.col("block") == b, x)).alias(f"{n}{b}") for b in weights for n, x in (("n", tf * tf), ("dot", tf * q))]
+    whole = others.groupBy("term").agg(F.sum("tf").alias("candidate_total"), *sums)
+    each = [
+        F.struct(F.lit(b).alias("block"), F.lit(sum(w)).cast("long").alias("query_weight"), F.lit(sum(x * x for x in w)).cast("long").alias("own"), F.col(f"n{b}").alias("n"), F.col(f"dot{b}").alias("dot"))
+        for b, w in weights.items()
+    ]
+    scored_ = whole.select("term", "candidate_total", F.inline(F.filter(F.array(*each), lambda x: x["n"] > 0)))
     scored_ = scored_.withColumn("score", F.col("dot") / (F.sqrt(F.col("own").cast("double")) * F.sqrt(F.col("n").cast("double"))))
     w = Window.partitionBy("block").orderBy(F.desc(F.round("score", 9)), "term")
     top = scored_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

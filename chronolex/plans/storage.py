@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once below spark.checkpoint.dir and read it back. A temporary folder serves only where that is unset and the master is local."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """An unused path below spark.checkpoint.dir. A temporary folder serves only where that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="chronolex-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once to a new path and read it back."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
