@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, licenses, mixing, neighbours, packing, quality, resample, secrets, simhash, sketch, token_store, topk
+from . import alignment, language_id, licenses, mixing, neighbours, packing, quality, resample, secrets, simhash, sketch, token_store, topk
 from .common import id_remainder, table
 from pyspark.sql import functions as F
 
@@ -63,6 +63,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +77,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_secret_scan, op3_topk_search, op4_best_fit_packing, op5_license_scan, op6_quality, op7_mixing, op8_fingerprints, op9_simhash, op10_token_store, op12_neighbours, op13_resampling)
+    for f in (op1_language_id, op2_secret_scan, op3_topk_search, op4_best_fit_packing, op5_license_scan, op6_quality, op7_mixing, op8_fingerprints, op9_simhash, op10_token_store, op11_alignment, op12_neighbours, op13_resampling)
 }
 
 ORACLE_SQL: dict[str, str] = {
