@@ -17,9 +17,15 @@ def _curves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inspect(spark: SparkSession, folder: str) -> DataFrame:
-    """FOLDER: documents, terms and words of an index with the part counts"""
-    counts = spark.read.parquet(f"{folder}/counts")
-    return counts.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("words"))
+    """FOLDER: documents, those without words included, terms and words of an index, and its parts"""
+    parts = index.parts(spark, folder)
+    listed = next((p for p in ("corpus", "names", "lengths", "counts") if p in parts), None)
+    if listed is None:
+        raise FileNotFoundError(f"no part with documents in {folder}")
+    counts = spark.read.parquet(f"{folder}/counts") if "counts" in parts else spark.createDataFrame([], "term string, tf long")
+    documents = spark.read.parquet(f"{folder}/{listed}").agg((F.countDistinct("doc_id") if listed == "counts" else F.count("*")).alias("documents"))
+    words = counts.agg(F.countDistinct("term").alias("terms"), F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("words"))
+    return documents.crossJoin(words).withColumn("parts", F.lit(" ".join(parts)))  # one row by one row
 
 
 def build_index_part(spark: SparkSession, docs: str, part: str, folder: str, first: str = "0") -> DataFrame:
@@ -77,8 +83,11 @@ def sample_book_list(spark: SparkSession, docs: str, n: str, out: str) -> DataFr
 
 
 def count_books(spark: SparkSession, books: str, mode: str = "", node: str = "1", nodes: str = "1") -> DataFrame:
-    """BOOKS [swarm NODE NODES]: counters over a Parquet table (id, identifier, language, year, date, exists), or over a worker's part (from 1)"""
+    """BOOKS [swarm NODE NODES | lines]: counters over a Parquet table (id, identifier, language, year, date, exists), or over a worker's part (from 1);
+    or the lines (id book-path year) of its dated books, from the column path"""
     table = spark.read.parquet(books)
+    if mode == "lines":
+        return corpus.dated_books(table)
     if mode == "swarm":
         if not 1 <= int(node) <= int(nodes):
             raise ValueError("NODE is 1 to NODES")
@@ -89,7 +98,7 @@ def count_books(spark: SparkSession, books: str, mode: str = "", node: str = "1"
 
 
 def count_books_by_date(spark: SparkSession, out: str, listed: str) -> DataFrame:
-    """OUT LIST: a list below OUT for each year of the lines (id path year); gives the books of each year"""
+    """OUT LIST: a list of paths below OUT for each year of the lines (id path year); gives the books of each year"""
     dated = lists.id_path_years(spark.read.text(listed))
     corpus.date_lists(dated, out)
     return dated.groupBy("year").agg(F.count("*").alias("books")).orderBy("year")
@@ -127,13 +136,16 @@ def txt_find_similar(spark: SparkSession, folder: str, method: str, k: str, term
 
 
 def txt_plot_exact(spark: SparkSession, folder: str, *terms: str) -> DataFrame:
-    """INDEX TERM...: a row of counts for each of the words"""
-    return temporal.curves_csv(spark.read.parquet(folder), [t.lower() for t in terms])
+    """INDEX TERM...: a row of yearly shares for each of the words, as written; words that are not there give none"""
+    found, missing = textindex.exact(spark.read.parquet(folder), list(terms))
+    for r in missing.orderBy("ord").collect():  # of the arguments
+        print(f"{r['term']} was not found", file=sys.stderr)
+    return temporal.in_columns(found, "#", "p", "double", "ord").orderBy("ord").drop("ord")
 
 
 def txt_plot_matching(spark: SparkSession, folder: str, *parts: str) -> DataFrame:
-    """INDEX PART...: the counts of all words that contain one of the parts"""
-    return textindex.matching(spark.read.parquet(folder), list(parts)).orderBy("ord", "term", "year")
+    """INDEX PART...: the yearly shares of all words that contain one of the parts, for each part"""
+    return temporal.in_columns(textindex.matching(spark.read.parquet(folder), list(parts)), "#", "p", "double", "ord").orderBy("ord", "#").drop("ord")
 
 
 def similar_terms_cli(spark: SparkSession, folder: str, *terms: str) -> DataFrame:

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.text import census_year
+from ..functions.text import book_path, census_year
 
 
 def census(books: DataFrame) -> DataFrame:
-    """One row of counters over (id, identifier, language, year, date, exists)."""
+    """One row of counters over (id, identifier, language, year, date, exists): books are those whose metadata and book exist,
+    the others count as nonexistent alone."""
     there = F.coalesce("exists", F.lit(False))
     language = F.lower(F.trim("language"))
     blank = language.isNull() | (language == "")
     c = lambda x, n: F.count_if(x).alias(n)
     return books.agg(
-        F.count("*").alias("books"),
+        c(there, "books"),
         c(~there, "nonexistent"),
         c(there & ~F.col("identifier").eqNullSafe(F.col("id")), "bad_metadata"),
         c(there & blank, "no_language"),
@@ -25,10 +26,16 @@ def census(books: DataFrame) -> DataFrame:
     )
 
 
+def dated_books(books: DataFrame) -> DataFrame:
+    """(id, path, year): the census's lines, of books that exist and have a year; from (id, path, year, date, exists), `path` being that of the metadata."""
+    found = books.where(F.coalesce("exists", F.lit(False))).select("id", book_path(F.col("path")).alias("path"), census_year(F.col("year"), F.col("date")).alias("year"))
+    return found.where(F.col("path").isNotNull() & F.col("year").isNotNull())
+
+
 def date_lists(lists: DataFrame, out: str, first: int = 1820, last: int = 1920) -> None:
-    """Write one text list for each year of (id, path, year), both ends included."""
-    line = F.concat_ws(" ", "id", "path", "year").alias("value")
-    lists.where(F.col("year").between(first, last)).select(line, "year").repartition("year").write.mode("overwrite").partitionBy("year").text(out)
+    """Write a list of paths for each year of (path, year), both ends included. A large year's list is several files of one folder, in order of the paths."""
+    dated = lists.where(F.col("year").between(first, last)).select(F.col("path").alias("value"), "year")
+    dated.repartitionByRange("year", "value").sortWithinPartitions("year", "value").write.mode("overwrite").partitionBy("year").text(out)
 
 
 def sample_list(lines: DataFrame, n: int, seed: int = 13, column: str = "path") -> DataFrame:

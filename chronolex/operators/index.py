@@ -55,6 +55,12 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("length"))
 
 
+def names(docs: DataFrame) -> DataFrame:
+    """(doc_id, name): the identifier, if there is a column of that name and a value, or else doc- and the number."""
+    number = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", (F.coalesce("identifier", number) if "identifier" in docs.columns else number).alias("name"))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """Documents, distinct terms and words of a corpus, in one row."""
     words = counts(docs)
@@ -82,7 +88,7 @@ def build_part(docs: DataFrame, part: str, index_dir: str, first: int = 0) -> st
     """Write one part below `index_dir` (suffix -N for a later range of documents), clustered by term where it has terms."""
     made = {
         "corpus": lambda: docs,
-        "names": lambda: docs.select("doc_id", F.col("doc_id").cast("string").alias("name")),
+        "names": lambda: names(docs),
         "lengths": lambda: lengths(docs),
         "postings": lambda: positions(docs),
         "postings.porter": lambda: stemmed_counts(docs),
@@ -98,6 +104,13 @@ def build_part(docs: DataFrame, part: str, index_dir: str, first: int = 0) -> st
     return path
 
 
+def parts(spark: SparkSession, index_dir: str) -> list[str]:
+    """Names of the folders below an index."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index_dir)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
 def open_part(spark: SparkSession, index_dir: str, preferred: tuple[str, ...] = PREFERRED) -> DataFrame:
     """The first of the preferred parts that exists."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

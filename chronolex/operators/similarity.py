@@ -34,12 +34,12 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "term", F.round("score", 6).alias("score"))
 
 
-def scored(curves: DataFrame, query: str | list[int], method: str, band: int = 10) -> DataFrame:
-    """(term, score) of every other term. Sparse curves are joined by year with the query's (one row a year at most)."""
+def scored(curves: DataFrame, query: str | list[int], method: str, band: int = 10, with_query: bool = True) -> DataFrame:
+    """(term, score) of every term, the query's own among them unless with_query=False. Sparse curves are joined by year with the query's (one row a year at most)."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     q = curve_of(curves, query) if isinstance(query, str) else list(query)
-    others = curves.where(F.col("term") != query) if isinstance(query, str) else curves
+    others = curves if with_query or not isinstance(query, str) else curves.where(F.col("term") != query)
     if not any(q):
         return others.select("term", F.lit(0.0).alias("score")).limit(0)
     if method == "dtw":
@@ -75,14 +75,14 @@ def scored(curves: DataFrame, query: str | list[int], method: str, band: int = 1
     return full.where("n > 0").select("term", (cosine if method == "cosine" else 1 - cosine).alias("score"))
 
 
-def similar(curves: DataFrame, query: str | list[int], method: str, k: int = 20) -> DataFrame:
-    return best(scored(curves, query, method), k)
+def similar(curves: DataFrame, query: str | list[int], method: str, k: int = 20, with_query: bool = True) -> DataFrame:
+    return best(scored(curves, query, method, with_query=with_query), k)
 
 
-def quantized(curves: DataFrame, query: str, size: int = 10, k: int = 5, drop_last: bool = True, first: int = FIRST_YEAR, years: int = YEARS) -> DataFrame:
-    """The k best terms by cosine within each block of `size` years. By default a block's last year is left out.
+def quantized(curves: DataFrame, query: str, size: int = 10, k: int = 5, drop_last: bool = True, first: int = FIRST_YEAR, years: int = YEARS, with_query: bool = True) -> DataFrame:
+    """The k best terms by cosine within each block of `size` years. By default a block's last year is left out, and the query's own term takes part.
 
-    (start, end, rank, term, score, query_weight, candidate_total): weight of the query in the block, all of the candidate's curve.
+    (start, end, rank, term, score, query_weight, candidate_total): sums of the query's and of the candidate's counts over the years compared.
     """
     spark = curves.sparkSession
     q = curve_of(curves, query, first, years)
@@ -93,17 +93,18 @@ def quantized(curves: DataFrame, query: str, size: int = 10, k: int = 5, drop_la
     mine = spark.createDataFrame(rows, "block int, year int, q long")
     place = F.floor((F.col("year") - first) / size).cast("int")
     inside = (F.col("year") >= first) & ((F.col("year") - first) % size < width)
-    others = curves.where(F.col("term") != query).withColumn("block", F.when(inside, place)).join(F.broadcast(mine.select("year", "q")), "year", "left")
-    # All blocks' sums and the total, of which years outside of them are part, in one aggregation by term.
+    others = curves.where(inside) if with_query else curves.where(inside & (F.col("term") != query))
+    others = others.withColumn("block", place).join(F.broadcast(mine.select("year", "q")), "year", "left")
+    # All blocks' sums in one aggregation by term.
     weights = {b: [x for c, _, x in rows if c == b] for b, _, _ in rows}
     tf, q = F.col("tf"), F.coalesce("q", F.lit(0))
-    sums = [F.sum(F.when(F.col("block") == b, x)).alias(f"{n}{b}") for b in weights for n, x in (("n", tf * tf), ("dot", tf * q))]
-    whole = others.groupBy("term").agg(F.sum("tf").alias("candidate_total"), *sums)
+    sums = [F.sum(F.when(F.col("block") == b, x)).alias(f"{n}{b}") for b in weights for n, x in (("n", tf * tf), ("dot", tf * q), ("total", tf))]
+    whole = others.groupBy("term").agg(*sums)
     each = [
-        F.struct(F.lit(b).alias("block"), F.lit(sum(w)).cast("long").alias("query_weight"), F.lit(sum(x * x for x in w)).cast("long").alias("own"), F.col(f"n{b}").alias("n"), F.col(f"dot{b}").alias("dot"))
+        F.struct(F.lit(b).alias("block"), F.lit(sum(w)).cast("long").alias("query_weight"), F.lit(sum(x * x for x in w)).cast("long").alias("own"), F.col(f"n{b}").alias("n"), F.col(f"dot{b}").alias("dot"), F.col(f"total{b}").alias("candidate_total"))
         for b, w in weights.items()
     ]
-    scored_ = whole.select("term", "candidate_total", F.inline(F.filter(F.array(*each), lambda x: x["n"] > 0)))
+    scored_ = whole.select("term", F.inline(F.filter(F.array(*each), lambda x: x["n"] > 0)))
     scored_ = scored_.withColumn("score", F.col("dot") / (F.sqrt(F.col("own").cast("double")) * F.sqrt(F.col("n").cast("double"))))
     w = Window.partitionBy("block").orderBy(F.desc(F.round("score", 9)), "term")
     top = scored_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

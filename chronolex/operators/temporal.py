@@ -79,6 +79,11 @@ def parse_query(query: str, first: int = FIRST_YEAR, years: int = YEARS) -> tupl
 
 def curves_csv(curves: DataFrame, terms: list[str]) -> DataFrame:
     """One row for each queried term: the term and a column for each year."""
-    wanted = curves.where(F.col("term").isin(terms))
-    full = dense(wanted)
-    return full.select(F.col("term").alias("Document"), *(F.get("curve", F.lit(i)).alias(str(FIRST_YEAR + i)) for i in range(YEARS)))
+    return in_columns(curves.where(F.col("term").isin(terms)), "Document")
+
+
+def in_columns(curves: DataFrame, first: str, value: str = "tf", kind: str = "long", *keys: str) -> DataFrame:
+    """One row for each term (and further keys): the term under the name `first`, and a column of values for each year, 0 where there is none."""
+    rows = curves.groupBy("term", *keys).agg(F.map_from_entries(F.collect_list(F.struct("year", F.col(value).cast(kind)))).alias("m"))
+    years = (F.coalesce(F.try_element_at("m", F.lit(y)), F.lit(0).cast(kind)).alias(str(y)) for y in range(FIRST_YEAR, FIRST_YEAR + YEARS))
+    return rows.select(F.col("term").alias(first), *keys, *years)

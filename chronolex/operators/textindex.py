@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import similar
+from .similarity import best
+from .temporal import probabilities
 
 
 def create(counts: DataFrame, threshold: int = 600) -> DataFrame:
@@ -16,17 +17,27 @@ def create(counts: DataFrame, threshold: int = 600) -> DataFrame:
 
 
 def exact(curves: DataFrame, queries: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of the queried terms, queries without a row)."""
-    asked = curves.sparkSession.createDataFrame([(i, q.lower()) for i, q in enumerate(queries)], "ord int, term string")
-    return curves.join(F.broadcast(asked), "term"), asked.join(curves.select("term").where(F.col("term").isin([q.lower() for q in queries])).distinct(), "term", "left_anti")
+    """((term, year, p, ord) of the queried terms, as they are written; queries without a row). p is a word's share of all words of the index in that year."""
+    asked = curves.sparkSession.createDataFrame(list(enumerate(queries)), "ord int, term string")
+    found = probabilities(curves).join(F.broadcast(asked), "term")  # one row a query
+    return found, asked.join(curves.select("term").join(F.broadcast(asked.select("term")), "term", "left_semi").distinct(), "term", "left_anti")
 
 
 def matching(curves: DataFrame, queries: list[str]) -> DataFrame:
-    """Rows of the terms that contain a query, once for each query they contain."""
+    """(term, year, p, ord) of the terms that contain a query's lower-case form, once for each query they contain."""
     hit = F.array_compact(F.array(*(F.when(F.contains("term", F.lit(q.lower())), F.lit(i)) for i, q in enumerate(queries))))
-    return curves.select("*", F.explode(hit).alias("ord"))
+    return probabilities(curves).select("*", F.explode(hit).alias("ord"))
 
 
 def find_similar(curves: DataFrame, term: str, method: str = "cos", k: int = 10) -> DataFrame:
-    """Terms ranked by cosine ('cos') or by 1 - cosine ('cos-diff', the least alike first). An unknown term gives no rows."""
-    return similar(curves, term.lower(), {"cos": "cosine", "cos-diff": "cos-diff"}[method], k)
+    """(rank, term, score): all terms ranked by the cosine of their yearly shares with the query's ('cos'), or by 1 - cosine
+    ('cos-diff', the least alike first). The query is taken as written; an unknown one gives no rows."""
+    if method not in ("cos", "cos-diff"):
+        raise ValueError(f"unknown method {method}")
+    shares = probabilities(curves)
+    mine = {r["year"]: r["p"] for r in shares.where(F.col("term") == term).collect()}  # a row a year
+    q = F.broadcast(curves.sparkSession.createDataFrame(list(mine.items()), "year int, q double"))
+    sums = shares.join(q, "year", "left").groupBy("term").agg(F.sum(F.col("p") * F.col("p")).alias("n"), F.sum(F.col("p") * F.coalesce("q", F.lit(0.0))).alias("dot"))
+    cosine = F.col("dot") / (F.sqrt(F.lit(sum(x * x for x in mine.values()))) * F.sqrt("n"))
+    scored = sums.where("n > 0").select("term", (cosine if method == "cos" else 1 - cosine).alias("score"))
+    return best(scored if mine else scored.limit(0), k)

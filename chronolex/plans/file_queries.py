@@ -50,11 +50,11 @@ def numbered_lines(s, d) -> DataFrame:
 
 
 def year_list_files(s, d) -> DataFrame:
-    """Lines (id path year) in one folder a year, read back."""
+    """Lists of paths in one folder a year, read back; years past the range are in none."""
     path = new_path(s, "year-lists")
-    books = queries.docs(s, d).select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("books/"), "doc_id").alias("path"), "year")
+    books = queries.docs(s, d).select(F.concat(F.lit("books/"), "doc_id").alias("path"), (F.col("year") + 5).alias("year"))
     corpus.date_lists(books, path)
-    return lists.id_path_years(s.read.text(f"{path}/*"))
+    return s.read.schema("value string, year int").text(path).select(F.col("value").alias("path"), "year")
 
 
 def barrel_file(s, d) -> DataFrame:
@@ -80,7 +80,7 @@ ORACLE_SQL = {
     "count_table_lines": f"WITH {FREQ}, t AS (SELECT DISTINCT term FROM freq), y AS (SELECT CAST(unnest(range(1820, 1920)) AS INTEGER) AS y) SELECT t.term AS term, string_agg(CAST(coalesce(tf, 0) AS VARCHAR), ',' ORDER BY y) AS counts FROM t CROSS JOIN y LEFT JOIN freq ON freq.term = t.term AND freq.year = y GROUP BY t.term",
     "word_count_lines": f"WITH {TOK} SELECT term AS word, count(*) AS cnt FROM tok GROUP BY term",
     "numbered_lines": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, concat_ws(' ', o_orderkey, o_custkey, year(o_orderdate)) AS value FROM orders",
-    "year_list_files": "SELECT CAST(doc_id AS VARCHAR) AS id, 'books/' || CAST(doc_id AS VARCHAR) AS path, CAST(1820 + doc_id % 100 AS INTEGER) AS year FROM documents",
+    "year_list_files": "SELECT 'books/' || CAST(doc_id AS VARCHAR) AS path, CAST(1825 + doc_id % 100 AS INTEGER) AS year FROM documents WHERE doc_id % 100 <= 95",
     "barrel_file": f"""WITH {WORDS}, n AS (SELECT idx, unnest(words) AS w FROM d), v AS (SELECT w, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM (SELECT DISTINCT w FROM n))
         SELECT idx, count(*) AS words, CAST(sum(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS BIGINT) AS hashes FROM n JOIN v USING (w) GROUP BY idx""",
     "curves_csv_file": queries.ORACLE_SQL["curves_csv"],

@@ -172,11 +172,15 @@ def txt_create_threshold(s, d):
 
 
 def txt_exact(s, d):
-    return textindex.exact(curves(s, d), ["the", "une", "nosuchword"])[0].select("term", "year", "tf")
+    return textindex.exact(curves(s, d), ["the", "une", "The", "nosuchword"])[0].select("term", "year", F.round("p", 9).alias("p"))
 
 
 def txt_matching(s, d):
-    return textindex.matching(curves(s, d), ["ingthe", "THE"]).select("term", "year", "tf", "ord")
+    return textindex.matching(curves(s, d), ["ingthe", "THE"]).select("term", "year", F.round("p", 9).alias("p"), "ord")
+
+
+def txt_find_similar(s, d):
+    return textindex.find_similar(frequent(s, d), QUERY, "cos", 10)
 
 
 def txt_find_different(s, d):
@@ -201,7 +205,7 @@ def token_filter(s, d):
 
 def token_normaliser(s, d):
     words = table(s, d, "pages").select(F.explode(F.split("html", "[ \n]")).alias("w"))
-    return words.select(text.normalised(F.col("w")).alias("term")).where("term is not null and term rlike '^[a-z0-9]+$'").groupBy("term").agg(F.count("*").alias("n"))
+    return words.select(text.normalised(F.col("w")).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def _metadata(s, d):
@@ -228,6 +232,13 @@ def census_counters(s, d):
     return corpus.census(book)
 
 
+def dated_books(s, d):
+    """The census's lines; some metadata files have another ending, some books no year."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("books/"), i, F.when(i % 7 == 4, "_meta.xml").otherwise("_meta.xml.bz2"))
+    return corpus.dated_books(_metadata(s, d).select(i.cast("string").alias("id"), path.alias("path"), "year", "date", (i % 8 != 3).alias("exists")))
+
+
 def sample_list(s, d):
     return corpus.sample_list(table(s, d, "pages").select("url"), 20, column="url")
 
@@ -297,8 +308,8 @@ QUERIES = {
     for f in (
         postings_counts, term_totals_having, doc_lengths, vocab_stats, positions_postings, concat_postings, stemmed_postings, term_year_curve, dated_search_topk, hits_by_year,
         docs_of_year, curve_dense, curves_csv, year_prob, step_function_scatter, similar_dtw_parts, quantized_topk, word_pair_scores, word_pair_scores_by_document, word_pair_scores_on_both_axes, search_panel,
-        txt_create_threshold, txt_exact, txt_matching, txt_find_different, moving_average, curve_summary_stats, token_filter, token_normaliser, year_resolver_retrieval,
-        year_resolver_census, census_counters, sample_list, shard_lines, dup_overlap_pairs, dup_members, dup_pairs_full, dup_titles, barrel_compare, unique_sample, kmeans_two_pass, parse_tags,
+        txt_create_threshold, txt_exact, txt_matching, txt_find_similar, txt_find_different, moving_average, curve_summary_stats, token_filter, token_normaliser, year_resolver_retrieval,
+        year_resolver_census, census_counters, dated_books, sample_list, shard_lines, dup_overlap_pairs, dup_members, dup_pairs_full, dup_titles, barrel_compare, unique_sample, kmeans_two_pass, parse_tags,
     )
 }
 for _name, _method in (("cosine", "cosine"), ("cosdiff", "cos-diff"), ("squared", "squared"), ("js_reference", "js-reference"), ("js_standard", "js-standard"), ("emd", "earth-mover"), ("dtw", "dtw")):
@@ -308,9 +319,11 @@ for _name, _method in (("cosine", "cosine"), ("cosdiff", "cos-diff"), ("squared"
 TOK = "tok AS (SELECT doc_id, CAST(1820 + doc_id % 100 AS INTEGER) AS year, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)"
 POST = f"{TOK}, post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL)"
 CUR = f"{TOK}, cur AS (SELECT term, year, count(*) AS tf FROM tok GROUP BY ALL)"
-FREQ = f"{CUR}, freq AS (SELECT cur.* FROM cur JOIN (SELECT term FROM cur GROUP BY term HAVING sum(tf) >= {LEAST}) USING (term)), q AS (SELECT year, tf AS q FROM freq WHERE term = '{QUERY}'), oth AS (SELECT * FROM freq WHERE term <> '{QUERY}')"
+FREQ = f"{CUR}, freq AS (SELECT cur.* FROM cur JOIN (SELECT term FROM cur GROUP BY term HAVING sum(tf) >= {LEAST}) USING (term)), q AS (SELECT year, tf AS q FROM freq WHERE term = '{QUERY}'), oth AS (SELECT * FROM freq)"
 RANK = "ranked AS (SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, term) AS INTEGER) AS rank, term, round(score, 6) AS score FROM scored) SELECT * FROM ranked WHERE rank <= "
 SPARSE = f"WITH {FREQ}, nd AS (SELECT term, CAST(sum(tf * tf) AS BIGINT) AS n, CAST(sum(tf * coalesce(q, 0)) AS BIGINT) AS dot FROM oth LEFT JOIN q USING (year) GROUP BY term), own AS (SELECT CAST(sum(q * q) AS BIGINT) AS o FROM q)"
+SHARES = f"""WITH {FREQ}, sh AS (SELECT term, year, tf / sum(tf) OVER (PARTITION BY year) AS p FROM freq), qs AS (SELECT year, p AS q FROM sh WHERE term = '{QUERY}'),
+    sums AS (SELECT term, sum(p * p) AS n, sum(p * coalesce(q, 0)) AS dot FROM sh LEFT JOIN qs USING (year) GROUP BY term), own AS (SELECT sum(q * q) AS o FROM qs)"""
 DAYS = "e AS (SELECT event_type AS term, CAST(ts AS DATE) AS day FROM events WHERE ts IS NOT NULL), days AS (SELECT t.term, d.day, coalesce(n, 0) AS n FROM (SELECT DISTINCT term FROM e) t CROSS JOIN (SELECT CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM e) d LEFT JOIN (SELECT term, day, count(*) AS n FROM e GROUP BY ALL) USING (term, day))"
 CSV_YEARS = ", ".join(f'CAST(coalesce(sum(tf) FILTER (year = {y}), 0) AS BIGINT) AS "{y}"' for y in range(1820, 1920))
 META = """meta AS (SELECT doc_id, lang,
@@ -344,28 +357,30 @@ ORACLE_SQL = {
     "step_function_scatter": "WITH y AS (SELECT doc_id, CAST(1820 + doc_id % 100 AS INTEGER) AS year FROM documents), n AS (SELECT year, CASE WHEN year >= 1870 THEN 150 ELSE 0 END // count(*) AS tf FROM y GROUP BY year) SELECT doc_id, year, CAST(tf AS BIGINT) AS tf FROM y JOIN n USING (year) WHERE tf > 0",
     "similar_cosine": f"{SPARSE}, scored AS (SELECT term, dot / (sqrt(o::DOUBLE) * sqrt(n::DOUBLE)) AS score FROM nd, own), {RANK}{K}",
     "similar_cosdiff": f"{SPARSE}, scored AS (SELECT term, 1 - dot / (sqrt(o::DOUBLE) * sqrt(n::DOUBLE)) AS score FROM nd, own), {RANK}{K}",
-    "txt_find_different": f"{SPARSE}, scored AS (SELECT term, 1 - dot / (sqrt(o::DOUBLE) * sqrt(n::DOUBLE)) AS score FROM nd, own), {RANK}10",
-    "similar_squared": f"{SPARSE}, scored AS (SELECT term, 0.0 - ln((n + o - 2 * dot)::DOUBLE) AS score FROM nd, own WHERE n + o - 2 * dot > 0), {RANK}{K}",
+    "txt_find_similar": f"{SHARES}, scored AS (SELECT term, dot / (sqrt(o) * sqrt(n)) AS score FROM sums, own), {RANK}10",
+    "txt_find_different": f"{SHARES}, scored AS (SELECT term, 1 - dot / (sqrt(o) * sqrt(n)) AS score FROM sums, own), {RANK}10",
+    "similar_squared": f"{SPARSE}, scored AS (SELECT term, CASE WHEN n + o - 2 * dot = 0 THEN 'inf'::DOUBLE ELSE 0.0 - ln((n + o - 2 * dot)::DOUBLE) END AS score FROM nd, own), {RANK}{K}",
     "similar_js_reference": _js("p + x / 2", "1 - coalesce(x, 0)"),
     "similar_js_standard": _js("(p + x) / 2", "2 - coalesce(x, 0) - coalesce(p, 0)"),
     "similar_emd": f"WITH {FREQ}, spine AS (SELECT CAST(unnest(range(1820, 1920)) AS INTEGER) AS year), run AS (SELECT t.term, sum(coalesce(q, 0) - coalesce(tf, 0)) OVER (PARTITION BY t.term ORDER BY spine.year) AS r FROM (SELECT DISTINCT term FROM oth) t CROSS JOIN spine LEFT JOIN oth ON oth.term = t.term AND oth.year = spine.year LEFT JOIN q ON q.year = spine.year), scored AS (SELECT term, 0.0 - sum(abs(r))::DOUBLE AS score FROM run GROUP BY term), {RANK}{K}",
     "quantized_topk": f"""WITH {CUR}, qq AS (SELECT year, tf AS q FROM cur WHERE term = '{QUERY}'),
-        c AS (SELECT term, (year - 1820) // 10 AS b, tf, coalesce(q, 0) AS q FROM cur LEFT JOIN qq USING (year) WHERE term <> '{QUERY}' AND (year - 1820) % 10 < 9),
+        c AS (SELECT term, (year - 1820) // 10 AS b, tf, coalesce(q, 0) AS q FROM cur LEFT JOIN qq USING (year) WHERE (year - 1820) % 10 < 9),
         o AS (SELECT (year - 1820) // 10 AS b, CAST(sum(q) AS BIGINT) AS query_weight, CAST(sum(q * q) AS BIGINT) AS own FROM qq WHERE (year - 1820) % 10 < 9 GROUP BY 1),
-        s AS (SELECT term, b, sum(tf * q)::BIGINT AS dot, sum(tf * tf)::BIGINT AS n FROM c GROUP BY ALL),
+        s AS (SELECT term, b, sum(tf * q)::BIGINT AS dot, sum(tf * tf)::BIGINT AS n, sum(tf)::BIGINT AS candidate_total FROM c GROUP BY ALL),
         r AS (SELECT *, dot / (sqrt(own::DOUBLE) * sqrt(n::DOUBLE)) AS score FROM s JOIN o USING (b)),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY b ORDER BY round(score, 9) DESC, term) AS INTEGER) AS rank FROM r)
-        SELECT CAST(1820 + b * 10 AS INTEGER) AS start, CAST(1829 + b * 10 AS INTEGER) AS end, rank, term, round(score, 6) AS score, query_weight, t.candidate_total FROM k JOIN (SELECT term, CAST(sum(tf) AS BIGINT) AS candidate_total FROM cur GROUP BY term) t USING (term) WHERE rank <= 5""",
+        SELECT CAST(1820 + b * 10 AS INTEGER) AS start, CAST(1829 + b * 10 AS INTEGER) AS end, rank, term, round(score, 6) AS score, query_weight, candidate_total FROM k WHERE rank <= 5""",
     "txt_create_threshold": f"WITH {CUR} SELECT cur.* FROM cur JOIN (SELECT term FROM cur GROUP BY term HAVING max(tf) > 5) USING (term)",
-    "txt_exact": f"WITH {CUR} SELECT * FROM cur WHERE term IN ('the', 'une', 'nosuchword')",
-    "txt_matching": f"WITH {CUR} SELECT cur.*, CAST(o AS INTEGER) AS ord FROM cur JOIN (VALUES (0, 'ingthe'), (1, 'the')) v(o, s) ON contains(term, s)",
+    "txt_exact": f"WITH {CUR}, p AS (SELECT term, year, round(tf / sum(tf) OVER (PARTITION BY year), 9) AS p FROM cur) SELECT * FROM p WHERE term IN ('the', 'une', 'The', 'nosuchword')",
+    "txt_matching": f"WITH {CUR}, p AS (SELECT term, year, round(tf / sum(tf) OVER (PARTITION BY year), 9) AS p FROM cur) SELECT p.*, CAST(o AS INTEGER) AS ord FROM p JOIN (VALUES (0, 'ingthe'), (1, 'the')) v(o, s) ON contains(term, s)",
     "moving_average": f"WITH {DAYS}, m AS (SELECT term, day, sum(n) OVER w AS s, count(*) OVER w AS c FROM days WINDOW w AS (PARTITION BY term ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT term, string_agg(CAST(CAST(s AS BIGINT) // 5 AS VARCHAR), ',' ORDER BY day) AS averages FROM m WHERE c = 5 GROUP BY term",
     "curve_summary_stats": f"WITH {DAYS}, l AS (SELECT term, list(n ORDER BY day) AS c, list(n ORDER BY n) AS o FROM days GROUP BY term) SELECT term, CAST(list_sum(c) AS BIGINT) AS total, round(list_sum(c) / len(c), 6) AS mean, round(list_var_pop(c), 6) AS variance, CAST((o[(len(o) + 1) // 2] + o[len(o) // 2 + 1]) // 2 AS BIGINT) AS median, list_max(c) AS most, list_min(c) AS least, CAST(list_position(c, list_max(c)) AS INTEGER) AS most_at, CAST(list_position(c, list_min(c)) AS INTEGER) AS least_at FROM l",
     "token_filter": f"WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS w FROM documents) SELECT lower(w) AS term, count(*) AS n FROM w WHERE regexp_full_match(w, '[A-Za-z]{{2,}}|[0-9]{{2}}|[0-9]{{4}}') AND lower(w) NOT IN {text.STOP_WORDS} GROUP BY 1",
-    "token_normaliser": r"WITH w AS (SELECT regexp_replace(lower(unnest(regexp_split_to_array(html, '[ \n]'))), '[^\p{L}\p{Nd}]', '', 'g') AS term FROM pages) SELECT term, count(*) AS n FROM w WHERE regexp_full_match(term, '[a-z0-9]+') GROUP BY 1",
+    "token_normaliser": r"WITH w AS (SELECT regexp_replace(lower(unnest(regexp_split_to_array(html, '[ \n]'))), '[^\p{L}\p{Nd}]', '', 'g') AS term FROM pages) SELECT term, count(*) AS n FROM w WHERE term <> '' GROUP BY 1",
     "year_resolver_retrieval": f"WITH {META}, r AS (SELECT doc_id, TRY_CAST(coalesce(yd, dd) AS INTEGER) AS resolved FROM dig) SELECT * FROM r WHERE resolved BETWEEN 1820 AND 1919",
     "year_resolver_census": f"WITH {META} SELECT doc_id, resolved FROM four WHERE resolved IS NOT NULL",
-    "census_counters": f"WITH {META}, b AS (SELECT *, doc_id % 8 <> 3 AS ex, CASE WHEN doc_id % 9 = 2 THEN ' ' WHEN lang = 'en' THEN ' English' ELSE lang END AS language FROM four) SELECT count(*) AS books, count(*) FILTER (NOT ex) AS nonexistent, count(*) FILTER (ex AND doc_id % 10 = 1) AS bad_metadata, count(*) FILTER (ex AND (language IS NULL OR trim(language) = '')) AS no_language, count(*) FILTER (ex AND trim(language) <> '' AND NOT starts_with(trim(lower(language)), 'eng')) AS non_english, count(*) FILTER (ex AND resolved IS NULL) AS no_date FROM b",
+    "census_counters": f"WITH {META}, b AS (SELECT *, doc_id % 8 <> 3 AS ex, CASE WHEN doc_id % 9 = 2 THEN ' ' WHEN lang = 'en' THEN ' English' ELSE lang END AS language FROM four) SELECT count(*) FILTER (ex) AS books, count(*) FILTER (NOT ex) AS nonexistent, count(*) FILTER (ex AND doc_id % 10 = 1) AS bad_metadata, count(*) FILTER (ex AND (language IS NULL OR trim(language) = '')) AS no_language, count(*) FILTER (ex AND trim(language) <> '' AND NOT starts_with(trim(lower(language)), 'eng')) AS non_english, count(*) FILTER (ex AND resolved IS NULL) AS no_date FROM b",
+    "dated_books": f"WITH {META} SELECT CAST(doc_id AS VARCHAR) AS id, 'books/' || CAST(doc_id AS VARCHAR) || '_mbtei.xml.gz' AS path, resolved AS year FROM four WHERE doc_id % 8 <> 3 AND doc_id % 7 <> 4 AND resolved IS NOT NULL",
     "sample_list": "SELECT url FROM pages ORDER BY md5(concat_ws(':', '13', url)), url LIMIT 20",
     "shard_lines": "SELECT page_id AS ord, url FROM pages WHERE page_id % 3 = 1",
     "dup_members": f"WITH {WORDS} SELECT idx, rep FROM k",

@@ -24,7 +24,7 @@ def _dense(table: str) -> str:
 
 
 def _similar_dtw(tables: str, table: str, query: str) -> str:
-    sides = f"sides AS (SELECT term AS key, c AS a, (SELECT c FROM dense WHERE term = '{query}') AS b FROM dense WHERE term <> '{query}')"
+    sides = f"sides AS (SELECT term AS key, c AS a, (SELECT c FROM dense WHERE term = '{query}') AS b FROM dense)"
     return f"WITH RECURSIVE {tables}, {_dense(table)}, {sides}, {warped('100')}, scored AS (SELECT key AS term, 0.0 - cost AS score FROM cost), {RANK}{K}"
 
 

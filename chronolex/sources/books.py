@@ -46,20 +46,21 @@ def words(xml: str) -> list[str]:
 
 
 def metadata(xml: str, keys: list[str] | None = None) -> dict[str, str]:
-    """Contents by bare tag name, without entities decoded; empty ones ignored. With keys: the first of each, else those before the text, repeated ones joined by line feeds."""
+    """Contents by bare tag name. With keys: the first of each that is not empty, entities left as they are. Else all before the text, as they
+    stand but for decoded entities, repeated ones joined by line feeds."""
     out: dict[str, str] = {}
     for name, raw in elements(xml):
         if keys is None and name in ("/metadata", "text"):
             break
-        if not name or name[0] in "/?!" or not raw.strip() or name in ("metadata", "w"):
+        if not name or name[0] in "/?!" or name in ("metadata", "w"):
             continue
         if keys is not None:
-            if name in keys and name not in out:
+            if raw.strip() and name in keys and name not in out:
                 out[name] = raw
                 if len(out) == len(keys):
                     break
         else:
-            out[name] = f"{out[name]}\n{decoded(raw).strip()}" if name in out else decoded(raw).strip()
+            out[name] = f"{out[name]}\n{decoded(raw)}" if name in out else decoded(raw)
     return out
 
 
