@@ -1,17 +1,15 @@
 """Document fingerprints as threshold-scaled sketches, in DataFrame expressions only.
 
-A sketch keeps every hash of a text's five-word shingles that lies below a fixed
-fraction of the hash space, so its size follows the document's, and containment is
-estimated by the share of a sketch that another one holds, however unequal the
-documents are. So that short documents are compared well too, a sketch keeps its `FLOOR`
-least hashes in any case: up to that many shingles it is whole. Every sketch knows all its
-document's hashes up to its horizon (the fraction's limit, or its greatest hash if above,
-or all of them if it has fewer than `FLOOR`), two sketches are compared up to the lesser
-horizon, and the sketch of two documents' shingles together follows from their sketches.
+A sketch keeps every hash of a text's five-word shingles that lies below one fixed
+fraction of the hash space, whatever the text's length, and no other. So its size follows the document's,
+the sketch of two documents' shingles together is the union of their sketches, and
+containment is estimated by the share of a sketch that another one holds, however unequal
+the documents are. The estimate of a text of n shingles has a standard error of about
+sqrt(c (1 - c) / (n * fraction)).
 
 Cases: null text is an empty text; its sketch is empty. A text of fewer than five
-words is one shingle. Two empty sketches are alike (1.0), an empty and another one not
-(0.0). Equal texts have equal sketches. Repeated rows each take their place in the
+words is one shingle. A very short text may keep no hash. Two empty sketches are alike
+(1.0), an empty and another one not (0.0). Equal texts have equal sketches. Repeated rows each take their place in the
 order of (doc_id, hash of the text, text); null ids come first. An empty table gives no
 rows. Further columns are ignored. Very long texts are treated whole, in time linear in
 the length.
@@ -21,12 +19,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS, FRACTION, FLOOR = 5, 1 / 8, 64
-LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+WORDS, FRACTION = 5, 1 / 2
+LOWEST = -(1 << 63)
 BUCKET_BYTES, BUCKETS_A_TASK, BUCKETS_AT_MOST = 2 << 20, 4, 1 << 16
 
 
@@ -35,22 +34,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _limit(fraction: float) -> Column:
-    return F.lit(LOWEST + int(fraction * (1 << 64)))
+def kept(hashes: Column, fraction: float = FRACTION) -> Column:
+    """Sorted distinct hashes below the fraction."""
+    return F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x < F.lit(LOWEST + int(fraction * (1 << 64))))))
 
 
-def _kept(hashes: Column, fraction: float, floor: int) -> Column:
-    """Sorted distinct hashes below the fraction, or the `floor` least if these are more."""
-
-    def chosen(below: Column) -> Column:
-        least = lambda: F.slice(F.sort_array(F.array_distinct(hashes)), 1, floor)
-        return F.when(F.size(below) >= floor, F.sort_array(below)).otherwise(least())
-
-    return let(F.array_distinct(F.filter(hashes, lambda x: x < _limit(fraction))), chosen)
-
-
-def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """Sorted distinct hashes (array<bigint>) of a text's shingles: those below the fraction, and the `floor` least."""
+def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Column:
+    """Sorted distinct hashes (array<bigint>) of a text's shingles that lie below the fraction."""
     none = F.array().cast("array<bigint>")
     hashed = F.transform(F.filter(F.split(F.lower(text), "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
@@ -58,25 +48,17 @@ def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION, floor:
         at = F.sequence(F.lit(0), F.size(h) - words)
         return F.when(F.size(h) < words, F.array(F.xxhash64(h))).otherwise(F.transform(at, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(words)))))
 
-    return let(hashed, lambda h: F.when(F.size(h) == 0, none).otherwise(let(shingles(h), lambda s: _kept(s, fraction, floor))))
-
-
-def horizon(a: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """Up to which hash a sketch knows all of its document's."""
-    return F.when(F.size(a) < floor, F.lit(HIGHEST)).otherwise(F.greatest(_limit(fraction) - 1, F.array_max(a)))
+    return let(hashed, lambda h: F.when(F.size(h) == 0, none).otherwise(kept(shingles(h), fraction)))
 
 
-def merged(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
+def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents' shingles together."""
-    return _kept(F.concat(a, b), fraction, floor)
+    return F.sort_array(F.array_union(a, b))
 
 
-def containment(a: Column, b: Column, fraction: float = FRACTION, floor: int = FLOOR) -> Column:
-    """Estimated share of a's shingles that b has, from a's hashes up to both horizons; 0.0 where a has none of these."""
-    least = F.least(horizon(a, fraction, floor), horizon(b, fraction, floor))
-    known = let(least, lambda upto: F.filter(a, lambda x: x <= upto))
-    share = let(known, lambda k: F.when(F.size(k) == 0, 0.0).otherwise(F.size(F.array_intersect(k, b)) / F.size(k)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b has."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def written(a: Column) -> Column:
@@ -102,8 +84,8 @@ def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = BUCKET_BY
         found = docs.select(F.percentile_approx("doc_id", [k / (n - nameless) for k in range(1, n - nameless)], max(10_000, 4 * n))).first()[0] or []
         points += [(True, i) for i in found]
     splits: list[tuple[bool, int, int]] = []
-    for at, point in enumerate(points):
-        same = points.count(point) if at == 0 or points[at - 1] != point else 0
+    for point, run in groupby(points):  # equal points: one id that fills several ranges
+        same = sum(1 for _ in run)
         splits += [(*point, LOWEST + j * ((1 << 64) // same)) for j in range(same)]
     steps = [1 << k for k in range(len(splits).bit_length() - 1, -1, -1)]
     array = F.from_json(F.lit(json.dumps([{"k": k, "i": i, "h": h} for k, i, h in splits])), "array<struct<k:boolean,i:bigint,h:bigint>>")
@@ -130,7 +112,8 @@ def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = BUCKET_BY
 def fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
     """Each document's fingerprint, and that of the document with its second half replaced by the start of the next one."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(own.withColumn("sketch", sketch(F.col("text"), words, fraction)), ["text", "sketch"])
+    pairs = with_next(own, ["text"])  # sketches are cheaper to compute again than to shuffle
+    pairs = pairs.withColumns({"sketch": sketch(F.col("text"), words, fraction), "next_sketch": sketch(F.col("next_text"), words, fraction)})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
     e = pairs.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
