@@ -13,6 +13,11 @@ a paragraph stays `unknown`. A named family is confirmed if one of its templates
 in the paragraph (or the paragraph in it) to `LEAST_OVERLAP`, words weighed by how few
 licences use them, and no other licence's template is found better.
 
+What a paragraph has beyond the template counts too: the words of a licence's name in it
+(those before `license`, behind `CC`, `Attribution` or an SPDX tag, a version number) must
+all be of the named family's wording; one that is not is a relative of the family, such as
+a NoDerivatives or Educational Community licence, and stays `unknown`.
+
 The scan itself is DataFrame expressions. Features are strong words (those that spoke for
 a family in a first training) and bigrams that hold one; a paragraph without any has no
 feature and is unknown by its bias alone, so only texts with a strong word are looked at,
@@ -39,7 +44,7 @@ from .common import hash_share, sample_fraction, stored
 UNKNOWN = "unknown"
 SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 300, 3000
 BROADCAST_ROWS = 500_000
-FALSE_NAMES, LEAST_OVERLAP, FOLDS = 0.05, 0.7, 4
+FALSE_NAMES, LEAST_OVERLAP, FOLDS, BLOCK = 0.05, 0.7, 4, 16
 
 #: A line break within a wrapped paragraph, for Java and Python alike (Java reads it with UNIX line ends).
 WRAPPED = r"^(?=[^\n]*[A-Za-z0-9])([^\n]{39,119}[^\n.:;!?\s])[ \t]*\n(?=[^\n]*[A-Za-z0-9])"
@@ -48,34 +53,50 @@ WRAPPED = r"^(?=[^\n]*[A-Za-z0-9])([^\n]{39,119}[^\n.:;!?\s])[ \t]*\n(?=[^\n]*[A
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
+        "The MIT License (MIT)",
         "This project is licensed under the MIT license, see the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "SPDX-License-Identifier: MIT",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Released under the GPL version 2 or later.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU GENERAL PUBLIC LICENSE",
+        "This code is licensed under the GNU General Public License version 2.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "LGPL": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 3.",
         "Released under the LGPL version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "AGPL": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
         "Released under the AGPL version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "BSD": (
         "Released under the BSD 3-Clause License.",
+        "Licensed under the BSD 2-Clause \"Simplified\" License.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
@@ -85,16 +106,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Text is available under the Creative Commons Attribution License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "CC-BY-SA": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
@@ -104,9 +128,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
         "Released under CC0 1.0 Universal, public domain dedication.",
+        "SPDX-License-Identifier: CC0-1.0",
     ),
     "ISC": (
         "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "Unlicense": (
@@ -136,7 +162,29 @@ OTHERS = (
     "Licensed under the Business Source License 1.1.",
     "Licensed under the Server Side Public License, version 1.",
     "This work is made available under the Free Art License 1.3.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License.",
+    "Released under the Zero-Clause BSD license.",
+    "Licensed under the MIT No Attribution license.",
+    "Released under the X11 License.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Do What The Fuck You Want To Public License.",
+    "Licensed under the Apache License, Version 1.1.",
+    "Subject to the Mozilla Public License Version 1.1.",
 )
+#: Words that end a licence's name to the left of `license`, or to the right of a lead.
+ENDS = "the|a|an|this|that|its|under|of|is|by|to|in|on|or|and|see|with|for|at|as|your|our|copy|valid|which|licensed|released|available|made|terms|subject|provided"
+NAME_BEFORE = f"((?: (?!(?:{ENDS}) )[a-z0-9]+){{1,4}}) licen[sc]es?(?= )"
+NAME_BEHIND = r" (?:cc|commons|attribution|identifier)((?: (?!(?:under|the|a|an|this|is|in|to|of|see|for|licen[sc]e|international|unported|[0-9]+) )[a-z0-9]+){1,5})(?= )"
+#: A version, and the families whose name holds one.
+VERSION = r" (?:apache|apache licen[sc]e|mpl|mozilla public licen[sc]e)(?: version| v)? ([0-9]+)(?= )"
+VERSIONED = ("Apache-2.0", "MPL-2.0")
+NUMBERED, UNVERSIONED = r" (?:mit|isc|unlicense) ([0-9]+)(?= )", ("MIT", "ISC", "Unlicense")
+#: Words of a name that say nothing about the family: numbers, and how a licence is named or tagged.
+NEUTRAL = frozenset({"spdx", "license", "licence", "identifier", "file", "software", "source", "code", "open", "full", "following", "project", "v", "international", "unported", "generic"})
 # Paragraphs that only sound like licences.
 ALIKE = (
     "A driver needs a valid license to operate a vehicle on public roads.",
@@ -164,6 +212,28 @@ def ngrams_of(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+def wording(family: str) -> set[str]:
+    """All words of a family's notices."""
+    return {w for t in TEMPLATES.get(family, ()) for w in words_of(t)}
+
+
+def is_relative(words: list[str], family: str) -> bool:
+    """Whether a licence's name in a paragraph has a word, or a version, that is none of the family's."""
+    line, own = f" {' '.join(words)} ", wording(family) | NEUTRAL
+    names = [w for pattern in (NAME_BEFORE, NAME_BEHIND) for found in re.findall(pattern, line) for w in found.split()]
+    return any(w not in own and not w.isdigit() for w in names) or (family in VERSIONED and any(v != "2" for v in re.findall(VERSION, line))) or (family in UNVERSIONED and bool(re.search(NUMBERED, line)))
+
+
+def relative(words: Column, family: Column) -> Column:
+    """`is_relative` as an expression."""
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    names = F.flatten(F.array(*(F.flatten(F.transform(F.regexp_extract_all(line, F.lit(p), F.lit(1)), lambda x: F.split(F.trim(x), " "))) for p in (NAME_BEFORE, NAME_BEHIND))))
+    own = F.create_map(*(x for f in sorted(TEMPLATES) for x in (F.lit(f), F.array(*map(F.lit, sorted(wording(f) | NEUTRAL))))))
+    odd = F.exists(F.filter(names, lambda w: ~w.rlike("^[0-9]+$")), lambda w: ~F.array_contains(F.try_element_at(own, family), w))
+    version = family.isin(*VERSIONED) & F.exists(F.regexp_extract_all(line, F.lit(VERSION), F.lit(1)), lambda v: v != "2")
+    return odd | version | (family.isin(*UNVERSIONED) & line.rlike(NUMBERED))
+
+
 @dataclass
 class Classifier:
     classes: list[str]
@@ -193,16 +263,22 @@ def _altered(words: list[str], rng: random.Random) -> list[str]:
 
 
 def _descend(rows: list[tuple[int, np.ndarray]], features: int, classes: int, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression in blocks of `BLOCK` rows."""
     weights, bias = np.zeros((features, classes)), np.zeros(classes)
+    blocks = []
+    for start in range(0, len(rows), BLOCK):
+        some = rows[start : start + BLOCK]
+        blocks.append((np.array([c for c, _ in some]), np.repeat(np.arange(len(some)), [len(at) for _, at in some]), np.concatenate([at for _, at in some])))
     for epoch in range(epochs):
         step = rate / (1 + epoch)
-        for c, at in rows:
-            z = weights[at].sum(0) + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[c] -= 1
-            weights[at] -= step * p
-            bias -= step * 0.1 * p
+        for c, row, at in blocks:
+            z = np.tile(bias, (len(c), 1))
+            np.add.at(z, row, weights[at])
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(c)), c] -= 1
+            np.add.at(weights, at, -step * p[row])
+            bias -= step * 0.1 * p.sum(0)
         weights *= 1 - decay * len(rows)
     return weights, bias
 
@@ -253,7 +329,9 @@ def train(others: list[str], copies: int = 12, false_names: float = FALSE_NAMES)
     near = []
     for fold in range(FOLDS):
         model = _fit(examples(fold), everyday)
-        near += [float(model.probabilities(w)[:-1].max()) for i, (c, copied) in enumerate(made) if i % FOLDS == fold and c == UNKNOWN for w in copied]
+        for w in (w for i, (c, copied) in enumerate(made) if i % FOLDS == fold and c == UNKNOWN for w in copied):
+            p = model.probabilities(w)[:-1]
+            near.append(0.0 if is_relative(w, model.classes[int(p.argmax())]) else float(p.max()))
     model = _fit(examples(None), everyday)
     alone = np.exp(model.bias - model.bias.max())
     floor = max(0.5, float(alone[:-1].max() / alone.sum()) + 1e-6)  # bias alone names nothing
@@ -316,10 +394,11 @@ def scan(docs: DataFrame, model: Classifier, least_overlap: float = LEAST_OVERLA
     named = shares.select("key", F.get(F.array(*map(F.lit, model.classes)), (F.array_position("e", best) - 1).cast("int")).alias("named"), (best / F.col("total")).alias("probability"))
     family = F.when(F.col("probability") >= model.threshold, F.col("named")).otherwise(UNKNOWN)
     judged = distinct.select("key", "words").join(named, "key").withColumn("family", family)
+    judged = judged.withColumn("family", F.when((F.col("family") != UNKNOWN) & relative(F.col("words"), F.col("family")), UNKNOWN).otherwise(F.col("family")))
     compared = judged.withColumn("found", F.when(F.col("family") != UNKNOWN, _overlaps(F.array_distinct("words"))))
     own = F.coalesce(F.array_max(F.transform(F.filter("found", lambda t: t["family"] == F.col("family")), lambda t: t["overlap"])), F.lit(0.0))
     other = F.coalesce(F.array_max(F.transform(F.filter("found", lambda t: t["family"] != F.col("family")), lambda t: t["overlap"])), F.lit(0.0))
-    judged = compared.select("key", "family", "probability", own.alias("overlap"), ((F.col("family") != UNKNOWN) & (own >= least_overlap) & (own >= other)).alias("confirmed"))
+    judged = compared.select("key", "family", "probability", own.alias("overlap"), ((F.col("family") != UNKNOWN) & (own >= least_overlap) & (own >= other - 1e-9)).alias("confirmed"))
     verdicts = stored(judged, "licence-verdicts")
     side = F.broadcast(verdicts) if verdicts.count() <= broadcast_rows else verdicts
     found = candidates.withColumn("key", F.md5("p")).join(side, "key")
