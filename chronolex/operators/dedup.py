@@ -1,15 +1,18 @@
 """Near-duplicate documents by vocabulary overlap and longest common subsequence.
 
 All pairs whose vocabularies overlap by half are found exactly. Words are ordered rarest
-first; of two documents that share half of the larger one's words, the prefixes hold some
-common words. Documents meet by (prefix word, size class): sizes within a
-factor of two are of one class or of neighbours. A word that very many documents have in
-their prefixes is cut into blocks that meet two by two. A meeting pair is dropped at once,
-within the join, unless it could still overlap by half: by the words' places in the
-prefixes, and by the differing bits of two signatures of 1,024 bits (each such bit is a
-word that only one of them has). Only what is left is verified on the whole vocabularies.
-The meetings of a word grow with the square of its documents, at some tens of
-nanoseconds each; no exact method is free of this where words do not become rarer.
+first; two documents that share half of the larger one's words share `SHARED` words (or all
+that half demands) of their prefixes. Documents meet by (key, size class): sizes within a
+factor of two are of one class or of neighbours. A key is a prefix word; where so many
+documents hold it that meeting would cost more than looking further, it is extended by each
+document's later prefix words, up to `SHARED` words: a pair shares the key of its first common
+words, so it still meets. The rows of an extended key grow with its documents, not with
+their square. What is left of a hot key at full length is cut into blocks: the second side's rows are
+dealt to them, the first side's are sent to each.
+
+A meeting only carries ids, sizes and places. Pairs that met often enough, and whose
+places leave room for half, are compared by signatures of 1,024 bits (each differing bit is
+a word that only one of them has), and what is left on the whole vocabularies.
 
 Equal documents are collapsed to one representative first, so a group of copies costs one
 document.
@@ -47,93 +50,139 @@ def size_gate(a: Column, b: Column) -> Column:
     return F.floor(F.abs(a - b) / F.least(a, b)) <= 0.5
 
 
-#: Documents of one word and size class that meet in one block.
+#: Documents of one key and size class that meet in one block.
 BLOCK = 1000
 #: Common prefix words that a pair needs (or all that half demands); prefixes are as much longer.
 SHARED = 8
 SIGNATURE = 16
+#: Meetings that cost as much as one row of a longer key. Hot keys up to which they are broadcast.
+DEAR, BROADCAST_KEYS = 8.0, 500_000
 
 
-def signature(words: Column) -> list[Column]:
-    """64-bit parts of a set's signature: each bit is the parity of the hashes that fall on it."""
-
-    def part(k: int) -> Column:
-        own = F.filter(words, lambda h: F.pmod(h, F.lit(SIGNATURE)) == k)
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 4).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(own, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
-
-    return [part(k).alias(f"s{k}") for k in range(SIGNATURE)]
+def with_frequency(words: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(idx, w, df). Words of a hundred-thousandth of all rows or more are few and broadcast; the others are too rare to skew a join."""
+    most = frequency.agg(F.greatest(F.lit(1), F.floor(F.sum("df") / 100_000))).first()[0] or 1
+    hot = F.broadcast(frequency.where(F.col("df") > most))  # 100,000 rows at most
+    known = words.join(hot, "w", "left")
+    rest = known.where(F.col("df").isNull()).select("idx", "w").join(frequency.where(F.col("df") <= most), "w")
+    return known.where(F.col("df").isNotNull()).select("idx", "w", "df").unionByName(rest.select("idx", "w", "df"))
 
 
 def ranked_sets(left: DataFrame, right: DataFrame | None = None) -> list[DataFrame]:
-    """For each side (idx, n, set, s0, s1, ...): its documents' distinct word hashes, rarest first over both sides, their number and signature."""
+    """For each side (idx, n, set, lone, s0, s1, ...): its documents' distinct word hashes, rarest first over both sides, their
+    number, how many no other document has, and their signature. Documents of which too many are lone are left out."""
 
     def vocabulary(d: DataFrame) -> DataFrame:
         return d.select("idx", F.explode(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("w"))
 
-    sides = [left] if right is None else [left, right]
     both = vocabulary(left) if right is None else vocabulary(left).unionByName(vocabulary(right))
-    frequency = both.groupBy("w").agg(F.count("*").alias("df"))
+    frequency = stored(both.groupBy("w").agg(F.count("*").alias("df")), "word-frequencies")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("w", 4).bitwiseAND(F.lit(63)).cast("int"))
+    signature = [F.coalesce(F.bit_xor(F.when(F.pmod("w", F.lit(SIGNATURE)) == k, bit)), F.lit(0)).cast("long").alias(f"s{k}") for k in range(SIGNATURE)]
 
     def ranked(d: DataFrame) -> DataFrame:
-        sets = vocabulary(d).join(frequency, "w").groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"))
-        sets = sets.select("idx", F.size("r").alias("n"), F.transform("r", lambda x: x["w"]).alias("set"))
-        return stored(sets.select("*", *signature(F.col("set"))), "vocabulary")
+        sets = with_frequency(vocabulary(d), frequency).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"), F.count_if(F.col("df") == 1).cast("int").alias("lone"), *signature)
+        sets = sets.withColumn("n", F.size("r")).where(F.col("lone") <= F.floor(F.col("n") / 2))
+        return stored(sets.select("idx", "n", F.transform("r", lambda x: x["w"]).alias("set"), "lone", *(f"s{k}" for k in range(SIGNATURE))), "vocabulary")
 
-    return [ranked(d) for d in sides]
+    return [ranked(d) for d in ([left] if right is None else [left, right])]
 
 
-def meetings(sets: list[DataFrame], block: int = BLOCK) -> DataFrame:
-    """(a, b, an, bn, ap, bp, and signatures of both): pairs that share a prefix word, at the words' places, without
-    any filter but the size classes. Within one set each pair is met in one direction, the smaller document first."""
-    one = len(sets) == 1
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(idx, n, size, lone, prefix): the words by which documents can meet; `size` is the size class, `lone` how many of the prefix no other document has."""
+    length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + SHARED)
+    size = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int")
+    return sets.select("idx", "n", size.alias("size"), F.least("lone", length).alias("lone"), F.slice("set", F.lit(1), length).alias("prefix"))
+
+
+def keyed(prefix: DataFrame, second: bool, one: bool) -> DataFrame:
+    """(key, class, idx, n, p, left, mine): a document's prefix words; p is the place of a key's first word, `left` the number of
+    words behind its last. The first side goes to its own size class, the second to all classes its partners may have."""
+    classes = F.array(F.col("size"), F.col("size") - 1) if one else F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1) if second else F.array("size")
+    words = prefix.select("idx", "n", "size", "lone", F.size("prefix").alias("whole"), F.posexplode("prefix").alias("p", "key")).where("p >= lone")
+    rows = words.withColumn("class", F.explode(classes))
+    return rows.select("key", "class", "idx", "n", "p", (F.col("whole") - F.col("p") - 1).alias("left"), (F.col("class") == F.col("size")).alias("mine"), F.lit(second).alias("second"))
+
 
-    def prefixes(d: DataFrame) -> DataFrame:
-        length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + SHARED)
-        size = F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int").alias("size")
-        return d.select("idx", "n", size, *(f"s{k}" for k in range(SIGNATURE)), F.posexplode(F.slice("set", F.lit(1), length)).alias("p", "w"))
-
-    x, y = prefixes(sets[0]), prefixes(sets[-1])
-    # The first side goes to its own size class, the second to all classes its partners may have.
-    x = x.withColumn("class", F.col("size"))
-    y = y.withColumn("class", F.explode(F.array(F.col("size"), F.col("size") - 1) if one else F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    hot = stored(y.groupBy("w", "class").agg(F.count("*").alias("m")).where(F.col("m") > block).select("w", "class", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "hot-words")
-    if hot.isEmpty():
-        x, y = (d.withColumn("cell", F.lit(0)) for d in (x, y))
-    else:
-        # The second side is cut into blocks; every row of the first meets each of them.
-        x, y = (d.join(hot, ["w", "class"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for d in (x, y))
-        x = x.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        y = y.withColumn("cell", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
-    named = [d.select("w", "class", "cell", F.col("idx").alias(i), F.col("n").alias(f"{i}n"), F.col("p").alias(f"{i}p"), *(F.col(f"s{k}").alias(f"{i}s{k}") for k in range(SIGNATURE))) for d, i in ((x, "a"), (y, "b"))]
-    met = named[0].join(named[1], ["w", "class", "cell"])
-    return met.where((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))) if one else met
-
-
-def possible() -> Column:
-    """Whether a meeting pair may still share half of the larger one's words."""
+def meeting_rows(sets: list[DataFrame], dear: float = DEAR, worth: float = 1.0) -> list[DataFrame]:
+    """Rows of `keyed` with their `level`, in parts: those of keys that are cheap enough to meet by, or of full length. Keys are
+    extended as long as that saves more than `worth` meetings for each row."""
+    one = len(sets) == 1
+    prefix = [stored(prefixes(d), "prefixes") for d in sets]
+    rows = keyed(prefix[0], False, True) if one else keyed(prefix[0], False, False).unionByName(keyed(prefix[1], True, False))
+    tails = prefix[0].select("idx", "prefix", F.lit(False).alias("second"))
+    if not one:
+        tails = tails.unionByName(prefix[1].select("idx", "prefix", F.lit(True).alias("second")))
+    out, level = [], 1
+    while True:
+        rows = stored(rows, f"keys-{level}")
+        firsts = F.col("mine") if one else ~F.col("second")
+        load = rows.groupBy("key", "class").agg(F.count("*").alias("m"), F.count_if(firsts).alias("x"), F.sum("left").alias("further"))
+        # Pairs against rows of longer keys; a pair of class c shares 2 ** (c - 1) words at least.
+        met = F.col("x").cast("double") * (F.col("m") if one else F.col("m") - F.col("x"))
+        longer = (met > dear * F.col("further")) & (F.lit(2.0) ** (F.col("class") - 1) > level)
+        hot = stored(load.where(longer).select("key", "class", (met - dear * F.col("further")).alias("saved")), "hot-keys")
+        few, saved = hot.agg(F.count("*"), F.coalesce(F.sum("saved"), F.lit(0.0))).first()
+        if level == SHARED or saved <= worth * rows.count():
+            out.append(rows.withColumn("level", F.lit(level)))
+            return out
+        hot = hot.select("key", "class")
+        side = F.broadcast(hot) if few <= BROADCAST_KEYS else hot
+        out.append(rows.join(side, ["key", "class"], "left_anti").withColumn("level", F.lit(level)))
+        more = rows.join(side, ["key", "class"], "left_semi").join(tails, ["idx", "second"])
+        behind = F.slice("prefix", F.size("prefix") - F.col("left") + 1, F.col("left"))
+        more = more.where("left > 0").select("key", "class", "idx", "n", "p", "left", "mine", "second", F.posexplode(behind).alias("at", "w"))
+        rows = more.select(F.xxhash64("key", "w").alias("key"), "class", "idx", "n", "p", (F.col("left") - F.col("at") - 1).alias("left"), "mine", "second")
+        level += 1
+
+
+def meetings(parts: list[DataFrame], one: bool, block: int = BLOCK) -> DataFrame:
+    """(a, b, an, bn, ap, bp, level): pairs of documents that share a key. Within one set each pair is met in one direction, the smaller document first."""
+    out = None
+    for rows in parts:
+        x = rows.where(F.col("mine") if one else ~F.col("second"))
+        y = rows if one else rows.where("second")
+        hot = stored(y.groupBy("key", "class").agg(F.count("*").alias("m")).where(F.col("m") > block).select("key", "class", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "hot-words")
+        if hot.isEmpty():
+            x, y = (d.withColumn("cell", F.lit(0)) for d in (x, y))
+        else:
+            x, y = (d.join(hot, ["key", "class"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for d in (x, y))
+            x = x.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            y = y.withColumn("cell", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
+        named = [d.select("key", "class", "cell", F.col("idx").alias(i), F.col("n").alias(f"{i}n"), F.col("p").alias(f"{i}p"), *(["level"] if i == "a" else [])) for d, i in ((x, "a"), (y, "b"))]
+        met = named[0].join(named[1], ["key", "class", "cell"]).select("a", "b", "an", "bn", "ap", "bp", "level")
+        met = met.where((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))) if one else met
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def placed() -> Column:
+    """Whether a meeting leaves room for half of the larger one's words: by the places of the first common word."""
     need = F.ceil(F.greatest("an", "bn") / 2)
-    placed = F.least("ap", "bp") + 1 + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
-    differing = sum(F.bit_count(F.col(f"as{k}").bitwiseXOR(F.col(f"bs{k}"))) for k in range(SIGNATURE))
-    return (F.least("an", "bn") * 2 >= F.greatest("an", "bn")) & (placed >= need) & (F.col("an") + F.col("bn") - differing >= 2 * need)
+    room = F.least("ap", "bp") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
+    return (F.least("an", "bn") * 2 >= F.greatest("an", "bn")) & (room >= need)
 
 
-def overlaps(left: DataFrame, right: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame | None = None, block: int = BLOCK, dear: float = DEAR, worth: float = 1.0) -> DataFrame:
     """(a, b, overlap): pairs whose common words are at least half of the larger vocabulary. Within one set a < b."""
     sets = ranked_sets(left, right)
-    met = meetings(sets, block).where(possible()).groupBy("a", "b", F.greatest("an", "bn").alias("larger")).agg(F.count("*").alias("m"))
-    pairs = met.where(F.col("m") >= F.least(F.ceil(F.col("larger") / 2), F.lit(SHARED))).select("a", "b")
-    whole = [d.select(F.col("idx").alias(i), F.col("n").alias(f"{i}n"), F.col("set").alias(f"{i}set")) for d, i in ((sets[0], "a"), (sets[-1], "b"))]
-    checked = pairs.join(whole[0], "a").join(whole[1], "b")
+    parts = meeting_rows(sets, dear, worth)
+    met = meetings(parts, right is None, block).where(placed()).groupBy("a", "b").agg(F.count("*").alias("m"), F.max("level").alias("level"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    # The last common words may all be lost to extended keys, as many as there are longer keys; other words of such keys lead to a longer common key.
+    need = F.least(F.ceil(F.greatest("an", "bn") / 2), F.lit(SHARED)) - F.lit(len(parts) - 1)
+    pairs = met.where((F.col("level") > 1) | (F.col("m") >= need)).select("a", "b", "an", "bn")
+    signs = [d.select(F.col("idx").alias(i), *(F.col(f"s{k}").alias(f"{i}s{k}") for k in range(SIGNATURE))) for d, i in ((sets[0], "a"), (sets[-1], "b"))]
+    differing = sum(F.bit_count(F.col(f"as{k}").bitwiseXOR(F.col(f"bs{k}"))) for k in range(SIGNATURE))
+    likely = pairs.join(signs[0], "a").join(signs[1], "b").where(F.col("an") + F.col("bn") - differing >= 2 * F.ceil(F.greatest("an", "bn") / 2)).select("a", "b", "an", "bn")
+    whole = [d.select(F.col("idx").alias(i), F.col("set").alias(f"{i}set")) for d, i in ((sets[0], "a"), (sets[-1], "b"))]
+    checked = likely.join(whole[0], "a").join(whole[1], "b")
     share = F.size(F.array_intersect("aset", "bset")) / F.greatest("an", "bn")
     found = checked.select("a", "b", share.alias("overlap")).where("overlap >= 0.5")
     return found if right is not None else found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(a, b) of near-duplicates: size gate, then overlap above .85, or the common subsequence above .5 of the shorter."""
-    left = stored(left.select("idx", "words"), "words")
-    right = None if right is None else stored(right.select("idx", "words"), "words")
+    """(a, b) of near-duplicates: size gate, then overlap above .85, or the common subsequence above .5 of the shorter. The sets are read several times: pass stored tables."""
     found = overlaps(left, right)
     other = left if right is None else right
     sizes = lambda d, n, m: d.select(F.col("idx").alias(n), F.size("words").alias(m))
@@ -153,41 +202,71 @@ def title_edges(docs: DataFrame) -> DataFrame:
 
 def barrel_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """idx of the documents of b that are similar to any of a."""
+    a, b = (stored(d.select("idx", "words"), "barrel") for d in (a, b))
     return similar_pairs(a, b).select(F.col("b").alias("idx")).distinct()
 
 
-def sample_unique(docs: DataFrame, n: int, seed: int = 0xDEADBEEF) -> DataFrame:
+def sample_unique(docs: DataFrame, n: int, seed: int = 0xDEADBEEF, batch: int | None = None) -> DataFrame:
     """The first n documents, in a seeded hash order, that are near-duplicates (or of equal title) of none kept before.
 
+    The order is walked in ranges of its hashes, each about twice as long as the one before: a range's
+    documents are compared with what is kept, and with each other, until n are kept. So the work
+    depends on n and on how many documents fall away, not on the table: `batch` documents at first, twice n if not given.
+    """
+    spark = docs.sparkSession
+    priority = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("idx").cast("string")))
+    ordered = docs.select("idx", "title", "words", priority.alias("priority"))
+    total, done, size, kept, found = docs.count(), 0.0, batch or 2 * max(n, 1), [], 0
+    while found < n and done < 1:
+        upto = min(1.0, done + size / max(1, total))
+        low, high = (f"{min(int(x * (1 << 64)), (1 << 64) - 1):016x}" for x in (done, upto))
+        some = ordered.where(F.col("priority") >= low) if upto == 1 else ordered.where((F.col("priority") >= low) & (F.col("priority") < high))
+        some = stored(some, "sample-range")
+        if kept:
+            before = kept[0]
+            for k in kept[1:]:
+                before = before.unionByName(k)
+            near = barrel_compare(before, some)
+            titles = before.where("title <> ''").select("title").distinct()
+            some = stored(some.join(near, "idx", "left_anti").join(titles, "title", "left_anti"), "sample-left")
+        now = stored(_first_of_all(some), "sample-kept")
+        kept.append(now)
+        found, done, size = found + now.count(), upto, 2 * size
+    out = kept[0] if kept else ordered.limit(0)
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return out.orderBy("priority", "idx").limit(n).select("idx")
+
+
+def _first_of_all(docs: DataFrame) -> DataFrame:
+    """Of (idx, title, words, priority): the documents that are near-duplicates (or of equal title) of none kept before, in order of priority.
+
     Of equal documents, and of documents of one title, only the first in that order can
     be kept, unless that one falls to another; so the choice works on those groups'
     links through their word sequences and titles, not on all pairs within a group.
     """
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("idx").cast("string")))
-    keyed = stored(docs.select("idx", "title", F.sha2(F.array_join("words", " "), 256).alias("key"), order.alias("priority")), "sample-keys")
+    keyed = stored(docs.select("idx", "title", F.sha2(F.array_join("words", " "), 256).alias("key"), "priority"), "sample-keys")
     first = keyed.groupBy("key").agg(F.min(F.struct("priority", "idx")).alias("f")).select("f.idx")
-    reps = docs.join(first, "idx", "left_semi")
-    near = stored(similar_pairs(reps), "similar")
-    links = stored(near.union(near.select("b", "a")).toDF("a", "b"), "similar-both")
+    reps = stored(docs.join(first, "idx", "left_semi").select("idx", "words"), "sample-words")
+    node = stored(keyed.join(first, "idx").select("idx", "key"), "sample-nodes")
+    near = similar_pairs(reps).join(node.select(F.col("idx").alias("a"), F.col("key").alias("ka")), "a").join(node.select(F.col("idx").alias("b"), F.col("key").alias("kb")), "b").select("ka", "kb")
+    near = stored(near, "similar")
+    links = stored(near.union(near.select("kb", "ka")).toDF("ka", "kb"), "similar-both")
     left, kept = keyed, []
-    while True:
+    while not left.isEmpty():
         # Ready: first of its word sequence and title, and before all its undecided neighbours.
         group = left.groupBy("key").agg(F.min(F.struct("priority", "idx")).alias("g"))
         heads = left.join(group.withColumnRenamed("g", "k"), "key")
         titles = left.where("title <> ''").groupBy("title").agg(F.min(F.struct("priority", "idx")).alias("t"))
         ready = heads.join(titles, "title", "left").where((F.col("k.idx") == F.col("idx")) & (F.col("t").isNull() | (F.col("t.idx") == F.col("idx"))))
-        node = keyed.join(first, "idx").select("idx", "key")
-        near_keys = links.join(node.select(F.col("idx").alias("a"), F.col("key").alias("ka")), "a").join(node.select(F.col("idx").alias("b"), F.col("key").alias("kb")), "b").select("ka", "kb")
-        neighbours = near_keys.join(group.select(F.col("key").alias("kb"), "g"), "kb").groupBy("ka").agg(F.min("g").alias("before"))
+        neighbours = links.join(group.select(F.col("key").alias("kb"), "g"), "kb").groupBy("ka").agg(F.min("g").alias("before"))
         now = ready.join(neighbours.withColumnRenamed("ka", "key"), "key", "left").where(F.col("before").isNull() | (F.col("before") > F.struct("priority", "idx")))
         now = stored(now.select("idx", "title", "key", "priority"), "kept")
         kept.append(now)
-        gone_keys = now.select("key").union(near_keys.join(now.select(F.col("key").alias("ka")), "ka").select("kb")).distinct()
+        gone_keys = now.select("key").union(links.join(now.select(F.col("key").alias("ka")), "ka").select("kb")).distinct()
         gone_titles = now.where("title <> ''").select("title").distinct()
         left = stored(left.join(gone_keys, "key", "left_anti").join(gone_titles, "title", "left_anti").select("idx", "title", "key", "priority"), "undecided")
-        if left.isEmpty():
-            break
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out.orderBy("priority", "idx").limit(n).select("idx")
+    chosen = keyed.limit(0).select("idx")
+    for k in kept:
+        chosen = chosen.union(k.select("idx"))
+    return docs.join(chosen, "idx", "left_semi")

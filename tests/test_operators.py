@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 from collections import Counter
 
@@ -59,13 +60,56 @@ def test_pairs_barrels_and_sample(spark):
     got = {r.idx for r in dedup.barrel_compare(docs.where("idx % 2 = 0"), docs.where("idx % 2 = 1")).collect()}
     assert got == {b for b in words if b % 2 and any(similar(words[a], words[b]) for a in words if a % 2 == 0)}
     order = [r.idx for r in docs.orderBy(F.md5(F.concat(F.lit(f"{0xDEADBEEF}:"), F.col("idx").cast("string"))), "idx").collect()]
-    assert {tuple(r) for r in dedup.overlaps(reps, block=3).collect()} == {tuple(r) for r in dedup.overlaps(reps).collect()}
+    share = lambda a, b: len(set(words[a]) & set(words[b])) / max(len(set(words[a])), len(set(words[b])))
+    half = {(a, b, share(a, b)) for a in heads for b in heads if a < b and share(a, b) >= 0.5}
+    for options in ({}, {"block": 3}):
+        assert {tuple(r) for r in dedup.overlaps(reps, **options).collect()} == half
     kept = []
     for i in order:
         if not any(similar(words[i], words[j]) or (titles[i] and titles[i] == titles[j]) for j in kept):
             kept.append(i)
     assert {r.idx for r in dedup.sample_unique(docs, 10_000).collect()} == set(kept)
     assert {r.idx for r in dedup.sample_unique(docs, 7).collect()} == set(kept[:7])
+    assert {r.idx for r in dedup.sample_unique(docs, 60, batch=10).collect()} == set(kept[:60])
+
+
+def test_keys_of_several_words_find_all_pairs(spark):
+    """Few words in many documents: keys grow to several words; also two sets, and sizes from one word on."""
+    rng = random.Random(5)
+    sets = {i: rng.sample([f"w{k}" for k in range(17)], rng.choice([1, 2, 3, 4, 5, 7, 9, 12])) for i in range(90)}
+    docs = spark.createDataFrame(list(sets.items()), "idx long, words array<string>")
+    share = lambda a, b: len(set(sets[a]) & set(sets[b])) / max(len(sets[a]), len(sets[b]))
+    want = {(a, b, share(a, b)) for a in sets for b in sets if a < b and share(a, b) >= 0.5}
+    parts = dedup.meeting_rows(dedup.ranked_sets(docs), dear=0.05, worth=0.0)
+    assert len(parts) > 3
+    for options in ({}, {"dear": 0.05, "worth": 0.0, "block": 4}):
+        assert {tuple(r) for r in dedup.overlaps(docs, **options).collect()} == want
+    odd, even = docs.where("idx % 2 = 1"), docs.where("idx % 2 = 0")
+    across = {(a, b, share(a, b)) for a in sets for b in sets if a % 2 and not b % 2 and share(a, b) >= 0.5}
+    for options in ({"dear": 0.05, "worth": 0.0},):
+        assert {tuple(r) for r in dedup.overlaps(odd, even, **options).collect()} == across
+
+
+def test_meetings_grow_with_the_documents(spark):
+    """Ten times the documents over the same words: rows of keys and meetings for each document grow far less."""
+    rng = random.Random(9)
+    cost = {}
+    for n in (1000, 10_000):
+        rows = [(i, [f"w{min(int(rng.expovariate(1 / 60)), 400)}" for _ in range(14)]) for i in range(n)]
+        parts = dedup.meeting_rows(dedup.ranked_sets(spark.createDataFrame(rows, "idx long, words array<string>")))
+        cost[n] = (sum(p.count() for p in parts) + dedup.meetings(parts, True).count()) / n
+    assert cost[10_000] < 5 * cost[1000]
+
+
+def test_a_sample_stops_at_its_size(spark, monkeypatch):
+    """What is compared depends on n, not on the table."""
+    seen = []
+    compare = dedup.similar_pairs
+    monkeypatch.setattr(dedup, "similar_pairs", lambda left, right=None: (seen.append(left.count() + (right.count() if right is not None else 0)), compare(left, right))[1])
+    for n in (400, 4000):
+        rows = spark.range(n).selectExpr("id as idx", "cast(id as string) as title", "array('a', cast(id as string), cast(id * 7 as string), cast(id * 11 as string), cast(id + 9999 as string)) as words")
+        assert dedup.sample_unique(rows, 20).count() == 20
+    assert max(seen) < 100
 
 
 def plain_kmeans(rows, k, balanced=False):
