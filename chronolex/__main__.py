@@ -36,19 +36,27 @@ def build_index_part(spark: SparkSession, docs: str, part: str, folder: str, fir
 def concat_postings(spark: SparkSession, out: str, *parts: str) -> DataFrame:
     """OUT PART...: merge parts over disjoint documents"""
     merged = index.concat([spark.read.parquet(p) for p in parts])
-    merged.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(out)
+    if "total" in merged.columns:
+        index.write_store(index.merge_stores([merged]), out)
+    else:
+        merged.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(out)
     return spark.read.parquet(out)
 
 
 def postings_to_counts(spark: SparkSession, postings: str, out: str, least: str) -> DataFrame:
     """PART OUT LEAST: counts of the terms that occur LEAST times or more"""
-    index.postings_to_counts(spark.read.parquet(postings), int(least)).write.parquet(out)
+    given = spark.read.parquet(postings)
+    (index.threshold(given, int(least)) if "total" in given.columns else index.postings_to_counts(given, int(least))).write.parquet(out)
     return spark.read.parquet(out)
 
 
 def make_date_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """FOLDER: the part date-counts from the parts counts and corpus (doc_id, year)"""
-    temporal.date_counts(spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/corpus")).write.parquet(f"{folder}/date-counts")
+    """FOLDER: the part date-counts from the part store, or from counts and corpus (doc_id, year)"""
+    if index.STORE in index.parts(spark, folder):
+        found = index.store_curves(spark.read.parquet(f"{folder}/{index.STORE}"))
+    else:
+        found = temporal.date_counts(spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/corpus"))
+    found.write.parquet(f"{folder}/date-counts")
     return _curves(spark, folder)
 
 

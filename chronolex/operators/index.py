@@ -10,6 +10,8 @@ from ..plans.storage import stored
 
 # Names of an index folder's parts, and the order in which they are preferred.
 PARTS = ("corpus", "names", "lengths", "postings", "postings.porter", "counts", "date-counts")
+#: This engine's own part beside them.
+STORE = "store"
 PREFERRED = ("counts+15", "postings", "postings.porter")
 
 
@@ -67,6 +69,52 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("documents")).crossJoin(words.agg(F.countDistinct("term").alias("terms"), F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("words")))
 
 
+def posting_store(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, year, tf, total): each count with its document's year and its term's collection frequency.
+
+    Made once when an index is written, so that thresholds, curves and lookups are filters and one aggregation on the stored table,
+    without joining or shuffling postings. Totals of words of a hundred-thousandth of all rows or more are few and broadcast;
+    the others are too rare to skew their join.
+    """
+    year = F.col("year") if "year" in docs.columns else F.lit(None).cast("int")
+    words = docs.select("doc_id", year.alias("year"), F.explode(tokens(F.col("text"))).alias("term"))
+    rows = stored(words.groupBy("term", "doc_id", "year").agg(F.count("*").alias("tf")), "postings")
+    return with_totals(rows)
+
+
+def with_totals(rows: DataFrame) -> DataFrame:
+    """Postings (term, doc_id, year, tf), read several times, with `total`."""
+    totals = stored(rows.groupBy("term").agg(F.sum("tf").cast("long").alias("total"), F.count("*").alias("n")), "totals")
+    most = totals.agg(F.greatest(F.lit(1), F.floor(F.sum("n") / 100_000))).first()[0] or 1
+    known = rows.join(F.broadcast(totals.where(F.col("n") > most).select("term", "total")), "term", "left")  # 100,000 rows at most
+    rest = known.where(F.col("total").isNull()).drop("total").join(totals.where(F.col("n") <= most).select("term", "total"), "term")
+    names = ["term", "doc_id", "year", "tf", "total"]
+    return known.where(F.col("total").isNotNull()).select(names).unionByName(rest.select(names))
+
+
+def write_store(store: DataFrame, path: str, files: int | None = None) -> None:
+    """A posting store in order of (term, doc_id): ranges of both, so a hot term is spread over several files and each file holds few terms."""
+    ranged = store.repartitionByRange(files, "term", "doc_id") if files else store.repartitionByRange("term", "doc_id")
+    ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
+def merge_stores(stores: list[DataFrame]) -> DataFrame:
+    """One store of several over disjoint documents: their postings, with totals that add up."""
+    return with_totals(concat([s.drop("total") for s in stores]))
+
+
+def threshold(store: DataFrame, least: int) -> DataFrame:
+    """`postings_to_counts` on a store: a filter that reaches the files."""
+    if least < 1:
+        raise ValueError("min_count is 1 at least")
+    return store.where(F.col("total") >= least).select("term", "doc_id", "tf", "total")
+
+
+def store_curves(store: DataFrame) -> DataFrame:
+    """(term, year, tf) of a store: one aggregation, complete in each file but for the terms at its ends."""
+    return store.where("year is not null").groupBy("term", "year").agg(F.sum("tf").alias("tf"))
+
+
 def postings_to_counts(postings: DataFrame, min_count: int, emit: str = "doc_tf") -> DataFrame:
     """Terms whose collection frequency is at least `min_count`. Emits each document's count, or with 'term_total' the term's."""
     if min_count < 1:
@@ -93,12 +141,13 @@ def build_part(docs: DataFrame, part: str, index_dir: str, first: int = 0) -> st
         "postings": lambda: positions(docs),
         "postings.porter": lambda: stemmed_counts(docs),
         "counts": lambda: counts(docs),
+        "store": lambda: posting_store(docs),
     }
     if part not in made:
         raise ValueError(f"unsupported part {part}")
     table = made[part]()
     if "term" in table.columns:
-        table = table.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+        table = table.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")  # a hot term is in several files
     path = f"{index_dir}/{part}" + (f"-{first}" if first else "")
     table.write.mode("overwrite").parquet(path)
     return path

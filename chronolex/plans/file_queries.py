@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import corpus, dedup, index, temporal
+from ..functions import text
+from ..operators import corpus, dedup, index, temporal, textindex
 from ..sources import lists
 from . import queries
 from .queries import FREQ, POST, TOK, WORDS
@@ -19,6 +20,38 @@ def index_part_file(s, d) -> DataFrame:
     return index.open_part(s, folder, ("counts+15", "counts"))
 
 
+def _store(s, d) -> DataFrame:
+    folder = new_path(s, "index")
+    return s.read.parquet(index.build_part(queries.docs(s, d), index.STORE, folder))
+
+
+def store_threshold(s, d) -> DataFrame:
+    """The counts of frequent terms from a written posting store."""
+    return index.threshold(_store(s, d), queries.LEAST)
+
+
+def store_curves(s, d) -> DataFrame:
+    """Curves from a written posting store."""
+    return index.store_curves(_store(s, d))
+
+
+def merged_stores(s, d) -> DataFrame:
+    """Two stores over disjoint documents, written, merged, and written again."""
+    everything, paths = queries.docs(s, d), [new_path(s, "index") for _ in range(3)]
+    for i in range(2):
+        index.build_part(everything.where(f"doc_id % 2 = {i}"), index.STORE, paths[i])
+    index.write_store(index.merge_stores([s.read.parquet(f"{p}/{index.STORE}") for p in paths[:2]]), paths[2])
+    return s.read.parquet(paths[2])
+
+
+def substrings_of_words(s, d) -> DataFrame:
+    """(term, ord): the words that contain each of some thousand substrings: parts' names without their first and last letter."""
+    names = queries.table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("name")).where("length(name) > 3").distinct()
+    asked = names.select(F.xxhash64("name").alias("h"), F.substring("name", F.lit(2), F.length("name") - 2).alias("q")).select("q").distinct()
+    terms = queries.docs(s, d).select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
+    return textindex.containing(terms, asked.select(F.col("q").alias("ord"), "q"))
+
+
 def lengths_part_file(s, d) -> DataFrame:
     folder = new_path(s, "index")
     index.build_part(queries.docs(s, d), "lengths", folder)
@@ -72,10 +105,14 @@ def curves_csv_file(s, d) -> DataFrame:
     return s.read.option("header", True).schema(f"Document string, {columns}").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (index_part_file, lengths_part_file, count_table_lines, word_count_lines, numbered_lines, year_list_files, barrel_file, curves_csv_file)}
+QUERIES = {f.__name__: f for f in (index_part_file, store_threshold, store_curves, merged_stores, substrings_of_words, lengths_part_file, count_table_lines, word_count_lines, numbered_lines, year_list_files, barrel_file, curves_csv_file)}
 
 ORACLE_SQL = {
     "index_part_file": f"WITH {POST} SELECT * FROM post",
+    "store_threshold": queries.ORACLE_SQL["term_totals_having"],
+    "store_curves": queries.ORACLE_SQL["term_year_curve"],
+    "merged_stores": f"WITH {POST} SELECT term, doc_id, CAST(1820 + doc_id % 100 AS INTEGER) AS year, tf, CAST(sum(tf) OVER (PARTITION BY term) AS BIGINT) AS total FROM post",
+    "substrings_of_words": f"WITH {TOK}, v AS (SELECT DISTINCT term FROM tok), n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part), a AS (SELECT DISTINCT lower(substring(name, 2, length(name) - 2)) AS q, substring(name, 2, length(name) - 2) AS ord FROM n WHERE length(name) > 3) SELECT term, ord FROM v JOIN a ON contains(term, q)",
     "lengths_part_file": queries.ORACLE_SQL["doc_lengths"],
     "count_table_lines": f"WITH {FREQ}, t AS (SELECT DISTINCT term FROM freq), y AS (SELECT CAST(unnest(range(1820, 1920)) AS INTEGER) AS y) SELECT t.term AS term, string_agg(CAST(coalesce(tf, 0) AS VARCHAR), ',' ORDER BY y) AS counts FROM t CROSS JOIN y LEFT JOIN freq ON freq.term = t.term AND freq.year = y GROUP BY t.term",
     "word_count_lines": f"WITH {TOK} SELECT term AS word, count(*) AS cnt FROM tok GROUP BY term",

@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import string_hash
+from ..plans.storage import stored
+
+#: Scanned parts of files up to which a row for each is broadcast.
+BROADCAST_PARTS = 500_000
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value): text lines (gz and bz2 by suffix) with their order within the files by name."""
-    raw = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
-    # Ids rise within a task's part of a file: a line's number is its place in the part, after the parts and files before.
-    part = F.shiftright("id", 33).alias("part")
-    counts = raw.groupBy("file", part).agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    keyed = raw.withColumn("part", part).join(F.broadcast(before.select("file", "part", "first", "before")), ["file", "part"])
+    """(ord, value): text lines (gz and bz2 by suffix) with their order within the files by name.
+
+    The files are scanned once. Each scanned part is known by its first byte, and a line by its place in the part; both are stored
+    with the line, so numbers do not depend on how the files were cut, nor on a later scan being cut alike.
+    """
+    place = F.monotonically_increasing_id()  # rises within a task, which reads its parts one after the other
+    scanned = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), place.alias("id"))
+    raw = stored(scanned, "scanned-lines")
+    parts = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each part
+    side = before.select("file", "start", "first", "before")
+    keyed = raw.join(F.broadcast(side) if parts.count() <= BROADCAST_PARTS else side, ["file", "start"])
     return keyed.select((F.col("before") + F.col("id") - F.col("first")).alias("ord"), "value")
 
 

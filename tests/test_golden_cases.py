@@ -77,3 +77,60 @@ def test_inspect_counts_documents_without_words(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         (tmp_path / "none").mkdir()
         inspect(spark, f"{tmp_path}/none")
+
+
+def test_substrings_by_runs_of_characters(spark):
+    terms = ["a", "ab", "abc", "abcabc", "xabcx", "bca", "été", "naïve", ""]
+    queries = ["abc", "ABCA", "b", "bc", "", "zzz", "abz", "té", "ï", "abcabcabc", "c", None]
+    want = {(t, i) for t in terms for i, q in enumerate(queries) if q is not None and q.lower() in t}
+    found = textindex.containing(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(list(enumerate(queries)), "ord int, q string"))
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_many_substrings_are_one_plan(spark):
+    terms = spark.range(3000).selectExpr("concat('w', cast(id * 7919 as string)) as term")
+    queries = spark.range(10_000).selectExpr("cast(id as int) as ord", "cast(id as string) as q")
+    found = textindex.containing(terms, queries)
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    assert size(found) < 1.1 * size(textindex.containing(terms, queries.where("ord < 3")))
+    words = [r.term for r in terms.collect()]
+    assert found.where("ord in (7, 79, 791, 7919)").count() == sum(q in w for w in words for q in ("7", "79", "791", "7919"))
+
+
+def test_a_hot_term_is_in_several_files_and_joins_nothing(spark, tmp_path):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('the w', cast(id % 40 as string)) as text", "cast(1820 + id % 50 as int) as year")
+    index.write_store(index.posting_store(docs), f"{tmp_path}/store", 6)
+    store = spark.read.parquet(f"{tmp_path}/store")
+    assert store.where("term = 'the'").select(F.input_file_name()).distinct().count() >= 2
+    assert {(r.term, r.total) for r in store.select("term", "total").distinct().collect()} == {("the", 5000), *((f"w{i}", 125) for i in range(40))}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(index.threshold(store, 200)) and "GreaterThanOrEqual(total,200)" in plan(index.threshold(store, 200))
+    assert index.threshold(store, 200).count() == 5000
+    curves = plan(index.store_curves(store))
+    assert curves.count("Exchange") == 1 and "Join" not in curves
+    assert {(r.year, r.tf) for r in index.store_curves(store).where("term = 'the'").collect()} == {(1820 + i, 100) for i in range(50)}
+    other = index.posting_store(docs.selectExpr("doc_id + 5000 as doc_id", "'the end' as text", "year"))
+    both = index.merge_stores([store, other])
+    assert both.where("term = 'the'").agg(F.min("total"), F.max("total"), F.count("*")).first()[:] == (10_000, 10_000, 10_000)
+    undated = index.posting_store(docs.drop("year").limit(3))
+    assert index.store_curves(undated).count() == 0 and undated.count() == 6
+
+
+@pytest.mark.parametrize("split", ["1k", "7k", "128m"])
+def test_line_numbers_under_any_split(spark, tmp_path, split):
+    from chronolex.sources import lists
+
+    want, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for k in range(3):
+        rows = [f"file {k} line {i} {'x' * (i % 37)}" for i in range(400)]
+        (tmp_path / f"part{k}.txt").write_text("\n".join(rows) + "\n")
+        want += rows
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        numbered = lists.lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")  # a later scan may be cut in another way
+        assert [(r.ord, r.value) for r in numbered.orderBy("ord").collect()] == list(enumerate(want))
+        assert [r.value for r in lists.line_range(numbered, 399, 2).orderBy("ord").collect()] == want[399:401]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
