@@ -164,8 +164,8 @@ def similar_terms_cli(spark: SparkSession, folder: str, *terms: str) -> DataFram
 
 
 def term_plot_gui(spark: SparkSession, folder: str, term: str, k: str = "20") -> DataFrame:
-    """FOLDER TERM [K]: the curve of TERM and of the K terms closest to it over the documents, without a window"""
-    return similarity.panel(spark.read.parquet(f"{folder}/corpus"), _curves(spark, folder), term.lower(), int(k)).orderBy("rank")
+    """FOLDER TERM|$YYYY [K]: the curve of TERM, or of a step that starts in the year YYYY, and of the K terms closest to it over the documents, without a window"""
+    return similarity.panel(spark.read.parquet(f"{folder}/corpus"), _curves(spark, folder), term, int(k)).orderBy("rank")
 
 
 TASKS = {

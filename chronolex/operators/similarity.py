@@ -9,7 +9,7 @@ from ..functions import kernels
 from ..functions.text import FIRST_YEAR, YEARS
 from ..plans.storage import stored
 from . import index
-from .temporal import curve_of, dense
+from .temporal import curve_of, dense, parse_query, scatter, step_function
 
 #: Places of the document axis that one task warps at a time.
 PART = 4096
@@ -144,7 +144,7 @@ def on_document_axis(docs: DataFrame, terms: list[str] | None = None) -> tuple[D
     axis = places.withColumnRenamed("doc_id", "id")
     placed = docs.join(axis, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("at").alias("doc_id"), "text")
     counts = index.counts(placed).select("term", F.col("doc_id").alias("at"), "tf")
-    return (counts if terms is None else counts.where(F.col("term").isin(terms))), length
+    return (counts if terms is None else counts.where(F.col("term").isin(terms))), length  # of few given terms
 
 
 def word_pairs_by_document(points: DataFrame, length: int, pairs: DataFrame, band: int = 10, part: int = PART, fold: int = FOLD) -> DataFrame:
@@ -175,8 +175,9 @@ def word_pairs_by_document(points: DataFrame, length: int, pairs: DataFrame, ban
 def word_pairs_on_both_axes(docs: DataFrame, curves: DataFrame, pairs: DataFrame) -> DataFrame:
     """Eight scores of each (w1, w2): of `word_pairs` over the years and, as document_squared etc., over all documents (doc_id, text); null where a word is missing."""
     keys, names = ["w1", "w2"], ["squared", "cosine", "js", "dtw"]
-    words = [w for w in {r[k] for r in pairs.select(*keys).collect() for k in keys} if w is not None]  # the words of the given pairs
-    points, length = on_document_axis(docs, words)
+    words = pairs.select(F.explode(F.array(*keys)).alias("term")).where("term is not null").distinct()
+    points, length = on_document_axis(docs)
+    points = points.join(words, "term", "left_semi")
     documents = word_pairs_by_document(points, length, pairs.select(*keys)).select(*keys, *(F.col(n).alias(f"document_{n}") for n in names))
     years = word_pairs(curves, pairs.select(*keys)).select(*keys, *names)
     return pairs.join(years.distinct(), keys, "left").join(documents.distinct(), keys, "left")
@@ -246,19 +247,20 @@ def _join_costs(costs: DataFrame, keys: list[str], length: int, band: int, part:
     return costs.select(*keys, (0.0 - F.element_at("costs", band * width + band + 1)).alias("dtw"))
 
 
-def similar_by_document(points: DataFrame, length: int, query: str, k: int = 20, band: int = 10, part: int = PART, terms_at_once: int = 16, fold: int = FOLD) -> DataFrame:
-    """(rank, term, score): the k terms, the query's own among them, whose document curves warp to the query's at least cost.
+def similar_by_document(points: DataFrame, length: int, query: str | DataFrame, k: int = 20, band: int = 10, part: int = PART, terms_at_once: int = 16, fold: int = FOLD, first: int = 0) -> DataFrame:
+    """(rank, term, score): the k terms whose document curves warp at least cost to the query's: a term's (which is itself ranked), or a curve
+    given as a table (at, q) of its places that are not zero.
 
-    Only terms whose least possible cost is beyond the k-th cost of some others are left
-    out before warping: every place of the query must meet a count within the band, and
-    every count a place of the query. A task warps some terms over one part of the axis.
+    A term's least possible cost is an envelope bound in both directions: every place of the query must meet a count within the band, and
+    every count a place of the query. Terms are warped in rounds in order of that bound, `first` of them (2k if 0), then each time as many as before:
+    a round takes only terms whose bound is within the k-th cost so far, and the first round without any is the last. A task warps some terms over one part of the axis.
     """
     import numpy as np
     import pyarrow as pa
 
     points = stored(points, "document-points")
     spark, width = points.sparkSession, 2 * band + 1
-    own = points.where(F.col("term") == query).select("at", F.col("tf").alias("q"))
+    own = points.where(F.col("term") == query).select("at", F.col("tf").alias("q")) if isinstance(query, str) else stored(query.select("at", F.col("q").cast("long").alias("q")).where("q <> 0"), "query-points")
     weight = own.agg(F.sum("q")).first()[0] or 0
     near = own.select(F.explode(F.sequence(F.col("at") - band, F.col("at") + band)).alias("at"), "q").groupBy("at").agg(F.collect_list("q").alias("near"))
     tf, none = F.col("tf"), F.lit(0).cast("long")
@@ -313,19 +315,40 @@ def similar_by_document(points: DataFrame, length: int, query: str, k: int = 20,
         found = _join_costs(groups.mapInArrow(warped(terms), "number long, part int, costs array<double>"), ["number"], length, band, part, fold)
         return stored(found.join(side, "number").select("term", F.col("dtw").alias("score")), label)
 
-    some = stored(least.orderBy("least", "term").limit(2 * k), "first-terms")
-    known = costs(some.select("term"), "first-scores")
-    kth = known.orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
-    rest = least.join(some.select("term"), "term", "left_anti")
-    if kth["n"] == k:
-        rest = rest.where(F.col("least") <= -kth["score"])
-    return best(known.unionByName(costs(stored(rest.select("term"), "further-terms"), "further-scores")), k)
-
-
-def panel(docs: DataFrame, curves: DataFrame, query: str, k: int = 20) -> DataFrame:
-    """(rank, term, score, curve): the query's yearly curve (rank 0), then those of its k closest terms by warping over the document axis."""
+    known, size, upto = None, first or 2 * k, None
+    while True:
+        rest = least
+        if known is not None:
+            kth = known.orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
+            rest = least.where((F.col("least") > upto["least"]) | ((F.col("least") == upto["least"]) & (F.col("term") > upto["term"])))
+            rest = rest.where(F.col("least") <= -kth["score"]) if kth["n"] == k else rest
+        some = stored(rest.orderBy("least", "term").limit(size), "round-terms")
+        upto = some.orderBy(F.desc("least"), F.desc("term")).first()
+        if upto is None:
+            return best(known if known is not None else points.select("term", F.lit(0.0).alias("score")).limit(0), k)
+        scores = costs(some.select("term"), "round-scores")
+        known = scores if known is None else known.unionByName(scores)
+        size = size if size == (first or 2 * k) and known is scores else 2 * size
+
+
+def panel(docs: DataFrame, curves: DataFrame, query: str, k: int = 20, weight: int = 150) -> DataFrame:
+    """(rank, term, score, curve): the query's yearly curve (rank 0), then those of its k closest terms by warping over the document axis.
+
+    A query `$YYYY` with a year of the domain is a step: `weight` for that year and each later one, spread evenly over the year's documents
+    (doc_id, text, year), what is left of the division dropped.
+    """
+    spark = docs.sparkSession
+    kind, asked = parse_query(query)
     points, length = on_document_axis(docs)
-    top = similar_by_document(points, length, query, k)
+    if kind == "step":
+        spread = stored(scatter(spark, step_function(spark, asked, weight), docs), "step-query")
+        places, _ = index.ranked(docs, "doc_id")
+        curve = spread.join(places, "doc_id").groupBy("at").agg(F.max("tf").alias("q"))
+        by_year = {r["year"]: r["tf"] for r in spread.groupBy("year").agg(F.sum("tf").alias("tf")).collect()}  # a row a year
+        line = [by_year.get(FIRST_YEAR + i, 0) for i in range(YEARS)]
+        top = similar_by_document(points, length, curve, k)
+    else:
+        line, top = curve_of(curves, asked), similar_by_document(points, length, asked, k)
     found = dense(curves.join(F.broadcast(top.select("term")), "term")).join(F.broadcast(top), "term")
-    own = docs.sparkSession.createDataFrame([(0, query, None, ",".join(map(str, curve_of(curves, query))))], "rank int, term string, score double, curve string")
+    own = spark.createDataFrame([(0, query if kind == "step" else asked, None, ",".join(map(str, line)))], "rank int, term string, score double, curve string")
     return own.unionByName(found.select("rank", "term", "score", F.array_join("curve", ",").alias("curve")))

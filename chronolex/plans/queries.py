@@ -164,6 +164,11 @@ def search_panel(s, d):
     return similarity.panel(docs(s, d), curves(s, d), QUERY, 20)
 
 
+def search_panel_of_a_step(s, d):
+    """The same for the step function that starts in 1870."""
+    return similarity.panel(docs(s, d), curves(s, d), "$1870", 20)
+
+
 # --- text index ----------------------------------------------------------------------
 
 
@@ -307,7 +312,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         postings_counts, term_totals_having, doc_lengths, vocab_stats, positions_postings, concat_postings, stemmed_postings, term_year_curve, dated_search_topk, hits_by_year,
-        docs_of_year, curve_dense, curves_csv, year_prob, step_function_scatter, similar_dtw_parts, quantized_topk, word_pair_scores, word_pair_scores_by_document, word_pair_scores_on_both_axes, search_panel,
+        docs_of_year, curve_dense, curves_csv, year_prob, step_function_scatter, similar_dtw_parts, quantized_topk, word_pair_scores, word_pair_scores_by_document, word_pair_scores_on_both_axes, search_panel, search_panel_of_a_step,
         txt_create_threshold, txt_exact, txt_matching, txt_find_similar, txt_find_different, moving_average, curve_summary_stats, token_filter, token_normaliser, year_resolver_retrieval,
         year_resolver_census, census_counters, dated_books, sample_list, shard_lines, dup_overlap_pairs, dup_members, dup_pairs_full, dup_titles, barrel_compare, unique_sample, kmeans_two_pass, parse_tags,
     )

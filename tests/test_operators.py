@@ -213,8 +213,23 @@ def test_search_panel_warps_over_the_document_axis(spark):
     points, length = similarity.on_document_axis(spark.read.parquet(f"{sf}/documents.parquet"))
     small = similarity.similar_by_document(points, length, "the", part=16, terms_at_once=5, fold=3)  # more levels of parts
     assert [(r["rank"], r.term, r.score) for r in small.orderBy("rank").collect()] == [(i + 1, t, -cost[t]) for i, t in enumerate(want)]
+    one_by_one = similarity.similar_by_document(points, length, "the", first=3)  # rounds of three, six, ... terms
+    assert [(r["rank"], r.term, r.score) for r in one_by_one.orderBy("rank").collect()] == [(i + 1, t, -cost[t]) for i, t in enumerate(want)]
     for r in got:
         curve = [0] * 100
         for i, n in zip(ids, plain[r.term], strict=True):
             curve[i % 100] += int(n)
         assert r.curve == ",".join(map(str, curve))
+
+
+def test_search_panel_of_a_step(spark):
+    sf = "/root/testdata/sf0.001"
+    plain, ids = by_document(spark, sf), sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    size = Counter(i % 100 for i in ids)
+    query = np.array([float(150 // size[i % 100]) if i % 100 >= 50 else 0.0 for i in ids])
+    names = sorted(plain)
+    cost = dict(zip(names, dtw(query, np.array([plain[t] for t in names])), strict=True))
+    want = sorted(names, key=lambda t: (cost[t], t))[:20]
+    got = sorted(registry.QUERIES["search_panel_of_a_step"](spark, sf).collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r.term, r.score) for r in got] == [(0, "$1870", None)] + [(i + 1, t, -cost[t]) for i, t in enumerate(want)]
+    assert got[0].curve == ",".join(str(150 // size[i] * size[i] if i >= 50 else 0) for i in range(100))
