@@ -92,7 +92,12 @@ def gibibytes(n: Column) -> Column:
 
 
 def string_hash(word: Column) -> Column:
-    """The 31-polynomial 32-bit hash of a word of ASCII characters."""
-    chars = F.split(word, "")
-    total = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """The 31-polynomial 32-bit hash of a word's UTF-16 units, as the JVM has it."""
+    add = lambda h, unit: (h * 31 + unit).bitwiseAND(F.lit(0xFFFFFFFF))
+    zero = F.lit(0).cast("long")
+    plain = F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), zero, lambda h, c: add(h, F.ascii(c)))
+    units = F.hex(F.encode(word, "UTF-16BE"))
+    at = F.filter(F.sequence(F.lit(0), F.length(units) - 1, F.lit(4)), lambda i: i < F.length(units))
+    wide = F.aggregate(at, zero, lambda h, i: add(h, F.conv(F.substring(units, i + 1, F.lit(4)), 16, 10).cast("long")))
+    total = F.when(word.rlike(r"^[\x00-\x7F]+$"), plain).when(word == "", zero).otherwise(wide)
     return F.when(total >= 1 << 31, total - (1 << 32)).otherwise(total).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import corpus, dedup, index, temporal, textindex
-from ..sources import lists
+from ..sources import book_functions, lists
 from . import queries
 from .queries import FREQ, POST, TOK, WORDS
 from .storage import new_path
@@ -98,6 +98,60 @@ def barrel_file(s, d) -> DataFrame:
     return lists.read_barrels(s, path).select("idx", F.size("words").cast("long").alias("words"), total.alias("hashes"))
 
 
+def barrel_binary_file(s, d) -> DataFrame:
+    """The same by way of gzipped binary barrels."""
+    path = new_path(s, "words.barrel")
+    lists.write_barrel(dedup.documents(queries.table(s, d, "documents")), path, binary=True)
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda t, w: t + w.cast("long"))
+    return lists.read_barrels(s, path).select("idx", F.size("words").cast("long").alias("words"), total.alias("hashes"))
+
+
+def _books(s, d) -> DataFrame:
+    """(doc_id, content): documents as book XML: metadata, then their words, a line break after every 50th."""
+    words = F.filter(text.tokens(F.col("text")), lambda w: w != "")
+    body = F.array_join(F.transform(words, lambda w, i: F.concat(F.lit('<w c="<'), i, F.lit('>">'), w, F.lit("</w>"), F.when(i % 50 == 49, "<lb />").otherwise(" "))), "")
+    head = F.concat(F.lit("<metadata><identifier>"), "doc_id", F.lit("</identifier><source> A &amp; "), F.coalesce("source", F.lit("")), F.lit("&#8212; </source><source>two</source></metadata><text>"))
+    return queries.table(s, d, "documents").select("doc_id", F.concat(head, F.coalesce(body, F.lit("")), F.lit("</text>")).cast("binary").alias("content"))
+
+
+def book_words(s, d) -> DataFrame:
+    """(doc_id, position, word): every word of every book."""
+    return book_functions.with_rows(_books(s, d), book_functions.book_words)
+
+
+def book_lines(s, d) -> DataFrame:
+    """(doc_id, line, text): every line of every book."""
+    return book_functions.with_rows(_books(s, d), book_functions.book_lines)
+
+
+def book_metadata(s, d) -> DataFrame:
+    """(doc_id, identifier, source): the metadata block; a repeated tag's values are joined."""
+    maps = book_functions.as_map(book_functions.with_rows(_books(s, d), book_functions.book_metadata), "doc_id")
+    return maps.select("doc_id", *(F.col("metadata")[k].alias(k) for k in ("identifier", "source")))
+
+
+def id_path_lines(s, d) -> DataFrame:
+    """(id, path) of the lines of two fields, and their numbers in a range of lines."""
+    path = new_path(s, "id-paths")
+    i = F.col("o_orderkey")
+    line = F.concat_ws(" ", i, F.concat(F.lit("x/"), i), F.when(i % 5 == 0, "more"))
+    queries.table(s, d, "orders").select(i, line.alias("value")).repartitionByRange(5, i).sortWithinPartitions(i).select("value").write.text(path)
+    return lists.id_paths(lists.line_range(lists.lines(s, path), 100, 1000))
+
+
+def word_pair_lines(s, d) -> DataFrame:
+    """(w1, w2, human) of lines of two words and a number."""
+    path = new_path(s, "pairs")
+    line = F.format_string(" %s  %s %s", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_size").cast("string"))
+    queries.table(s, d, "part").select(F.regexp_replace(line, "#", "").alias("value")).write.text(path)
+    return lists.word_pairs(s.read.text(path))
+
+
+def titled_documents(s, d) -> DataFrame:
+    """(idx, title, n): documents that are admitted for having words and a title."""
+    return dedup.documents(queries.table(s, d, "documents"), titled=True).select("idx", "title", F.size("words").cast("long").alias("n"))
+
+
 def curves_csv_file(s, d) -> DataFrame:
     path = new_path(s, "csv")
     lists.write_csv(temporal.curves_csv(queries.curves(s, d), ["the", "of", "die"]), path, "gzip")
@@ -105,7 +159,7 @@ def curves_csv_file(s, d) -> DataFrame:
     return s.read.option("header", True).schema(f"Document string, {columns}").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (index_part_file, store_threshold, store_curves, merged_stores, substrings_of_words, lengths_part_file, count_table_lines, word_count_lines, numbered_lines, year_list_files, barrel_file, curves_csv_file)}
+QUERIES = {f.__name__: f for f in (index_part_file, store_threshold, store_curves, merged_stores, substrings_of_words, lengths_part_file, count_table_lines, word_count_lines, numbered_lines, year_list_files, barrel_file, barrel_binary_file, book_words, book_lines, book_metadata, id_path_lines, word_pair_lines, titled_documents, curves_csv_file)}
 
 ORACLE_SQL = {
     "index_part_file": f"WITH {POST} SELECT * FROM post",
@@ -120,5 +174,12 @@ ORACLE_SQL = {
     "year_list_files": "SELECT 'books/' || CAST(doc_id AS VARCHAR) AS path, CAST(1825 + doc_id % 100 AS INTEGER) AS year FROM documents WHERE doc_id % 100 <= 95",
     "barrel_file": f"""WITH {WORDS}, n AS (SELECT idx, unnest(words) AS w FROM d), v AS (SELECT w, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM (SELECT DISTINCT w FROM n))
         SELECT idx, count(*) AS words, CAST(sum(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS BIGINT) AS hashes FROM n JOIN v USING (w) GROUP BY idx""",
+    "book_words": "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents) SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS position, unnest(ws) AS word FROM t",
+    "book_lines": "WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[a-z0-9]+'), []) AS ws FROM documents), l AS (SELECT doc_id, ws, unnest(range(len(ws) // 50 + 1)) AS i FROM t) SELECT doc_id, CAST(i AS INTEGER) AS line, array_to_string(ws[i * 50 + 1 : i * 50 + 50], ' ') AS text FROM l",
+    "book_metadata": "SELECT doc_id, CAST(doc_id AS VARCHAR) AS identifier, ' A & ' || coalesce(source, '') || ' ' || chr(10) || 'two' AS source FROM documents",
+    "id_path_lines": "WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT CAST(k AS VARCHAR) AS id, 'x/' || CAST(k AS VARCHAR) AS path FROM o WHERE i BETWEEN 100 AND 1099 AND k % 5 <> 0",
+    "word_pair_lines": "SELECT replace(p_brand, '#', '') AS w1, split_part(p_name, ' ', 1) AS w2, CAST(p_size AS DOUBLE) AS human FROM part",
+    "titled_documents": f"WITH {WORDS} SELECT idx, title, len(words) AS n FROM d WHERE title <> ''",
     "curves_csv_file": queries.ORACLE_SQL["curves_csv"],
 }
+ORACLE_SQL["barrel_binary_file"] = ORACLE_SQL["barrel_file"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import string_hash
 from ..plans.storage import stored
+from . import barrels
 
 #: Scanned parts of files up to which a row for each is broadcast.
 BROADCAST_PARTS = 500_000
@@ -102,22 +103,17 @@ def parse_barrel(raw: bytes) -> list[tuple[int, list[int]]]:
     return out
 
 
-def write_barrel(docs: DataFrame, path: str) -> None:
-    """(idx, words) as a Parquet barrel: words become their hashes as text, as `read_barrels` gives them. `string_hash` is that of ASCII words."""
-    docs.select("idx", F.transform("words", lambda w: string_hash(w).cast("string")).alias("words")).write.mode("overwrite").parquet(path)
+def write_barrel(docs: DataFrame, path: str, binary: bool = False) -> None:
+    """(idx, words) as a barrel of the words' hashes: a Parquet one, where they are text as `read_barrels` gives them, or gzipped binary files in the folder `path`."""
+    hashes = docs.select("idx", F.transform("words", string_hash).alias("hashes"))
+    if binary:
+        barrels.write(hashes, path)
+    else:
+        hashes.select("idx", F.transform("hashes", lambda h: h.cast("string")).alias("words")).write.mode("overwrite").parquet(path)
 
 
-def read_barrels(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, words) of legacy barrel files (plain or gzipped; names with .barrel) or of a Parquet barrel; words are their hashes as text."""
-    if ".barrel" not in path.rsplit("/", 1)[-1]:
-        return spark.read.parquet(path).select("idx", "words")
-    import gzip
-
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, [str(x) for x in h]) for raw in pdf["content"] for i, h in parse_barrel(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else bytes(raw))]
-            yield pd.DataFrame(rows, columns=["idx", "words"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "idx long, words array<string>")
+def read_barrels(spark: SparkSession, path: str, binary: bool | None = None) -> DataFrame:
+    """(idx, words) of binary barrel files (a file, or a folder of them; names with .barrel) or of a Parquet barrel; words are their hashes as text."""
+    if binary if binary is not None else ".barrel" in path.rstrip("/").rsplit("/", 1)[-1]:
+        return barrels.read(spark, path).select(F.col("idx").cast("long").alias("idx"), F.transform("hashes", lambda h: h.cast("string")).alias("words"))
+    return spark.read.parquet(path).select("idx", "words")
