@@ -6,10 +6,11 @@ level keeps a bitmap that says which of its entries go on in the next level, and
 rank directory (set bits before every 512th bit), so `get(i)` follows one entry from
 level to level without decoding any other.
 
-File: segments of about a MB of text each, then a footer with the segments' byte and
-token positions and the documents' ids and lengths, then the footer's length. A file
-holds one range of document ids; its documents are in ascending order of id, nulls
-first.
+File: segments of about a MB of text each, then arrays of fixed width: the segments' byte
+and token positions, the tokens before each document, the documents' ids and which of them
+are null; then where these begin and how many there are. So a token or a document is found
+by reading a few entries. A file holds one range of document ids, of about `FILE_BYTES` of
+text; its documents are in ascending order of id, nulls first.
 
 Cases: null text is an empty text and still gets its end id. A repeated doc_id gives
 a document of its own for each row, ordered by a hash of the text, then the text; the
@@ -21,9 +22,9 @@ Further columns are ignored. A text longer than a segment is a segment.
 from __future__ import annotations
 
 import io
-import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from .common import scratch, slices, stored
 from .tokens import encoder
 
 CHUNK_BITS, RANK_STEP, MAGIC = 8, 512, b"CLXDAC01"
+#: Text bytes and documents of a file, at most about; text bytes from which a table has as many files as the cluster has cores.
+FILE_BYTES, FILE_ROWS, LEAST_BYTES = 64 << 20, 2_000_000, 4 << 20
 
 
 class Codes:
@@ -121,63 +124,91 @@ class Writer:
         sink.write(MAGIC)
         self.segments: list[tuple[int, int, int]] = []
         self.tokens = 0
-        self.ids: list[int | None] = []
-        self.lengths: list[int] = []
+        self.ids, self.nulls, self.starts = array("q"), array("b"), array("q", [0])
 
     def add(self, ids: list[int | None], packed: list[bytes]) -> None:
         raw = Codes.of(np.frombuffer(b"".join(packed), "<u4")).dump()
         self.segments.append((self.at, len(raw), self.tokens))
         self.sink.write(raw)
         self.at += len(raw)
-        self.ids += ids
-        self.lengths += [len(p) // 4 for p in packed]
-        self.tokens += sum(len(p) // 4 for p in packed)
+        self.ids.extend(i or 0 for i in ids)
+        self.nulls.extend(i is None for i in ids)
+        self.starts.extend((self.tokens + np.cumsum([len(p) // 4 for p in packed])).tolist())
+        self.tokens = self.starts[-1]
 
     def close(self) -> None:
-        footer = zlib.compress(json.dumps({"segments": self.segments, "ids": self.ids, "lengths": self.lengths, "tokens": self.tokens}).encode(), 1)
-        self.sink.write(footer + np.array([len(footer)], "<u8").tobytes())
+        """Arrays of fixed width, then where they begin and how many there are: any entry is found by its place."""
+        for part in (np.array(self.segments, "<u8"), np.array(self.starts, "<u8"), np.array(self.ids, "<i8"), np.array(self.nulls, np.uint8)):
+            self.sink.write(part.tobytes())
+        self.sink.write(np.array([self.at, len(self.segments), len(self.ids)], "<u8").tobytes())
 
 
 class Reader:
-    """Random access to the tokens and documents of one file."""
+    """Random access to the tokens and documents of one file; a single token or document reads only the bytes it touches, besides a row for each segment."""
 
     def __init__(self, source) -> None:
         self.source = source
         source.seek(0, io.SEEK_END)
-        size = source.tell()
-        (length,) = np.frombuffer(self._read(size - 8, 8), "<u8")
-        self.meta = json.loads(zlib.decompress(self._read(size - 8 - int(length), int(length))))
-        self.first = np.array([s[2] for s in self.meta["segments"]], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(np.array(self.meta["lengths"], np.int64))])
+        self.footer, segments, self.n_documents = (int(x) for x in np.frombuffer(self._read(source.tell() - 24, 24), "<u8"))
+        self.segments = np.frombuffer(self._read(self.footer, 24 * segments), "<u8").astype(np.int64).reshape(-1, 3)  # place, bytes, tokens before
+        self.after = self.footer + 24 * segments
+        self.first = self.segments[:, 2]
         self.held: tuple[int, Codes | None] = (-1, None)
 
     def _read(self, at: int, n: int) -> bytes:
         self.source.seek(at)
         return self.source.read(n)
 
+    def starts(self, a: int, b: int) -> np.ndarray:
+        """Tokens before the documents a to b - 1 (before the end for the number of documents)."""
+        return np.frombuffer(self._read(self.after + 8 * a, 8 * (b - a)), "<u8").astype(np.int64)
+
+    def ids(self, a: int, b: int) -> list[int | None]:
+        at = self.after + 8 * (self.n_documents + 1)
+        ids = np.frombuffer(self._read(at + 8 * a, 8 * (b - a)), "<i8").tolist()
+        nulls = self._read(at + 8 * self.n_documents + a, b - a)
+        return [None if null else i for i, null in zip(ids, nulls, strict=True)]
+
     def _codes(self, segment: int) -> Codes:
         if self.held[0] != segment:
-            at, n, _ = self.meta["segments"][segment]
+            at, n, _ = self.segments[segment].tolist()
             self.held = segment, Codes.load(self._read(at, n))
         return self.held[1]
 
     def token(self, i: int) -> int:
+        """One token: of each level a chunk, a bit, and the rank of the bit from the directory and one block of bits."""
         k = int(np.searchsorted(self.first, i, side="right")) - 1
-        return self._codes(k).get(i - int(self.first[k]))
+        at, value, i = int(self.segments[k, 0]), 0, i - int(self.first[k])
+        (levels,) = np.frombuffer(self._read(at, 8), "<u8")
+        at += 8
+        for level in range(int(levels)):
+            chunks, bitmap, ranks = (int(x) for x in np.frombuffer(self._read(at, 24), "<u8"))
+            if i >= chunks:
+                raise IndexError(i)
+            value |= self._read(at + 24 + i, 1)[0] << (CHUNK_BITS * level)
+            bits, block = at + 24 + chunks, i // RANK_STEP
+            inside = self._read(bits + block * (RANK_STEP // 8), i // 8 - block * (RANK_STEP // 8) + 1)
+            if not inside[-1] >> (i % 8) & 1:
+                break
+            (before,) = np.frombuffer(self._read(bits + bitmap + 8 * block, 8), "<u8")
+            i = int(before) + sum(x.bit_count() for x in inside[:-1]) + (inside[-1] & ((1 << (i % 8)) - 1)).bit_count()
+            at = bits + bitmap + 8 * ranks
+        return value
 
     def document(self, d: int) -> np.ndarray:
         """Ids of the d-th document of the file; a document never spans segments."""
-        a, b = int(self.starts[d]), int(self.starts[d + 1])
+        a, b = self.starts(d, d + 2).tolist()
         k = int(np.searchsorted(self.first, a, side="right")) - 1
         return self._codes(k).range(a - int(self.first[k]), b - int(self.first[k]))
 
-    def documents(self) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """All documents in order, a segment at a time: (number of the first, ids of each)."""
-        cuts = [*np.searchsorted(self.starts[:-1], self.first).tolist(), len(self.starts) - 1]
+    def documents(self) -> Iterator[tuple[np.ndarray, list[int | None], list[np.ndarray]]]:
+        """All documents in order, a segment at a time: (tokens before each and before the end, document ids, token ids)."""
+        starts = self.starts(0, self.n_documents + 1)
+        cuts = [*np.searchsorted(starts[:-1], self.first).tolist(), self.n_documents]
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            codes, bounds = self._codes(k), (self.starts[a : b + 1] - self.first[k]).tolist()
+            codes, bounds = self._codes(k), (starts[a : b + 1] - self.first[k]).tolist()
             ids = codes.range(0, len(codes)).astype("<u4", copy=False)
-            yield a, [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield starts[a : b + 1], self.ids(a, b), [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -218,7 +249,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, segmen
             yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "file": [f"{folder}/{name}"], "tokens": pa.array([out.tokens], pa.int64()), "documents": pa.array([len(out.ids)], pa.int64())})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    tasks = min(docs.sparkSession.sparkContext.defaultParallelism, -(-size["bytes"] // LEAST_BYTES))  # for small tables
+    files = max(1, tasks, -(-size["bytes"] // FILE_BYTES), -(-size["rows"] // FILE_ROWS))
+    ordered = ordered.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return stored(ordered.mapInArrow(shard, "shard int, file string, tokens long, documents long"), "token-manifest")
 
 
@@ -239,15 +273,13 @@ def read(manifest: DataFrame) -> DataFrame:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, path = _filesystem(file)
                 with system.open_input_file(path) as source:
-                    r = Reader(source)
-                    for a, found in r.documents():
-                        b = a + len(found)
+                    for starts, ids, found in Reader(source).documents():
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(r.meta["ids"][a:b], pa.int64()),
-                                pa.array(r.starts[a:b] + base, pa.int64()),
-                                pa.array(r.starts[a + 1 : b + 1] - r.starts[a:b], pa.int64()),
-                                pa.array([zlib.crc32(ids) for ids in found], pa.int64()),
+                                pa.array(ids, pa.int64()),
+                                pa.array(starts[:-1] + base, pa.int64()),
+                                pa.array(np.diff(starts), pa.int64()),
+                                pa.array([zlib.crc32(x) for x in found], pa.int64()),
                             ],
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )

@@ -9,7 +9,8 @@ smaller than that of any part, so lower bins cannot hold it. What is reported th
 depends on k, the queries and the number of tasks, not on the number of vectors.
 
 Queries are taken in blocks of bounded size, each broadcast to a full parallel pass;
-neither scores nor vectors are shuffled.
+neither scores nor vectors are shuffled. A block's rows are stored before the next one
+begins, so the result is one table however many blocks there are.
 
 Cases: vectors that are null or hold null or non-finite components take no part, neither
 do rows without id. A vector is compared with those of its own length only. Fewer
@@ -29,6 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scratch
+
+FOUND = "query_id long, rank int, vec_id long, score long"
 BINS, QUERY_BLOCK, CELLS = 4096, 2048, 1 << 22
 
 
@@ -58,7 +62,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, bins:
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     is_query = F.col("vec_id") % every == 0
     lengths = vectors.groupBy(F.size("v").alias("width")).agg(F.max(norm).alias("reach"), F.count_if(is_query).alias("queries")).where("queries > 0").orderBy("width").collect()
-    parts = []
+    folder, found = scratch(spark, "top-k"), False
     for width, reach, edges in lengths:  # one, unless vectors differ in length
         alike = vectors.where(F.size("v") == width)
         blocks = max(1, -(-edges // query_block))
@@ -67,11 +71,9 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, bins:
             block = alike.where(is_query & (block_of == b)).distinct().orderBy("vec_id", "v").collect()  # about query_block rows
             if block:
                 ids = np.array([r["vec_id"] for r in block], np.int64)
-                parts.append(_block(alike, ids, np.array([r["v"] for r in block], np.int64), width, float(np.sqrt(reach)), k, bins))
-    out = parts[0] if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+                _block(alike, ids, np.array([r["v"] for r in block], np.int64), width, float(np.sqrt(reach)), k, bins).write.mode("append").parquet(folder)
+                found = True
+    return spark.read.schema(FOUND).parquet(folder) if found else spark.createDataFrame([], FOUND)
 
 
 def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, width: int, longest: float, k: int, bins: int) -> DataFrame:

@@ -152,15 +152,35 @@ def test_codes_give_any_token():
     assert len(token_store.Codes.of(np.zeros(0, np.uint32))) == 0
 
 
-def test_reader_random_access(spark, sf):
+class Counting:
+    """A source that counts what is read from it."""
+
+    def __init__(self, source):
+        self.source, self.bytes, self.seek, self.tell = source, 0, source.seek, source.tell
+
+    def read(self, n):
+        raw = self.source.read(n)
+        self.bytes += len(raw)
+        return raw
+
+
+def test_reader_random_access(spark, sf, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_ROWS", 15)
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
-    manifest = token_store.write(docs, scratch(spark, "ids"), queries.tokenizer_path(), 2, segment_bytes=5000)
+    manifest = token_store.write(docs, scratch(spark, "ids"), queries.tokenizer_path(), 2, segment_bytes=50_000)
+    assert manifest.count() >= 3
     for f in manifest.collect():
         system, path = token_store._filesystem(f.file)
         with system.open_input_file(path) as source:
             r = token_store.Reader(source)
             whole = np.concatenate([r.document(d) for d in range(f.documents)])
             assert len(whole) == f.tokens and [r.token(i) for i in range(0, f.tokens, 101)] == whole[::101].tolist()
+            assert r.ids(0, f.documents) == sorted(r.ids(0, f.documents))
+            few = token_store.Reader(Counting(source))
+            few.token(f.tokens - 1)
+            assert few.source.bytes < 600 < f.tokens
+            with pytest.raises(IndexError):
+                r.token(f.tokens)
 
 
 def check_packing(rows, capacity):
