@@ -9,7 +9,7 @@ from ..functions.text import tokens
 from ..plans.storage import stored
 
 # Names of an index folder's parts, and the order in which they are preferred.
-PARTS = ("corpus", "names", "lengths", "postings", "postings.porter", "counts", "date-counts")
+PARTS = ("corpus", "names", "lengths", "extents", "postings", "postings.porter", "counts", "date-counts")
 #: This engine's own part beside them.
 STORE = "store"
 PREFERRED = ("counts+15", "postings", "postings.porter")
@@ -63,6 +63,28 @@ def names(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.coalesce("identifier", number) if "identifier" in docs.columns else number).alias("name"))
 
 
+#: Word places of one bin, by which places and intervals meet.
+BIN = 64
+
+
+def extents(docs: DataFrame) -> DataFrame:
+    """(tag, doc_id, begin, end): intervals of word places of the elements of `content`, a book's bytes; without that column there are none."""
+    if "content" not in docs.columns:
+        return docs.select(F.lit("").alias("tag"), "doc_id", F.lit(0).alias("begin"), F.lit(0).alias("end")).limit(0)
+    from ..sources.book_functions import book_extents, with_rows
+
+    return with_rows(docs.select("doc_id", "content"), book_extents).select("tag", "doc_id", "begin", "end")
+
+
+def inside(postings: DataFrame, intervals: DataFrame, tag: str) -> DataFrame:
+    """(term, doc_id, tf): how often a term of `postings` (term, doc_id, positions) stands inside a tag. Places and intervals meet by document and bin; a place inside several intervals counts once."""
+    last = F.floor((F.col("end") - 1) / BIN)
+    bins = intervals.where((F.col("tag") == tag) & (F.col("end") > F.col("begin"))).select("doc_id", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / BIN), last)).alias("bin"))
+    places = postings.select("term", "doc_id", F.explode("positions").alias("place")).withColumn("bin", F.floor(F.col("place") / BIN))
+    met = places.join(bins, ["doc_id", "bin"]).where((F.col("place") >= F.col("begin")) & (F.col("place") < F.col("end")))
+    return met.select("term", "doc_id", "place").distinct().groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """Documents, distinct terms and words of a corpus, in one row."""
     words = counts(docs)
@@ -141,11 +163,14 @@ def build_part(docs: DataFrame, part: str, index_dir: str, first: int = 0) -> st
         "postings": lambda: positions(docs),
         "postings.porter": lambda: stemmed_counts(docs),
         "counts": lambda: counts(docs),
+        "extents": lambda: extents(docs),
         "store": lambda: posting_store(docs),
     }
     if part not in made:
         raise ValueError(f"unsupported part {part}")
     table = made[part]()
+    if part == "extents":
+        table = table.repartitionByRange("tag", "doc_id").sortWithinPartitions("tag", "doc_id", "begin")
     if "term" in table.columns:
         table = table.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")  # a hot term is in several files
     path = f"{index_dir}/{part}" + (f"-{first}" if first else "")

@@ -130,6 +130,15 @@ def book_metadata(s, d) -> DataFrame:
     return maps.select("doc_id", *(F.col("metadata")[k].alias(k) for k in ("identifier", "source")))
 
 
+def words_inside_a_tag(s, d) -> DataFrame:
+    """(term, doc_id, tf): words inside <hi>, the third to seventh of every ten of a book, by the written part `extents`."""
+    words = F.filter(text.tokens(F.col("text")), lambda w: w != "")
+    marked = F.transform(words, lambda w, i: F.concat(F.when(i % 10 == 2, "<hi>").otherwise(""), F.lit("<w>"), w, F.lit("</w>"), F.when(i % 10 == 6, "</hi>").otherwise("")))
+    docs = queries.table(s, d, "documents").select("doc_id", "text", F.concat(F.lit("<text>"), F.coalesce(F.array_join(marked, " "), F.lit("")), F.lit("</text>")).cast("binary").alias("content"))
+    path = index.build_part(docs, "extents", new_path(s, "index"))
+    return index.inside(index.positions(docs), s.read.parquet(path), "hi")
+
+
 def id_path_lines(s, d) -> DataFrame:
     """(id, path) of the lines of two fields, and their numbers in a range of lines."""
     path = new_path(s, "id-paths")
@@ -159,7 +168,7 @@ def curves_csv_file(s, d) -> DataFrame:
     return s.read.option("header", True).schema(f"Document string, {columns}").csv(path)
 
 
-QUERIES = {f.__name__: f for f in (index_part_file, store_threshold, store_curves, merged_stores, substrings_of_words, lengths_part_file, count_table_lines, word_count_lines, numbered_lines, year_list_files, barrel_file, barrel_binary_file, book_words, book_lines, book_metadata, id_path_lines, word_pair_lines, titled_documents, curves_csv_file)}
+QUERIES = {f.__name__: f for f in (index_part_file, store_threshold, store_curves, merged_stores, substrings_of_words, lengths_part_file, count_table_lines, word_count_lines, numbered_lines, year_list_files, barrel_file, barrel_binary_file, book_words, book_lines, book_metadata, words_inside_a_tag, id_path_lines, word_pair_lines, titled_documents, curves_csv_file)}
 
 ORACLE_SQL = {
     "index_part_file": f"WITH {POST} SELECT * FROM post",
@@ -177,6 +186,7 @@ ORACLE_SQL = {
     "book_words": "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents) SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS position, unnest(ws) AS word FROM t",
     "book_lines": "WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[a-z0-9]+'), []) AS ws FROM documents), l AS (SELECT doc_id, ws, unnest(range(len(ws) // 50 + 1)) AS i FROM t) SELECT doc_id, CAST(i AS INTEGER) AS line, array_to_string(ws[i * 50 + 1 : i * 50 + 50], ' ') AS text FROM l",
     "book_metadata": "SELECT doc_id, CAST(doc_id AS VARCHAR) AS identifier, ' A & ' || coalesce(source, '') || ' ' || chr(10) || 'two' AS source FROM documents",
+    "words_inside_a_tag": "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM t) SELECT term, doc_id, count(*) AS tf FROM p WHERE pos % 10 BETWEEN 2 AND 6 GROUP BY ALL",
     "id_path_lines": "WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT CAST(k AS VARCHAR) AS id, 'x/' || CAST(k AS VARCHAR) AS path FROM o WHERE i BETWEEN 100 AND 1099 AND k % 5 <> 0",
     "word_pair_lines": "SELECT replace(p_brand, '#', '') AS w1, split_part(p_name, ' ', 1) AS w2, CAST(p_size AS DOUBLE) AS human FROM part",
     "titled_documents": f"WITH {WORDS} SELECT idx, title, len(words) AS n FROM d WHERE title <> ''",

@@ -114,6 +114,25 @@ class BookLines:
             yield line, " ".join(words)
 
 
+class BookExtents:
+    """(tag, begin, end): each element's interval of word places, its end excluded; one that is not closed reaches to the last word."""
+
+    def eval(self, content: bytes):
+        n, opened = 0, {}
+        if content is not None and whole(content):
+            for name, raw in elements(content):
+                if name == "w":
+                    n += bool(decoded(raw))
+                elif name[:1] == "/" and opened.get(name[1:]):
+                    yield name[1:], opened[name[1:]].pop(), n
+                elif name and name[0] not in "/?!" and name[-1] != "/" and name not in ("pb", "lb"):
+                    opened.setdefault(name, []).append(n)
+            for name, begins in opened.items():
+                for begin in begins:
+                    yield name, begin, n
+
+
+book_extents = F.udtf(BookExtents, returnType="tag string, begin int, end int")
 book_words = F.udtf(BookWords, returnType="position int, word string")
 book_metadata = F.udtf(BookMetadata, returnType="position int, tag string, value string")
 book_lines = F.udtf(BookLines, returnType="line int, text string")

@@ -77,3 +77,21 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
         barrels.write(frame, f"{tmp_path}/f.barrel")
     left = [n for _, _, files in os.walk(tmp_path) for n in files]
     assert not left
+
+
+def test_words_inside_tags(spark, tmp_path):
+    from chronolex.operators import index
+
+    body = lambda inner: f"<metadata><title>x</title></metadata><text>{inner}</text>".encode()
+    rows = [(1, "a b c d", body('<w>a</w><hi r="1"><w>b</w><hi><w>c</w></hi></hi><w>d</w>')), (2, "a a b", body("<w>a</w><hi><w>a</w><lb/><w>b</w>")), (3, "a", body("<hi></hi><w>a</w>")), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content binary")
+    found = {tuple(r) for r in index.extents(docs).where("tag = 'hi'").collect()}
+    assert found == {("hi", 1, 1, 3), ("hi", 1, 2, 3), ("hi", 2, 1, 3), ("hi", 3, 0, 0)}
+    path = index.build_part(docs, "extents", str(tmp_path / "index"))
+    got = {tuple(r) for r in index.inside(index.positions(docs), spark.read.parquet(path), "hi").collect()}
+    assert got == {("b", 1, 1), ("c", 1, 1), ("a", 2, 1), ("b", 2, 1)}
+    assert {(r.term, r.tf) for r in index.inside(index.positions(docs), spark.read.parquet(path), "text").where("doc_id = 2").collect()} == {("a", 2), ("b", 1)}
+    assert index.extents(docs.drop("content")).count() == 0
+    long = spark.createDataFrame([(9, " ".join(f"w{i % 7}" for i in range(1000)), body("<p>" + "<w>x</w>" * 300 + "</p><q>" + "<w>x</w>" * 500 + "</q>" + "<w>x</w>" * 200))], "doc_id long, text string, content binary")
+    inside = {r.term: r.tf for r in index.inside(index.positions(long), index.extents(long), "q").collect()}
+    assert inside == {f"w{k}": sum(i % 7 == k for i in range(300, 800)) for k in range(7)}

@@ -149,7 +149,7 @@ def test_parts_and_stream(spark, tmp_path):
         index.build_part(docs, part, str(tmp_path / "index"), 0)
     assert index.open_part(spark, str(tmp_path / "index")).columns == ["term", "doc_id", "positions"]
     with pytest.raises(ValueError):
-        index.build_part(docs, "extents", str(tmp_path / "index"))
+        index.build_part(docs, "nothing", str(tmp_path / "index"))
     assert temporal.parse_query("$1850") == ("step", 1850) and temporal.parse_query("$2050")[0] == "term"
     docs.where("text is not null").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
