@@ -23,5 +23,5 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to a new path and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
