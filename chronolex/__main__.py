@@ -177,16 +177,25 @@ TASKS = {
 }
 
 
+#: Tasks with a printed form of their own, for --lines.
+LINES = {"comparison": lists.score_lines, "txt-find-similar": lists.score_lines, "similar-terms-cli": lists.hit_lines, "similar-quantized": lists.block_lines}
+
+
 def main(arguments: list[str], rows: int = 100) -> int:
-    """Runs a task: writes its whole result as CSV to the folder after --to, or else prints the first `rows` rows; 2 without a known task."""
-    folder = None
+    """Runs a task: writes its whole result as CSV to the folder after --to, or else prints the first `rows` rows, as plain lines after --lines
+    where the task has such a form; 2 without a known task."""
+    folder, plain = None, arguments[:1] == ["--lines"]
+    arguments = arguments[1:] if plain else arguments
     if len(arguments) > 1 and arguments[0] == "--to":
         folder, arguments = arguments[1], arguments[2:]
     if not arguments or arguments[0] not in TASKS:
-        print(*([f"unknown task {arguments[0]}"] if arguments else []), "[--to FOLDER] TASK ARGUMENT..., tasks:", *(f"  {name} {f.__doc__}" for name, f in TASKS.items()), sep="\n", file=sys.stderr)
+        print(*([f"unknown task {arguments[0]}"] if arguments else []), "[--lines | --to FOLDER] TASK ARGUMENT..., tasks:", *(f"  {name} {f.__doc__}" for name, f in TASKS.items()), sep="\n", file=sys.stderr)
         return 2
     found = TASKS[arguments[0]](SparkSession.builder.getOrCreate(), *arguments[1:])
-    if folder is None:
+    if plain and arguments[0] in LINES:
+        for r in LINES[arguments[0]](found).take(rows):
+            print(r["value"])
+    elif folder is None:
         found.show(rows, truncate=False)
     else:
         arrays = [c for c, t in found.dtypes if t.startswith("array")]

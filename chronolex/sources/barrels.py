@@ -26,7 +26,9 @@ def filesystem(path: str):
     """(file system, path in it) of a path or URI, with pyarrow's file systems."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
 def documents(stream: BinaryIO) -> Iterator[tuple[int, list[int]]]:

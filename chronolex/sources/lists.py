@@ -84,9 +84,20 @@ def score_lines(scores: DataFrame) -> DataFrame:
     return scores.orderBy("rank").select(F.format_string("%s %s", F.col("term"), F.col("score").cast("string")).alias("value"))
 
 
+# The printed forms of hits and of blocks.
+HIT, BLOCK, MEMBER = "%-60s %4d %10d", "%d-%d - w=%d:", "  %s %.3f %d"
+
+
 def hit_lines(hits: DataFrame) -> DataFrame:
     """Name, year and count in fixed columns."""
-    return hits.select(F.format_string("%-60s %4d %10d", F.col("doc_id").cast("string"), F.col("year"), F.col("tf")).alias("value"))
+    return hits.select(F.format_string(HIT, F.col("doc_id").cast("string"), F.col("year"), F.col("tf")).alias("value"))
+
+
+def block_lines(ranked: DataFrame) -> DataFrame:
+    """Of each block of `similarity.quantized` a line for the query, then one for each of its terms."""
+    head = ranked.where("rank = 1").select("start", F.lit(0).alias("rank"), F.format_string(BLOCK, "start", "end", "query_weight").alias("value"))
+    rest = ranked.select("start", "rank", F.format_string(MEMBER, "term", "score", "candidate_total").alias("value"))
+    return head.unionByName(rest).orderBy("start", "rank").select("value")
 
 
 def barrel_bytes(docs: list[tuple[int, list[int]]]) -> bytes:

@@ -33,6 +33,12 @@ def test_tasks(spark, tmp_path, capsys):
     assert main(["--to", f"{tmp_path}/csv", "similar-terms-cli", folder, "rain"]) == 0
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 20
     capsys.readouterr()
+    assert main(["--lines", "similar-terms-cli", folder, "hard"]) == 0
+    assert capsys.readouterr().out.splitlines()[0] == "1" + " " * 60 + "1821          1"
+    assert main(["--lines", "similar-quantized", folder, "rain", "20", "2"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["1820-1839 - w=38:", "  falls 1.000 19", "  rain 1.000 38"]
+    assert main(["--lines", "comparison", folder, "rain", "1", "cosine"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["falls 1.0"]
     assert main([]) == 2 and main(["nothing"]) == 2 and "unknown task nothing" in capsys.readouterr().err
 
 
