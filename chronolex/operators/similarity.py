@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -15,6 +15,8 @@ from .temporal import curve_of, dense, parse_query, scatter, step_function
 PART = 4096
 #: Neighbouring parts whose costs one group joins.
 FOLD = 256
+#: Groups (a part of the axis for some terms) that one task warps.
+GROUPS = 8
 #: Terms up to which a list of them is broadcast (a term and a long each).
 BROADCAST_TERMS = 500_000
 
@@ -251,26 +253,31 @@ def similar_by_document(points: DataFrame, length: int, query: str | DataFrame,
     """(rank, term, score): the k terms whose document curves warp at least cost to the query's: a term's (which is itself ranked), or a curve
     given as a table (at, q) of its places that are not zero.
 
-    A term's least possible cost is an envelope bound in both directions: every place of the query must meet a count within the band, and
-    every count a place of the query. Terms are warped in rounds in order of that bound, `first` of them (2k if 0), then each time as many as before:
-    a round takes only terms whose bound is within the k-th cost so far, and the first round without any is the last. A task warps some terms over one part of the axis.
+    A term's least possible cost is bounded twice. By totals: a count meets at most as many places as the band is wide, so neither curve can
+    cover more than that multiple of its total in the other. By an envelope in both directions: every place of the query must meet a count within
+    the band, and every count a place of the query. The first round warps the `first` terms (2k if 0) by the bound of totals, which needs no join
+    with the axis; only terms whose bound is within the k-th cost of these get the envelope bound. Further rounds go in order of that, as many
+    terms and then each time twice as many: a round takes only terms whose bound is within the k-th cost so far, and the first round without any
+    is the last. A task warps some terms over a few parts of the axis.
     """
     import numpy as np
     import pyarrow as pa
 
     points = stored(points, "document-points")
     spark, width = points.sparkSession, 2 * band + 1
-    own = points.where(F.col("term") == query).select("at", F.col("tf").alias("q")) if isinstance(query, str) else stored(query.select("at", F.col("q").cast("long").alias("q")).where("q <> 0"), "query-points")
+    own = points.where(F.col("term") == query).select("at", F.col("tf").alias("q")) if isinstance(query, str) else query.select("at", F.col("q").cast("long").alias("q")).where("q <> 0")
+    own = stored(own, "query-points")
     weight = own.agg(F.sum("q")).first()[0] or 0
     near = own.select(F.explode(F.sequence(F.col("at") - band, F.col("at") + band)).alias("at"), "q").groupBy("at").agg(F.collect_list("q").alias("near"))
     tf, none = F.col("tf"), F.lit(0).cast("long")
     met = F.coalesce(F.aggregate("near", none, lambda s, q: s + F.least(q, tf)), none)
     over = F.greatest(none, tf - F.coalesce(F.array_max("near"), none))
-    least = points.join(near, "at", "left").groupBy("term").agg(F.greatest(F.lit(weight) - F.sum(met), F.sum(over)).cast("double").alias("least"))
-    least = stored(least, "least-costs")
+    by_totals = F.greatest(F.lit(weight) - width * F.sum("tf"), F.sum("tf") - F.lit(width * weight)).cast("double").alias("least")
+    coarse = stored(points.groupBy("term").agg(by_totals), "total-costs")
     numbers = -(-length // part)
     low, high = (F.floor(F.greatest(F.lit(0), F.least(F.lit(length - 1), F.col("at") + d)) / part).cast("int") for d in (-band, band))
     windows = own.select(F.explode(F.sequence(low, high)).alias("part"), F.struct("at", "q").alias("c")).groupBy("part").agg(F.collect_list("c").alias("window"))
+    windows = stored(windows, "query-windows")
     carry_warp, first_warp = kernels.carry_warp, kernels.first_warp
 
     def warped(terms: int):
@@ -305,7 +312,7 @@ def similar_by_document(points: DataFrame, length: int, query: str | DataFrame,
         numbered = places.select("term", F.col("at").alias("number"))
         side = F.broadcast(numbered) if terms <= BROADCAST_TERMS else numbered
         buckets = -(-terms // terms_at_once)
-        tasks = max(1, -(-numbers * buckets // 64))  # a task's groups fit in memory, whatever the length of the axis
+        tasks = max(1, -(-numbers * buckets // GROUPS))  # a task's groups fit in memory, whatever the length of the axis
         cells = points.join(side, "term").select(
             F.floor(F.col("at") / part).cast("int").alias("part"), F.floor(F.col("number") / terms_at_once).cast("int").alias("bucket"), F.struct(F.pmod("number", F.lit(terms_at_once)).alias("row"), "at", "tf").alias("c")
         )
@@ -315,20 +322,31 @@ def similar_by_document(points: DataFrame, length: int, query: str | DataFrame,
         found = _join_costs(groups.mapInArrow(warped(terms), "number long, part int, costs array<double>"), ["number"], length, band, part, fold)
         return stored(found.join(side, "number").select("term", F.col("dtw").alias("score")), label)
 
-    known, size, upto = None, first or 2 * k, None
-    while True:
-        rest = least
-        if known is not None:
-            kth = known.orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
-            rest = least.where((F.col("least") > upto["least"]) | ((F.col("least") == upto["least"]) & (F.col("term") > upto["term"])))
-            rest = rest.where(F.col("least") <= -kth["score"]) if kth["n"] == k else rest
-        some = stored(rest.orderBy("least", "term").limit(size), "round-terms")
+    def enveloped(terms: DataFrame) -> DataFrame:
+        side = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+        bound = F.greatest(F.lit(weight) - F.sum(met), F.sum(over)).cast("double").alias("least")
+        return stored(points.join(side, "term", "left_semi").join(near, "at", "left").groupBy("term").agg(bound), "least-costs")
+
+    def within(bounds: DataFrame, upto: Row | None, known: DataFrame) -> DataFrame:
+        kth = known.orderBy(F.desc("score")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("score")).first()
+        rest = bounds if upto is None else bounds.where((F.col("least") > upto["least"]) | ((F.col("least") == upto["least"]) & (F.col("term") > upto["term"])))
+        return rest.where(F.col("least") <= -kth["score"]) if kth["n"] == k else rest
+
+    def one_round(bounds: DataFrame, size: int) -> tuple[DataFrame | None, Row | None]:
+        some = stored(bounds.orderBy("least", "term").limit(size), "round-terms")
         upto = some.orderBy(F.desc("least"), F.desc("term")).first()
-        if upto is None:
-            return best(known if known is not None else points.select("term", F.lit(0.0).alias("score")).limit(0), k)
-        scores = costs(some.select("term"), "round-scores")
-        known = scores if known is None else known.unionByName(scores)
-        size = size if size == (first or 2 * k) and known is scores else 2 * size
+        return (None, None) if upto is None else (costs(some.select("term"), "round-scores"), upto)
+
+    size = first or 2 * k
+    known, upto = one_round(coarse, size)
+    if known is None:
+        return best(points.select("term", F.lit(0.0).alias("score")).limit(0), k)
+    bounds, upto = enveloped(stored(within(coarse, upto, known).select("term"), "bounded-terms")), None
+    while True:
+        scores, upto = one_round(within(bounds, upto, known), size)
+        if scores is None:
+            return best(known, k)
+        known, size = known.unionByName(scores), 2 * size
 
 
 def panel(docs: DataFrame, curves: DataFrame, query: str, k: int = 20, weight: int = 150) -> DataFrame:
@@ -345,10 +363,13 @@ def panel(docs: DataFrame, curves: DataFrame, query: str, k: int = 20, weight: i
         places, _ = index.ranked(docs, "doc_id")
         curve = spread.join(places, "doc_id").groupBy("at").agg(F.max("tf").alias("q"))
         by_year = {r["year"]: r["tf"] for r in spread.groupBy("year").agg(F.sum("tf").alias("tf")).collect()}  # a row a year
-        line = [by_year.get(FIRST_YEAR + i, 0) for i in range(YEARS)]
-        top = similar_by_document(points, length, curve, k)
+        line = ",".join(str(by_year.get(FIRST_YEAR + i, 0)) for i in range(YEARS))
+        asked, top = query, similar_by_document(points, length, curve, k)
     else:
-        line, top = curve_of(curves, asked), similar_by_document(points, length, asked, k)
-    found = dense(curves.join(F.broadcast(top.select("term")), "term")).join(F.broadcast(top), "term")
-    own = spark.createDataFrame([(0, query if kind == "step" else asked, None, ",".join(map(str, line)))], "rank int, term string, score double, curve string")
-    return own.unionByName(found.select("rank", "term", "score", F.array_join("curve", ",").alias("curve")))
+        line, top = None, similar_by_document(points, length, asked, k)
+    own = spark.createDataFrame([(0, asked, None, line)], "rank int, term string, score double, line string")
+    rows = own.unionByName(top.select("rank", "term", "score", F.lit(None).cast("string").alias("line")))
+    # One pass over the words for all curves, the query's own among them; a term without words has zeros.
+    found = dense(curves.join(F.broadcast(rows.where("line IS NULL").select("term").distinct()), "term")).select("term", F.array_join("curve", ",").alias("curve"))
+    none = F.lit(",".join("0" * YEARS))
+    return rows.join(found, "term", "left").select("rank", "term", "score", F.coalesce("line", "curve", none).alias("curve"))
