@@ -101,6 +101,24 @@ def test_meetings_grow_with_the_documents(spark):
     assert cost[10_000] < 5 * cost[1000]
 
 
+def test_blocks_find_all_pairs_and_shuffle_no_meetings(spark):
+    """Documents met by blocks, in one set and across two, with several blocks of one size; no pair leaves a group but those found."""
+    rng = random.Random(7)
+    sets = {i: rng.sample([f"w{k}" for k in range(40)], rng.choice([1, 2, 3, 4, 5, 7, 9, 12, 12, 12, 25])) for i in range(160)}
+    docs = spark.createDataFrame(list(sets.items()), "idx long, words array<string>")
+    share = lambda a, b: len(set(sets[a]) & set(sets[b])) / max(len(sets[a]), len(sets[b]))
+    want = {(a, b, share(a, b)) for a in sets for b in sets if a < b and share(a, b) >= 0.5}
+    for words in (60, 10_000):
+        found = dedup.overlaps(docs, keyed_upto=0, words=words)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    odd, even = docs.where("idx % 2 = 1"), docs.where("idx % 2 = 0")
+    across = {(a, b, share(a, b)) for a in sets for b in sets if a % 2 and not b % 2 and share(a, b) >= 0.5}
+    assert sorted(tuple(r) for r in dedup.overlaps(odd, even, keyed_upto=0, words=60).collect()) == sorted(across)
+    plan = dedup.block_overlaps(dedup.ranked_sets(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("CoGroup") == 1
+    assert dedup.overlaps(docs.limit(0), keyed_upto=-1).collect() == []
+
+
 def test_a_sample_stops_at_its_size(spark, monkeypatch):
     """What is compared depends on n, not on the table."""
     seen = []
