@@ -119,6 +119,17 @@ def test_blocks_find_all_pairs_and_shuffle_no_meetings(spark):
     assert dedup.overlaps(docs.limit(0), keyed_upto=-1).collect() == []
 
 
+def test_copies_in_barrels_are_compared_once(spark, monkeypatch):
+    """Groups of copies on both sides: all copies are named, one of each side is compared."""
+    seen = []
+    compare = dedup.similar_pairs
+    monkeypatch.setattr(dedup, "similar_pairs", lambda left, right: (seen.append((left.count(), right.count())), compare(left, right))[1])
+    rows = [(i, ["a", "b", "c"] if i % 4 < 2 else ["a", "b", "c", "d", "e"] if i % 4 == 2 else ["x", str(i)]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "idx long, words array<string>")
+    got = sorted(r.idx for r in dedup.barrel_compare(docs.where("idx % 2 = 0"), docs.where("idx % 2 = 1")).collect())
+    assert got == [i for i in range(40) if i % 4 == 1] and seen == [(2, 11)]
+
+
 def test_a_sample_stops_at_its_size(spark, monkeypatch):
     """What is compared depends on n, not on the table."""
     seen = []
