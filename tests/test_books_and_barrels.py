@@ -3,7 +3,9 @@
 import bz2
 import gzip
 import os
+import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,36 @@ def test_book_functions(spark):
     assert {r.path: r.metadata for r in maps} == {p: {"title": "A & B", "year": "1850"} for p in ("plain", "gz", "bz2")}
 
 
+def test_runs_of_elements_are_found_at_once(monkeypatch):
+    """Elements without a stray `<` come from one scan of a piece: the step by single tags meets only what is left at a piece's end."""
+    stepped = []
+
+    class Tags:
+        def finditer(self, text, at=0):
+            for m in books.TAG.finditer(text, at):
+                stepped.append(m)
+                yield m
+
+    raw = ("<text>" + "".join(f'<w c="<{i}>">é{i}</w> ' for i in range(3000)) + "a < b <lb/><w>x</w></text>").encode()
+    want = list(books.elements(raw.decode()))
+    monkeypatch.setattr(book_functions, "TAG", Tags())
+    for size in (1 << 10, 1 << 16):
+        monkeypatch.setattr(book_functions, "PIECE", size)
+        stepped.clear()
+        assert list(book_functions.elements(raw)) == want and len(stepped) < 100
+
+
+def test_rows_of_a_table_function_leave_in_batches(spark, monkeypatch):
+    """One plan of Arrow batches without a row by row table function; batches that end within a file."""
+    monkeypatch.setattr(book_functions, "ROWS", 3)
+    files = spark.createDataFrame([(i, "x" * i, "<w>a</w>".encode() * i) for i in range(8)], "id long, other string, content binary")
+    rows = book_functions.with_rows(files, book_functions.book_words)
+    assert rows.dtypes == [("id", "bigint"), ("other", "string"), ("position", "int"), ("word", "string")]
+    assert sorted(map(tuple, rows.collect())) == [(i, "x" * i, k, "a") for i in range(8) for k in range(i)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "PythonUDTF" not in plan
+
+
 def jvm_hash(word):
     h = 0
     raw = word.encode("utf-16-be")
@@ -79,6 +111,22 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     assert not left
 
 
+def test_places_meet_a_documents_masks_once(spark):
+    """No row for each place and interval: postings meet one row a document; intervals across bins, nested and many."""
+    from chronolex.operators import index
+
+    rng = random.Random(3)
+    spans = [(d, b, min(700, b + rng.choice([0, 1, 5, 63, 64, 65, 200]))) for d in range(6) for b in (rng.randrange(700) for _ in range(4 * d))]
+    words = {d: [f"w{rng.randrange(30)}" for _ in range(700)] for d in range(7)}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in words.items()], "doc_id long, text string")
+    intervals = spark.createDataFrame([("hi", *s) for s in spans] + [("p", 6, 0, 700)], "tag string, doc_id long, begin int, end int")
+    inside = index.inside(index.positions(docs), intervals, "hi")
+    want = Counter((words[d][i], d) for d in words for i in {i for k, b, e in spans if k == d for i in range(b, e)})
+    assert {(r.term, r.doc_id): r.tf for r in inside.collect()} == want
+    plan = inside._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("Generate explode") == 1  # words, and intervals to bins; not places
+
+
 def test_words_inside_tags(spark, tmp_path):
     from chronolex.operators import index
 
