@@ -7,7 +7,6 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import string_hash
 from ..plans.storage import stored
 from . import barrels
 
@@ -114,9 +113,48 @@ def parse_barrel(raw: bytes) -> list[tuple[int, list[int]]]:
     return out
 
 
+#: Documents whose words are hashed at once.
+HASHED = 256
+
+
+def word_hashes(words):
+    """`string_hash` of an Arrow array of strings, as numpy 32-bit integers; of nulls 0."""
+    import numpy as np
+
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if (raw < 128).all():
+        units, length = raw, np.diff(ends)
+    else:
+        wide = [(w or "").encode("utf-16-be") for w in words.to_pylist()]
+        units, length = np.frombuffer(b"".join(wide), ">u2"), np.array([len(w) // 2 for w in wide])
+    until = np.cumsum(length)
+    powers = np.full(int(length.max(initial=0)) + 1, 31, np.uint32)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers, dtype=np.uint32)  # wraps, as the hash does
+    out, some = np.zeros(len(words), np.uint32), length > 0
+    if some.any():
+        out[some] = np.add.reduceat(units.astype(np.uint32) * powers[np.repeat(until, length) - 1 - np.arange(len(units))], (until - length)[some], dtype=np.uint32)
+    return out.view(np.int32)
+
+
+def _hashed(batches):
+    import pyarrow as pa
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, HASHED):
+            batch = whole.slice(at, HASHED)
+            words = batch.column(1)
+            flat = words.flatten().cast(pa.string())
+            hashes = pa.array(word_hashes(flat), pa.int32(), mask=flat.is_null().to_numpy(zero_copy_only=False))
+            counts = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = pa.array([0, *counts.cumsum().tolist()], pa.int32(), mask=[*words.is_null().to_pylist(), False] if words.null_count else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, hashes)], ["idx", "hashes"])
+
+
 def write_barrel(docs: DataFrame, path: str, binary: bool = False) -> None:
     """(idx, words) as a barrel of the words' hashes: a Parquet one, where they are text as `read_barrels` gives them, or gzipped binary files in the folder `path`."""
-    hashes = docs.select("idx", F.transform("words", string_hash).alias("hashes"))
+    hashes = docs.select("idx", "words").mapInArrow(_hashed, f"idx {dict(docs.dtypes)['idx']}, hashes array<int>")
     if binary:
         barrels.write(hashes, path)
     else:

@@ -82,6 +82,33 @@ def test_hashes_of_all_scripts(spark):
     assert {r.w: r.h for r in got} == {w: jvm_hash(w) for w in words} and jvm_hash("abc") == 96354
 
 
+def test_barrels_hash_words_in_arrays(spark, tmp_path, monkeypatch):
+    """Hashes of a batch at once, for all scripts, empty and null lists; no interpreted loop over letters in the plan."""
+    import pyarrow as pa
+
+    words = ["abc", "", "a", "é", "straße", "日本語", "😀x", "z" * 40, "été 1", "the", ""]
+    for some in (words, ["abc", "", "zz9"], ["", ""], [], words[3:7]):
+        assert lists.word_hashes(pa.array(some, pa.string())).tolist() == [jvm_hash(w) for w in some]
+    assert lists.word_hashes(pa.array(words, pa.string()).slice(2, 5)).tolist() == [jvm_hash(w) for w in words[2:7]]
+    monkeypatch.setattr(lists, "string_hash", lambda w: F.raise_error(F.lit("letter by letter")), raising=False)
+    docs = spark.createDataFrame([(1, words), (2, []), (3, ["b"]), (4, None)], "idx long, words array<string>").coalesce(1)
+    lists.write_barrel(docs, str(tmp_path / "b"))
+    got = {r.idx: r.words for r in lists.read_barrels(spark, str(tmp_path / "b")).collect()}
+    assert got == {1: [str(jvm_hash(w)) for w in words], 2: [], 3: [str(jvm_hash("b"))], 4: None}
+
+
+def test_postings_are_not_shuffled(spark):
+    """One exchange, of the texts."""
+    from chronolex.operators import index
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "doc_id long, text string")
+    found = index.positions(docs)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, [0, 2]), ("b", 1, [1]), ("b", 2, [0])]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    executed = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert executed.count("Exchange hashpartitioning") == 1 and "posexplode" in plan
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_binary_barrels(spark, tmp_path, compression):
     rows = [(i, [i * 7 - 3, -(1 << 31), (1 << 31) - 1][: i % 4]) for i in range(50)]
