@@ -251,6 +251,34 @@ def test_search_panel_warps_over_the_document_axis(spark):
         assert r.curve == ",".join(map(str, curve))
 
 
+def test_search_stops_at_terms_that_can_only_tie(spark, monkeypatch):
+    """A curve of zeros is met at exactly a term's total: of many terms that occur once, the first by name are found in one round."""
+    rounds, kept = [], similarity.stored
+
+    def counted(df, label):
+        rounds.append(label)
+        return kept(df, label)
+
+    monkeypatch.setattr(similarity, "stored", counted)
+    points = spark.range(400).selectExpr("concat('w', lpad(cast(id as string), 3, '0')) as term", "id as at", "1L as tf")
+    nothing = spark.createDataFrame([], "at long, q long")
+    found = similarity.similar_by_document(points, 400, nothing, k=5, part=64)
+    assert [(r["rank"], r.term, r.score) for r in found.orderBy("rank").collect()] == [(i + 1, f"w{i:03}", -1.0) for i in range(5)]
+    assert rounds.count("round-scores") == 1
+
+
+def test_words_on_the_document_axis_shuffle_texts_only(spark):
+    docs = spark.createDataFrame([(7, "b a a"), (None, "a"), (3, "c a"), (7, "a"), (None, "a a"), (9, None)], "doc_id long, text string")
+    points, length = similarity.on_document_axis(docs)
+    assert length == 4 and sorted(tuple(r) for r in points.collect()) == [("a", 0, 3), ("a", 1, 1), ("a", 2, 3), ("b", 2, 1), ("c", 1, 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        plan = similarity.on_document_axis(docs)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(term" in line]
+
+
 def test_search_panel_of_a_step(spark):
     sf = "/root/testdata/sf0.001"
     plain, ids = by_document(spark, sf), sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
