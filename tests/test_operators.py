@@ -251,6 +251,20 @@ def test_search_panel_warps_over_the_document_axis(spark):
         assert r.curve == ",".join(map(str, curve))
 
 
+def test_counts_of_all_shuffle_no_words(spark):
+    rows = [(1, "A b a", 1850), (2, None, 1850), (3, "", 1851), (None, "b", 1852), (4, "running runs ran", None), (5, "12 x-12", 1853)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, year int")
+    odd = spark.createDataFrame([*rows, (1, "a c", 1850), (None, "b b", 1852), (3, "z", 1860)], docs.schema)
+    for d in (docs, odd, docs.limit(0)):
+        assert sorted(map(str, index.counts_of_all(d).collect())) == sorted(map(str, index.counts(d).collect()))
+    plan = index.counts_of_all(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    store = {(r.term, r.doc_id, r.year): (r.tf, r.total) for r in index.posting_store(odd).collect()}
+    assert store["b", None, 1852] == (3, 4) and store["a", 1, 1850] == (3, 3) and store["z", 3, 1860] == (1, 1)
+    stems = {(r.term, r.doc_id): r.tf for r in index.stemmed_counts(odd).collect()}
+    assert stems["run", 4] == 2 and stems["ran", 4] == 1 and stems["b", None] == 3 and len(stems) == 9
+
+
 def test_search_stops_at_terms_that_can_only_tie(spark, monkeypatch):
     """A curve of zeros is met at exactly a term's total: of many terms that occur once, the first by name are found in one round."""
     rounds, kept = [], similarity.stored
