@@ -119,6 +119,28 @@ def test_blocks_find_all_pairs_and_shuffle_no_meetings(spark):
     assert dedup.overlaps(docs.limit(0), keyed_upto=-1).collect() == []
 
 
+def test_near_duplicates_in_rounds_leave_no_shuffled_files(spark, monkeypatch):
+    """Groups and pairs met in several rounds give the same pairs; copies are dropped without a shuffle of words."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(30)] for _ in range(12)]
+    texts = [[w if rng.random() > 0.15 else f"x{rng.randrange(50)}" for w in base[i % 12]] for i in range(60)] + base[:5] + base[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "idx long, words array<string>")
+    reps, members = dedup.representatives(docs)
+    plan = reps._jdf.queryExecution().executedPlan().toString()
+    assert reps.count() == 65 and members.where("idx <> rep").count() == 5 and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(dedup, "BROADCAST_COPIES", 0)
+    assert sorted(map(tuple, dedup.representatives(docs)[0].collect())) == sorted(map(tuple, reps.collect()))
+    want, labels, kept = sorted(tuple(r) for r in dedup.similar_pairs(reps).collect()), [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda d, label: (labels.append(label), kept(d, label))[1])
+    monkeypatch.setattr(dedup, "ROUND", 1)
+    assert sorted((r.a, r.b) for r in dedup.overlaps(reps, keyed_upto=0, words=60).where("overlap > 0.85").collect()) == [(r.a, r.b) for r in dedup.overlaps(reps).where("overlap > 0.85").orderBy("a", "b").collect()]
+    assert labels.count("block-pairs") > 1
+    band = dedup.overlaps(reps).where("overlap <= 0.85").withColumn("words", F.lit(60).cast("long"))
+    close = sorted((r.a, r.b) for r in dedup.close_pairs(band, reps, reps, at_once=600).collect())
+    assert labels.count("close-pairs") > 1 and close and set(close) <= set(want)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_copies_in_barrels_are_compared_once(spark, monkeypatch):
     """Groups of copies on both sides: all copies are named, one of each side is compared."""
     seen = []
