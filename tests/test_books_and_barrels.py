@@ -68,6 +68,29 @@ def test_rows_of_a_table_function_leave_in_batches(spark, monkeypatch):
     assert "MapInArrow" in plan and "PythonUDTF" not in plan
 
 
+ODD = ["<w>", "</w>", '<w c="<1>">', "< w\n>", "<w/>", "<w />", "<pb>", "<lb />", "<lb/>", '< pb n="2">', "a", "é", "&amp;", "&lt;pb", "&x;", " ", "\x1c", "<", ">", '"', '<a t="<w>y">', '<a t="x', "<wx>", "<>", '<w"x">', "<hi>", "<pbx>"]
+
+
+def odd_books():
+    rng = random.Random(7)
+    return [XML, "", *("".join(rng.choices(ODD[: rng.choice([17, 27])], k=rng.randrange(80))) for _ in range(300))]
+
+
+def no_elements(raw):
+    raise AssertionError("element by element")
+
+
+def test_words_leave_a_run_at_once(monkeypatch):
+    """Words are found by one scan of a run, as columns, without a tuple for each element; odd books, pieces of any size."""
+    want = [list(enumerate(books.words(t))) for t in odd_books()]
+    monkeypatch.setattr(book_functions, "elements", no_elements)
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(book_functions, "PIECE", size)
+        assert [list(book_functions.BookWords().eval(t.encode())) for t in odd_books()] == want
+    many = list(book_functions.BookWords().columns(("<text>" + "<w>é</w> " * 5000).encode()))
+    assert len(many) < 10 and sum(len(words) for _, words in many) == 5000
+
+
 def jvm_hash(word):
     h = 0
     raw = word.encode("utf-16-be")
