@@ -91,6 +91,26 @@ def test_words_leave_a_run_at_once(monkeypatch):
     assert len(many) < 10 and sum(len(words) for _, words in many) == 5000
 
 
+def plain_lines(xml):
+    lines = [[]]
+    for name, raw in books.elements(xml):
+        if name in ("pb", "lb"):
+            lines.append([])
+        elif name == "w" and (word := books.decoded(raw).strip()):
+            lines[-1].append(word)
+    return [(i, " ".join(words)) for i, words in enumerate(lines)]
+
+
+def test_lines_are_joined_a_run_at_once(monkeypatch):
+    """The same for lines: words with white space around or inside, with entities, breaks within and at the ends of runs."""
+    odd = [*odd_books(), "<w> New  York </w><lb /><w>a</w><pb><w>&x; b</w>", "<lb /><lb /> <w>&lt;</w><w> < </w><lb />", "<w>a</w>" * 9 + "<lb />x</q>" + "<w> </w><w>b</w>" * 9]
+    want = [plain_lines(t) for t in odd]
+    monkeypatch.setattr(book_functions, "elements", no_elements)
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(book_functions, "PIECE", size)
+        assert [list(book_functions.BookLines().eval(t.encode())) for t in odd] == want
+
+
 def jvm_hash(word):
     h = 0
     raw = word.encode("utf-16-be")
