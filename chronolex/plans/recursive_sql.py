@@ -61,12 +61,15 @@ NEAR = f"""{WORDS}, v AS (SELECT DISTINCT idx, unnest(words) AS w FROM k WHERE i
         FROM lcs JOIN met ON met.a = lcs.a AND met.b = lcs.b AND met.i = lcs.i + 1),
     near AS MATERIALIZED (SELECT a, b FROM o WHERE share > 0.85 UNION ALL SELECT a, b FROM lcs JOIN size USING (a, b) WHERE i = steps AND len(ends) / least > 0.5)"""
 
+# The same over all common words.
+NEAR_WHOLE = NEAR.replace("least(len(x), 2000)", "len(x)").replace("least(len(x), len(y), 2000)", "least(len(x), len(y))").replace("[1:2000]", "")
+
 ORACLE_SQL = {
     "similar_dtw": _similar_dtw(FREQ, "freq", "the"),
     "similar_dtw_parts": _similar_dtw(PARTS, "months", "red"),
     "word_pair_scores": _pair_scores(f"{CUR}, {_dense('cur')}", [("the", "of"), ("of", "and"), ("die", "der"), ("la", "que")], "100").replace("FROM cur)", "FROM cur WHERE term IN ('the', 'of', 'and', 'die', 'der', 'la', 'que'))"),
     "word_pair_scores_by_document": _pair_scores(PLACES, [("the", "of"), ("of", "and")], "len(a)"),
-    "dup_pairs_full": f"WITH RECURSIVE {NEAR} SELECT a, b FROM near",
+    "dup_pairs_full": f"WITH RECURSIVE {NEAR_WHOLE} SELECT a, b FROM near",
     "barrel_compare": f"WITH RECURSIVE {NEAR}, even AS (SELECT DISTINCT rep FROM k WHERE idx % 2 = 0), hit AS (SELECT rep FROM even UNION SELECT b FROM near JOIN even ON rep = a UNION SELECT a FROM near JOIN even ON rep = b) SELECT idx FROM k WHERE idx % 2 = 1 AND rep IN (SELECT rep FROM hit)",
     "unique_sample": f"""WITH RECURSIVE {NEAR}, edges AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near UNION ALL SELECT DISTINCT rep, rep FROM k),
         conflict AS (SELECT x.idx AS a, y.idx AS b FROM edges JOIN k x ON x.rep = a JOIN k y ON y.rep = b UNION SELECT x.idx, y.idx FROM k x JOIN k y ON x.title = y.title WHERE x.title <> ''),

@@ -141,6 +141,19 @@ def test_near_duplicates_in_rounds_leave_no_shuffled_files(spark, monkeypatch):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_pairs_of_whole_texts(spark, tmp_path):
+    """`dup_pairs_full` compares whole texts: words beyond the first 2,000 common ones decide, either way. The operator's default keeps the reference's limit."""
+    first, rest = range(2000), range(2000, 5000)
+    orders = {0: [*first, *rest], 1: [*first, *reversed(rest)], 2: [*first, *rest], 3: [*reversed(first), *rest]}
+    own = {i: " ".join(f"own{i}x{k}" for k in range(1200)) for i in orders}
+    rows = [(i, " ".join(f"{'v' if i < 2 else 'w'}{k}" for k in order) + " " + own[i]) for i, order in orders.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in registry.QUERIES["dup_pairs_full"](spark, str(tmp_path)).collect()] == [(2, 3)]
+    reps, _ = dedup.representatives(dedup.documents(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    assert [tuple(r) for r in dedup.similar_pairs(reps).collect()] == [(0, 1)]
+    assert "2000" not in registry.ORACLE_SQL["dup_pairs_full"] and "2000" in registry.ORACLE_SQL["barrel_compare"]
+
+
 def test_copies_in_barrels_are_compared_once(spark, monkeypatch):
     """Groups of copies on both sides: all copies are named, one of each side is compared."""
     seen = []
