@@ -119,6 +119,27 @@ def test_blocks_find_all_pairs_and_shuffle_no_meetings(spark):
     assert dedup.overlaps(docs.limit(0), keyed_upto=-1).collect() == []
 
 
+def test_blocks_join_no_words_with_their_frequencies(spark, monkeypatch):
+    """Beyond the keyed size words are ordered by a bounded table of buckets; whatever shares a bucket, or is counted in parts, all pairs are found."""
+    rng = random.Random(11)
+    sets = {i: rng.sample([f"w{k}" for k in range(60)], rng.choice([1, 2, 3, 8, 20, 33, 40, 41, 50])) + [f"own{i}x{k}" for k in range(i % 4)] for i in range(150)}
+    docs = spark.createDataFrame(list(sets.items()), "idx long, words array<string>")
+    share = lambda a, b: len(set(sets[a]) & set(sets[b])) / max(len(sets[a]), len(sets[b]))
+    want = sorted((a, b, share(a, b)) for a in sets for b in sets if a < b and share(a, b) >= 0.5)
+    labels, kept = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda d, label: (labels.append(label), kept(d, label))[1])
+    for buckets, cells, events in ((1 << 20, 100_000, 2_000_000), (8, 300, 70)):
+        for n, v in (("BUCKETS", buckets), ("CELLS", cells), ("EVENTS", events)):
+            monkeypatch.setattr(dedup, n, v)
+        assert sorted(tuple(r) for r in dedup.overlaps(docs, keyed_upto=0, words=700).collect()) == want
+    assert set(labels) <= {"vocabulary", "block-pairs"}
+
+
+def test_words_of_a_text_are_found_once(spark, sf):
+    plan = dedup.documents(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_near_duplicates_in_rounds_leave_no_shuffled_files(spark, monkeypatch):
     """Groups and pairs met in several rounds give the same pairs; copies are dropped without a shuffle of words."""
     rng = random.Random(5)
