@@ -111,3 +111,21 @@ def test_lists(spark, tmp_path):
 def test_stems():
     words = "caresses ponies cats feed agreed hopping hoping happy relational generously running knightly skies dying consist consistency communism news".split()
     assert [stem(w) for w in words] == "caress poni cat feed agre hop hope happi relat generous run knight sky die consist consist communism news".split()
+
+
+def test_shares_of_many_pairs_come_from_numbers(monkeypatch):
+    """Words of a batch are numbered together before they are compared, over several pieces of it."""
+    import pyarrow as pa
+
+    rng, seen = random.Random(3), []
+    rows = [([f"w{rng.randrange(9)}" for _ in range(rng.randrange(12))], [f"w{rng.randrange(9)}" for _ in range(rng.randrange(12))]) for _ in range(1500)]
+    plain = k.lcs
+    monkeypatch.setattr(k, "lcs", lambda a, b, limit: (seen.append({type(w) for w in a}), plain(a, b, limit))[1])
+    words = pa.list_(pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array([a for a, _ in rows], words), pa.array([b for _, b in rows], words)], ["id", "a", "b"])
+    for limit in (None, 3):
+        (got,) = k._lcs_shares(limit)([batch])
+        for share, (a, b) in zip(got.column(1).to_pylist(), rows, strict=True):
+            x, y = [w for w in a if w in b][:limit], [w for w in b if w in a][:limit]
+            assert share == (plain_lcs(x, y) / min(len(x), len(y)) if x else 0.0)
+    assert all(t <= {int} for t in seen)
