@@ -349,6 +349,27 @@ def test_words_on_the_document_axis_shuffle_texts_only(spark):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(term" in line]
 
 
+def test_a_query_in_many_documents_is_not_broadcast(spark, monkeypatch):
+    """What lies near the query's places is broadcast by their number, not by the size of a file; both ways give the same terms."""
+    rng = np.random.default_rng(4)
+    rows = [(f"t{t:02}", int(at), int(rng.integers(1, 4))) for t in range(30) for at in rng.choice(600, 300, replace=False)]
+    points = spark.createDataFrame(rows, "term string, at long, tf long")
+    plans, kept = [], similarity.stored
+
+    def told(frame, label):
+        if label == "least-costs":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return kept(frame, label)
+
+    monkeypatch.setattr(similarity, "stored", told)
+    got = []
+    for places in (100_000, 100):
+        monkeypatch.setattr(similarity, "BROADCAST_PLACES", places)
+        got.append([tuple(r) for r in similarity.similar_by_document(points, 600, "t03", k=5, part=64, fold=3).orderBy("rank").collect()])
+    assert got[0] == got[1] and got[0][0][1:] == ("t03", 0.0)
+    assert ["SortMergeJoin" in p for p in plans] == [False, True]
+
+
 def test_search_panel_of_a_step(spark):
     sf = "/root/testdata/sf0.001"
     plain, ids = by_document(spark, sf), sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
