@@ -132,6 +132,9 @@ def test_blocks_join_no_words_with_their_frequencies(spark, monkeypatch):
         for n, v in (("BUCKETS", buckets), ("CELLS", cells), ("EVENTS", events)):
             monkeypatch.setattr(dedup, n, v)
         assert sorted(tuple(r) for r in dedup.overlaps(docs, keyed_upto=0, words=700).collect()) == want
+    odd, even = docs.where("idx % 2 = 1"), docs.where("idx % 2 = 0")
+    across = sorted((a, b, share(a, b)) for a in sets for b in sets if a % 2 and not b % 2 and share(a, b) >= 0.5)
+    assert sorted(tuple(r) for r in dedup.overlaps(odd, even, keyed_upto=0, words=700).collect()) == across
     assert set(labels) <= {"vocabulary", "block-pairs"}
 
 
