@@ -138,6 +138,19 @@ def test_blocks_join_no_words_with_their_frequencies(spark, monkeypatch):
     assert set(labels) <= {"vocabulary", "block-pairs"}
 
 
+def test_a_block_meets_itself_in_any_order_of_rows():
+    """A cluster sends the two sides of a group in different orders: no pair is lost or found twice."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(40), 20)) for _ in range(60)]
+    block = pa.table({"idx": pa.array(range(60)), "n": pa.array([20] * 60, pa.int32()), "lone": pa.array([0] * 60, pa.int32()), "set": pa.array(sets, pa.list_(pa.int64()))})
+    want = [(a, b) for a in range(60) for b in range(a + 1, 60) if len(set(sets[a]) & set(sets[b])) >= 10]
+    order = rng.sample(range(60), 60)
+    found = dedup._met(block, block.take(pa.array(order)), True)
+    assert sorted((min(p), max(p)) for p in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == want and want
+
+
 def test_words_of_a_text_are_found_once(spark, sf):
     plan = dedup.documents(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
